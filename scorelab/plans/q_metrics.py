@@ -15,12 +15,12 @@ h AS (SELECT {G}, p, sum(y) AS pos, sum(1 - y) AS neg FROM scores_orders GROUP B
 c AS (SELECT h.*, t.tau,
         sum(pos) OVER (PARTITION BY {G} ORDER BY p) AS cum_pos,
         sum(neg) OVER (PARTITION BY {G} ORDER BY p) AS cum_neg,
-        sum(pos) OVER (PARTITION BY {G}) AS P,
-        sum(neg) OVER (PARTITION BY {G}) AS N
+        sum(pos) OVER (PARTITION BY {G}) AS npos,
+        sum(neg) OVER (PARTITION BY {G}) AS nneg
       FROM h JOIN t USING (dataset)),
-b AS (SELECT {G}, any_value(P) AS P, any_value(N) AS N, any_value(tau) AS tau,
+b AS (SELECT {G}, any_value(npos) AS npos, any_value(nneg) AS nneg, any_value(tau) AS tau,
         sum(pos * (cum_neg - neg + neg / 2)) AS auc_num,
-        max(abs(cum_pos / greatest(P, 1) - cum_neg / greatest(N, 1))) AS KS,
+        max(abs(cum_pos / greatest(npos, 1) - cum_neg / greatest(nneg, 1))) AS KS,
         sum(pos * (1 - p) * (1 - p) + neg * p * p) AS sq,
         sum(CASE WHEN p > tau THEN pos ELSE 0 END) AS tp,
         sum(CASE WHEN p > tau THEN neg ELSE 0 END) AS fp,
@@ -30,11 +30,11 @@ b AS (SELECT {G}, any_value(P) AS P, any_value(N) AS N, any_value(tau) AS tau,
         min(p) AS pmin, max(p) AS pmax
       FROM c GROUP BY {G}),
 m AS (SELECT {G},
-        CASE WHEN P > 0 AND N > 0 THEN auc_num / (P * N) END AS AUC,
-        (tp + (N - fp)) / (P + N) AS PCC,
-        CASE WHEN 2 * tp + fp + (P - tp) > 0 THEN 2 * tp / (2 * tp + fp + (P - tp)) ELSE 0 END AS F1,
-        CASE WHEN P > 0 THEN tp / P ELSE 0 END AS Recall,
-        sq / (P + N) AS BS, KS,
+        CASE WHEN npos > 0 AND nneg > 0 THEN auc_num / (npos * nneg) END AS AUC,
+        (tp + (nneg - fp)) / (npos + nneg) AS PCC,
+        CASE WHEN 2 * tp + fp + (npos - tp) > 0 THEN 2 * tp / (2 * tp + fp + (npos - tp)) ELSE 0 END AS F1,
+        CASE WHEN npos > 0 THEN tp / npos ELSE 0 END AS Recall,
+        sq / (npos + nneg) AS BS, KS,
         CASE WHEN pg_p + pg_n >= 2 AND pg_p > 0 AND pg_n > 0 THEN 2 * (pg_num / (pg_p * pg_n)) - 1 END AS PG
       FROM b)"""
 
@@ -42,8 +42,8 @@ HSQL = f"""
 grid AS (SELECT i AS cost_idx, c AS cost, 6 * c * (1 - c) / sum(6 * c * (1 - c)) OVER () AS w
          FROM (SELECT i, 0.5 - sin(asin(1 - 2 * (1e-6 + i * ((1 - 2e-6) / 999))) / 3) AS c
                FROM (SELECT range AS i FROM range(1000)))),
-roc AS (SELECT {G}, tau, (N - cum_neg + neg) / N AS fpr, (cum_pos - pos) / P AS fnr
-        FROM c WHERE P > 0 AND N > 0),
+roc AS (SELECT {G}, tau, (nneg - cum_neg + neg) / nneg AS fpr, (cum_pos - pos) / npos AS fnr
+        FROM c WHERE npos > 0 AND nneg > 0),
 hl AS (SELECT {G}, cost_idx, any_value(cost) AS cost, any_value(w) AS w, any_value(tau) AS tau,
               min(cost * tau * fnr + (1 - cost) * (1 - tau) * fpr) AS loss
        FROM roc, grid GROUP BY {G}, cost_idx),
@@ -130,9 +130,9 @@ def q_metric_prevalence(spark, d):
 
 
 @query("roc_points", f"""WITH {CURVE}
-SELECT {G}, p AS threshold, (N - cum_neg + neg) / N AS fpr, (P - cum_pos + pos) / P AS tpr FROM c
-WHERE P > 0 AND N > 0
-UNION ALL SELECT DISTINCT {G}, 'inf'::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM c WHERE P > 0 AND N > 0""",
+SELECT {G}, p AS threshold, (nneg - cum_neg + neg) / nneg AS fpr, (npos - cum_pos + pos) / npos AS tpr FROM c
+WHERE npos > 0 AND nneg > 0
+UNION ALL SELECT DISTINCT {G}, 'inf'::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM c WHERE npos > 0 AND nneg > 0""",
        views=("credit_orders", "scores_orders"), rnd=["threshold", "fpr", "tpr"])
 def q_roc_points(spark, d):
     """ROC curve points (threshold, fpr, tpr) per model, starting at (inf, 0, 0)."""
