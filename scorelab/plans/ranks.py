@@ -161,3 +161,35 @@ def midrank(df: DataFrame, group: Sequence[str], value_col: str, out_col: str =
     ranks = rt.select(*group, value_col,
                       (F.col("cum__cnt") - F.col("_cnt") + (F.col("_cnt") + 1) / 2.0).alias(out_col))
     return df.join(ranks, [*group, value_col], "left")
+
+
+def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
+                    group: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
+    """Exact linear-interpolation quantiles (DuckDB ``quantile_cont``, numpy 'linear').
+
+    Returns ``(group..., column, prob, value)``. Never buffers a column in one task: values are
+    collapsed to a (column, value) -> count histogram, running counts come from
+    ``running_totals``, and the two order statistics around h = (n - 1) q are picked by a range
+    test on the running count. Nulls are ignored.
+    """
+    group = list(group)
+    long = df.select(*group, F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols
+    ])).alias("_kv")).select(*group, "_kv.column", "_kv.value").where(F.col("value").isNotNull() & ~F.isnan("value"))
+    keys = [*group, "column"]
+    hist = long.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("_cnt"))
+    rt = running_totals(hist, keys, "value", ["_cnt"], buckets)
+    # one row per (key, prob): the two 0-based ranks lo, hi that straddle h
+    pr = F.explode(F.array(*[F.lit(float(q)) for q in probs])).alias("prob")
+    need = rt.select(*keys, "tot__cnt").distinct().select(*keys, "tot__cnt", pr)
+    need = need.withColumn("_h", (F.col("tot__cnt") - 1) * F.col("prob")).withColumn(
+        "_lo", F.floor("_h")).withColumn("_hi", F.least(F.col("_lo") + 1, F.col("tot__cnt") - 1))
+    start = F.col("cum__cnt") - F.col("_cnt")  # 0-based rank of the first copy of this value
+    v = rt.select(*keys, "value", start.alias("_s"), F.col("cum__cnt").alias("_e"))
+    lo = need.join(v, keys).where((F.col("_s") <= F.col("_lo")) & (F.col("_lo") < F.col("_e")))
+    lo = lo.select(*keys, "prob", "_h", "_lo", "_hi", F.col("value").alias("_vlo"))
+    hi = need.join(v, keys).where((F.col("_s") <= F.col("_hi")) & (F.col("_hi") < F.col("_e")))
+    hi = hi.select(*keys, "prob", F.col("value").alias("_vhi"))
+    out = lo.join(hi, [*keys, "prob"])
+    frac = F.col("_h") - F.col("_lo")
+    return out.select(*keys, "prob", (F.col("_vlo") + frac * (F.col("_vhi") - F.col("_vlo"))).alias("value"))

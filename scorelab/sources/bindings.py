@@ -119,7 +119,20 @@ def scores_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def lineitem_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``lineitem`` with nulls made by fixed rules (the test tables hold no nulls)."""
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+        F.nullif(F.col("l_discount"), F.lit(0.0)).alias("l_discount"),
+        F.nullif(F.col("l_tax"), F.lit(0.08)).alias("l_tax"),
+        F.nullif(F.col("l_returnflag"), F.lit("N")).alias("l_returnflag"),
+        "l_linestatus", "l_shipdate",
+    )
+
+
 BINDINGS = {
+    "lineitem_gaps": lineitem_gaps,
     "credit_orders": credit_orders,
     "credit_customer": credit_customer,
     "credit_events": credit_events,
@@ -131,6 +144,12 @@ BINDINGS = {
 # ---------------------------------------------------------------- DuckDB side
 
 SQL = {
+    "lineitem_gaps": """
+lineitem_gaps AS (
+  SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice,
+         nullif(l_discount, 0.0::DOUBLE) AS l_discount, nullif(l_tax, 0.08::DOUBLE) AS l_tax,
+         nullif(l_returnflag, 'N') AS l_returnflag, l_linestatus, l_shipdate
+  FROM lineitem)""",
     "credit_orders": """
 credit_orders AS (
   SELECT 'orders_' || (o.o_custkey % 3) AS dataset, o.o_orderkey AS row_id, o.o_totalprice,
