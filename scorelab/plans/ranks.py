@@ -69,9 +69,13 @@ def running_totals(
     sum_cols: Sequence[str],
     buckets: int | None = None,
     descending: bool = False,
+    bucket_col: Column | None = None,
 ) -> DataFrame:
     """Inclusive running sums of ``sum_cols`` along ``order_col`` within ``group``.
 
+    ``bucket_col``: a precomputed bucket that is monotone in the order (e.g. a string prefix for
+    text, where quantile cuts do not exist); otherwise quantile cuts are taken.
+
     ``df`` should have one row per (group, order value) (collapse first; ties then share a row).
     Adds ``cum_<c>`` (inclusive) and ``tot_<c>`` (group total) for every c in ``sum_cols``.
     With duplicate order values the order among them is by the remaining columns of ``df``
@@ -79,15 +83,20 @@ def running_totals(
     """
     group = list(group)
     if not group:
-        out = running_totals(df.withColumn("_g", F.lit(0)), ["_g"], order_col, sum_cols, buckets, descending)
+        out = running_totals(df.withColumn("_g", F.lit(0)), ["_g"], order_col, sum_cols, buckets, descending,
+                             bucket_col)
         return out.drop("_g")
     key = F.col(order_col).desc() if descending else F.col(order_col).asc()
-    tagged = with_buckets(df, group, order_col, buckets)
-    if descending:
+    if bucket_col is not None:
+        tagged = df.withColumn("_bucket", bucket_col)
+    else:
+        tagged = with_buckets(df, group, order_col, buckets)
+    if descending and bucket_col is None:
         tagged = tagged.withColumn("_bucket", -F.col("_bucket"))
+    bucket_order = F.col("_bucket").desc() if (descending and bucket_col is not None) else F.col("_bucket").asc()
 
     per_bucket = tagged.groupBy(*group, "_bucket").agg(*[F.sum(c).alias(f"_b_{c}") for c in sum_cols])
-    wb = Window.partitionBy(*_cols(group)).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    wb = Window.partitionBy(*_cols(group)).orderBy(bucket_order).rowsBetween(Window.unboundedPreceding, -1)
     wt = Window.partitionBy(*_cols(group))
     offsets = per_bucket.select(
         *group,
@@ -193,3 +202,26 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     out = lo.join(hi, [*keys, "prob"])
     frac = F.col("_h") - F.col("_lo")
     return out.select(*keys, "prob", (F.col("_vlo") + frac * (F.col("_vhi") - F.col("_vlo"))).alias("value"))
+
+
+def dense_codes(df: DataFrame, col: str, order_col: str | None = None, group: Sequence[str] = (),
+                code_col: str = "code") -> DataFrame:
+    """Code 0..k-1 for the distinct values of ``col`` (per ``group``), in the order of ``order_col``.
+
+    ``order_col`` defaults to the value itself (lexicographic for text). Built on the distinct
+    values only, with running counts by bucket: text is bucketed by its first two characters
+    (monotone in the byte order Spark sorts by), numbers by quantile cuts.
+    Returns ``(group..., col, code)``.
+    """
+    group = list(group)
+    order_col = order_col or col
+    vals = df.where(F.col(col).isNotNull())
+    if order_col == col:
+        levels = vals.select(*group, col).distinct()
+    else:
+        levels = vals.groupBy(*group, col).agg(F.min(order_col).alias(order_col))
+    levels = levels.withColumn("_one", F.lit(1))
+    dtype = dict(levels.dtypes)[order_col]
+    bucket = F.substring(F.col(order_col), 1, 2) if dtype == "string" else None
+    rt = running_totals(levels, group, order_col, ["_one"], bucket_col=bucket)
+    return rt.select(*group, col, (F.col("cum__one") - 1).cast("int").alias(code_col))
