@@ -4,6 +4,8 @@ Many credit metrics need running totals along the score (AUC, KS, ROC, H, midran
 ``Window.partitionBy(group).orderBy(score)`` pushes every row of a group through one task, and
 one group may hold a third of all rows. ``running_totals`` instead:
 
+0. materialises its (already collapsed) input once with a reliable checkpoint, since it is read
+   twice,
 1. takes approximate quantile cut points of the order column per group (a small table that is
    checkpointed so a retried stage sees the same cuts),
 2. gives every row a bucket that is a function of its order value only (equal values share a
@@ -28,6 +30,8 @@ from pyspark.sql import functions as F
 from scorelab.session import cut_lineage
 
 DEFAULT_BUCKETS = 64
+# distinct order values one window task should sort at most, before a group is cut into buckets
+ROWS_PER_BUCKET = 200_000
 
 
 def _cols(names: Sequence[str]) -> list[Column]:
@@ -35,27 +39,35 @@ def _cols(names: Sequence[str]) -> list[Column]:
 
 
 def default_buckets(df: DataFrame) -> int:
-    """Buckets per group: a multiple of the shuffle width, so a big group spreads over the cluster."""
+    """Most buckets per group: twice the shuffle width, so a hot group spreads over the cluster."""
     try:
         n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))
     except Exception:  # pragma: no cover - conf not readable
         n = 8
-    return max(DEFAULT_BUCKETS, 2 * n)
+    return max(16, 2 * n)
 
 
-def order_cuts(df: DataFrame, group: Sequence[str], order_col: str, buckets: int) -> DataFrame:
-    """Approximate quantile cut points of ``order_col`` per group, checkpointed (group-sized)."""
+def order_cuts(df: DataFrame, group: Sequence[str], order_col: str, buckets: int,
+               rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """Approximate quantile cut points of ``order_col`` per group, checkpointed (group-sized).
+
+    A group gets ceil(n / rows_per_bucket) buckets (at most ``buckets``): small groups stay one
+    bucket, a group holding a third of the data is spread over the cluster."""
     fracs = [i / buckets for i in range(1, buckets)]
-    cuts = df.groupBy(*group).agg(
-        F.array_sort(F.array_distinct(F.percentile_approx(order_col, fracs, 10 * buckets))).alias("_cuts")
-    )
+    t = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"),
+                               F.percentile_approx(order_col, fracs, 10 * buckets).alias("_all"))
+    k = F.least(F.lit(buckets), F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(rows_per_bucket))))
+    step = F.ceil(F.lit(buckets) / k)
+    kept = F.filter("_all", lambda x, i: ((i + 1) % step) == 0)
+    cuts = t.select(*group, F.array_sort(F.array_distinct(kept)).alias("_cuts"))
     return cut_lineage(cuts)
 
 
-def with_buckets(df: DataFrame, group: Sequence[str], order_col: str, buckets: int | None = None) -> DataFrame:
+def with_buckets(df: DataFrame, group: Sequence[str], order_col: str, buckets: int | None = None,
+                 rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Add ``_bucket``: number of cut points strictly below the order value."""
     buckets = buckets or default_buckets(df)
-    cuts = order_cuts(df, group, order_col, buckets)
+    cuts = order_cuts(df, group, order_col, buckets, rows_per_bucket)
     # one row per group; AQE broadcasts it when its measured size is under the threshold
     joined = df.join(cuts, list(group), "left")
     bucket = F.size(F.filter("_cuts", lambda c: c < F.col(order_col)))
@@ -70,6 +82,7 @@ def running_totals(
     buckets: int | None = None,
     descending: bool = False,
     bucket_col: Column | None = None,
+    rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """Inclusive running sums of ``sum_cols`` along ``order_col`` within ``group``.
 
@@ -84,13 +97,16 @@ def running_totals(
     group = list(group)
     if not group:
         out = running_totals(df.withColumn("_g", F.lit(0)), ["_g"], order_col, sum_cols, buckets, descending,
-                             bucket_col)
+                             bucket_col, rows_per_bucket)
         return out.drop("_g")
     key = F.col(order_col).desc() if descending else F.col(order_col).asc()
     if bucket_col is not None:
         tagged = df.withColumn("_bucket", bucket_col)
     else:
-        tagged = with_buckets(df, group, order_col, buckets)
+        # the (collapsed) input is read twice, for the cuts and for the ordered pass: write it once
+        # to the shared checkpoint folder instead of computing its lineage twice
+        df = cut_lineage(df)
+        tagged = with_buckets(df, group, order_col, buckets, rows_per_bucket)
     if descending and bucket_col is None:
         tagged = tagged.withColumn("_bucket", -F.col("_bucket"))
     bucket_order = F.col("_bucket").desc() if (descending and bucket_col is not None) else F.col("_bucket").asc()
@@ -125,12 +141,12 @@ def hash_rank(
     strata: Sequence[str],
     seed: int,
     id_col: str = "row_id",
-    buckets: int = 256,
+    buckets: int | None = None,
     rank_col: str = "_rank",
 ) -> DataFrame:
     """Exact 0-based rank of rows inside each stratum by (hash(seed, id), id).
 
-    The bucket is the top 8 bits of the hash, so sorting never needs one task per stratum:
+    The bucket is the top bits of the hash, so sorting never needs one task per stratum:
     the window runs inside (stratum, bucket) and per-bucket counts give the offsets.
     Adds ``rank_col`` and ``_n`` (stratum size).
     """
@@ -139,6 +155,7 @@ def hash_rank(
         out = hash_rank(df.withColumn("_g", F.lit(0)), ["_g"], seed, id_col, buckets, rank_col)
         return out.drop("_g")
     h = hash_key(seed, id_col)
+    buckets = buckets or default_buckets(df)
     bits = max(1, (buckets - 1).bit_length())
     t = df.withColumn("_h", h).withColumn("_hb", F.shiftrightunsigned(F.col("_h"), 64 - bits).cast("int"))
     # signed order of the hash must match the bucket order: flip the sign bit.
