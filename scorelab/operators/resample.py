@@ -183,3 +183,50 @@ def split_sizes(n: int, test_size: float) -> tuple[int, int]:
     """(n_train, n_test) of a split: n_test = ceil(n * test_size)."""
     t = math.ceil(test_size * n)
     return n - t, t
+
+
+def smote(df: DataFrame, features: Sequence[str], y: str = "y", k: int = 5, seed: int = 42,
+          id_col: str = "row_id", by: Sequence[str] = ()) -> DataFrame:
+    """SMOTE: every smaller class is topped up to the majority count with points x + u (nn - x),
+    nn one of the k nearest same-class neighbours of x (k reduced to class size - 1 when small).
+
+    Adds ``synthetic`` (false for the input rows). Neighbours come from the exact ``knn_join``;
+    the base row, the neighbour and u are seeded hashes of the synthetic index. With one class,
+    or a class of a single row, the input is returned unchanged (as the reference does on failure).
+    """
+    from scorelab.operators.neighbours import knn_join
+
+    if by:
+        raise NotImplementedError("smote runs per dataset: filter first")
+    feats = list(features)
+    base = df.withColumn("synthetic", F.lit(False))
+    counts = {r[y]: r["n"] for r in df.groupBy(y).agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per class
+    if len(counts) < 2:
+        return base
+    n_max = max(counts.values())
+    spark = df.sparkSession
+    out = base
+    for cls, n_c in sorted(counts.items()):
+        need = n_max - n_c
+        if need <= 0 or n_c < 2:
+            continue
+        kk = min(k, n_c - 1)
+        members = df.where(F.col(y) == F.lit(cls))
+        nn = knn_join(members, members, feats, kk, qid=id_col, rid=id_col, exclude_self=True, seed=seed)
+        ranked = hash_rank(members, [], seed, id_col).drop("_n")
+        draws = spark.range(need).withColumnRenamed("id", "_j")
+        draws = draws.withColumn("_rank", F.pmod(hash_key(seed, F.lit(cls), F.col("_j")), F.lit(n_c))).withColumn(
+            "nn_rank", (F.pmod(hash_key(seed + 1, F.lit(cls), F.col("_j")), F.lit(kk)) + 1).cast("int")).withColumn(
+            "_u", (F.pmod(hash_key(seed + 2, F.lit(cls), F.col("_j")), F.lit(1 << 53)) / float(1 << 53)))
+        x = draws.join(ranked.select("_rank", F.col(id_col).alias("q_id"), *feats), "_rank")
+        x = x.join(nn.select("q_id", "nn_rank", "r_id"), ["q_id", "nn_rank"])
+        z = members.select(F.col(id_col).alias("r_id"), *[F.col(c).alias(f"_z_{c}") for c in feats])
+        x = x.join(z, "r_id")
+        syn = x.select(*[(F.col(c) + F.col("_u") * (F.col(f"_z_{c}") - F.col(c))).alias(c) for c in feats],
+                       (-(F.col("_j") + 1) - F.lit(int(cls)) * F.lit(1 << 40)).alias(id_col))
+        syn = syn.withColumn(y, F.lit(cls).cast(df.schema[y].dataType)).withColumn("synthetic", F.lit(True))
+        for c in df.columns:
+            if c not in syn.columns:
+                syn = syn.withColumn(c, F.lit(None).cast(df.schema[c].dataType))
+        out = out.unionByName(syn.select(*base.columns))
+    return out
