@@ -330,25 +330,25 @@ def tune_knn(train: DataFrame, features: Sequence[str], y: str = "y", ks: Sequen
     from scorelab.operators.resample import stratified_kfold
 
     feats = list(features)
-    tf = stratified_kfold(train.select("row_id", y, *feats), y, folds, seed)
+    tf = cut_lineage(stratified_kfold(train.select("row_id", y, *feats), y, folds, seed))
     kmax = max(ks)
     parts = []
     for f in range(folds):
         tr = tf.where(F.col("fold") != f)
         te = tf.where(F.col("fold") == f)
         lab = tr.select(F.col("row_id").alias("r_id"), F.col(y).cast("double").alias("_y"))
+        truth = te.select(F.col("row_id").alias("q_id"), F.col(y).alias("y"))
         for p in ps:
-            nn = knn_join(te, tr, feats, kmax, p, seed=seed).join(lab, "r_id")
-            truth = te.select(F.col("row_id").alias("q_id"), F.col(y).alias("y"))
-            for wname in weights:
-                w = (F.when(F.col("dist") == 0, F.lit(1e12)).otherwise(1.0 / F.col("dist"))
-                     if wname == "distance" else F.lit(1.0))
-                for k in ks:
-                    s = nn.where(F.col("nn_rank") <= k).groupBy("q_id").agg(
-                        (F.sum(w * F.col("_y")) / F.sum(w)).alias("p"))
-                    parts.append(s.join(truth, "q_id").select(
-                        F.lit(f).alias("fold"), F.lit(k).alias("k"), F.lit(wname).alias("weights"),
-                        F.lit(p).alias("p_norm"), "y", "p"))
+            # one exact neighbour table at max(k), written once; every k and weighting derives from it
+            nn = cut_lineage(knn_join(te, tr, feats, kmax, p, seed=seed).join(lab, "r_id"))
+            wd = F.when(F.col("dist") == 0, F.lit(1e12)).otherwise(1.0 / F.col("dist"))
+            per_k = nn.select("*", F.explode(F.array(*[F.lit(k) for k in ks])).alias("k")).where(
+                F.col("nn_rank") <= F.col("k"))
+            agg = per_k.groupBy("q_id", "k").agg(
+                F.avg("_y").alias("uniform"), (F.sum(wd * F.col("_y")) / F.sum(wd)).alias("distance"))
+            long = agg.unpivot(["q_id", "k"], [w for w in ("uniform", "distance") if w in weights], "weights", "p")
+            parts.append(long.join(truth, "q_id").select(F.lit(f).alias("fold"), "k", "weights",
+                                                         F.lit(p).alias("p_norm"), "y", "p"))
     allp = reduce(lambda a, b: a.unionByName(b), parts)
     res = _cv_auc(allp, ["fold", "k", "weights", "p_norm"])
     best = res.orderBy(F.col("cv_auc").desc(), "k", "weights", "p_norm").limit(1).withColumn("best", F.lit(True))
