@@ -145,7 +145,7 @@ def adaboost_path(train: DataFrame, features: Sequence[str], y: str = "y", n: in
     smaller n). Row weights live in a DataFrame; lineage is cut with a reliable checkpoint."""
     t = _assemble(train, features).withColumn("label", F.col(y).cast("double"))
     n_rows = t.count()
-    t = t.withColumn("_w", F.lit(1.0 / max(n_rows, 1))).select("features", "label", "_w")
+    t = cut_lineage(t.withColumn("_w", F.lit(1.0 / max(n_rows, 1))).select("features", "label", "_w"))
     path = []
     for m in range(n):
         stump = DecisionTreeClassifier(maxDepth=1, weightCol="_w", seed=seed + m).fit(t)
@@ -283,7 +283,7 @@ def balance_then_train(trainer: Trainer, train: DataFrame, features: Sequence[st
     """SMOTE on the train rows only, then fit."""
     from scorelab.operators.resample import smote
 
-    bal = smote(train.select("row_id", y, *features), features, y, 5, seed).drop("synthetic")
+    bal = cut_lineage(smote(train.select("row_id", y, *features), features, y, 5, seed).drop("synthetic"))
     return trainer(bal, features, y, seed=seed, **kw)
 
 

@@ -16,7 +16,7 @@ from scorelab.operators.metrics import metric_auc
 from scorelab.operators.prep import fit_preprocessor
 from scorelab.operators.resample import smote, stratified_split
 from scorelab.plans.catalog import query
-from scorelab.session import ensure_checkpoint_dir
+from scorelab.session import cut_lineage, ensure_checkpoint_dir
 from scorelab.sources.bindings import credit_customer, credit_orders
 
 CUST_FEATS = ["n_orders", "sum_price", "avg_price", "c_nationkey"]
@@ -29,7 +29,7 @@ def prepared(spark, d, seed: int = 42):
     tr = s.where(F.col("split") == "train").drop("split")
     te = s.where(F.col("split") == "test").drop("split")
     pre = fit_preprocessor(tr, "y")
-    return pre.transform(tr), pre.transform(te), pre.feature_names()
+    return cut_lineage(pre.transform(tr)), cut_lineage(pre.transform(te)), pre.feature_names()
 
 
 def _eval(scorer, te, name):
