@@ -1,0 +1,7 @@
+"""Column-level helpers collected in one place (they are defined next to their operators)."""
+
+from scorelab.operators.benchmark import model_family  # noqa: F401
+from scorelab.operators.explain import gower_expr, linear_logit  # noqa: F401
+from scorelab.operators.reliability import bucket_fixed, bucket_strict, global_reliability, signal_weight  # noqa: F401
+from scorelab.plans.ranks import hash_key  # noqa: F401
+from scorelab.sources.io import sanitize_name  # noqa: F401
