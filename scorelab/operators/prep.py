@@ -249,6 +249,15 @@ def fit_preprocessor(train: DataFrame, target: str = "y", numeric: str = "median
     one-hot with unseen -> zeros. Everything learned on ``train`` only."""
     skip = set(keep) | {target} | set(exclude)
     num, cat = split_types(train, list(skip))
+    train = train.persist()  # read by several fit passes; released when the fit is done
+    try:
+        return _fit_preprocessor(train, target, numeric, keep, num, cat)
+    finally:
+        train.unpersist()
+
+
+def _fit_preprocessor(train: DataFrame, target: str, numeric: str, keep: Sequence[str], num: list[str],
+                      cat: list[str]) -> FittedPreprocessor:
     if numeric == "median+standard":
         fill = fit_median(train, num) if num else {}
     else:

@@ -80,8 +80,14 @@ def batch_quartiles(batch: DataFrame, score: str = "reliability_score", group: S
 
 
 def bucket_quantile(batch: DataFrame, score: str = "reliability_score", group: Sequence[str] = ()) -> DataFrame:
-    """Same labels by the batch's own 25/50/75 % points (>=)."""
+    """Same labels by the batch's own 25/50/75 % points (>=).
+
+    The batch is read twice (its quartiles, then every row), so it is written once to the shared
+    checkpoint folder instead of being recomputed."""
+    from scorelab.session import cut_lineage
+
     g = list(group)
+    batch = cut_lineage(batch)
     q = batch_quartiles(batch, score, g)
     j = batch.join(F.broadcast(q), g) if g else batch.withColumn("_k", F.lit(1)).join(
         F.broadcast(q.withColumn("_k", F.lit(1))), "_k").drop("_k")  # one row per group
