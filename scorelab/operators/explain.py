@@ -374,18 +374,19 @@ def counterfactuals(scorer: Scorer, rows: DataFrame, directions: dict[str, int],
         sc = scorer(cand).join(orig, [*g, "row_id"])
         dist = gower_expr([F.col(f) for f in feats], [F.col(f"_x0_{f}") for f in feats], wts, [False] * len(feats))
         sc = sc.withColumn("objective", F.lit(alpha) * dist + F.lit(beta) * F.col("changes"))
-        flipped = sc.where((F.col("p") >= threshold).cast("int") != F.col("_c0"))
-        wbest = Window.partitionBy(*g, "row_id").orderBy("objective", *feats)
-        hit = flipped.withColumn("_r", F.row_number().over(wbest)).where("_r = 1").select(
-            *g, "row_id", *feats, "changes", "objective", F.col("p").alias("proba"))
-        hit = cut_lineage(hit)
-        found = hit if found is None else found.unionByName(hit)
-        done = found.select(*g, "row_id")
-        keep = sc.join(done, [*g, "row_id"], "left_anti")
+        # one pass per step: the beam of the next step and the flips found in this one are both
+        # derived from the step's scored candidates, written once (the hits then read that file)
         wk = Window.partitionBy(*g, "row_id").orderBy("objective", *feats)
-        state = keep.withColumn("_r", F.row_number().over(wk)).where(F.col("_r") <= beam).select(
-            *g, "row_id", *feats, "changes")
-        state = cut_lineage(state)
+        step_tbl = cut_lineage(sc.withColumn("_flip", (F.col("p") >= threshold).cast("int") != F.col("_c0"))
+                               .withColumn("_any", F.max(F.col("_flip").cast("int")).over(Window.partitionBy(*g, "row_id")))
+                               .withColumn("_rf", F.row_number().over(Window.partitionBy(*g, "row_id", "_flip")
+                                                                      .orderBy("objective", *feats)))
+                               .withColumn("_r", F.row_number().over(wk))
+                               .where((F.col("_flip") & (F.col("_rf") == 1)) | ((F.col("_any") == 0) & (F.col("_r") <= beam))))
+        hit = step_tbl.where(F.col("_flip")).select(*g, "row_id", *feats, "changes", "objective",
+                                                    F.col("p").alias("proba"))
+        found = hit if found is None else found.unionByName(hit)
+        state = step_tbl.where(F.col("_any") == 0).select(*g, "row_id", *feats, "changes")
         if state.isEmpty():
             break
     return found

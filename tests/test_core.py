@@ -211,3 +211,23 @@ def test_sanitize_name(spark):
     df = spark.createDataFrame([("Australian Credit.csv",), ("__a--b  c__",), ("é.csv.x",)], "s string")
     got = [r[0] for r in df.select(sanitize_name("s")).collect()]
     assert got == ["Australian_Credit", "a--b_c", "é_x"]
+
+
+def test_counterfactual_invariants(spark):
+    """Flipped class at 0.5, immutable feature unchanged, bounds held, changes <= max_steps."""
+    from scorelab.operators.explain import counterfactuals, linear_scorer, step_sizes
+    from scorelab.plans.q_explain import COEFS, FEATS, INTERCEPT, STEP_DIR
+    from scorelab.sources.bindings import credit_orders
+
+    o = credit_orders(spark, SF)
+    sc = linear_scorer(COEFS, INTERCEPT)
+    rows = sc(o).where(F.col("p") >= 0.5).select("dataset", "row_id", *FEATS)
+    steps = step_sizes(o, FEATS, 0.05)
+    cf = counterfactuals(sc, rows, STEP_DIR, steps, {c: 1.0 for c in FEATS}, immutable=["n_lines"],
+                         lower={"o_totalprice": 0.0, "sum_qty": 0.0}, beam=5, max_steps=6)
+    got = cf.join(rows.select("dataset", "row_id", F.col("n_lines").alias("n0")), ["dataset", "row_id"]).collect()
+    assert got
+    for r in got:
+        assert r["proba"] < 0.5 and r["changes"] <= 6
+        assert r["n_lines"] == r["n0"]
+        assert r["o_totalprice"] >= 0.0 and r["sum_qty"] >= 0.0
