@@ -35,15 +35,18 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint folder, creating a scratch one only when unset."""
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = spark.sparkContext.getCheckpointDir()
-    if not current:
-        current = tempfile.mkdtemp(prefix="scorelab-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
-    spark.sparkContext.setCheckpointDir(current)
-    return current
+    """The checkpoint folder in use: the context's, else ``spark.checkpoint.dir``; a scratch
+    folder is created only when neither is set (local tests). Never re-set once set, because
+    every ``setCheckpointDir`` call adds a new sub-folder."""
+    sc = spark.sparkContext
+    current = sc.getCheckpointDir()
+    if current:
+        return current
+    conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not conf:
+        conf = tempfile.mkdtemp(prefix="scorelab-ckpt-")
+    sc.setCheckpointDir(conf)
+    return sc.getCheckpointDir() or conf
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
