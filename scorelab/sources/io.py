@@ -36,17 +36,27 @@ def file_stem(path: str) -> str:
 
 # ---------------------------------------------------------------- readers
 
-def with_row_id(df: DataFrame, key: str | Sequence[str] | None = None, seed: int = 0) -> DataFrame:
+def with_row_id(df: DataFrame, key: str | Sequence[str] | None = None, seed: int = 0,
+                chunk: int = 100_000) -> DataFrame:
     """Add ``row_id``: the natural key when given (a single column used as is), else a hash of
-    the whole row plus a tie counter among identical rows (never a positional id)."""
+    the whole row plus a tie counter among identical rows (never a positional id).
+
+    Identical rows are counted (a map-side combined aggregate), each count is cut into chunks of
+    ``chunk`` copies that are spread over the cluster, and the copies are numbered inside their
+    chunk, so even one row repeated a billion times never meets in a single task."""
     if isinstance(key, str):
         return df.withColumn("row_id", F.col(key).cast("long"))
     cols = list(key) if key else df.columns
-    h = hash_key(seed, *[F.col(f"`{c}`") for c in cols])
-    t = df.withColumn("_h", h)
-    w = Window.partitionBy("_h", *[F.col(f"`{c}`") for c in df.columns]).orderBy("_h")
-    t = t.withColumn("_tie", F.row_number().over(w))
-    return t.withColumn("row_id", hash_key(seed + 1, F.col("_h"), F.col("_tie"))).drop("_h", "_tie")
+    allc = [F.col(f"`{c}`") for c in df.columns]
+    counted = df.groupBy(*allc).agg(F.count(F.lit(1)).alias("_copies"))
+    counted = counted.withColumn("_h", hash_key(seed, *[F.col(f"`{c}`") for c in cols]))
+    chunks = counted.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("_copies") - 1) / chunk)))
+                            .alias("_chunk"))
+    chunks = chunks.repartition("_h", "_chunk")
+    ties = chunks.select("*", F.explode(F.sequence(F.col("_chunk") * chunk + 1,
+                                                   F.least((F.col("_chunk") + 1) * chunk, F.col("_copies"))))
+                         .alias("_tie"))
+    return ties.select(*allc, hash_key(seed + 1, F.col("_h"), F.col("_tie")).alias("row_id"))
 
 
 def read_dataset(spark: SparkSession, path: str, name: str | None = None, target: str | None = "target",
