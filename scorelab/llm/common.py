@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelab.session import ensure_checkpoint_dir
+from scorelab.session import ensure_checkpoint_dir, ship_package
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -39,6 +39,7 @@ def doc_view(docs: DataFrame, id_col: str, text_col: str, **more: str) -> DataFr
 
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
+    ship_package(df.sparkSession)
     return df.mapInArrow(fn, schema)
 
 

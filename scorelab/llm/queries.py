@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
+from scorelab.llm.decontaminate import OP3_SQL, op3_decontamination
+from scorelab.llm.language_id import op8_language_id
+from scorelab.llm.packing import op9_packing
+from scorelab.llm.secret_scan import op5_secret_scan
+from scorelab.llm.simhash import op10_simhash
 from scorelab.llm.token_files import op7_token_files
 
 QUERIES = {
+    "op3_decontamination": op3_decontamination,
+    "op5_secret_scan": op5_secret_scan,
     "op7_token_files": op7_token_files,
+    "op8_language_id": op8_language_id,
+    "op9_packing": op9_packing,
+    "op10_simhash": op10_simhash,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op3_decontamination": OP3_SQL,
+}

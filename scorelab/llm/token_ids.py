@@ -19,6 +19,7 @@ import numpy as np
 _L = "A-Za-zÀ-ÖØ-öø-įı-ž"  # not U+0130, whose lower case is two characters
 _WS = r" \t\n\r\x0b\x0c"
 #: White space on which the two regex engines may differ.
+_CONTROL = re.compile("[\x1c-\x1f]")
 _ODD = re.compile("[\x1c-\x1f\x85\xa0  -     　᠎​﻿]")
 
 #: word files: white space separates; a leading run of letters is one pre-token.
@@ -26,50 +27,92 @@ _WORD = re.compile(rf"[{_L}]++(?![^\x00-\x7f])|[^{_WS}]+")
 #: byte files: one space joins the word that follows it; a run of white space gives up its last one.
 _BYTE = re.compile(rf" ?[{_L}]++(?![^\x00-\x7f])| ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]")
 
+#: Pieces that can be encoded many at a time: words alone, and for byte files any run without
+#: inner white space (joined by line feeds, which such a file always encodes as one id each).
+_ALONE = re.compile(rf"[{_L}]+")
+_SPACED = re.compile(r" ?[^\s]+")
+
 _OPEN: dict[tuple, "PieceEncoder"] = {}
 
 
+class _Numbers(dict):
+    """Numbers of pieces; a new piece gets the next one and is put on the list to encode."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = n = len(self)
+        self.new.append(piece)
+        return n
+
+
 class PieceEncoder:
     """ids of texts as little-endian 32-bit runs. ``kind``: "word" or "byte"."""
 
-    def __init__(self, path: str, kind: str, most: int = 600_000):
+    def __init__(self, path: str, kind: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.split = _WORD.findall if kind == "word" else _BYTE.findall
         self.kind, self.most = kind, most
-        self.known: dict[str, bytes] = {}
+        self.numbers, self.runs = _Numbers(), []
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        for piece, n in vocab.items():
+            self.ends[n] = piece.endswith("</w>") if kind == "word" else piece == "\u010a"  # the byte form of a line feed
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_pieces(self, pieces: list[str], at_once: int = 256) -> list[bytes]:
+        """As ``_encode``, with short pieces joined and their ids cut apart again."""
+        word = self.kind == "word"
+        fits = (_ALONE if word else _SPACED).fullmatch
+        joint = [i for i, p in enumerate(pieces) if len(p) < 100 and fits(p)]
+        out: list[bytes] = [b""] * len(pieces)
+        groups = [joint[k : k + at_once] for k in range(0, len(joint), at_once)]
+        texts = [(" " if word else "\n").join([pieces[i] for i in g]) for g in groups]
+        for g, e in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            cut = np.flatnonzero(self.ends[ids])
+            last = (cut + 1 if word else np.append(cut, len(ids))).tolist()
+            if len(last) != len(g):  # can't happen for these pieces; they are then encoded one by one
+                for i, run in zip(g, self._encode([pieces[i] for i in g]), strict=True):
+                    out[i] = run
+                continue
+            raw, a, gap = ids.tobytes(), 0, 0 if word else 4
+            for i, b in zip(g, last, strict=True):
+                out[i] = raw[a : 4 * b]
+                a = 4 * b + gap
+        single = set(joint)
+        rest = [i for i in range(len(pieces)) if i not in single]
+        for i, run in zip(rest, self._encode([pieces[i] for i in rest]), strict=True):
+            out[i] = run
+        return out
 
     def _whole(self, text: str) -> bool:
         """Whether the cut rules can't be relied on."""
         if text.isascii():
-            odd = any("\x1c" <= c <= "\x1f" for c in set(text)) if not text.isprintable() else False
+            odd = bool(_CONTROL.search(text))
         else:
             odd = bool(_ODD.search(text)) or not unicodedata.is_normalized("NFC", text)
         return odd or any(s in text for s in self.special)
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
-        if len(self.known) > self.most:
-            self.known.clear()
-        known, plan, new = self.known, [], {}
+        if len(self.numbers) > self.most:
+            self.numbers, self.runs = _Numbers(), []
+        number, plan = self.numbers.__getitem__, []
         whole = [i for i, t in enumerate(texts) if self._whole(t)]
         alone = set(whole)
         for i, t in enumerate(texts):
-            pieces = None if i in alone else self.split(t)
-            plan.append(pieces)
-            if pieces:
-                for p in set(pieces):
-                    if p not in known:
-                        new[p] = None
-        if new:
-            todo = list(new)
-            known.update(zip(todo, self._encode(todo), strict=True))
+            plan.append(None if i in alone else list(map(number, self.split(t))))
+        if self.numbers.new:
+            self.runs += self._encode_pieces(self.numbers.new)
+            self.numbers.new = []
         done = dict(zip(whole, self._encode([texts[i] for i in whole]), strict=True)) if whole else {}
-        get = known.__getitem__
+        get = self.runs.__getitem__
         return [done[i] if p is None else b"".join(map(get, p)) for i, p in enumerate(plan)]
 
 
