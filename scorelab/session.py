@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,10 +36,27 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once a context: they need not have it on their
+    path. Spark's own file server carries it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_scorelab_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    handle, name = tempfile.mkstemp(prefix="scorelab-", suffix=".zip")
+    os.close(handle)
+    with zipfile.ZipFile(name, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, Path(root.name) / p.relative_to(root))
+    sc.addPyFile(name)
+    sc._scorelab_shipped = True
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The checkpoint folder in use: the context's, else ``spark.checkpoint.dir``; a scratch
     folder is created only when neither is set (local tests). Never re-set once set, because
     every ``setCheckpointDir`` call adds a new sub-folder."""
+    ship_package(spark)
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
