@@ -98,10 +98,10 @@ def pack(docs: DataFrame, vocabulary: str, kind: str = "byte", end_id: int = 0,
     if window & (window - 1):
         raise ValueError("window must be a power of two")
     spark = docs.sparkSession
-    view = doc_view(docs, id_col, text_col, source=source_col).withColumn("h", F.xxhash64("text"))
+    view = doc_view(docs, id_col, text_col, source=source_col).withColumn("origin", F.spark_partition_id())
     if docs.select(source_col).distinct().limit(max_queues + 1).count() > max_queues:
         view = view.withColumn("source", F.concat(F.lit("queue "), F.pmod(F.xxhash64("source"), F.lit(max_queues)).cast("string")))
-    ordered = view.repartitionByRange("source", "doc_id", "h").sortWithinPartitions("source", "doc_id", "h").drop("h")
+    ordered = view.repartitionByRange("source", "doc_id", "origin").sortWithinPartitions("source", "doc_id", "origin").drop("origin")
     stored = [("doc_id", pa.int64()), ("source", pa.string()), ("part", pa.int32()), ("local_start", pa.int64()), ("n", pa.int64()), ("ids", pa.list_(pa.int32()))]
     end = np.array([end_id], "<u4").tobytes()
 

@@ -1,7 +1,7 @@
 """Token ids as Parquet: list<int32> columns with dictionary coding, chosen row group and page
 sizes and the page index, so that readers fetch only the documents and columns they ask for.
 
-Layout of a folder, one row a document, ascending by (doc_id, text hash) over the files:
+Layout of a folder, one row a document, ascending by doc_id over the files:
 ``doc_id`` long, ``n_tokens`` long, ``part`` int (the range a row belongs to, ascending),
 ``local_start`` long (ids of the rows before it in its range), ``token_ids`` list<int32>.
 """
@@ -29,13 +29,13 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, kind: str = "
                       page_rows: int = 2_000, page_bytes: int = 256 << 10) -> None:
     """Encode every whole text and write the folder ``path``.
 
-    One range shuffle by (doc_id, text hash) orders the files; equal or null ids (first) are
-    spread by their text hash. Ids are bit-packed through a dictionary (Parquet falls back to
+    One range shuffle by (doc_id, input partition) orders the files; equal or null ids (first) are
+    spread by the partition they come from. Ids are bit-packed through a dictionary (Parquet falls back to
     plain pages where a dictionary grows too large). ``row_group_bytes``, ``page_rows`` and
     ``page_bytes`` set the grain of selective reads. A null text is the empty text: one end id.
     """
-    view = doc_view(docs, id_col, text_col).withColumn("h", F.xxhash64("text"))
-    ordered = view.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").drop("h")
+    view = doc_view(docs, id_col, text_col).withColumn("origin", F.spark_partition_id())
+    ordered = view.repartitionByRange("doc_id", "origin").sortWithinPartitions("doc_id", "origin").drop("origin")
     end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]):

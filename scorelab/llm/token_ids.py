@@ -50,8 +50,8 @@ class _Numbers(dict):
 class PieceEncoder:
     """ids of texts as little-endian 32-bit runs. ``kind``: "word" or "byte"."""
 
-    def __init__(self, path: str, kind: str, most: int = 400_000):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, kind: str, most: int = 700_000):
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.split = _WORD.findall if kind == "word" else _BYTE.findall
@@ -62,6 +62,10 @@ class PieceEncoder:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         for piece, n in vocab.items():
             self.ends[n] = piece.endswith("</w>") if kind == "word" else piece == "\u010a"  # the byte form of a line feed
+        self.bare = Tokenizer.from_file(path)
+        if kind == "word":  # for lower-case words alone: the same model without the cutting they don't need
+            self.bare.normalizer = normalizers.Sequence([])
+            self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -72,20 +76,23 @@ class PieceEncoder:
         fits = (_ALONE if word else _SPACED).fullmatch
         joint = [i for i, p in enumerate(pieces) if len(p) < 100 and fits(p)]
         out: list[bytes] = [b""] * len(pieces)
-        groups = [joint[k : k + at_once] for k in range(0, len(joint), at_once)]
-        texts = [(" " if word else "\n").join([pieces[i] for i in g]) for g in groups]
-        for g, e in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, "<u4")
-            cut = np.flatnonzero(self.ends[ids])
-            last = (cut + 1 if word else np.append(cut, len(ids))).tolist()
-            if len(last) != len(g):  # can't happen for these pieces; they are then encoded one by one
-                for i, run in zip(g, self._encode([pieces[i] for i in g]), strict=True):
-                    out[i] = run
-                continue
-            raw, a, gap = ids.tobytes(), 0, 0 if word else 4
-            for i, b in zip(g, last, strict=True):
-                out[i] = raw[a : 4 * b]
-                a = 4 * b + gap
+        plain = [i for i in joint if pieces[i].islower()] if word else []
+        other = [i for i in joint if not pieces[i].islower()] if word else joint
+        for tokenizer, some in ((self.bare, plain), (self.tokenizer, other)):
+            groups = [some[k : k + at_once] for k in range(0, len(some), at_once)]
+            texts = [(" " if word else "\n").join([pieces[i] for i in g]) for g in groups]
+            for g, e in zip(groups, tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, "<u4")
+                cut = np.flatnonzero(self.ends[ids])
+                last = (cut + 1 if word else np.append(cut, len(ids))).tolist()
+                if len(last) != len(g):  # can't happen for these pieces; they would be encoded one by one
+                    for i, run in zip(g, self._encode([pieces[i] for i in g]), strict=True):
+                        out[i] = run
+                    continue
+                raw, a, gap = ids.tobytes(), 0, 0 if word else 4
+                for i, b in zip(g, last, strict=True):
+                    out[i] = raw[a : 4 * b]
+                    a = 4 * b + gap
         single = set(joint)
         rest = [i for i in range(len(pieces)) if i not in single]
         for i, run in zip(rest, self._encode([pieces[i] for i in rest]), strict=True):
@@ -100,14 +107,27 @@ class PieceEncoder:
             odd = bool(_ODD.search(text)) or not unicodedata.is_normalized("NFC", text)
         return odd or any(s in text for s in self.special)
 
+    def _forget(self, short: int = 8) -> None:
+        """Drop the long pieces, which are the rare ones; all of them if that frees too little."""
+        old, runs = self.numbers, self.runs
+        keep = [p for p in old if len(p) <= short]
+        if 2 * len(keep) > self.most:
+            keep = []
+        self.runs = [runs[old[p]] for p in keep]
+        self.numbers = _Numbers()
+        self.numbers.update(zip(keep, range(len(keep)), strict=True))
+
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         if len(self.numbers) > self.most:
-            self.numbers, self.runs = _Numbers(), []
+            self._forget()
         number, plan = self.numbers.__getitem__, []
         whole = [i for i, t in enumerate(texts) if self._whole(t)]
         alone = set(whole)
         for i, t in enumerate(texts):
-            plan.append(None if i in alone else list(map(number, self.split(t))))
+            if i in alone:
+                plan.append(None)
+            else:  # lower case first where that is plain: the tokenizer does the same
+                plan.append(list(map(number, self.split(t.lower() if self.kind == "word" and t.isascii() else t))))
         if self.numbers.new:
             self.runs += self._encode_pieces(self.numbers.new)
             self.numbers.new = []
