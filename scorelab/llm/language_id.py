@@ -71,10 +71,10 @@ class TextModel:
 
     def __init__(self, languages: list[str], counts: np.ndarray):
         self.languages = languages
-        total = counts.sum(1, keepdims=True)
-        self.logp = np.log((counts + 0.5) / (total + 0.5 * BUCKETS))
-        #: what a text in none of the languages would get: every trigram as likely as any met one
-        self.unknown = math.log(1 / max(1, int((counts.sum(0) > 0).sum()) * 4))
+        total, met = counts.sum(1, keepdims=True), max(1, int((counts.sum(0) > 0).sum()))
+        #: what a text in none of the languages would get: every trigram a quarter as likely as any met one
+        self.unknown = math.log(1 / (4 * met))
+        self.logp = np.maximum(np.log((counts + 0.5) / (total + 0.5 * met)), self.unknown - 2)
         self.known: dict[str, tuple] = {}
 
     def __reduce__(self):

@@ -4,14 +4,22 @@ from __future__ import annotations
 
 from scorelab.llm.decontaminate import OP3_SQL, op3_decontamination
 from scorelab.llm.language_id import op8_language_id
+from scorelab.llm.neighbours import OP4_SQL, op4_neighbours
 from scorelab.llm.packing import op9_packing
+from scorelab.llm.repeats import op6_repeated_passages
 from scorelab.llm.secret_scan import op5_secret_scan
 from scorelab.llm.simhash import op10_simhash
+from scorelab.llm.token_count import op1_token_counts
 from scorelab.llm.token_files import op7_token_files
+from scorelab.llm.toxicity import op2_toxicity
 
 QUERIES = {
+    "op1_token_counts": op1_token_counts,
+    "op2_toxicity": op2_toxicity,
     "op3_decontamination": op3_decontamination,
+    "op4_neighbours": op4_neighbours,
     "op5_secret_scan": op5_secret_scan,
+    "op6_repeated_passages": op6_repeated_passages,
     "op7_token_files": op7_token_files,
     "op8_language_id": op8_language_id,
     "op9_packing": op9_packing,
@@ -20,4 +28,5 @@ QUERIES = {
 
 ORACLE: dict[str, str] = {
     "op3_decontamination": OP3_SQL,
+    "op4_neighbours": OP4_SQL,
 }
