@@ -16,13 +16,14 @@ strings have their anchor at the same place, so they meet under it. The steps:
 4. A loser tree merges the runs of a slice. It keeps for each run the length of the prefix shared
    with the last winner; longer ones win without a look at the text, and equal ones are compared
    from there on. Suffixes with one gram come out together, and their strings are compared whole.
-   Grams met in very many chunks go another, equally exact way: their strings are grouped by Spark
-   with partial sums, so no task holds all their places.
+   Grams with very many anchors go another, equally exact way: their strings are grouped by Spark
+   with partial minima, so no task holds all their places.
 5. The spans found go back to the chunks, which cut them.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -139,6 +140,10 @@ class Grams:
         self.key, self.of = np.unique(bucket << 32 | value, return_inverse=True)
         self.bucket = self.key >> 32
 
+    def counts(self) -> np.ndarray:
+        """Anchors of each gram, at most 255."""
+        return np.minimum(np.bincount(self.of, minlength=len(self.key)), 255).astype(np.uint8)
+
     def several(self, ids: np.ndarray) -> np.ndarray:
         """Which grams occur under two or more doc_ids of the chunk."""
         low, high = np.full(len(self.key), NO_ID), np.full(len(self.key), -(1 << 63))
@@ -182,7 +187,7 @@ def _open(batch: pa.RecordBatch, names: Sequence[str]) -> Iterator[tuple]:
 
 
 def _runs_of_grams(chunks: DataFrame, buckets: int, length: int, k: int) -> DataFrame:
-    out = [("bucket", pa.int32()), ("chunk", pa.int64()), ("grams", pa.binary()), ("several", pa.binary())]
+    out = [("bucket", pa.int32()), ("chunk", pa.int64()), ("grams", pa.binary()), ("several", pa.binary()), ("counts", pa.binary())]
 
     def job(batches: Iterator[pa.RecordBatch]):
         for b in batches:
@@ -192,16 +197,17 @@ def _runs_of_grams(chunks: DataFrame, buckets: int, length: int, k: int) -> Data
                 g = Grams(h, buckets)
                 if not len(g.key):
                     continue
-                several = g.several(c.ids[c.rows(place)])
+                several, counts, packer = g.several(c.ids[c.rows(place)]), g.counts(), zstandard.ZstdCompressor(level=1)
                 cut = np.flatnonzero(np.diff(g.bucket, prepend=-1))
                 ends = np.append(cut[1:], len(g.key))
                 values = (g.key & 0xFFFFFFFF).astype(np.uint32)
                 yield record(out, [
                     g.bucket[cut].astype(np.int32), [chunk] * len(cut), [values[a:e].tobytes() for a, e in zip(cut, ends, strict=True)],
                     [np.packbits(several[a:e]).tobytes() for a, e in zip(cut, ends, strict=True)],
+                    [packer.compress(counts[a:e].tobytes()) for a, e in zip(cut, ends, strict=True)],
                 ])
 
-    return arrow_map(chunks, job, "bucket int, chunk long, grams binary, several binary")
+    return arrow_map(chunks, job, "bucket int, chunk long, grams binary, several binary, counts binary")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], names: Sequence[str]) -> Iterator[tuple[int, list[tuple]]]:
@@ -220,20 +226,22 @@ def _groups(batches: Iterator[pa.RecordBatch], names: Sequence[str]) -> Iterator
 
 def _answers(runs: DataFrame, heavy: int) -> DataFrame:
     """(chunk, bucket, n, repeated, heavy): for each run, which grams occur in two or more
-    documents, and which of those in at least ``heavy`` chunks."""
+    documents, and which of those at ``heavy`` or more anchors."""
     out = [("chunk", pa.int64()), ("bucket", pa.int32()), ("n", pa.int64()), ("repeated", pa.binary()), ("heavy", pa.binary())]
 
     def job(batches: Iterator[pa.RecordBatch]):
-        for bucket, rows in _groups(batches, ("bucket", "chunk", "grams", "several")):
+        for bucket, rows in _groups(batches, ("bucket", "chunk", "grams", "several", "counts")):
             values = [np.frombuffer(r[1], np.uint32) for r in rows]
             several = [np.unpackbits(np.frombuffer(r[2], np.uint8), count=len(v)) for r, v in zip(rows, values, strict=True)]
+            counts = [np.frombuffer(zstandard.ZstdDecompressor().decompress(r[3]), np.uint8) for r in rows]
             _, of, n = np.unique(np.concatenate(values), return_inverse=True, return_counts=True)
+            total = np.bincount(of, np.concatenate(counts), len(n))
             marked = np.zeros(len(n), bool)
             marked[of[np.concatenate(several) > 0]] = True
-            again, many = ((n > 1) | marked)[of], (n >= heavy)[of]
+            again, many = ((n > 1) | marked)[of], (total >= heavy)[of]
             at = np.cumsum([0, *map(len, values)])
             cols: list[list] = [[] for _ in out]
-            for (chunk, _, _), a, e in zip(rows, at, at[1:], strict=False):
+            for (chunk, *_), a, e in zip(rows, at, at[1:], strict=False):
                 many_bits = np.packbits(many[a:e]).tobytes() if many[a:e].any() else b""
                 for c, v in zip(cols, (chunk, bucket, int(again[a:e].sum()), np.packbits(again[a:e]).tobytes(), many_bits), strict=True):
                     c.append(v)
@@ -423,7 +431,7 @@ def _send(c: Chunk, chunk: int, answer: list[dict], buckets: int, slices: int, l
         if old is None:
             found[key] = j
         elif doc[old] < doc[j]:
-            spans.append((int(row[j]), f - int(origin[j]), e - int(origin[j])))
+            spans += (int(row[j]), f - int(origin[j]), e - int(origin[j]))
         else:  # the same document again: both stand or fall together, each is sent
             found[key + (j,)] = j
     by_slice: dict[int, list[tuple]] = {}
@@ -440,7 +448,7 @@ def _send(c: Chunk, chunk: int, answer: list[dict], buckets: int, slices: int, l
         entries.sort()
         rows.append((s, RUN, chunk, Run.pack(*zip(*entries, strict=True))))
     if spans:
-        rows.append((chunk % slices, SPANS, chunk, np.array(spans, np.int64).tobytes()))
+        rows.append((chunk % slices, SPANS, *_packed({chunk: spans})[0]))
     for n in range(0, len(strings), 50_000):
         part = strings[n : n + 50_000]
         numbers = np.array([x[1:] for x in part], np.int64).tobytes()
@@ -448,48 +456,57 @@ def _send(c: Chunk, chunk: int, answer: list[dict], buckets: int, slices: int, l
     return rows
 
 
+def _packed(found: dict[int, list[int]]) -> list[tuple[int, bytes]]:
+    """(chunk, blob) of flat (row, start, stop) lists by chunk."""
+    return [(c, zstandard.ZstdCompressor(level=1).compress(np.array(x, np.int64).tobytes())) for c, x in found.items()]
+
+
 def _merged(runs: DataFrame, length: int, k: int) -> DataFrame:
-    """(chunk, row, start, stop, doc, string): spans found by the merges, and the strings of heavy
-    grams with their document for the grouping (``string`` set)."""
-    names = [("chunk", pa.int64()), ("row", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("doc", pa.int64()), ("string", pa.binary())]
+    """(chunk, spans, row, start, doc, string): blobs of spans found by the merges (``spans`` set),
+    and the strings of heavy grams with their document for the grouping (``string`` set)."""
+    names = [("chunk", pa.int64()), ("spans", pa.binary()), ("row", pa.int64()), ("start", pa.int64()), ("doc", pa.int64()), ("string", pa.binary())]
 
-    def spans(found: list[tuple]):
-        cols = list(zip(*found, strict=True)) or [[]] * 4
-        return record(names, [*cols, [None] * len(found), [None] * len(found)])
+    def flush(found: dict[int, list[int]]):
+        rows = _packed(found)
+        none = [None] * len(rows)
+        return record(names, [[r[0] for r in rows], [r[1] for r in rows], none, none, none, none])
 
     def job(batches: Iterator[pa.RecordBatch]):
         for _, rows in _groups(batches, ("slice", "kind", "chunk", "blob")):
-            found: list[tuple] = []
+            found: dict[int, list[int]] = {}
+            held = 0
             for kind, chunk, blob in rows:
                 if kind == SPANS:
-                    found += [(chunk, *x) for x in np.frombuffer(blob, np.int64).reshape(-1, 3).tolist()]
+                    yield record(names, [[chunk], [blob], [None], [None], [None], [None]])
                 elif kind == HEAVY:
                     raw = zstandard.ZstdDecompressor().decompress(blob)
                     n = len(raw) // (24 + length)
                     x = np.frombuffer(raw, np.int64, 3 * n).reshape(-1, 3)
                     text = raw[24 * n :]
-                    yield record(names, [np.full(n, chunk), x[:, 1], x[:, 2], x[:, 2] + length, x[:, 0], [text[length * i : length * (i + 1)] for i in range(n)]])
+                    yield record(names, [np.full(n, chunk), [None] * n, x[:, 1], x[:, 2], x[:, 0], [text[length * i : length * (i + 1)] for i in range(n)]])
             group: list[tuple] = []
-            for shared, run in merge([Run(chunk, blob) for kind, chunk, blob in rows if kind == RUN]):
+            merged = merge([Run(chunk, blob) for kind, chunk, blob in rows if kind == RUN])
+            for shared, run in itertools.chain(merged, [(0, None)]):
                 if shared < k:
                     if len(group) > 1:
-                        found += covered(group, length)
-                        if len(found) > 200_000:
-                            yield spans(found)
-                            found = []
+                        for chunk, row, start, stop in covered(group, length):
+                            found.setdefault(chunk, []).extend((row, start, stop))
+                            held += 1
+                        if held > 300_000:
+                            yield flush(found)
+                            found, held = {}, 0
                     group = []
-                group.append(run.entry())
-            if len(group) > 1:
-                found += covered(group, length)
+                if run is not None:
+                    group.append(run.entry())
             if found:
-                yield spans(found)
+                yield flush(found)
 
     dealt = runs.repartition("slice").sortWithinPartitions("slice")
-    return arrow_map(dealt, job, "chunk long, row long, start long, stop long, doc long, string binary")
+    return arrow_map(dealt, job, "chunk long, spans binary, row long, start long, doc long, string binary")
 
 
 def cut_repeats(docs: DataFrame, length: int = 50, gram: int = 24, chunk_bytes: int = 8 << 20, bucket_grams: int = 1_500_000,
-                slice_entries: int = 150_000, heavy: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                slice_entries: int = 150_000, heavy: int = 100_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes), one row a row of ``docs``.
 
     A null text is empty. A text under a null doc_id loses what any document with an id has too,
@@ -506,22 +523,23 @@ def cut_repeats(docs: DataFrame, length: int = 50, gram: int = 24, chunk_bytes:
     slices = max(1, -(-(grams or 0) // slice_entries), min(64, (grams or 0) >> 10))
     sent = _runs_of_suffixes(_beside(chunks, by_chunk, size or 0), buckets, slices, length, gram)
     out = written(_merged(sent, length, gram), "repeat_spans")
-    spans = out.where("string is null").select("chunk", "row", "start", "stop")
     strings = out.where("string is not null")
     low = strings.groupBy("string").agg(F.min("doc").alias("low"))
-    spans = spans.union(strings.join(low, "string").where("doc > low").select("chunk", "row", "start", "stop"))
-    spans = written(spans, "repeat_cuts")
-    n_spans = spans.count()
-    by_chunk = spans.groupBy("chunk").agg(F.collect_list(F.struct("row", "start", "stop")).alias("spans"))  # those of one chunk
+    heavy_cuts = strings.join(low, "string").where("doc > low").groupBy("chunk").agg(F.collect_list(F.struct("row", "start")).alias("starts"))
+    packed = out.where("string is null").groupBy("chunk").agg(F.collect_list("spans").alias("spans"))  # those of one chunk
+    cuts = written(packed.join(heavy_cuts, "chunk", "full"), "repeat_cuts")
+    size = cuts.agg(F.sum(F.aggregate("spans", F.lit(0), lambda a, x: a + F.length(x))), F.sum(F.size("starts") * 20)).first()
     names = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())]
 
     def job(batches: Iterator[pa.RecordBatch]):
         for b in batches:
-            for ids, sizes, blob, cuts in _open(b, ("ids", "sizes", "blob", "spans")):
+            for ids, sizes, blob, spans, starts in _open(b, ("ids", "sizes", "blob", "spans", "starts")):
                 c = Chunk(ids, sizes, blob)
                 step = np.zeros(len(c.data) + 1, np.int32)
-                if cuts:
-                    at = np.array([(x["row"], x["start"], x["stop"]) for x in cuts], np.int64)
+                parts = [np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.int64).reshape(-1, 3) for x in spans or ()]
+                if starts:
+                    parts.append(np.array([(x["row"], x["start"], x["start"] + length) for x in starts], np.int64))
+                for at in parts:
                     np.add.at(step, c.starts[at[:, 0]] + at[:, 1], 1)
                     np.add.at(step, c.starts[at[:, 0]] + at[:, 2], -1)
                 gone = np.cumsum(step[:-1]) > 0
@@ -537,7 +555,7 @@ def cut_repeats(docs: DataFrame, length: int = 50, gram: int = 24, chunk_bytes:
                 if rows:
                     yield record(names, list(zip(*rows, strict=True)))
 
-    joined = _beside(chunks, by_chunk, 40 * n_spans)
+    joined = _beside(chunks, cuts, sum(x or 0 for x in size))
     return arrow_map(joined, job, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
