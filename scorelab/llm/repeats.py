@@ -251,10 +251,14 @@ def _answers(runs: DataFrame, heavy: int) -> DataFrame:
     return arrow_map(dealt, job, "chunk long, bucket int, n long, repeated binary, heavy binary")
 
 
-def _beside(big: DataFrame, small: DataFrame, size: int, most: int = 48 << 20) -> DataFrame:
-    """Left join by chunk. ``small`` is broadcast if its ``size`` in bytes was found small enough;
-    otherwise both sides are shuffled by chunk, one row of either a chunk."""
-    return big.join(F.broadcast(small) if size <= most else small, "chunk", "left")
+def _beside(big: DataFrame, small: DataFrame) -> DataFrame:
+    """Left join by chunk, one row of either a chunk. Both grow with the data: never broadcast by a
+    hint, so the plan is the same at every size."""
+    return big.join(small, "chunk", "left")
+
+
+#: Left part, suffix, doc_id, chunk, row in the chunk, place of the first byte in the document.
+Entry = tuple[bytes, bytes, int, int, int, int]
 
 
 class Run:
@@ -303,10 +307,9 @@ class Run:
         self.at += more
         return shared
 
-    def entry(self) -> tuple[bytes, int, int, int, int]:
-        """(left part + suffix, doc_id, chunk, row, place of its first byte)."""
-        left = self.lefts[self.at_left : self.at_left + self.left[self.i]]
-        return left + self.suffix, self.ids[self.i], self.chunk, self.rows[self.i], self.places[self.i]
+    def entry(self) -> Entry:
+        i, at = self.i, self.at_left
+        return self.lefts[at : at + self.left[i]], self.suffix, self.ids[i], self.chunk, self.rows[i], self.places[i]
 
 
 def common(a: bytes, b: bytes, start: int) -> int:
@@ -362,22 +365,67 @@ def merge(runs: Sequence[Run]) -> Iterator[tuple[int, Run]]:
     win = level[0]
     while shared[win] != done:
         yield shared[win], runs[win]
-        shared[win] = runs[win].advance()
+        mine = runs[win].advance()
         node = (win + k) // 2
-        while node:
-            win, tree[node] = play(win, tree[node])
+        while node:  # the games on the way up, as in ``play``, with the riser's prefix at hand
+            other = tree[node]
+            theirs = shared[other]
+            if mine < theirs:
+                shared[win] = mine
+                tree[node], win, mine = win, other, theirs
+            elif mine == theirs and mine != done:
+                s, t = runs[win].suffix, runs[other].suffix
+                n = common(s, t, mine)
+                if n == len(s) or (n < len(t) and s[n] < t[n]):
+                    shared[other] = n
+                else:
+                    shared[win] = n
+                    tree[node], win, mine = win, other, theirs
             node //= 2
+        shared[win] = mine
 
 
-def covered(group: Sequence[tuple[bytes, int, int, int, int]], length: int) -> Iterator[tuple[int, int, int, int]]:
+def covered(group: Sequence[Entry], length: int) -> Iterator[tuple[int, int, int, int]]:
     """(chunk, row, start, end) of the strings that an entry with a smaller doc_id has too."""
+    for part in _by_pairs(group, length) if len(group) <= 4 else _by_strings(group, length):
+        yield part
+
+
+def _by_pairs(group: Sequence[Entry], length: int) -> Iterator[tuple[int, int, int, int]]:
+    """For a few entries: what two have in common around the anchor, to either side."""
+    for left, right, doc, chunk, row, place in group:
+        spans = []
+        for left2, right2, doc2, *_ in group:
+            if doc2 < doc:
+                n = min(len(left), len(left2))
+                if left[len(left) - n :] == left2[len(left2) - n :]:
+                    before = n
+                else:
+                    diff = int.from_bytes(left[len(left) - n :], "big") ^ int.from_bytes(left2[len(left2) - n :], "big")
+                    before = ((diff & -diff).bit_length() - 1) // 8
+                after = common(right, right2, 0)
+                if before + after >= length:
+                    spans.append((len(left) - before, len(left) + after))
+        if len(spans) > 1:
+            spans.sort()
+        end = -1
+        for a, b in spans:
+            if b > end:
+                yield chunk, row, place + max(a, end), place + b
+                end = b
+
+
+def _by_strings(group: Sequence[Entry], length: int) -> Iterator[tuple[int, int, int, int]]:
+    """For many: the smallest document of each string."""
     low: dict[bytes, int] = {}
-    for text, doc, *_ in group:
+    texts = [e[0] + e[1] for e in group]
+    for text, e in zip(texts, group, strict=True):
+        doc = e[2]
         for s in range(len(text) - length + 1):
             w = text[s : s + length]
             if low.get(w, NO_ID) >= doc:
                 low[w] = doc
-    for text, doc, chunk, row, place in group:
+    for text, (_, _, doc, chunk, row, place) in zip(texts, group, strict=True):
         start = end = -1
         for s in range(len(text) - length + 1):
             if low[text[s : s + length]] < doc:
@@ -505,7 +553,7 @@ def _merged(runs: DataFrame, length: int, k: int) -> DataFrame:
     return arrow_map(dealt, job, "chunk long, spans binary, row long, start long, doc long, string binary")
 
 
-def cut_repeats(docs: DataFrame, length: int = 50, gram: int = 24, chunk_bytes: int = 8 << 20, bucket_grams: int = 1_500_000,
+def cut_repeats(docs: DataFrame, length: int = 50, gram: int = 24, chunk_bytes: int = 16 << 20, bucket_grams: int = 1_500_000,
                 slice_entries: int = 150_000, heavy: int = 100_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes), one row a row of ``docs``.
 
@@ -518,17 +566,16 @@ def cut_repeats(docs: DataFrame, length: int = 50, gram: int = 24, chunk_bytes:
     expected = 2 * total // (length - gram + 2)  # anchors: two in a window and one
     buckets = max(1, -(-expected // bucket_grams), min(64, total >> 20))
     answers = written(_answers(_runs_of_grams(chunks, buckets, length, gram), heavy).where("n > 0"), "repeat_answers")
-    grams, size = answers.agg(F.sum("n"), F.sum(F.length("repeated") + F.length("heavy") + 16)).first()
+    grams = answers.agg(F.sum("n")).first()[0] or 0
     by_chunk = answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "repeated", "heavy")).alias("answer"))  # one bit a gram of the chunk
-    slices = max(1, -(-(grams or 0) // slice_entries), min(64, (grams or 0) >> 10))
-    sent = _runs_of_suffixes(_beside(chunks, by_chunk, size or 0), buckets, slices, length, gram)
+    slices = max(1, -(-grams // slice_entries), min(64, grams >> 10))
+    sent = _runs_of_suffixes(_beside(chunks, by_chunk), buckets, slices, length, gram)
     out = written(_merged(sent, length, gram), "repeat_spans")
     strings = out.where("string is not null")
     low = strings.groupBy("string").agg(F.min("doc").alias("low"))
     heavy_cuts = strings.join(low, "string").where("doc > low").groupBy("chunk").agg(F.collect_list(F.struct("row", "start")).alias("starts"))
     packed = out.where("string is null").groupBy("chunk").agg(F.collect_list("spans").alias("spans"))  # those of one chunk
     cuts = written(packed.join(heavy_cuts, "chunk", "full"), "repeat_cuts")
-    size = cuts.agg(F.sum(F.aggregate("spans", F.lit(0), lambda a, x: a + F.length(x))), F.sum(F.size("starts") * 20)).first()
     names = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())]
 
     def job(batches: Iterator[pa.RecordBatch]):
@@ -555,7 +602,7 @@ def cut_repeats(docs: DataFrame, length: int = 50, gram: int = 24, chunk_bytes:
                 if rows:
                     yield record(names, list(zip(*rows, strict=True)))
 
-    joined = _beside(chunks, cuts, sum(x or 0 for x in size))
+    joined = _beside(chunks, cuts)
     return arrow_map(joined, job, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
