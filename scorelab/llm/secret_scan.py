@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelab.llm.common import arrow_map, doc_view, record, table
+from scorelab.llm.common import arrow_map, doc_view, held, record, table
 
 # The base patterns, in their order, with the group and least length that count.
 KINDS = (
@@ -30,6 +30,7 @@ KINDS = (
     ("hex", re.compile(r"[0-9a-f]{16,}"), 0, 16),  # the runs of [0-9a-f]+ that have 16 or more
 )
 METHOD_KIND = "crf"
+TOKENS_KEY = "secret tokens"
 
 Span = tuple[int, int, int]  # start, kind number, end
 
@@ -57,20 +58,24 @@ _FILE = 8
 B, I, O = 0, 1, 2  # noqa: E741
 
 
+_DIGITS = frozenset("0123456789")
+_HEX = frozenset("0123456789abcdefABCDEF")
+
+
 def shape(token: str) -> int:
     """A number below 4096 for length, character classes, switches between them and variety."""
-    n = len(token)
+    n, kinds = len(token), set(token)
     size = min(7, n.bit_length() - 1) if n < 12 else min(7, 3 + (n >= 16) + (n >= 20) + (n >= 32) + (n >= 48))
-    lower = any("a" <= c <= "z" for c in token)
-    upper = any("A" <= c <= "Z" for c in token)
-    digit = sum("0" <= c <= "9" for c in token)
-    other = any(not c.isalnum() for c in token)
-    far = any(c > "\x7f" for c in token)
-    hexa = n >= 8 and all(c in "0123456789abcdefABCDEF" for c in token)
-    share = 0 if not digit else 1 if 4 * digit < n else 2 if digit < n else 3
-    kinds = [0 if c.isdigit() else 1 if c.islower() else 2 for c in token[:64]]
-    switches = min(3, sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) * 8 // max(n, 1))
-    variety = min(1, len(set(token)) * 2 // max(min(n, 32), 1)) if n >= 8 else 0
+    far, hexa = not token.isascii(), n >= 8 and kinds <= _HEX
+    variety = min(1, len(kinds) * 2 // min(n, 32)) if n >= 8 else 0
+    if token.isalpha() and token.islower():
+        lower, upper, other, share, switches = 1, 0, 0, 0, 0
+    else:
+        lower, upper = any("a" <= c <= "z" for c in kinds), any("A" <= c <= "Z" for c in kinds)
+        other, digit = not token.isalnum(), sum(map(token.count, kinds & _DIGITS))
+        share = 0 if not digit else 1 if 4 * digit < n else 2 if digit < n else 3
+        row = [0 if c.isdigit() else 1 if c.islower() else 2 for c in token[:64]]
+        switches = min(3, sum(a != b for a, b in zip(row, row[1:], strict=False)) * 8 // n)
     bits = (size, 8), (lower, 2), (upper, 2), (other, 2), (far, 2), (hexa, 2), (share, 4), (switches, 4), (variety, 2)
     code = 0
     for v, base in bits:
@@ -100,12 +105,13 @@ class Field:
         self.move = np.zeros((3, 3))
         self.first = np.zeros(3)
 
-    def emissions(self, sh: np.ndarray, wd: np.ndarray, file: int) -> np.ndarray:
-        e = self.shape[sh] + self.file[file]
-        e[1:] += self.near[0, wd[:-1]]
-        e[2:] += self.near[1, wd[:-2]]
-        e[:-1] += self.near[2, wd[1:]]
-        return e
+    def lead(self, sh: np.ndarray, wd: np.ndarray, file: int) -> np.ndarray:
+        """How much better B and I fit each token than O does, its neighbours being as they are."""
+        d = self.d_shape[sh] + self.d_file[file]
+        d[1:] += self.d_near[0, wd[:-1]]
+        d[2:] += self.d_near[1, wd[:-2]]
+        d[:-1] += self.d_near[2, wd[1:]]
+        return d
 
     def allowed(self) -> np.ndarray:
         m = self.move.copy()
@@ -113,16 +119,15 @@ class Field:
         return m
 
     def prepare(self) -> None:
-        """Bounds that let ``tag`` leave out stretches that can't hold a secret."""
+        """Scores relative to O, and the bounds that let ``tag`` leave out what can't be a secret."""
+        self.d_shape = self.shape[:, :2] - self.shape[:, 2:]
+        self.d_near = self.near[:, :, :2] - self.near[:, :, 2:]
+        self.d_file = self.file[:, :2] - self.file[:, 2:]
         m = self.allowed()
-        best = [max(m[a, x] for a in range(3) if m[a, x] > -1e8) for x in (B, I)]
-        gain = np.array([best[0], best[1]]) - m[O, O]
-        leave = max(0.0, max(m[B, O], m[I, O]) - m[O, O])
-        reach = sum(max(0.0, float((self.near[k][:, :2] - self.near[k][:, 2:]).max())) for k in range(3))
-        lift = max(0.0, float((self.file[:, :2] - self.file[:, 2:]).max()))
-        margin = (self.shape[:, :2] - self.shape[:, 2:] + gain).max(1) + reach + lift + leave
+        # the most that a step to B or I, and the step out again, can win over staying at O
+        self.gain = np.array([max(m[a, x] for a in range(3) if m[a, x] > -1e8) for x in (B, I)]) - m[O, O]
+        self.leave = max(0.0, max(m[B, O], m[I, O]) - m[O, O])
         self.slack = 1.0
-        self.hot = margin > -self.slack
         # what a path can win by staying in a secret over leaving it and entering again
         bridge = max(0.0, max(m[x, y] for x in (B, I) for y in (B, I)) - m[O, O]) + max(0.0, m[O, O] - min(m[O, B], m[B, O], m[I, O])) * 2
         self.pad = 2 + math.ceil(bridge / self.slack)
@@ -150,17 +155,17 @@ class Field:
         s[I] = -1e9
         return s
 
-    def tag(self, sh: np.ndarray, wd, file: int, whole: bool = False) -> list[tuple[int, int]]:
+    def tag(self, sh: np.ndarray, wd: np.ndarray, file: int, whole: bool = False) -> list[tuple[int, int]]:
         """Token spans (first, last + 1) tagged as secrets, by Viterbi.
 
-        A token is cold if no neighbours or file could make B or I worth having for it, by a
-        margin of ``slack``. A path through cold tokens loses ``slack`` at each, so a secret can
-        only reach ``pad`` tokens beyond a hot one; elsewhere the best tag is O. Only those
-        stretches are decoded (``whole``: everything, for tests). ``wd``: word numbers, or a
-        function of (first, last) that gives them.
+        A token is cold if B and I lose more than ``slack`` there, whatever steps lead to it and
+        away. A path through cold tokens loses ``slack`` at each, so a secret can only reach
+        ``pad`` tokens beyond a hot one; elsewhere the best tag is O. Only those stretches are
+        decoded (``whole``: everything, for tests).
         """
         n = len(sh)
-        hot = np.arange(n) if whole else np.flatnonzero(self.hot[sh])
+        d = self.lead(sh, wd, file)
+        hot = np.arange(n) if whole else np.flatnonzero((d + self.gain).max(1) + self.leave > -self.slack)
         spans: list[tuple[int, int]] = []
         at = 0
         while at < len(hot):
@@ -170,10 +175,9 @@ class Field:
                 b = hot[at] + self.pad + 1
                 at += 1
             b = min(n, b)
-            lo, hi = max(0, a - 2), min(n, b + 1)
-            e = self.emissions(sh[lo:hi], wd(lo, hi), file)[a - lo : b - lo]
-            first = self.start() if a == 0 else self.allowed()[O]
-            tags = self.viterbi(e, first)
+            e = np.zeros((b - a, 3))
+            e[:, :2] = d[a:b]
+            tags = self.viterbi(e, self.start() if a == 0 else self.allowed()[O])
             open_at = None
             for i, t in enumerate([*tags, O]):
                 if t != I and open_at is not None:
@@ -184,21 +188,25 @@ class Field:
         return spans
 
 
+class _Codes(dict):
+    """shape * 4096 + word number by token, worked out when first met."""
+
+    def __missing__(self, token: str) -> int:
+        self[token] = code = shape(token) * _WORDS + word_number(token)
+        return code
+
+
 class Tokens:
     """Shape and word numbers by token, kept between texts up to a bound."""
 
     def __init__(self, most: int = 500_000):
-        self.known: dict[str, int] = {}
-        self.most = most
+        self.known, self.most = _Codes(), most
 
-    def shapes(self, tokens: Sequence[str]) -> np.ndarray:
-        known = self.known
-        if len(known) > self.most:
-            known.clear()
-        for t in set(tokens):
-            if t not in known:
-                known[t] = shape(t)
-        return np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens))
+    def numbers(self, tokens: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.known) > self.most:
+            self.known.clear()
+        codes = np.fromiter(map(self.known.__getitem__, tokens), np.int64, len(tokens))
+        return codes // _WORDS, codes % _WORDS
 
 
 def field_spans(field: Field, seen: Tokens, text: str, whole: bool = False) -> list[tuple[int, int]]:
@@ -206,10 +214,8 @@ def field_spans(field: Field, seen: Tokens, text: str, whole: bool = False) -> l
     tokens = _TOKEN.findall(text)
     if not tokens:
         return []
-    sh = seen.shapes(tokens)
-    if not whole and not field.hot[sh].any():
-        return []
-    spans = field.tag(sh, lambda a, b: np.array([word_number(t) for t in tokens[a:b]]), file_number(text, len(tokens)), whole)
+    sh, wd = seen.numbers(tokens)
+    spans = field.tag(sh, wd, file_number(text, len(tokens)), whole)
     if not spans:
         return []
     at = [m.span() for m in _TOKEN.finditer(text)]
@@ -248,13 +254,13 @@ def train(texts: Sequence[str], rounds: int = 40, l2: float = 2.0, context: int
             if inside and (tags[inside] == O).all():
                 tags[inside] = I
                 tags[inside[0]] = B
-        file, shapes = file_number(text, len(toks)), seen_tokens.shapes(toks)
+        file, (shapes, words) = file_number(text, len(toks)), seen_tokens.numbers(toks)
         marks = np.flatnonzero(tags == B)
         starts = {max(0, int(m) - context // 2) for m in marks} | set(range(0, len(toks), max(context, len(toks) // max(1, plain))))
         for s in sorted(starts):
             part = slice(s, s + context)
             if len(toks[part]) >= 2:
-                seqs.append((shapes[part], np.array([word_number(t) for t in toks[part]]), file, tags[part]))
+                seqs.append((shapes[part], words[part], file, tags[part]))
     field = Field()
     if not seqs:
         field.shape[:, O] = 5.0
@@ -315,12 +321,15 @@ def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
     return (top + np.log(np.exp(x - top).sum(axis, keepdims=True))).squeeze(axis)
 
 
-def train_on(docs: DataFrame, sample: int = 2000, most_chars: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> Field:
+def train_on(docs: DataFrame, sample: int = 1000, most_chars: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> Field:
     """Train on a bounded sample: the ``sample`` texts of at most ``most_chars`` characters with
     the smallest hashes. Tagging reads every whole text."""
-    view = doc_view(docs, id_col, text_col).where(F.length("text") <= most_chars)
-    drawn = view.select(F.xxhash64("text", F.lit(7)).alias("h"), "text").orderBy("h", "text").limit(sample)
-    return train(sorted({r.text for r in drawn.collect()}))
+    view = doc_view(docs, id_col, text_col).where(F.length("text") <= most_chars).withColumn("h", F.xxhash64("text", F.lit(7)))
+    last = [r.h for r in view.select("h").orderBy("h").limit(sample).collect()][-1:]  # hashes alone are gathered
+    if not last:
+        return train([])
+    drawn = view.where(F.col("h") <= last[0]).groupBy("h").agg(F.min("text").alias("text"))  # copies count once
+    return train(sorted(r.text for r in drawn.collect()))
 
 
 def scan(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -338,15 +347,12 @@ def scan(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str =
                 rows.append((n[0], n[1], n[2], hashlib.sha256(shown(base).encode()).hexdigest(), shown(spans), len(spans) - len(base)))
             yield record(out, [b.column(0), *([r[i] for r in rows] for i in range(6))])
 
-    return arrow_map(doc_view(docs, id_col, text_col), job, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_crf long")
-
-
-_TOKENS = Tokens()
+    return arrow_map(doc_view(docs, id_col, text_col), job, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_crf long", TOKENS_KEY)
 
 
 def _tokens() -> Tokens:
     """The worker process' own numbers, kept between tasks."""
-    return _TOKENS
+    return held(TOKENS_KEY, Tokens)
 
 
 def redact(text: str | None, spans: Sequence[Span], mark: str = "[SECRET]") -> str | None:
