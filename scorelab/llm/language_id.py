@@ -14,9 +14,7 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from html import unescape
 
 import numpy as np
@@ -25,43 +23,70 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelab.llm.common import arrow_map, doc_view, record, require_at_most, table, written
+from scorelab.llm.common import arrow_map, doc_view, record, release, require_at_most, table, written
+from scorelab.llm.token_ids import in_slices
 
 #: Trigrams share this many counters a language, so the model's size is fixed by the languages.
-BUCKETS = 1 << 17
+BITS = 17
+BUCKETS = 1 << BITS
 MAX_LANGUAGES = 200
-_WORD = re.compile(r"[^\W\d_]+")
-
-
-def _trigrams(word: str) -> list[int]:
-    w = f" {word} "
-    return [zlib.crc32(w[i : i + 3].encode()) % BUCKETS for i in range(len(w) - 2)]
+#: Whether a character is a letter, for the basic plane; the others are looked up when met.
+_PLANE = 0x10000
+
+
+def _letters(codes: np.ndarray) -> np.ndarray:
+    if not hasattr(_letters, "table"):
+        _letters.table = np.array([chr(i).isalpha() for i in range(_PLANE)])
+    far = codes >= _PLANE
+    if not far.any():
+        return _letters.table[codes]
+    out = _letters.table[np.where(far, 32, codes)]
+    out[far] = [chr(c).isalpha() for c in codes[far].tolist()]
+    return out
+
+
+def trigrams(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Counters of the character trigrams of all words, text by text, and how many the texts up to
+    each have. A word of n letters has n trigrams, a space standing at either end."""
+    line = " " + " ".join(texts).lower() + " "
+    sizes = np.array([len(t.lower()) if not t.isascii() else len(t) for t in texts], np.int64)
+    codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)
+    letter = _letters(codes)
+    c = np.where(letter, codes, np.uint32(32))
+    at = np.flatnonzero(letter)
+    h = c[at - 1] * np.uint32(0x9E3779B1) ^ c[at] * np.uint32(0x85EBCA6B) ^ c[at + 1] * np.uint32(0xC2B2AE35)
+    h ^= h >> np.uint32(15)
+    h *= np.uint32(0x2C1B3C6D)
+    ends = np.cumsum(sizes + 1)  # the place after each text's separator
+    return (h >> np.uint32(32 - BITS)).astype(np.int64), np.searchsorted(at, ends)
 
 
 def count_trigrams(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(lang, bucket, n) over all rows with a language. Tasks add up their words before anything
-    is shuffled; what a task holds is bounded by flushing its word table."""
+    """(lang, bucket, n) over all rows with a language. Tasks add up a table of counters by language
+    before anything is shuffled."""
     out = [("lang", pa.string()), ("bucket", pa.int32()), ("n", pa.int64())]
 
-    def flush(seen: dict[str, Counter]):
-        for lang, words in seen.items():
-            counts = np.zeros(BUCKETS, np.int64)
-            for w, n in words.items():
-                for g in _trigrams(w):
-                    counts[g] += n
-            hit = np.flatnonzero(counts)
-            yield record(out, [[lang] * len(hit), hit.astype(np.int32), counts[hit]])
-
     def job(batches: Iterator[pa.RecordBatch]):
-        seen: dict[str, Counter] = {}
+        seen: dict[str, np.ndarray] = {}
         for b in batches:
-            for text, lang in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                seen.setdefault(lang, Counter()).update(_WORD.findall(text.lower()))
-            if sum(map(len, seen.values())) > 300_000:
+            texts, langs = b.column(1).to_pylist(), b.column(2).to_pylist()
+            for first, last in in_slices(texts):
+                by: dict[str, list[str]] = {}
+                for t, lang in zip(texts[first:last], langs[first:last], strict=True):
+                    by.setdefault(lang, []).append(t)
+                for lang, some in by.items():
+                    counts = np.bincount(trigrams(some)[0], minlength=BUCKETS)
+                    seen[lang] = seen[lang] + counts if lang in seen else counts
+            if len(seen) > MAX_LANGUAGES:
                 yield from flush(seen)
                 seen = {}
         yield from flush(seen)
 
+    def flush(seen: dict[str, np.ndarray]):
+        for lang, counts in seen.items():
+            hit = np.flatnonzero(counts)
+            yield record(out, [[lang] * len(hit), hit.astype(np.int32), counts[hit]])
+
     view = doc_view(docs, id_col, text_col, lang=lang_col).where("lang is not null and lang <> ''")
     return arrow_map(view, job, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
@@ -75,31 +100,16 @@ class TextModel:
         #: what a text in none of the languages would get: every trigram a quarter as likely as any met one
         self.unknown = math.log(1 / (4 * met))
         self.logp = np.maximum(np.log((counts + 0.5) / (total + 0.5 * met)), self.unknown - 2)
-        self.known: dict[str, tuple] = {}
-
-    def __reduce__(self):
-        return _model, (self.languages, self.logp.astype(np.float32), self.unknown)
-
-    def score(self, text: str) -> tuple[list[float], int]:
-        """(log likelihood by language, trigrams). Words are looked up before they are scored."""
-        total = np.zeros(len(self.languages) + 1)
-        words = Counter(_WORD.findall(text.lower()))
-        if not words:
-            return total[:-1].tolist(), 0
-        known = self.known
-        if len(known) > 300_000:
-            known.clear()
-        for w in words.keys() - known.keys():
-            grams = _trigrams(w)
-            known[w] = (*self.logp[:, grams].sum(1).tolist(), len(grams))
-        total = np.array([known[w] for w in words]).T @ np.fromiter(words.values(), float, len(words))
-        return total[:-1].tolist(), int(total[-1])
-
 
-def _model(languages, logp, unknown) -> TextModel:
-    m = TextModel.__new__(TextModel)
-    m.languages, m.logp, m.unknown, m.known = languages, logp, unknown, {}
-    return m
+    def scores(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(texts, languages) log likelihoods and the trigrams of each text."""
+        grams, ends = trigrams(texts)
+        bounds = np.concatenate([[0], ends])
+        out = np.zeros((len(texts), len(self.languages)))
+        for k, logp in enumerate(self.logp):
+            total = np.concatenate([[0.0], np.cumsum(logp[grams])])
+            out[:, k] = total[bounds[1:]] - total[bounds[:-1]]
+        return out, np.diff(bounds)
 
 
 def train_text(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> TextModel:
@@ -122,12 +132,13 @@ def likelihoods(df: DataFrame, model: TextModel, text: Column) -> DataFrame:
 
     @F.pandas_udf("struct<ll: array<double>, grams: long, fit: double>")
     def job(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t in texts:
-            ll, n = sent.value.score(t or "")
-            best = max(ll, default=0.0)
-            rows.append(([x - best for x in ll], n, best / n if n else 0.0))
-        return pd.DataFrame(rows, columns=["ll", "grams", "fit"])
+        release()
+        texts, parts = texts.fillna("").tolist(), []
+        for first, last in in_slices(texts):
+            ll, n = sent.value.scores(texts[first:last])
+            best = ll.max(1)
+            parts.append(pd.DataFrame({"ll": list(ll - best[:, None]), "grams": n, "fit": np.where(n > 0, best / np.maximum(n, 1), 0.0)}))
+        return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"ll": [], "grams": [], "fit": []})
 
     return df.withColumn("_t", job(text)).withColumns({"_ll": F.col("_t")["ll"], "_grams": F.col("_t")["grams"], "_fit": F.col("_t")["fit"]}).drop("_t")
 
