@@ -28,11 +28,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each SimHash group (4-word shingles, at most 4 bits) the document with the smallest
-    doc_id stays. Rows that repeat that doc_id are copies too: the first by text hash stays."""
-    groups = written(simhash_groups(docs).select("doc_id", "component_id"), "pipeline_groups")
-    keep = groups.where("doc_id = component_id or component_id is null").select("doc_id").distinct()
-    kept = docs.join(keep, docs.doc_id.eqNullSafe(keep.doc_id), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    doc_id stays. Rows that repeat that doc_id are copies too: one of them stays. A row without
+    doc_id can't be named by its group and stays."""
+    named = docs.where("doc_id is not null")
+    groups = written(simhash_groups(named).select("doc_id", "component_id"), "pipeline_groups")
+    keep = groups.where("doc_id = component_id").select("doc_id").distinct()
+    kept = named.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])  # by the join's own partitions
+    return kept.unionByName(docs.where("doc_id is null"))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +51,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of 1024-id sequences, sources in the corpus' proportions."""
     import public_tokenizers
 
-    return pack(docs, public_tokenizers.path("byte_bpe_50k.json")).select(*DIGEST)
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=False).select(*DIGEST)
 
 
 STAGES = [

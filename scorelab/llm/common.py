@@ -38,9 +38,16 @@ def doc_view(docs: DataFrame, id_col: str, text_col: str, **more: str) -> DataFr
     return docs.select(*cols, *[F.col(f"`{c}`").cast("string").alias(k) for k, c in more.items()])
 
 
-def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str, keep=None) -> DataFrame:
+    """``fn`` over the Arrow batches of each partition. ``keep``: the key of the large object (see
+    ``held``) that the job uses; what other jobs left in the worker is let go first."""
     ship_package(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def job(batches: Iterator[pa.RecordBatch]):
+        release(keep)
+        yield from fn(batches)
+
+    return df.mapInArrow(job, schema)
 
 
 def record(schema: Sequence[tuple[str, pa.DataType]], columns: Sequence) -> pa.RecordBatch:
@@ -72,6 +79,24 @@ def require_at_most(n: int, bound: int, what: str) -> None:
         raise ValueError(f"{what}: {n} exceeds the bound of {bound}")
 
 
+_HELD: dict = {}
+
+
+def held(key, make: Callable):
+    """One large object a worker process, kept between tasks (an encoder, a cache). Asking for
+    another key lets the last one go, so the memories of different jobs don't add up."""
+    if key not in _HELD:
+        release(key)
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def release(keep=None) -> None:
+    """Let go of what is held under any other key."""
+    for key in [k for k in _HELD if k != keep]:
+        del _HELD[key]
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """Nodes of ``edges`` with the smallest node reachable: (node, component).
 

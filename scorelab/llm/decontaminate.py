@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelab.llm.common import arrow_map, doc_view, record, require_at_most, table, written
+from scorelab.llm.common import arrow_map, doc_view, record, release, require_at_most, table, written
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _WORDS = re.compile(WORD)
@@ -258,6 +258,7 @@ def decontaminated(docs: DataFrame, items: DataFrame, window: int = 10, max_cove
 
         @F.pandas_udf("struct<gone: boolean, text: string>")
         def cut(texts: pd.Series) -> pd.DataFrame:
+            release()
             automaton = sent.value
             new = [clean_text(automaton, t, max_coverage) for t in texts]
             return pd.DataFrame({"gone": [n is None and t is not None for n, t in zip(new, texts, strict=True)], "text": new})

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from scorelab.llm.common import arrow_map, doc_view, record, table
+from scorelab.llm.common import arrow_map, doc_view, held, record, table
 
 #: Taken off the lowest score for a character that no piece covers: the library's fixed value.
 UNKNOWN_PENALTY = 10.0
@@ -94,14 +94,9 @@ class WordCounter:
         return n, s, b, len(words)
 
 
-_OPEN: dict[str, WordCounter] = {}
-
-
 def counter(path: str) -> WordCounter:
     """One counter a worker process, kept between tasks."""
-    if path not in _OPEN:
-        _OPEN[path] = WordCounter(path)
-    return _OPEN[path]
+    return held(("counter", path), lambda: WordCounter(path))
 
 
 def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -115,7 +110,7 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             rows = [count.text(t) for t in b.column(1).to_pylist()]
             yield record(out, [b.column(0), *([r[i] for r in rows] for i in range(4))])
 
-    return arrow_map(doc_view(docs, id_col, text_col), job, "doc_id long, n_tokens long, score double, n_byte_chars long, n_words long")
+    return arrow_map(doc_view(docs, id_col, text_col), job, "doc_id long, n_tokens long, score double, n_byte_chars long, n_words long", ("counter", path))
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
