@@ -23,8 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelab.llm.common import arrow_map, doc_view, int32_lists, list_of_int32, record, require_at_most, table, written
-from scorelab.llm.token_ids import encoder, in_slices
+from scorelab.llm.common import arrow_map, doc_view, list_of_int32, record, require_at_most, table, written
+from scorelab.llm.token_ids import encoder, encoder_key, in_slices
 
 #: Fraction bits of the quota.
 _BITS = 16
@@ -62,16 +62,37 @@ class Schedule:
         before, after = self.served(rounds), self.served(rounds + 1)
         return starts, starts + after[:, :queue].sum(1) + before[:, queue + 1 :].sum(1)
 
-    def pieces(self, queue: int, first: int, last: int) -> Iterator[tuple[int, int, int, int]]:
-        """(start in the document, length, sequence, offset) of ids first..last-1 of a queue."""
-        starts, places = self.runs(queue, first, last)
-        ends = np.append(starts[1:], last)
-        for a, b, place in zip(starts.tolist(), ends.tolist(), places.tolist(), strict=True):
-            while a < b:
+    def pieces(self, queue: int, first: int, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids first..cuts[-1]-1 of a queue, cut at every place in ``cuts`` (ascending ends), at every
+        round and at every end of a sequence: (start in the queue, length, sequence, offset)."""
+        starts, places = self.runs(queue, first, int(cuts[-1]))
+        extra = np.setdiff1d(cuts[:-1], starts, assume_unique=True)  # ends of documents within a run
+        extra = extra[extra > first]
+        at = np.searchsorted(starts, extra, "right") - 1
+        places = np.concatenate([places, places[at] + extra - starts[at]])
+        starts = np.concatenate([starts, extra])
+        order = np.argsort(starts, kind="stable")
+        starts, places = starts[order], places[order]
+        sizes = np.diff(np.append(starts, cuts[-1]))
+        w = self.window
+        if places.size and int((places + sizes).max()) > self.full * w:
+            return self._tail_pieces(starts, places, sizes)
+        parts = (places + sizes - 1) // w - places // w + 1
+        of = np.repeat(np.arange(len(starts)), parts)
+        seq = places[of] // w + np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)
+        low, high = np.maximum(places[of], seq * w), np.minimum(places[of] + sizes[of], (seq + 1) * w)
+        return starts[of] + low - places[of], high - low, seq, low - seq * w
+
+    def _tail_pieces(self, starts, places, sizes):
+        """The same where the last, shorter sequences are met: run by run."""
+        out = []
+        for a, place, n in zip(starts.tolist(), places.tolist(), sizes.tolist(), strict=True):
+            while n:
                 seq, base, room = self.sequence(place)
-                n = min(b - a, base + room - place)
-                yield a - first, n, seq, place - base
-                a, place = a + n, place + n
+                k = min(n, base + room - place)
+                out.append((a, k, seq, place - base))
+                a, place, n = a + k, place + k, n - k
+        return tuple(np.array(x, np.int64) for x in zip(*out, strict=True))
 
     def sequence(self, place: int) -> tuple[int, int, int]:
         """(sequence, its first place, its length) at a global place."""
@@ -83,10 +104,10 @@ class Schedule:
 
 
 def pack(docs: DataFrame, vocabulary: str, kind: str = "byte", end_id: int = 0, window: int = 1024, grain: int = 32,
-         weights: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+         weights: dict[str, float] | None = None, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
          max_queues: int = MAX_QUEUES) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, queue,
-    ids (list<int>). ``window`` must be a power of two.
+    and with ``with_ids`` ids (list<int>). ``window`` must be a power of two.
 
     A range shuffle by (source, doc_id) puts the queues in order; ids are written once with their
     running place. Totals by (range, source) give each range's start in its queue. Null sources
@@ -102,7 +123,7 @@ def pack(docs: DataFrame, vocabulary: str, kind: str = "byte", end_id: int = 0,
     if docs.select(source_col).distinct().limit(max_queues + 1).count() > max_queues:
         view = view.withColumn("source", F.concat(F.lit("queue "), F.pmod(F.xxhash64("source"), F.lit(max_queues)).cast("string")))
     ordered = view.repartitionByRange("source", "doc_id", "origin").sortWithinPartitions("source", "doc_id", "origin").drop("origin")
-    stored = [("doc_id", pa.int64()), ("source", pa.string()), ("part", pa.int32()), ("local_start", pa.int64()), ("n", pa.int64()), ("ids", pa.list_(pa.int32()))]
+    stored = [("doc_id", pa.int64()), ("source", pa.string()), ("part", pa.int32()), ("local_start", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())]
     end = np.array([end_id], "<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]):
@@ -115,9 +136,11 @@ def pack(docs: DataFrame, vocabulary: str, kind: str = "byte", end_id: int = 0,
                 for s, k in zip(sources.slice(a, b - a).to_pylist(), n, strict=True):
                     starts.append(at.get(s, 0))
                     at[s] = starts[-1] + k
-                yield record(stored, [ids.slice(a, b - a), sources.slice(a, b - a), [part] * (b - a), starts, n, list_of_int32(runs)])
+                held = [narrow(r) for r in runs]
+                yield record(stored, [ids.slice(a, b - a), sources.slice(a, b - a), [part] * (b - a), starts, n, held])
 
-    rows = written(arrow_map(ordered, encode, "doc_id long, source string, part int, local_start long, n long, ids array<int>"), "pack_ids")
+    columns = "doc_id long, source string, part int, local_start long, n long, ids binary"
+    rows = written(arrow_map(ordered, encode, columns, encoder_key(vocabulary, kind)), "pack_ids", **{"parquet.enable.dictionary": "false"})
     ranges = rows.groupBy("source", "part").agg(F.sum("n").alias("n"))
     n_ranges = ranges.count()
     require_at_most(n_ranges, 4_000_000, "ranges of the packing")
@@ -132,28 +155,42 @@ def pack(docs: DataFrame, vocabulary: str, kind: str = "byte", end_id: int = 0,
     weight = total.astype(float) if weights is None else np.array([float(weights.get(s, 0.0)) for s in totals])
     plan = spark.sparkContext.broadcast((Schedule(total, weight, window, grain), queue, start))
     out = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()),
-           ("sequence_id", pa.int64()), ("offset", pa.int64()), ("queue", pa.string()), ("ids", pa.list_(pa.int32()))]
+           ("sequence_id", pa.int64()), ("offset", pa.int64()), ("queue", pa.string())]
+    out += [("ids", pa.list_(pa.int32()))] * with_ids
 
     def cut(batches: Iterator[pa.RecordBatch]):
         schedule, queues, starts = plan.value
         for batch in batches:
             doc, src, part, local, n = (batch.column(i).to_pylist() for i in range(5))
-            cols: list[list] = [[] for _ in out]
-            held = 0
-            for i, run in enumerate(int32_lists(batch.column(5))):
-                first = starts[src[i], part[i]] + local[i]
-                for a, k, seq, off in schedule.pieces(queues[src[i]], first, first + n[i]):
-                    ids = run[4 * a : 4 * (a + k)]
-                    for c, v in zip(cols, (doc[i], a, k, zlib.crc32(ids), n[i], seq, off, src[i], ids), strict=True):
-                        c.append(v)
-                    held += k
-                if held > 1_000_000:
-                    yield record(out, [*cols[:-1], list_of_int32(cols[-1])])
-                    cols, held = [[] for _ in out], 0
-            if held:
-                yield record(out, [*cols[:-1], list_of_int32(cols[-1])])
-
-    return arrow_map(rows, cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, queue string, ids array<int>")
+            begin = np.array([starts[s, p] + a for s, p, a in zip(src, part, local, strict=True)], np.int64)
+            end = begin + np.array(n, np.int64)
+            new = [0, *[i for i in range(1, len(doc)) if src[i] != src[i - 1] or begin[i] != end[i - 1]], len(doc)]
+            for lo, hi in zip(new, new[1:], strict=False):  # documents that follow each other in a queue
+                for a in range(lo, hi, 2000):
+                    b = min(hi, a + 2000)
+                    first, size, seq, off = schedule.pieces(queues[src[a]], int(begin[a]), end[a:b])
+                    of = np.searchsorted(end[a:b], first, "right") + a
+                    at = first - begin[of]
+                    held, ids, last = [], b"", -1
+                    for i, s, k in zip(of.tolist(), at.tolist(), size.tolist(), strict=True):
+                        if i != last:
+                            ids, last = widen(batch.column(5)[i].as_py(), n[i]), i
+                        held.append(ids[4 * s : 4 * (s + k)])
+                    cols = [pa.array([doc[i] for i in of.tolist()], pa.int64()), at, size, [zlib.crc32(x) for x in held], np.array(n, np.int64)[of], seq, off, [src[a]] * len(of)]
+                    yield record(out, cols + [list_of_int32(held)] * with_ids)
+
+    columns = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, queue string"
+    return arrow_map(rows, cut, columns + ", ids array<int>" * with_ids)
+
+
+def narrow(run: bytes) -> bytes:
+    """A run of 32-bit ids in 16 bits each where all fit: half the bytes to keep."""
+    ids = np.frombuffer(run, "<u4")
+    return ids.astype("<u2").tobytes() if len(ids) and int(ids.max()) < 1 << 16 else run
+
+
+def widen(run: bytes, n: int) -> bytes:
+    return np.frombuffer(run, "<u2").astype("<u4").tobytes() if len(run) == 2 * n else run
 
 
 def sequences(pieces: DataFrame) -> DataFrame:
@@ -172,4 +209,4 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus' proportions in every window."""
     import public_tokenizers
 
-    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")).select(*DIGEST)
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False).select(*DIGEST)

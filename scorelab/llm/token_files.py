@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorelab.llm.common import arrow_map, doc_view, int32_lists, list_of_int32, record, shared_path, table
-from scorelab.llm.token_ids import encoder, in_slices
+from scorelab.llm.token_ids import encoder, encoder_key, in_slices
 
 FILE_SCHEMA = "doc_id long, n_tokens long, part int, local_start long, token_ids array<int>"
 _FILE = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("part", pa.int32()), ("local_start", pa.int64()), ("token_ids", pa.list_(pa.int32()))]
@@ -54,7 +54,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, kind: str = "
         "parquet.page.row.count.limit": str(page_rows), "parquet.enable.dictionary": "true", "parquet.dictionary.page.size": str(1 << 20),
         "parquet.column.index.enabled": "true",
     }
-    arrow_map(ordered, encode, FILE_SCHEMA).write.mode("overwrite").options(**options).parquet(path)
+    arrow_map(ordered, encode, FILE_SCHEMA, encoder_key(vocabulary, kind)).write.mode("overwrite").options(**options).parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str, low: int | None = None, high: int | None = None) -> DataFrame:

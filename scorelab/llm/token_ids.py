@@ -14,6 +14,8 @@ from collections.abc import Sequence
 
 import numpy as np
 
+from scorelab.llm.common import held
+
 #: Latin letters (all of them \\p{L}); a run of them must not touch a non-ASCII character, as
 #: that may be a letter or a mark too.
 _L = "A-Za-zÀ-ÖØ-öø-įı-ž"  # not U+0130, whose lower case is two characters
@@ -32,8 +34,6 @@ _BYTE = re.compile(rf" ?[{_L}]++(?![^\x00-\x7f])| ?[^{_WS}]+|[{_WS}]+(?![^{_WS}]
 _ALONE = re.compile(rf"[{_L}]+")
 _SPACED = re.compile(r" ?[^\s]+")
 
-_OPEN: dict[tuple, "PieceEncoder"] = {}
-
 
 class _Numbers(dict):
     """Numbers of pieces; a new piece gets the next one and is put on the list to encode."""
@@ -110,6 +110,7 @@ class PieceEncoder:
     def _forget(self, short: int = 8) -> None:
         """Drop the long pieces, which are the rare ones; all of them if that frees too little."""
         old, runs = self.numbers, self.runs
+        short += self.kind == "byte"  # the space in front
         keep = [p for p in old if len(p) <= short]
         if 2 * len(keep) > self.most:
             keep = []
@@ -136,14 +137,16 @@ class PieceEncoder:
         return [done[i] if p is None else b"".join(map(get, p)) for i, p in enumerate(plan)]
 
 
+def encoder_key(path: str, kind: str) -> tuple[str, str, str]:
+    return "encoder", path, kind
+
+
 def encoder(path: str, kind: str) -> PieceEncoder:
     """One encoder a worker process, kept between tasks."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    if (path, kind) not in _OPEN:
-        _OPEN[path, kind] = PieceEncoder(path, kind)
-    return _OPEN[path, kind]
+    return held(encoder_key(path, kind), lambda: PieceEncoder(path, kind))
 
 
 def in_slices(texts: Sequence[str], chars: int = 1_000_000):
