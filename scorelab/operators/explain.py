@@ -356,6 +356,9 @@ def counterfactuals(scorer: Scorer, rows: DataFrame, directions: dict[str, int],
     changes are kept per instance (a per-instance window). A state whose class at 0.5 differs
     from the instance's original class ends the search for that instance. Lineage is cut with
     a reliable checkpoint every step.
+
+    One row per instance: ``found`` tells whether a flip was met within ``max_steps``; without one
+    the features, changes, objective and proba are null.
     """
     from scorelab.session import cut_lineage
 
@@ -389,4 +392,9 @@ def counterfactuals(scorer: Scorer, rows: DataFrame, directions: dict[str, int],
         state = step_tbl.where(F.col("_any") == 0).select(*g, "row_id", *feats, "changes")
         if state.isEmpty():
             break
-    return found
+    if found is None:  # no step allowed
+        found = orig.select(*g, "row_id", *[F.col(f"_x0_{f}").alias(f) for f in feats]).withColumns(
+            {"changes": F.lit(0), "objective": F.lit(0.0), "proba": F.lit(0.0)}).limit(0)
+    every = orig.select(*g, "row_id")
+    hits = found.withColumn("found", F.lit(True))
+    return every.join(hits, [*g, "row_id"], "left").withColumn("found", F.coalesce("found", F.lit(False)))

@@ -18,7 +18,7 @@ from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, Lo
                                        MultilayerPerceptronClassifier, RandomForestClassifier)
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorelab.operators.explain import Scorer
@@ -27,6 +27,9 @@ from scorelab.session import cut_lineage
 
 Trainer = Callable[..., Scorer]
 
+#: Deepest trees Spark grows: the nearest to trees without a limit.
+FULL_DEPTH = 30
+
 
 def _assemble(df: DataFrame, features: Sequence[str], out: str = "features") -> DataFrame:
     filled = df
@@ -50,6 +53,21 @@ def ml_scorer(model, features: Sequence[str]) -> Scorer:
     return score
 
 
+def _margin(scorer: Scorer) -> Scorer:
+    """Mark a scorer whose probability is a sigmoid of a decision value: that value is calibrated."""
+    scorer.margin = True  # type: ignore[attr-defined]
+    return scorer
+
+
+def decision(scorer: Scorer) -> Column:
+    """What calibration is fitted on: the decision value (log-odds, up to a factor) of a model that
+    has one, else the probability."""
+    if not getattr(scorer, "margin", False):
+        return F.col("p")
+    q = F.least(F.lit(1 - 1e-15), F.greatest(F.lit(1e-15), F.col("p")))
+    return F.log(q / (1 - q))
+
+
 def _fit(est, train: DataFrame, features: Sequence[str], y: str, weight: str | None = None):
     t = _assemble(train, features).withColumn("label", F.col(y).cast("double"))
     est = est.setFeaturesCol("features").setLabelCol("label")
@@ -65,7 +83,7 @@ def train_lr(train: DataFrame, features: Sequence[str], y: str = "y", C: float =
     the mean loss is 1 / (C n). The reference's three solvers reach this same optimum."""
     n = train.count()
     est = LogisticRegression(regParam=1.0 / (C * max(n, 1)), elasticNetParam=0.0, standardization=False, maxIter=200)
-    return ml_scorer(_fit(est, train, features, y), features)
+    return _margin(ml_scorer(_fit(est, train, features, y), features))
 
 
 def train_lr_reg(train: DataFrame, features: Sequence[str], y: str = "y", C: float = 1.0, l1_ratio: float = 0.5,
@@ -74,37 +92,41 @@ def train_lr_reg(train: DataFrame, features: Sequence[str], y: str = "y", C: flo
     n = train.count()
     est = LogisticRegression(regParam=1.0 / (C * max(n, 1)), elasticNetParam=float(l1_ratio), standardization=False,
                              maxIter=200)
-    return ml_scorer(_fit(est, train, features, y), features)
+    return _margin(ml_scorer(_fit(est, train, features, y), features))
 
 
 # ---------------------------------------------------------------- trees and ensembles
 
 def train_rf(train: DataFrame, features: Sequence[str], y: str = "y", trees: int = 100, max_features="sqrt",
-             seed: int = 42, max_depth: int = 12) -> Scorer:
+             seed: int = 42, max_depth: int = FULL_DEPTH) -> Scorer:
+    """Random forest; trees grow to ``max_depth`` (by default the largest Spark allows)."""
     strategy = max_features if isinstance(max_features, str) else ("all" if float(max_features) >= 1 else str(max_features))
     est = RandomForestClassifier(numTrees=int(trees), featureSubsetStrategy=strategy, maxDepth=max_depth, seed=seed)
     return ml_scorer(_fit(est, train, features, y), features)
 
 
 def train_bagged_trees(train: DataFrame, features: Sequence[str], y: str = "y", n: int = 10, seed: int = 42,
-                       max_depth: int = 12) -> Scorer:
-    """Bagged CART: a forest that looks at every feature at every split (bootstrap rows only)."""
+                       max_depth: int = FULL_DEPTH) -> Scorer:
+    """Bagged CART: a forest that looks at every feature at every split (bootstrap rows only);
+    trees grow to ``max_depth`` (by default the largest Spark allows)."""
     est = RandomForestClassifier(numTrees=int(n), featureSubsetStrategy="all", maxDepth=max_depth, seed=seed,
                                  bootstrap=True, subsamplingRate=1.0)
     return ml_scorer(_fit(est, train, features, y), features)
 
 
 def train_sgb(train: DataFrame, features: Sequence[str], y: str = "y", n: int = 10, subsample: float = 0.7,
-              seed: int = 42) -> Scorer:
-    est = GBTClassifier(maxIter=int(n), subsamplingRate=subsample, stepSize=0.1, seed=seed)
-    return ml_scorer(_fit(est, train, features, y), features)
+              seed: int = 42, max_depth: int = 3) -> Scorer:
+    """Stochastic gradient boosting: ``n`` trees of depth ``max_depth`` on row samples."""
+    est = GBTClassifier(maxIter=int(n), subsamplingRate=subsample, stepSize=0.1, maxDepth=max_depth, seed=seed)
+    return _margin(ml_scorer(_fit(est, train, features, y), features))
 
 
 def train_gbt_grid(train: DataFrame, features: Sequence[str], y: str = "y", n: int = 100, lr: float = 0.1,
-                   seed: int = 42) -> Scorer:
-    """Gradient-boosted trees standing in for the XGB / LGBM grid points (same n and rate)."""
-    est = GBTClassifier(maxIter=int(n), stepSize=float(lr), seed=seed)
-    return ml_scorer(_fit(est, train, features, y), features)
+                   seed: int = 42, max_depth: int = 6) -> Scorer:
+    """Gradient-boosted trees standing in for the XGB / LGBM grid points (same n and rate; trees of
+    ``max_depth``)."""
+    est = GBTClassifier(maxIter=int(n), stepSize=float(lr), maxDepth=max_depth, seed=seed)
+    return _margin(ml_scorer(_fit(est, train, features, y), features))
 
 
 def train_mlp(train: DataFrame, features: Sequence[str], y: str = "y", hidden: Sequence[int] = (64, 32),
@@ -113,28 +135,30 @@ def train_mlp(train: DataFrame, features: Sequence[str], y: str = "y", hidden: S
     return ml_scorer(_fit(est, train, features, y), features)
 
 
-def _average(scorers: Sequence[Scorer], key: Sequence[str] = ("row_id",)) -> Scorer:
-    """Mean probability of several scorers, joined on the row key (``row_id`` must be unique)."""
+def _average(scorers: Sequence[Scorer]) -> Scorer:
+    """Mean probability of several scorers, one output column each on the same rows: no join."""
     def score(df: DataFrame) -> DataFrame:
-        k = [c for c in key if c in df.columns]
-        parts = [s(df).select(*k, F.col("p").alias(f"_p{i}")) for i, s in enumerate(scorers)]
-        j = reduce(lambda a, b: a.join(b, k), parts)
+        t = df
+        for i, s in enumerate(scorers):
+            t = s(t).withColumnRenamed("p", f"_p{i}")
         mean = reduce(lambda a, b: a + b, [F.col(f"_p{i}") for i in range(len(scorers))]) / float(len(scorers))
-        return df.join(j.select(*k, mean.alias("p")), k)
+        return t.select(*[F.col(f"`{c}`") for c in df.columns], mean.alias("p"))
     return score
 
 
 def train_bagged_mlp(train: DataFrame, features: Sequence[str], y: str = "y", n: int = 5, seed: int = 42,
-                     hidden: Sequence[int] = (64, 32), epochs: int = 50) -> Scorer:
-    """n MLPs, each on a bootstrap resample (copies by draw counts), probabilities averaged."""
+                     hidden: Sequence[int] = (100,), epochs: int = 1000) -> Scorer:
+    """n perceptrons with one layer of 100, each on a bootstrap resample (rows repeated by their
+    draw counts), probabilities averaged. Each fit stops by itself when the loss settles, after
+    ``epochs`` steps at most."""
     from scorelab.operators.resample import bootstrap_draws
 
     t = train.withColumn("_bag", F.lit(0))
-    draws = bootstrap_draws(t, n, seed, by=["_bag"])
+    draws = cut_lineage(bootstrap_draws(t, n, seed, by=["_bag"]))  # drawn once, read by every bag
     models = []
     for b in range(n):
         rows = draws.where(F.col("b") == b).join(t, ["_bag", "row_id"]).select(
-            "*", F.explode(F.sequence(F.lit(1), F.col("weight"))).alias("_copy"))
+            "*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("weight"))).alias("_copy"))
         models.append(train_mlp(rows, features, y, hidden, epochs, seed + b))
     return _average(models)
 
@@ -179,7 +203,7 @@ def adaboost_scorer(path, features: Sequence[str]) -> Scorer:
             t = s.transform(t)
             dec = dec + F.lit(alpha) * (2 * F.col(f"_h{i}") - 1)
         return t.select(*[F.col(f"`{c}`") for c in cols], (1.0 / (1.0 + F.exp(-2.0 * dec / total))).alias("p"))
-    return score
+    return _margin(score)
 
 
 def train_adaboost(train: DataFrame, features: Sequence[str], y: str = "y", n: int = 10, lr: float = 1.0,
@@ -187,14 +211,14 @@ def train_adaboost(train: DataFrame, features: Sequence[str], y: str = "y", n: i
     return adaboost_scorer(adaboost_path(train, features, y, n, lr, seed), features)
 
 
-def train_boost_grid(train: DataFrame, features: Sequence[str], y: str = "y", ns: Sequence[int] = (10, 50),
-                     lrs: Sequence[float] = (0.1, 1.0), seed: int = 42) -> dict[str, Scorer]:
+def train_boost_grid(train: DataFrame, features: Sequence[str], y: str = "y", ns: Sequence[int] = (10, 50, 100, 250, 500, 1000),
+                     lrs: Sequence[float] = (0.1, 0.5, 1.0), seed: int = 42) -> dict[str, Scorer]:
     """One long SAMME fit per learning rate gives every smaller n as a prefix."""
     out = {}
     for lr in lrs:
         path = adaboost_path(train, features, y, max(ns), lr, seed)
         for n in ns:
-            out[f"boost_dt_{n}_lr_{lr}"] = adaboost_scorer(path[:n], features)
+            out[f"boost_dt_{n}x{lr}".replace(".", "p")] = adaboost_scorer(path[:n], features)
     return out
 
 
@@ -256,35 +280,40 @@ def platt_fit(scores: DataFrame, s: str = "s", y: str = "y", iters: int = 50) ->
 
 def calibrate_sigmoid(trainer: Trainer, train: DataFrame, features: Sequence[str], y: str = "y", folds: int = 3,
                       seed: int = 42, **kw) -> Scorer:
-    """3 folds: the base model fits on 2/3, Platt scaling on the held-out third; the calibrated
-    probability is the mean of the 3 calibrated models."""
+    """3 folds: the base model fits on 2/3, Platt scaling on the held-out third, on the decision
+    value where the model has one; the calibrated probability is the mean of the 3 calibrated
+    models."""
     from scorelab.operators.resample import stratified_kfold
 
     tf = stratified_kfold(train, y, folds, seed)
     parts = []
     for f in range(folds):
         base = trainer(tf.where(F.col("fold") != f).drop("fold"), features, y, seed=seed, **kw)
-        held = base(tf.where(F.col("fold") == f).drop("fold")).select(F.col("p").alias("s"), F.col(y).alias("y"))
-        a, b = platt_fit(held, "s", "y")
+        held = base(tf.where(F.col("fold") == f).drop("fold")).select(decision(base).alias("s"), F.col(y).alias("y"))
+        a, b = platt_fit(cut_lineage(held), "s", "y")  # read once a Newton step
         parts.append((base, a, b))
 
     def score(df: DataFrame) -> DataFrame:
         cal = []
         for base, a, b in parts:
             def one(d, base=base, a=a, b=b):
-                return base(d).withColumn("p", 1.0 / (1.0 + F.exp(F.lit(a) * F.col("p") + F.lit(b))))
+                return base(d).withColumn("p", 1.0 / (1.0 + F.exp(F.lit(a) * decision(base) + F.lit(b))))
             cal.append(one)
         return _average(cal)(df)
     return score
 
 
+def balanced(train: DataFrame, features: Sequence[str], y: str = "y", seed: int = 42) -> DataFrame:
+    """The train rows topped up by SMOTE (5 neighbours), written once."""
+    from scorelab.operators.resample import smote
+
+    return cut_lineage(smote(train.select("row_id", y, *features), features, y, 5, seed).drop("synthetic"))
+
+
 def balance_then_train(trainer: Trainer, train: DataFrame, features: Sequence[str], y: str = "y", seed: int = 42,
                        **kw) -> Scorer:
     """SMOTE on the train rows only, then fit."""
-    from scorelab.operators.resample import smote
-
-    bal = cut_lineage(smote(train.select("row_id", y, *features), features, y, 5, seed).drop("synthetic"))
-    return trainer(bal, features, y, seed=seed, **kw)
+    return trainer(balanced(train, features, y, seed), features, y, seed=seed, **kw)
 
 
 def score_rows(scorer: Scorer, df: DataFrame, threshold: float = 0.5, keep: Sequence[str] = ("dataset",),
@@ -376,39 +405,61 @@ def grid_search_ada(train: DataFrame, features: Sequence[str], y: str = "y", ns:
 
 # ---------------------------------------------------------------- registry and the experiment runner
 
-def default_registry(groups: Sequence[str] = ("lr", "lr_reg", "rf")) -> dict[str, dict[str, tuple[Trainer, dict]]]:
-    """Model groups -> {model name: (trainer, params)}; names follow the reference's grid."""
-    reg: dict[str, dict[str, tuple[Trainer, dict]]] = {}
-    if "lr" in groups:
-        reg["lr"] = {f"lr_{s}": (train_lr, {"C": 1e6}) for s in ("lbfgs", "saga", "newton_cg")}
-    if "lr_reg" in groups:
-        reg["lr_reg"] = {"lr_reg_elasticnet": (train_lr_reg, {"C": 1.0, "l1_ratio": 0.5}),
-                         "lr_reg_l2": (train_lr_reg, {"C": 1.0, "l1_ratio": 0.0}),
-                         "lr_reg_l1": (train_lr_reg, {"C": 1.0, "l1_ratio": 1.0})}
-    if "rf" in groups:
-        reg["RF"] = {f"rf_{n}_mf_{str(mf).replace('.', 'p')}": (train_rf, {"trees": n, "max_features": mf})
-                     for n in (100, 250, 500, 750, 1000) for mf in ("sqrt", 0.1, 0.25, 0.5, 1.0)}
-    if "adaboost" in groups:
-        reg["adaboost"] = {f"adaboost_{n}": (train_adaboost, {"n": n}) for n in (10, 20, 30)}
-    if "sgb" in groups:
-        reg["SGB"] = {f"sgb_{n}": (train_sgb, {"n": n}) for n in (10, 50, 100, 250, 500, 750, 1000)}
-    if "bag_cart" in groups:
-        reg["Bag-CART"] = {f"bag_cart_{n}": (train_bagged_trees, {"n": n}) for n in (10, 25, 50, 100, 250, 500, 1000)}
-    if "knn" in groups:
-        reg["KNN"] = {f"knn_{k}": (train_knn, {"k": k}) for k in (3, 5, 7, 11)}
-    if "gbt" in groups:
-        reg["XGB"] = {f"xgb_{n}_{lr}": (train_gbt_grid, {"n": n, "lr": lr}) for n in (100, 200, 300) for lr in (0.1, 0.3)}
-    if "mlp" in groups:
-        reg["DL"] = {"mlp_64_32": (train_mlp, {})}
-    return reg
+def train_knn_tuned(train: DataFrame, features: Sequence[str], y: str = "y", seed: int = 42) -> Scorer:
+    """The nearest-neighbour model of the best cross-validated (k, weights, p)."""
+    best = tune_knn(train, features, y, seed=seed).where("best").first()
+    return train_knn(train, features, y, k=best["k"], weights=best["weights"], p=best["p_norm"], seed=seed)
+
+
+# Names and points of the model groups.
+LR_SOLVERS = ("lbfgs", "saga", "newton_cg")
+LR_REG = {"lr_reg_saga": 0.5, "lr_reg_lbfgs": 0.0, "lr_reg_liblinear": 1.0}  # name -> L1 share
+ADABOOST_N = (10, 20, 30)
+BAG_CART_N = (10, 20, 50, 100, 250, 500, 1000)
+BAGNN_N = (5, 10, 25, 100)
+BOOST_N, BOOST_RATES = (10, 50, 100, 250, 500, 1000), (0.1, 0.5, 1.0)
+RF_TREES, RF_SHARES = (100, 250, 500, 750, 1000), ("sqrt", 0.1, 0.25, 0.5, 1.0)
+SGB_N = (10, 20, 50, 100, 250, 500, 1000)
+KNN_K = (3, 5, 7, 11)
+XGB_N, XGB_RATES = (100, 200, 300), (0.1, 0.3)
+GROUPS = ("lr", "lr_reg", "adaboost", "Bag-CART", "BagNN", "Boost-DT", "RF", "SGB", "KNN", "XGB", "LGBM", "DL")
+
+
+def default_registry(groups: Sequence[str] = GROUPS) -> dict[str, dict[str, tuple[Trainer, dict]]]:
+    """Model groups -> {model name: (trainer, params)}. XGB and LGBM points run on Spark's boosted
+    trees; DL has the perceptron alone (its other two need a library that is not there)."""
+    point = lambda x: str(x).replace(".", "p")
+    every: dict[str, dict[str, tuple[Trainer, dict]]] = {
+        "lr": {f"lr_{s}": (train_lr, {"C": 1e6}) for s in LR_SOLVERS},
+        "lr_reg": {name: (train_lr_reg, {"C": 1.0, "l1_ratio": r}) for name, r in LR_REG.items()},
+        "adaboost": {f"adaboost_{n}": (train_adaboost, {"n": n}) for n in ADABOOST_N},
+        "Bag-CART": {f"bag_cart_{n}": (train_bagged_trees, {"n": n}) for n in BAG_CART_N},
+        "BagNN": {f"bagnn_{n}": (train_bagged_mlp, {"n": n}) for n in BAGNN_N},
+        "Boost-DT": {f"boost_dt_{n}x{point(r)}": (train_adaboost, {"n": n, "lr": r}) for n in BOOST_N for r in BOOST_RATES},
+        "RF": {f"rf_{n}_mf_{point(mf)}": (train_rf, {"trees": n, "max_features": mf}) for n in RF_TREES for mf in RF_SHARES},
+        "SGB": {f"sgb_{n}": (train_sgb, {"n": n}) for n in SGB_N},
+        "KNN": {f"knn_{k}": (train_knn, {"k": k}) for k in KNN_K} | {"knn_tuned": (train_knn_tuned, {})},
+        "XGB": {f"xgb_{n}x{point(r)}": (train_gbt_grid, {"n": n, "lr": r}) for n in XGB_N for r in XGB_RATES},
+        "LGBM": {f"lgbm_{n}x{point(r)}": (train_gbt_grid, {"n": n, "lr": r}) for n in XGB_N for r in XGB_RATES},
+        "DL": {"torch_mlp": (train_mlp, {})},
+    }
+    return {g: every[g] for g in groups}
+
+
+#: Groups whose models are not calibrated in a run.
+UNCALIBRATED = ("DL",)
 
 
 def run_experiment(datasets: DataFrame, registry: dict, y: str = "y", test_size: float = 0.2, seed: int = 42,
-                   balance: bool = False, calibrate: bool = False) -> tuple[DataFrame, DataFrame]:
+                   balance: bool = False, calibrate: bool = True, at_once: int = 4) -> tuple[DataFrame, DataFrame]:
     """datasets x groups x models -> (metrics wide rows with ``error``, scores).
 
     Per dataset: exact stratified split, preprocessing learned on train, optional SMOTE on train,
-    fit, score the test rows; metrics with tau / pi+ from the (unbalanced) train prevalence."""
+    3-fold sigmoid calibration (but for the groups in ``UNCALIBRATED``) on what SMOTE made, fit,
+    score the test rows; metrics with tau / pi+ from the (unbalanced) train prevalence. ``at_once``
+    models are fitted at a time, each by Spark jobs of its own."""
+    from concurrent.futures import ThreadPoolExecutor
+
     from scorelab.operators.metrics import metric_bundle
     from scorelab.operators.prep import fit_preprocessor
     from scorelab.operators.resample import stratified_split
@@ -416,29 +467,32 @@ def run_experiment(datasets: DataFrame, registry: dict, y: str = "y", test_size:
     spark = datasets.sparkSession
     names = [r["dataset"] for r in datasets.select("dataset").distinct().orderBy("dataset").collect()]
     split = cut_lineage(stratified_split(datasets, y, test_size, seed, by=["dataset"]))
-    score_parts, errors = [], []
+    todo = []
     for ds in names:
         d = split.where(F.col("dataset") == ds)
         tr = d.where(F.col("split") == "train").drop("split")
         te = d.where(F.col("split") == "test").drop("split")
         pre = fit_preprocessor(tr, y, keep=("dataset", "row_id"))
-        feats = pre.feature_names()
-        trx, tex = cut_lineage(pre.transform(tr)), pre.transform(te)
-        for group, models in registry.items():
-            for name, (trainer, params) in models.items():
-                try:
-                    fit = balance_then_train if balance else None
-                    if calibrate:
-                        sc = calibrate_sigmoid(trainer, trx, feats, y, seed=seed, **params)
-                    elif fit is not None:
-                        sc = fit(trainer, trx, feats, y, seed=seed, **params)
-                    else:
-                        sc = trainer(trx, feats, y, seed=seed, **params)
-                    part = sc(tex).select("dataset", F.lit(group).alias("model_group"), F.lit(name).alias("model"),
-                                          "row_id", y, "p")
-                    score_parts.append(cut_lineage(part))
-                except Exception as e:  # noqa: BLE001 - recorded, the loop goes on
-                    errors.append((ds, group, name, f"{type(e).__name__}: {str(e).splitlines()[0][:300]}"))
+        feats, trx, tex = pre.feature_names(), cut_lineage(pre.transform(tr)), cut_lineage(pre.transform(te))
+        if balance:
+            trx = balanced(trx, feats, y, seed)
+        todo += [(ds, g, name, t, params, trx, tex, feats) for g, models in registry.items() for name, (t, params) in models.items()]
+
+    def fit_one(job):
+        ds, group, name, trainer, params, trx, tex, feats = job
+        try:
+            if calibrate and group not in UNCALIBRATED:
+                sc = calibrate_sigmoid(trainer, trx, feats, y, seed=seed, **params)
+            else:
+                sc = trainer(trx, feats, y, seed=seed, **params)
+            part = sc(tex).select("dataset", F.lit(group).alias("model_group"), F.lit(name).alias("model"), "row_id", y, "p")
+            return cut_lineage(part), None
+        except Exception as e:  # noqa: BLE001 - recorded, the others go on
+            return None, (ds, group, name, f"{type(e).__name__}: {str(e).splitlines()[0][:300]}")
+
+    with ThreadPoolExecutor(at_once) as pool:
+        done = list(pool.map(fit_one, todo))
+    score_parts, errors = [p for p, _ in done if p is not None], [e for _, e in done if e is not None]
     scores = reduce(lambda a, b: a.unionByName(b), score_parts) if score_parts else None
     tau = split.where(F.col("split") == "train").groupBy("dataset").agg(F.avg(F.col(y).cast("double")).alias("tau"))
     metrics = metric_bundle(scores, tau).withColumn("error", F.lit(None).cast("string")) if scores is not None else None

@@ -16,7 +16,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -71,19 +71,29 @@ def ks_asymptotic_p(lam: pd.Series) -> pd.Series:
 
 # ---------------------------------------------------------------- aligning two models
 
-def pair_scores(scores: DataFrame, model_a: str, model_b: str, group: Sequence[str] = ("dataset",)) -> DataFrame:
+def pair_scores(scores: DataFrame, model_a: str | tuple[str, str], model_b: str | tuple[str, str],
+                group: Sequence[str] = ("dataset",)) -> DataFrame:
     """dataset, row_id, y, pa, pb: the two models on the same rows.
 
+    A model is named by (model_group, model). A plain name will do while only one group has it;
+    a row scored by two groups under a plain name raises an error instead of mixing them.
+
     One conditional aggregation by (dataset, row_id) instead of a self join: a single shuffle
     of the two models' rows; rows scored by only one model are dropped (inner semantics)."""
     g = list(group)
-    two = scores.where(F.col("model").isin(model_a, model_b))
+
+    def is_(m: str | tuple[str, str]) -> Column:
+        return F.col("model") == m if isinstance(m, str) else (F.col("model_group") == m[0]) & (F.col("model") == m[1])
+
+    two = scores.where(is_(model_a) | is_(model_b))
+    only = lambda m: F.max(F.when(is_(m), F.col("p")))
+    twice = F.raise_error(F.lit(f"rows scored more than once by {model_a} or {model_b}: name the model group")).cast("double")
     agg = two.groupBy(*g, "row_id").agg(
-        F.first("y").alias("y"),
-        F.max(F.when(F.col("model") == model_a, F.col("p"))).alias("pa"),
-        F.max(F.when(F.col("model") == model_b, F.col("p"))).alias("pb"),
+        F.first("y").alias("y"), only(model_a).alias("pa"), only(model_b).alias("pb"),
+        F.greatest(F.count(F.when(is_(model_a), 1)), F.count(F.when(is_(model_b), 1))).alias("_n"),
     )
-    return agg.where(F.col("pa").isNotNull() & F.col("pb").isNotNull())
+    agg = agg.where(F.col("pa").isNotNull() & F.col("pb").isNotNull())
+    return agg.select(*g, "row_id", "y", F.when(F.col("_n") == 1, F.col("pa")).otherwise(twice).alias("pa"), "pb")
 
 
 # ---------------------------------------------------------------- Wilcoxon signed rank on |error|

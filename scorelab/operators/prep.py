@@ -23,6 +23,12 @@ def _q(c: str) -> Column:
     return F.col(f"`{c}`")
 
 
+def _num(c: str) -> Column:
+    """The column as double, NaN as null: both are missing values."""
+    x = _q(c).cast("double")
+    return F.when(~F.isnan(x), x)
+
+
 def _replace(df: DataFrame, new: dict[str, Column]) -> DataFrame:
     """Replace/insert columns keeping the column order."""
     cols = [new[c].alias(c) if c in new else _q(c) for c in df.columns]
@@ -33,7 +39,7 @@ def _replace(df: DataFrame, new: dict[str, Column]) -> DataFrame:
 # ---------------------------------------------------------------- rows with nulls
 
 def drop_null_rows(df: DataFrame) -> DataFrame:
-    """Rows without any null (``na.drop('any')``); ``null_total`` reports the count removed."""
+    """Rows without any null or NaN (``na.drop('any')``); ``null_total`` reports the cells."""
     return df.na.drop("any")
 
 
@@ -48,17 +54,17 @@ def fit_median(fit_on: DataFrame, cols: Sequence[str]) -> dict[str, float | None
 def impute_median(df: DataFrame, cols: Sequence[str], fit_on: DataFrame | None = None) -> DataFrame:
     """Nulls -> exact median of the fit rows (linear interpolation between the middle values)."""
     med = fit_median(fit_on if fit_on is not None else df, cols)
-    return _replace(df, {c: F.coalesce(_q(c).cast("double"), F.lit(med[c]).cast("double")) for c in cols})
+    return _replace(df, {c: F.coalesce(_num(c), F.lit(med[c]).cast("double")) for c in cols})
 
 
 def fit_mean(fit_on: DataFrame, cols: Sequence[str]) -> dict[str, float | None]:
-    row = fit_on.agg(*[F.avg(_q(c)).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+    row = fit_on.agg(*[F.avg(_num(c)).alias(f"m{i}") for i, c in enumerate(cols)]).first()
     return {c: row[f"m{i}"] for i, c in enumerate(cols)}
 
 
 def impute_mean(df: DataFrame, cols: Sequence[str], fit_on: DataFrame | None = None) -> DataFrame:
     mean = fit_mean(fit_on if fit_on is not None else df, cols)
-    return _replace(df, {c: F.coalesce(_q(c).cast("double"), F.lit(mean[c]).cast("double")) for c in cols})
+    return _replace(df, {c: F.coalesce(_num(c), F.lit(mean[c]).cast("double")) for c in cols})
 
 
 def fit_mode(fit_on: DataFrame, cols: Sequence[str]) -> dict[str, object]:
@@ -83,14 +89,14 @@ def cast_text(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 # ---------------------------------------------------------------- scalers
 
 def fit_standard(fit_on: DataFrame, cols: Sequence[str]) -> dict[str, tuple[float, float]]:
-    row = fit_on.agg(*[F.avg(_q(c)).alias(f"m{i}") for i, c in enumerate(cols)],
-                     *[F.stddev_pop(_q(c)).alias(f"s{i}") for i, c in enumerate(cols)]).first()
+    row = fit_on.agg(*[F.avg(_num(c)).alias(f"m{i}") for i, c in enumerate(cols)],
+                     *[F.stddev_pop(_num(c)).alias(f"s{i}") for i, c in enumerate(cols)]).first()
     return {c: (row[f"m{i}"], row[f"s{i}"]) for i, c in enumerate(cols)}
 
 
 def _standard_expr(c: str, mean, std) -> Column:
     scale = std if (std is not None and std != 0) else 1.0
-    return (_q(c).cast("double") - F.lit(mean if mean is not None else 0.0)) / F.lit(scale)
+    return (_num(c) - F.lit(mean if mean is not None else 0.0)) / F.lit(scale)
 
 
 def scale_standard(df: DataFrame, cols: Sequence[str], fit_on: DataFrame | None = None) -> DataFrame:
@@ -100,13 +106,13 @@ def scale_standard(df: DataFrame, cols: Sequence[str], fit_on: DataFrame | None
 
 
 def fit_minmax(fit_on: DataFrame, cols: Sequence[str]) -> dict[str, tuple[float, float]]:
-    row = fit_on.agg(*[F.min(_q(c)).alias(f"lo{i}") for i, c in enumerate(cols)],
-                     *[F.max(_q(c)).alias(f"hi{i}") for i, c in enumerate(cols)]).first()
+    row = fit_on.agg(*[F.min(_num(c)).alias(f"lo{i}") for i, c in enumerate(cols)],
+                     *[F.max(_num(c)).alias(f"hi{i}") for i, c in enumerate(cols)]).first()
     return {c: (row[f"lo{i}"], row[f"hi{i}"]) for i, c in enumerate(cols)}
 
 
 def _minmax_expr(c: str, lo, hi) -> Column:
-    x = _q(c).cast("double")
+    x = _num(c)
     if lo is None or hi is None or hi == lo:
         return F.when(x.isNotNull(), F.lit(0.0))  # constant column -> 0
     return (x - F.lit(float(lo))) / F.lit(float(hi) - float(lo))
@@ -120,11 +126,16 @@ def scale_minmax(df: DataFrame, cols: Sequence[str], fit_on: DataFrame | None =
 
 # ---------------------------------------------------------------- encoders
 
-def fit_levels(fit_on: DataFrame, cols: Sequence[str]) -> dict[str, list[str]]:
-    """Sorted distinct text levels per column (the width of a one-hot is the level count)."""
+def fit_levels(fit_on: DataFrame, cols: Sequence[str], max_levels: int = 10_000) -> dict[str, list[str]]:
+    """Sorted distinct text levels per column (the width of a one-hot is the level count).
+
+    A column with more than ``max_levels`` levels can't become that many columns: it raises an
+    error that names it (use ``label_encode`` or ``factorize``), so nothing is cut silently."""
     out = {}
     for c in cols:
-        rows = fit_on.where(_q(c).isNotNull()).select(_q(c).cast("string").alias("v")).distinct().collect()
+        rows = fit_on.where(_q(c).isNotNull()).select(_q(c).cast("string").alias("v")).distinct().limit(max_levels + 1).collect()
+        if len(rows) > max_levels:
+            raise ValueError(f"column '{c}' has more than {max_levels} levels: too many to one-hot")
         out[c] = sorted(r["v"] for r in rows)
     return out
 
@@ -218,7 +229,7 @@ class FittedPreprocessor:
     def transform(self, df: DataFrame) -> DataFrame:
         cols = [_q(c) for c in self.keep if c in df.columns]
         for c in self.numeric:
-            filled = F.coalesce(_q(c).cast("double"), F.lit(self.fill[c]).cast("double"))
+            filled = F.coalesce(_num(c), F.lit(self.fill[c]).cast("double"))
             if self.numeric_mode == "median+standard":
                 mean, std = self.scale[c]
                 s = std if (std is not None and std != 0) else 1.0
@@ -262,7 +273,7 @@ def _fit_preprocessor(train: DataFrame, target: str, numeric: str, keep: Sequenc
         fill = fit_median(train, num) if num else {}
     else:
         fill = fit_mean(train, num) if num else {}
-    filled = train.select(*[F.coalesce(_q(c).cast("double"), F.lit(fill[c]).cast("double")).alias(c) for c in num],
+    filled = train.select(*[F.coalesce(_num(c), F.lit(fill[c]).cast("double")).alias(c) for c in num],
                           *[_q(c) for c in cat])
     if numeric == "median+standard":
         scale = fit_standard(filled, num) if num else {}

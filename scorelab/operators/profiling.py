@@ -22,6 +22,12 @@ def numeric_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, NUMERIC) and f.name not in exclude]
 
 
+def present(df: DataFrame, c: str):
+    """The column with NaN as null: both are missing values."""
+    x = F.col(f"`{c}`")
+    return F.when(~F.isnan(x), x) if isinstance(df.schema[c].dataType, (T.FloatType, T.DoubleType)) else x
+
+
 def _dtype(f: T.StructField) -> str:
     return f.dataType.simpleString()
 
@@ -36,9 +42,9 @@ def table_shape(df: DataFrame) -> DataFrame:
 
 
 def column_info(df: DataFrame) -> DataFrame:
-    """column, non_null, nulls, pct_non_null, dtype from one aggregate pass."""
+    """column, non_null, nulls, pct_non_null, dtype from one aggregate pass; NaN counts as null."""
     cols = df.columns
-    one = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count(F.col(f"`{c}`")).alias(f"nn_{i}") for i, c in enumerate(cols)])
+    one = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count(present(df, c)).alias(f"nn_{i}") for i, c in enumerate(cols)])
     rows = F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(f"nn_{i}").alias("non_null"),
                  F.lit(_dtype(df.schema[c])).alias("dtype"))
@@ -58,8 +64,8 @@ def missing_summary(df: DataFrame) -> DataFrame:
 
 
 def null_total(df: DataFrame) -> DataFrame:
-    """Total null cells of the table."""
-    return df.agg(sum((F.count(F.lit(1)) - F.count(F.col(f"`{c}`")) for c in df.columns), F.lit(0)).alias("null_cells"))
+    """Total missing (null or NaN) cells of the table."""
+    return df.agg(sum((F.count(F.lit(1)) - F.count(present(df, c)) for c in df.columns), F.lit(0)).alias("null_cells"))
 
 
 STATS = ("count", "mean", "std", "min", "25%", "50%", "75%", "max")
@@ -69,7 +75,7 @@ def _moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """column -> count, mean, std (sample), min, max; one pass."""
     aggs = []
     for i, c in enumerate(cols):
-        x = F.col(f"`{c}`").cast("double")
+        x = present(df, c).cast("double")
         aggs += [F.count(x).alias(f"c{i}"), F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"),
                  F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
     one = df.agg(*aggs)
@@ -193,7 +199,7 @@ def profile(df: DataFrame, cols: Sequence[str] | None = None, top: int = 5,
     cols = list(cols) if cols is not None else numeric_columns(df)
     aggs = []
     for i, c in enumerate(cols):
-        x = F.col(f"`{c}`").cast("double")
+        x = present(df, c).cast("double")
         aggs += [
             (F.count(F.lit(1)) - F.count(x)).alias(f"miss{i}"),
             F.count_distinct(x).alias(f"dist{i}"),
@@ -218,13 +224,14 @@ def profile(df: DataFrame, cols: Sequence[str] | None = None, top: int = 5,
 
 def _min_max(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[float, float]]:
     """Per-column min / max: one aggregate, a fixed-size row brought to the driver."""
-    row = df.agg(*[F.min(F.col(c).cast("double")).alias(f"lo{i}") for i, c in enumerate(cols)],
-                 *[F.max(F.col(c).cast("double")).alias(f"hi{i}") for i, c in enumerate(cols)]).first()
+    row = df.agg(*[F.min(present(df, c).cast("double")).alias(f"lo{i}") for i, c in enumerate(cols)],
+                 *[F.max(present(df, c).cast("double")).alias(f"hi{i}") for i, c in enumerate(cols)]).first()
     return {c: (row[f"lo{i}"], row[f"hi{i}"]) for i, c in enumerate(cols)}
 
 
 def _bin(col: str, lo: float, hi: float, bins: int):
-    x = F.col(col).cast("double")
+    x = F.col(f"`{col}`").cast("double")
+    x = F.when(~F.isnan(x), x)
     if lo is None or hi is None or hi == lo:
         return F.when(x.isNotNull(), F.lit(0))
     # least() skips nulls in Spark, so keep null values out explicitly
@@ -248,8 +255,8 @@ def histogram(df: DataFrame, cols: Sequence[str], bins: int = 10) -> DataFrame:
 
 
 def pair_bins(df: DataFrame, cols: Sequence[str], bins: int = 10) -> DataFrame:
-    """a, b, bin_a, bin_b, n: 2-D binned counts for every pair of up to 8 numeric columns."""
-    cols = list(cols)[:8]
+    """a, b, bin_a, bin_b, n: 2-D binned counts for every pair of the columns."""
+    cols = list(cols)
     mm = _min_max(df, cols)
     binned = df.select(*[_bin(c, *mm[c], bins).alias(f"b{i}") for i, c in enumerate(cols)])
     pairs = [F.struct(F.lit(cols[i]).alias("a"), F.lit(cols[j]).alias("b"), F.col(f"b{i}").alias("bin_a"),

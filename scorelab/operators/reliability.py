@@ -8,8 +8,11 @@ quantile buckets use exact distributed quantiles.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,8 +92,8 @@ def bucket_quantile(batch: DataFrame, score: str = "reliability_score", group: S
     g = list(group)
     batch = cut_lineage(batch)
     q = batch_quartiles(batch, score, g)
-    j = batch.join(F.broadcast(q), g) if g else batch.withColumn("_k", F.lit(1)).join(
-        F.broadcast(q.withColumn("_k", F.lit(1))), "_k").drop("_k")  # one row per group
+    # one row a group: left to adaptive execution; without groups it is a single row
+    j = batch.join(q, g) if g else batch.withColumn("_k", F.lit(1)).join(F.broadcast(q.withColumn("_k", F.lit(1))), "_k").drop("_k")
     s = F.col(score)
     b = (F.when(s.isNull(), "Unknown").when(s >= F.col("q3"), LABELS[0]).when(s >= F.col("q2"), LABELS[1])
          .when(s >= F.col("q1"), LABELS[2]).otherwise(LABELS[3]))
@@ -110,26 +113,58 @@ def bucket_bounds(batch: DataFrame, score: str = "reliability_score", group: Seq
     return q.select(*g, F.inline(rows))
 
 
+def _matched(weights: DataFrame, g: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """One W a (shared group columns, clean feature name), and the columns to join on. A table
+    with a model column holds weights by model; one without holds the same for all. A feature
+    that occurs twice within a model is an error: the two can't both be right."""
+    on = [c for c in g if c in weights.columns]
+    w = weights.select(*on, clean_feature(F.col("feature")).alias("_fc"), "W").groupBy(*on, "_fc").agg(
+        F.first("W").alias("W"), F.count(F.lit(1)).alias("_n"))
+    twice = F.raise_error(F.concat(F.lit("feature occurs twice in the weights: "), F.col("_fc")))
+    return w.select(*on, "_fc", F.when(F.col("_n") == 1, F.col("W")).otherwise(twice.cast("double")).alias("W")), [*on, "_fc"]
+
+
+def _weighted(phi: DataFrame, weights: DataFrame, g: Sequence[str]) -> DataFrame:
+    w, on = _matched(weights, g)
+    return phi.withColumn("_fc", clean_feature(F.col("feature"))).join(w, on, "left").withColumn(
+        "W", F.coalesce("W", F.lit(0.0)))
+
+
 def row_shares(phi: DataFrame, weights: DataFrame, group: Sequence[str] = ("dataset", "model")) -> DataFrame:
-    """Per row and feature: share = |phi| / sum |phi| (0 when the sum is 0), W, W * share."""
+    """Per row and feature: share = |phi| / sum |phi| (0 when the sum is 0), W, W * share. Weights
+    are matched by feature and by the group columns they have."""
     g = list(group)
-    w = weights.select(clean_feature(F.col("feature")).alias("_fc"), "W")
-    t = phi.withColumn("_fc", clean_feature(F.col("feature"))).join(w, "_fc", "left").withColumn(
-        "W", F.coalesce("W", F.lit(0.0)))
+    t = _weighted(phi, weights, g)
     tot = F.sum(F.abs("phi")).over(Window.partitionBy(*g, "row_id"))
     t = t.withColumn("share", F.when(tot == 0, F.lit(0.0)).otherwise(F.abs("phi") / tot))
     return t.select(*g, "row_id", "feature", "phi", "W", "share", (F.col("W") * F.col("share")).alias("weighted"))
 
 
+def _row_terms(phi: DataFrame, weights: DataFrame, g: Sequence[str]) -> DataFrame:
+    """group..., row_id, GL_term = sum(W share), C_concentration = sum(share^2). One grouped pass:
+    the sums of |phi|, W |phi| and phi^2 give both, so no row is windowed."""
+    a = F.abs("phi")
+    s = _weighted(phi, weights, g).groupBy(*g, "row_id").agg(
+        F.sum(a).alias("_s"), F.sum(F.col("W") * a).alias("_w"), F.sum(a * a).alias("_q"))
+    zero = F.col("_s") == 0
+    return s.select(*g, "row_id", F.when(zero, F.lit(0.0)).otherwise(F.col("_w") / F.col("_s")).alias("GL_term"),
+                    F.when(zero, F.lit(0.0)).otherwise(F.col("_q") / (F.col("_s") * F.col("_s"))).alias("C_concentration"))
+
+
+def model_robustness(phi: DataFrame, weights: DataFrame, group: Sequence[str] = ("dataset", "model")) -> DataFrame:
+    """group..., ER: the mean W over the features that the model's phi table has; a feature
+    without a weight counts as 0. No feature: 0."""
+    g = list(group)
+    feats = phi.select(*g, "feature").distinct()
+    return _weighted(feats, weights, g).groupBy(*g).agg(F.coalesce(F.avg("W"), F.lit(0.0)).alias("ER"))
+
+
 def row_reliability(phi: DataFrame, scores: DataFrame, weights: DataFrame, ratio: float | None,
                     threshold: float = 0.5, group: Sequence[str] = ("dataset", "model")) -> DataFrame:
     """R = W_signal * sum(W share) * sum(share^2) * 4 (p - .5)^2 per row, with p, predicted class
-    (p >= t), ER (mean W over the weight table), W_signal, global reliability, GL, C, D."""
+    (p >= t), ER (mean W over the model's features), W_signal, global reliability, GL, C, D."""
     g = list(group)
-    sh = row_shares(phi, weights, g)
-    per = sh.groupBy(*g, "row_id").agg(F.sum("weighted").alias("GL_term"),
-                                       F.sum(F.col("share") * F.col("share")).alias("C_concentration"))
-    er = float(weights.agg(F.coalesce(F.avg("W"), F.lit(0.0))).first()[0])  # one number per weight table
+    per = _row_terms(phi, weights, g).join(model_robustness(phi, weights, g), g)
     ws = 0.0 if ratio is None or ratio != ratio else min(float(ratio) / 3.0, 1.0)
     s = scores.select(*g, "row_id", F.col("y").alias("actual_default"), F.col("p").alias("pred_proba"))
     j = per.join(s, [*g, "row_id"])
@@ -138,7 +173,7 @@ def row_reliability(phi: DataFrame, scores: DataFrame, weights: DataFrame, ratio
     return j.select(
         *g, "row_id", "pred_proba", (F.col("pred_proba") >= threshold).cast("int").alias("pred_default"),
         F.coalesce(F.when(~F.isnan(r), r), F.lit(0.0)).alias("reliability_score"),
-        F.lit(er).alias("ER_global"), F.lit(ws).alias("W_signal"), F.lit(er * ws).alias("global_reliability"),
+        F.col("ER").alias("ER_global"), F.lit(ws).alias("W_signal"), (F.col("ER") * ws).alias("global_reliability"),
         "GL_term", "C_concentration", d.alias("D_decisiveness"), "actual_default")
 
 
@@ -150,10 +185,8 @@ def row_reliability_simple(phi: DataFrame, weights: DataFrame, ratio: float | No
     w0 = weights.withColumn("W", (1.0 / (1.0 + F.coalesce("avg_rank", F.lit(0.0))))
                             * (1.0 / (1.0 + F.coalesce("std_rank", F.lit(0.0)))))
     ws = 0.0 if ratio is None or ratio != ratio else min(float(ratio), 3.0) / 3.0
-    sh = row_shares(phi, w0, g)
-    per = sh.groupBy(*g, "row_id").agg(F.sum("weighted").alias("_gl"))
-    r = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.lit(ws) * F.col("_gl")))
-    return per.select(*g, "row_id", r.alias("reliability_score")).withColumn(
+    r = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.lit(ws) * F.col("GL_term")))
+    return _row_terms(phi, w0, g).select(*g, "row_id", r.alias("reliability_score")).withColumn(
         "reliability_bucket", bucket_strict(F.col("reliability_score")))
 
 
@@ -206,29 +239,55 @@ def stability_classes(rank_tbl: DataFrame, ratio: float, group: Sequence[str] =
 
 # ---------------------------------------------------------------- bootstrap AUC
 
+def _poisson_weights(ids: np.ndarray, b: int, seed: int) -> np.ndarray:
+    """(rows, b) Poisson(1) counts, a function of (row hash, replicate, seed) alone."""
+    x = ids.astype(np.uint64)[:, None] + (np.arange(1, b + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
+    x ^= x >> np.uint64(30)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    u = (x >> np.uint64(11)).astype(np.float64) / float(1 << 53)
+    cdf = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(18)])
+    return np.searchsorted(cdf, u, side="right")
+
+
 def bootstrap_auc(scores: DataFrame, b: int = 50, seed: int = 42, group: Sequence[str] = ("dataset", "model_group", "model"),
                   by: Sequence[str] = ("dataset",)) -> DataFrame:
-    """B bootstrap AUCs per model (rows resampled per dataset, shared by all models): mean,
-    population std, 2.5 / 97.5 % points, number of usable draws (one-class draws skipped)."""
-    from scorelab.operators.resample import bootstrap_draws
-    from scorelab.plans.ranks import running_totals
+    """B bootstrap AUCs per model (rows weighted per dataset, shared by all models): mean,
+    population std, 2.5 / 97.5 % points, number of usable draws (one-class draws skipped).
+
+    Each row's count in a replicate is a Poisson(1) variable of its (dataset, row id) hash, the
+    usual bootstrap for data of any size: a replicate then has n rows on average, not exactly
+    (``bootstrap_draws`` draws exactly n). Rows keep their replicates side by side as columns, so
+    what is shuffled and sorted is one row a distinct score, not one a draw.
+    """
+    from scorelab.plans.ranks import hash_key, running_totals
 
     g = list(group)
-    rows = scores.select(*by, "row_id").distinct()
-    draws = bootstrap_draws(rows, b, seed, by=by)
-    ws = scores.join(draws, [*by, "row_id"])
-    hist = ws.groupBy(*g, "b", "p").agg(F.sum(F.col("weight") * F.col("y")).alias("pos"),
-                                        F.sum(F.col("weight") * (1 - F.col("y"))).alias("neg"))
-    rt = running_totals(hist, [*g, "b"], "p", ["pos", "neg"])
-    per = rt.groupBy(*g, "b").agg(F.sum(F.col("pos") * (F.col("cum_neg") - F.col("neg") / 2.0)).alias("_num"),
-                                  F.first("tot_pos").alias("_P"), F.first("tot_neg").alias("_N"))
+    pos, neg = [f"pos_{i}" for i in range(b)], [f"neg_{i}" for i in range(b)]
+    rows = scores.select(*g, "p", F.col("y").cast("int").alias("y"), hash_key(seed, *by, "row_id").alias("_h"))
+    fields = [f for f in rows.schema.fields if f.name in [*g, "p"]]
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in fields], *[f"{c} long" for c in [*pos, *neg]]])
+
+    def weigh(batches):
+        for pdf in batches:
+            w = _poisson_weights(pdf["_h"].to_numpy(np.int64).view(np.uint64), b, seed)
+            y = (pdf["y"] == 1).to_numpy()[:, None]
+            counts = pd.DataFrame(np.hstack([w * y, w * ~y]), columns=[*pos, *neg])
+            yield pd.concat([pdf[[f.name for f in fields]].reset_index(drop=True), counts], axis=1)
+
+    hist = rows.mapInPandas(weigh, schema).groupBy(*g, "p").agg(*[F.sum(c).alias(c) for c in [*pos, *neg]])
+    rt = running_totals(hist, g, "p", neg)
+    per = rt.groupBy(*g).agg(*[F.sum(F.col(x) * (F.col(f"cum_{y}") - F.col(y) / 2.0)).alias(f"num_{i}") for i, (x, y) in enumerate(zip(pos, neg))],
+                             *[F.sum(c).alias(c) for c in [*pos, *neg]])
+    per = per.select(*g, F.inline(F.array(*[F.struct(F.lit(i).alias("b"), F.col(f"num_{i}").alias("_num"), F.col(x).alias("_P"), F.col(y).alias("_N"))
+                                            for i, (x, y) in enumerate(zip(pos, neg))])))
     per = per.where((F.col("_P") > 0) & (F.col("_N") > 0)).select(*g, "b", (F.col("_num") / (F.col("_P") * F.col("_N"))).alias("auc"))
     stats = per.groupBy(*g).agg(F.avg("auc").alias("mean"), F.stddev_pop("auc").alias("std"),
-                                F.count(F.lit(1)).alias("n_boot"))
-    q = exact_quantiles(per, ["auc"], [0.025, 0.975], group=g)
-    qw = q.groupBy(*g).pivot("prob", [0.025, 0.975]).agg(F.first("value"))
-    qw = qw.select(*g, F.col("`0.025`").alias("ci_lower"), F.col("`0.975`").alias("ci_upper"))
-    return stats.join(qw, g)
+                                F.count(F.lit(1)).alias("n_boot"),
+                                F.percentile("auc", [0.025, 0.975]).alias("_q"))  # at most b values a model
+    return stats.select(*g, "mean", "std", "n_boot", F.col("_q")[0].alias("ci_lower"), F.col("_q")[1].alias("ci_upper"))
 
 
 def bootstrap_summary(boot: DataFrame, best: DataFrame) -> DataFrame:

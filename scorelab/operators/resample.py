@@ -86,48 +86,43 @@ def oversample_random(df: DataFrame, y: str = "y", seed: int = 42, by: Sequence[
                       id_col: str = "row_id") -> DataFrame:
     """Every class topped up to the majority count by drawing its own rows with replacement.
 
-    Adds ``copy_no`` (0 for the original rows). The extra draws are generated by ``spark.range``
-    (distributed) and resolved to rows by an equi-join on (class, hash rank)."""
+    Adds ``copy_no`` (0 for the original rows). The extra draws are numbered in chunks (distributed)
+    and resolved to rows by an equi-join on (class, hash rank)."""
     by = list(by)
     counts = class_counts(df, y, by)
-    w_by = Window.partitionBy(*_c(by)) if by else Window.partitionBy(F.lit(0))
-    need = counts.withColumn("n_max", F.max("n_class").over(w_by)).withColumn(
-        "n_extra", F.col("n_max") - F.col("n_class")).where(F.col("n_extra") > 0)
-    w_all = Window.orderBy(*_c(by), y).rowsBetween(Window.unboundedPreceding, -1)  # over the class table only
-    need = need.withColumn("_start", F.coalesce(F.sum("n_extra").over(w_all), F.lit(0)))
-    total = need.agg(F.sum("n_extra")).first()[0] or 0
+    w_by = Window.partitionBy(*_c(by)) if by else Window.partitionBy(F.lit(0))  # over the class table only
+    need = counts.withColumn("n_extra", F.max("n_class").over(w_by) - F.col("n_class")).where(F.col("n_extra") > 0)
     ranked = hash_rank(df, [*by, y], seed, id_col)
     base = ranked.drop("_rank", "_n").withColumn("copy_no", F.lit(0))
-    if total == 0:
-        return base
-    spark = df.sparkSession
-    draws = spark.range(int(total)).withColumnRenamed("id", "_j")
-    # map each draw index to its class by the cumulative starts (a range join on a tiny table)
-    d = draws.join(F.broadcast(need.select(*by, y, "_start", "n_extra", "n_class")),
-                   (F.col("_j") >= F.col("_start")) & (F.col("_j") < F.col("_start") + F.col("n_extra")))
-    d = d.withColumn("_rank", F.pmod(hash_key(seed + 1, F.col("_j")), F.col("n_class")))
-    d = d.withColumn("copy_no", (F.col("_j") - F.col("_start") + 1).cast("int"))
+    d = numbered(need.select(*by, y, "n_class", "n_extra"), "n_extra", "_j")
+    d = d.withColumn("_rank", F.pmod(hash_key(seed + 1, *by, y, "_j"), F.col("n_class")))
+    d = d.withColumn("copy_no", (F.col("_j") + 1).cast("int"))
     extra = d.select(*by, y, "_rank", "copy_no").join(ranked.drop("_n"), [*by, y, "_rank"]).drop("_rank")
     return base.unionByName(extra.select(*base.columns))
 
 
+def numbered(df: DataFrame, count_col: str, number_col: str, chunk: int = 100_000) -> DataFrame:
+    """Each row repeated ``count_col`` times with a number from 0. Counts are first cut into chunks
+    that are spread over the cluster, so one row with a huge count is no single task."""
+    last = F.floor((F.col(count_col) - 1) / chunk)
+    chunks = df.where(F.col(count_col) > 0).withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    chunks = chunks.repartition(*[c for c in chunks.columns])
+    upto = F.least((F.col("_chunk") + 1) * chunk, F.col(count_col)) - 1
+    return chunks.withColumn(number_col, F.explode(F.sequence(F.col("_chunk") * chunk, upto))).drop("_chunk", count_col)
+
+
 def bootstrap_draws(df: DataFrame, b: int = 50, seed: int = 42, by: Sequence[str] = ("dataset",),
                     id_col: str = "row_id") -> DataFrame:
     """(by..., b, row_id, weight): B resamples of size n with replacement per stratum.
 
-    Draw i of replicate b picks rank pmod(hash(seed, b, i), n); B*n draws come from
-    ``spark.range`` and are resolved by an equi-join on the exact hash rank, then counted."""
+    Draw i of replicate b picks rank pmod(hash(seed, stratum, b, i), n); the B*n draws are numbered
+    in chunks, counted, and resolved by an equi-join on the exact hash rank."""
     by = list(by)
     ranked = hash_rank(df.select(*by, id_col), by, seed, id_col)
     sizes = ranked.groupBy(*by).agg(F.first("_n").alias("_n"))
-    w = Window.orderBy(*_c(by)).rowsBetween(Window.unboundedPreceding, -1)  # one row per stratum
-    sizes = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    total = sizes.agg(F.sum("_n")).first()[0] or 0
-    spark = df.sparkSession
-    ids = spark.range(int(total) * b).select((F.col("id") % F.lit(int(total))).alias("_i"),
-                                             (F.col("id") / F.lit(int(total))).cast("int").alias("b"))
-    d = ids.join(F.broadcast(sizes), (F.col("_i") >= F.col("_start")) & (F.col("_i") < F.col("_start") + F.col("_n")))
-    d = d.withColumn("_rank", F.pmod(hash_key(seed, F.col("b"), F.col("_i")), F.col("_n")))
+    draws = sizes.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(b - 1)))).withColumn("_count", F.col("_n"))
+    d = numbered(draws, "_count", "_i")
+    d = d.withColumn("_rank", F.pmod(hash_key(seed, *by, "b", "_i"), F.col("_n")))
     picks = d.groupBy(*by, "b", "_rank").agg(F.count(F.lit(1)).alias("weight"))
     return picks.join(ranked.select(*by, "_rank", id_col), [*by, "_rank"]).select(*by, "b", id_col, "weight")
 

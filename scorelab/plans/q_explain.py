@@ -40,17 +40,31 @@ RANKS = """tr AS (SELECT model, dataset AS trial, feature, avg(abs(phi)) AS abs_
 trr AS (SELECT *, row_number() OVER (PARTITION BY model, trial ORDER BY abs_mean DESC, feature) AS rank FROM tr),
 rk AS (SELECT model, feature, avg(rank) AS avg_rank, stddev_pop(rank) AS std_rank FROM trr GROUP BY model, feature),
 wt AS (SELECT *, coalesce(1 / (1 + avg_rank) * (1 / (1 + coalesce(std_rank, 0))), 0) AS W FROM rk)"""
+# The reliability queries run on two models; the second has no weight for one of its features.
+COEFS_B = {"o_totalprice": 3e-06, "n_lines": 0.15, "avg_discount": 4.0, "sum_qty": -0.02}
+INTERCEPT_B = 0.1
+UNRANKED_B = "sum_qty"
+MODELS = (("linear_fixed", COEFS, INTERCEPT), ("linear_other", COEFS_B, INTERCEPT_B))
+SC2 = "sc AS (" + " UNION ALL ".join(
+    f"SELECT dataset, 'linear' AS model_group, '{m}' AS model, row_id, y, 1 / (1 + exp(-({_lit(b)}"
+    + "".join(f" + coalesce({c}, 0) * {_lit(w)}" for c, w in ws.items()) + "))) AS p FROM credit_orders" for m, ws, b in MODELS) + ")"
+PHI2 = f"{MU}, phi AS (" + " UNION ALL ".join(
+    f"SELECT dataset, '{m}' AS model, row_id, '{c}' AS feature, {_lit(w)} * (coalesce({c}, 0) - m_{c}) AS phi FROM credit_orders, mu"
+    for m, ws, _ in MODELS for c, w in ws.items()) + ")"
+RANKS2 = RANKS.replace("SELECT *, coalesce(1 / (1 + avg_rank)", "SELECT * FROM (SELECT *, coalesce(1 / (1 + avg_rank)").replace(
+    "AS W FROM rk)", f"AS W FROM rk) WHERE NOT (model = 'linear_other' AND feature = '{UNRANKED_B}'))")
 ROWREL = f"""sh AS (SELECT phi.dataset, phi.model, phi.row_id, phi.feature, phi.phi, coalesce(wt.W, 0) AS W,
    CASE WHEN sum(abs(phi.phi)) OVER (PARTITION BY phi.dataset, phi.model, phi.row_id) = 0 THEN 0
         ELSE abs(phi.phi) / sum(abs(phi.phi)) OVER (PARTITION BY phi.dataset, phi.model, phi.row_id) END AS share
-   FROM phi LEFT JOIN wt ON string_split(phi.feature, '__')[-1] = string_split(wt.feature, '__')[-1]),
+   FROM phi LEFT JOIN wt ON phi.model = wt.model AND string_split(phi.feature, '__')[-1] = string_split(wt.feature, '__')[-1]),
 per AS (SELECT dataset, model, row_id, sum(W * share) AS GL_term, sum(share * share) AS C_concentration FROM sh GROUP BY ALL),
-er AS (SELECT coalesce(avg(W), 0) AS ER FROM wt),
+er AS (SELECT dataset, model, avg(W) AS ER FROM (SELECT DISTINCT dataset, model, feature, W FROM sh) GROUP BY ALL),
 rr AS (SELECT per.dataset, per.model, per.row_id, sc.p AS pred_proba, CAST(sc.p >= 0.5 AS INTEGER) AS pred_default,
    coalesce({_lit(min(RATIO / 3, 1.0))} * GL_term * C_concentration * (4 * (sc.p - 0.5) * (sc.p - 0.5)), 0) AS reliability_score,
    er.ER AS ER_global, {_lit(min(RATIO / 3, 1.0))} AS W_signal, er.ER * {_lit(min(RATIO / 3, 1.0))} AS global_reliability,
    GL_term, C_concentration, 4 * (sc.p - 0.5) * (sc.p - 0.5) AS D_decisiveness, sc.y AS actual_default
-   FROM per JOIN sc ON per.dataset = sc.dataset AND per.model = sc.model AND per.row_id = sc.row_id, er),
+   FROM per JOIN sc ON per.dataset = sc.dataset AND per.model = sc.model AND per.row_id = sc.row_id
+   JOIN er ON per.dataset = er.dataset AND per.model = er.model),
 qq AS (SELECT dataset, model, quantile_cont(reliability_score, 0.25) AS q1, quantile_cont(reliability_score, 0.5) AS q2,
    quantile_cont(reliability_score, 0.75) AS q3, min(reliability_score) AS smin, max(reliability_score) AS smax FROM rr GROUP BY ALL),
 br AS (SELECT rr.*, CASE WHEN reliability_score IS NULL THEN 'Unknown' WHEN reliability_score >= q3 THEN 'Reliable'
@@ -82,8 +96,30 @@ def weights(spark, d):
     return RL.feature_weights(ranks(spark, d))
 
 
+def phi2(spark, d):
+    """Shapley values of both models of the reliability queries."""
+    o = orders(spark, d)
+    parts = [X.shapley_linear(o, o.drop("dataset"), ws, b, ["dataset"], m) for m, ws, b in MODELS]
+    return parts[0].unionByName(parts[1])
+
+
+def scores2(spark, d):
+    o = orders(spark, d)
+    parts = [X.score_linear(o, ws, b, m) for m, ws, b in MODELS]
+    return parts[0].unionByName(parts[1])
+
+
+def ranks2(spark, d):
+    r = X.rank_stability(phi2(spark, d), trial="dataset", group=["model"])
+    return r.where(~((F.col("model") == "linear_other") & (F.col("feature") == UNRANKED_B)))
+
+
+def weights2(spark, d):
+    return RL.feature_weights(ranks2(spark, d))
+
+
 def rowrel(spark, d):
-    return RL.row_reliability(phi(spark, d), scores(spark, d), weights(spark, d), RATIO)
+    return RL.row_reliability(phi2(spark, d), scores2(spark, d), weights2(spark, d), RATIO)
 
 
 @query("score_linear", f"WITH {SC} SELECT *, CAST(p >= 0.5 AS INTEGER) AS pred FROM sc", views=V, rnd=["p"])
@@ -329,7 +365,7 @@ def q_global_reliability(spark, d):
 
 
 def _rr_sql(select: str) -> str:
-    return f"WITH {PHI}, {SC}, {RANKS}, {ROWREL} {select}"
+    return f"WITH {PHI2}, {SC2}, {RANKS2}, {ROWREL} {select}"
 
 
 @query("row_reliability", _rr_sql("SELECT * FROM rr"), views=V, rnd=RR_DBL)
@@ -341,7 +377,7 @@ def q_row_reliability(spark, d):
 @query("batch_reliability", _rr_sql("SELECT * FROM br"), views=V, rnd=RR_DBL)
 def q_batch_reliability(spark, d):
     """Row reliability of the whole batch with actual labels and quantile buckets."""
-    return RL.batch_reliability(phi(spark, d), scores(spark, d), weights(spark, d), RATIO)
+    return RL.batch_reliability(phi2(spark, d), scores2(spark, d), weights2(spark, d), RATIO)
 
 
 @query("bucket_fixed", _rr_sql("""SELECT dataset, model, row_id, CASE WHEN reliability_score IS NULL THEN 'Unknown'
@@ -382,7 +418,7 @@ def q_bucket_bounds(spark, d):
        views=V, rnd=["phi", "W", "share", "weighted"])
 def q_row_shares(spark, d):
     """Local |phi| shares and weighted shares of every feature in every row."""
-    return RL.row_shares(phi(spark, d), weights(spark, d))
+    return RL.row_shares(phi2(spark, d), weights2(spark, d))
 
 
 @query("row_reliability_simple", _rr_sql(f"""SELECT *, CASE WHEN reliability_score >= 0.75 THEN 'Reliable'
@@ -392,7 +428,7 @@ def q_row_shares(spark, d):
        views=V, rnd=["reliability_score"])
 def q_row_reliability_simple(spark, d):
     """R = clip(W_signal * sum W share) with the strict bucket, every order."""
-    return RL.row_reliability_simple(phi(spark, d), ranks(spark, d), RATIO)
+    return RL.row_reliability_simple(phi2(spark, d), ranks2(spark, d), RATIO)
 
 
 @query("reliability_summary_stats", _rr_sql("""SELECT dataset, model, CAST(count(reliability_score) AS DOUBLE) AS count,
@@ -408,7 +444,7 @@ def q_reliability_summary_stats(spark, d):
 @query("bucket_counts", _rr_sql("SELECT dataset, model, reliability_bucket, count(*) AS n FROM br GROUP BY ALL"), views=V)
 def q_bucket_counts(spark, d):
     """Rows per quantile bucket per dataset."""
-    b = RL.batch_reliability(phi(spark, d), scores(spark, d), weights(spark, d), RATIO)
+    b = RL.batch_reliability(phi2(spark, d), scores2(spark, d), weights2(spark, d), RATIO)
     return RL.bucket_counts(b, group=["dataset", "model"])
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 import datetime as _dt
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from scorelab.operators import resample as S
@@ -35,9 +36,12 @@ def q_read_dataset(spark, d):
 @query("read_many", """SELECT 'orders' AS dataset, count(*) AS n_rows FROM orders
 UNION ALL SELECT 'customer', count(*) FROM customer UNION ALL SELECT 'missing', NULL""")
 def q_read_many(spark, d):
-    """orders + customer + a missing file: two datasets loaded, the missing one recorded as an error."""
+    """orders + customer (written as CSV first) + a missing file: two datasets loaded, the missing one
+    recorded as an error."""
+    csv = f"{scratch(spark)}/customer.csv"
+    table(spark, d, "customer").write.option("header", True).csv(csv)
     specs = [{"path": f"{d}/orders.parquet", "name": "orders", "target": None, "fmt": "parquet", "key": "o_orderkey"},
-             {"path": f"{d}/customer.parquet", "name": "customer", "target": None, "fmt": "parquet", "key": "c_custkey"},
+             {"path": csv, "name": "customer", "target": None, "fmt": "csv", "key": "c_custkey"},
              {"path": f"{d}/no_such_table.parquet", "name": "missing", "target": None, "fmt": "parquet"}]
     out, errors = IO.read_many(spark, specs)
     counts = out.groupBy("dataset").agg(F.count(F.lit(1)).alias("n_rows"))
@@ -61,15 +65,17 @@ def q_save_split(spark, d):
     return IO.save_split(s, scratch(spark), "customer", 42)
 
 
-@query("result_table_io")
+@query("result_table_io", """SELECT user_id, event_type, n, total FROM (SELECT user_id, event_type, count(*) AS n, NULL::DOUBLE AS total FROM events GROUP BY ALL
+  UNION ALL SELECT user_id, NULL, NULL, sum(value) FROM events GROUP BY user_id)""", rnd=["total"])
 def q_result_table_io(spark, d):
-    """The order metric bundle saved as a result table and loaded back; a missing table loads as None."""
-    from scorelab.plans.q_bench import wide
-
-    root = scratch(spark)
-    IO.result_table_io(wide(spark, d), root, "benchmark", "orders")
-    assert IO.result_table_io(None, root, "benchmark", "nope", spark) is None
-    return IO.result_table_io(None, root, "benchmark", "orders", spark)
+    """Two kinds of result tables with different columns, saved and loaded back; a missing table
+    loads as None."""
+    root, ev = scratch(spark), table(spark, d, "events")
+    IO.result_table_io(ev.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n")), root, "counts", "events")
+    IO.result_table_io(ev.groupBy("user_id").agg(F.sum("value").alias("total")), root, "totals", "events")
+    assert IO.result_table_io(None, root, "counts", "nope", spark) is None
+    parts = [IO.result_table_io(None, root, kind, "events", spark) for kind in ("counts", "totals")]
+    return parts[0].unionByName(parts[1], allowMissingColumns=True)
 
 
 def _records_root(spark, d) -> str:
@@ -143,12 +149,20 @@ def q_sanitize_name(spark, d):
     return p.select("page_id", IO.sanitize_name("url").alias("name"))
 
 
-@query("dataset_fingerprint")
+@query("dataset_fingerprint", """SELECT dataset, n_rows, stale FROM (SELECT dataset, count(*) AS n_rows, false AS stale FROM credit_orders GROUP BY dataset
+  UNION ALL SELECT dataset || ' doubled', 2 * count(*), true FROM credit_orders GROUP BY dataset
+  UNION ALL SELECT dataset || ' changed', count(*), true FROM credit_orders GROUP BY dataset)""", views=("credit_orders",))
 def q_dataset_fingerprint(spark, d):
-    """Content signature of each orders dataset, compared with itself (not stale) ."""
+    """Signature of each orders dataset against the stored one: the same rows, every row twice, and
+    one column changed by a null."""
     o = credit_orders(spark, d)
-    sig = IO.dataset_fingerprint(o)
-    return IO.dataset_fingerprint(o, sig)
+    stored = IO.dataset_fingerprint(o)
+    first = F.col("row_id") == F.min("row_id").over(Window.partitionBy("dataset"))
+    changed = o.withColumn("_f", first).withColumn("n_lines", F.when(~F.col("_f"), F.col("n_lines"))).drop("_f")
+    same = IO.dataset_fingerprint(o, stored)
+    twice = IO.dataset_fingerprint(o.unionAll(o), stored).withColumn("dataset", F.concat("dataset", F.lit(" doubled")))
+    other = IO.dataset_fingerprint(changed, stored).withColumn("dataset", F.concat("dataset", F.lit(" changed")))
+    return same.unionByName(twice).unionByName(other).select("dataset", "n_rows", "stale")
 
 
 @query("stream_value_counts", "SELECT event_type AS value, count(*) AS count FROM events GROUP BY event_type")

@@ -77,24 +77,25 @@ def q_scale_minmax(spark, d):
     return R.scale_minmax(credit_orders(spark, d), NUM)
 
 
-# dynamic PIVOT cannot see CTEs, so it reads the base table (same rows and keys as credit_orders)
-ONEHOT_SQL = """oh AS (PIVOT (SELECT o_orderkey AS row_id, 'o_orderpriority=' || o_orderpriority AS k, 1 AS one FROM orders)
-  ON k USING coalesce(max(one), 0) GROUP BY row_id)"""
+# The order priorities of the star schema.
+PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
 
-@query("one_hot", f"""WITH {ONEHOT_SQL}
-SELECT c.dataset, c.row_id, c.o_totalprice, c.n_lines, c.avg_discount, c.sum_qty, c.y, oh.* EXCLUDE (row_id)
-FROM credit_orders c JOIN oh USING (row_id)""", views=("credit_orders",), rnd=NUM)
+def _dummies(col: str, levels: list[str], one: str = "1", zero: str = "0") -> str:
+    return ", ".join(f"""CASE WHEN {col} = '{v}' THEN {one} ELSE {zero} END AS "{col}={v}\"""" for v in levels)
+
+
+@query("one_hot", f"""SELECT dataset, row_id, o_totalprice, n_lines, avg_discount, sum_qty, y, {_dummies("o_orderpriority", PRIORITIES)}
+FROM credit_orders""", views=("credit_orders",), rnd=NUM)
 def q_one_hot(spark, d):
     """Full one-hot of order priority (levels learned from the data)."""
     return R.one_hot(credit_orders(spark, d), ["o_orderpriority"])
 
 
-@query("dummies_with_null", f"""WITH {SMALL_SQL}, oh AS (PIVOT (SELECT row_number() OVER () AS rid, l_orderkey, l_linenumber, l_quantity,
-  coalesce(nullif(l_discount, 0.0::DOUBLE), 0) AS l_discount, coalesce(nullif(l_tax, 0.08::DOUBLE), 0) AS l_tax,
-  'l_returnflag=' || coalesce(nullif(l_returnflag, 'N'), 'null') AS k, 1 AS one FROM lineitem)
-  ON k USING coalesce(max(one), 0) GROUP BY rid, l_orderkey, l_linenumber, l_quantity, l_discount, l_tax)
-SELECT * EXCLUDE (rid) FROM oh""", views=("lineitem_gaps",), rnd=DBL)
+@query("dummies_with_null", f"""SELECT l_orderkey, l_linenumber, l_quantity, coalesce(nullif(l_discount, 0.0::DOUBLE), 0) AS l_discount,
+  coalesce(nullif(l_tax, 0.08::DOUBLE), 0) AS l_tax, {_dummies("l_returnflag", ["A", "R"])},
+  CASE WHEN l_returnflag IS NULL OR l_returnflag = 'N' THEN 1 ELSE 0 END AS "l_returnflag=null"
+FROM lineitem""", rnd=DBL)
 def q_dummies_with_null(spark, d):
     """Return flag one-hot with a null indicator, numeric nulls -> 0."""
     return R.dummies_with_null(small(spark, d), ["l_returnflag"])
@@ -132,31 +133,15 @@ PRE_SQL = ("imp AS (SELECT dataset, row_id, y, o_orderpriority, "
                        f"stddev_pop({c}) END FROM imp) AS {c}" for c in NUM) + " FROM imp)")
 
 
-@query("fit_preprocessor", f"""WITH {PRE_SQL}, oh AS (PIVOT (SELECT o_orderkey AS row_id, 'o_orderpriority=' || o_orderpriority AS k,
-  1.0::DOUBLE AS one FROM orders) ON k USING coalesce(max(one), 0.0::DOUBLE) GROUP BY row_id)
-SELECT sc.dataset, sc.row_id, sc.y, {', '.join('sc.' + c for c in NUM)}, oh.* EXCLUDE (row_id)
-FROM sc JOIN oh USING (row_id)""", views=("credit_orders",), rnd=NUM + [
-    f"o_orderpriority={p}" for p in ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]])
+@query("fit_preprocessor", f"""WITH {PRE_SQL}
+SELECT dataset, row_id, y, {', '.join(NUM)}, {_dummies("o_orderpriority", PRIORITIES, "1.0::DOUBLE", "0.0::DOUBLE")}
+FROM sc""", views=("credit_orders",), rnd=NUM + [f"o_orderpriority={p}" for p in PRIORITIES])
 def q_fit_preprocessor(spark, d):
     """Median + standard scaling for numbers, mode + one-hot for text, learned on the rows, applied."""
     df = credit_orders(spark, d)
     return R.fit_preprocessor(df, "y").transform(df)
 
 
-@query("split_by_type", """SELECT * FROM (VALUES ('dataset', 'cat'), ('row_id', 'num'), ('o_totalprice', 'num'),
-  ('n_lines', 'num'), ('avg_discount', 'num'), ('sum_qty', 'num'), ('o_orderpriority', 'cat')) AS t("column", kind)""")
-def q_split_by_type(spark, d):
-    """Numeric vs categorical columns of the orders dataset (target excluded)."""
-    return J.split_by_type(credit_orders(spark, d), "y")
-
-
-@query("candidate_features", """SELECT * FROM (VALUES (0, 'dataset'), (1, 'row_id'), (2, 'o_totalprice'), (3, 'n_lines'),
-  (4, 'avg_discount'), (5, 'sum_qty'), (6, 'o_orderpriority')) AS t(position, "column")""")
-def q_candidate_features(spark, d):
-    """Feature candidates: all columns but the target, in order."""
-    return J.candidate_features(credit_orders(spark, d), "y")
-
-
 @query("select_features", "SELECT o_totalprice, sum_qty, y FROM credit_orders", views=("credit_orders",),
        rnd=["o_totalprice", "sum_qty"])
 def q_select_features(spark, d):
@@ -172,7 +157,7 @@ def importance_by_corr(df):
     return t.select("feature", F.abs("r").alias("importance"))
 
 
-@query("select_top_features", f"""WITH {ONEHOT_SQL}, j AS (SELECT * FROM credit_orders JOIN oh USING (row_id)),
+@query("select_top_features", f"""WITH j AS (SELECT *, {_dummies("o_orderpriority", PRIORITIES)} FROM credit_orders),
 imp AS (""" + " UNION ALL ".join(
     [f"SELECT '{c}' AS feature, abs(corr({c}, y)) AS importance FROM j" for c in NUM]
     + [f"SELECT 'o_orderpriority={p}', abs(corr(\"o_orderpriority={p}\", y)) FROM j"
@@ -219,9 +204,3 @@ def q_row_lookup(spark, d):
 def q_pick_instances(spark, d):
     """Explicit instance list (invalid ids ignored)."""
     return J.pick_instances(credit_orders(spark, d), [1, 2, 3, 7, 999999999])
-
-
-@query("require_columns")
-def q_require_columns(spark, d):
-    """Is the target present in the orders dataset, and what else is there."""
-    return J.require_columns(credit_orders(spark, d), ["y", "target"])

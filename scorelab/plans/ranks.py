@@ -4,17 +4,14 @@ Many credit metrics need running totals along the score (AUC, KS, ROC, H, midran
 ``Window.partitionBy(group).orderBy(score)`` pushes every row of a group through one task, and
 one group may hold a third of all rows. ``running_totals`` instead:
 
-0. materialises its (already collapsed) input once with a reliable checkpoint, since it is read
-   twice,
-1. takes approximate quantile cut points of the order column per group (a small table that is
-   checkpointed so a retried stage sees the same cuts),
-2. gives every row a bucket that is a function of its order value only (equal values share a
-   bucket, so cuts always fall between distinct values),
+1. deals its (already collapsed) input by range of (group, order value), so equal values meet in one
+   range, ranges are as many as the shuffle is wide, and any sortable type works,
+2. writes it once with the range's number as its bucket (a retried stage sees the same ranges),
 3. sums each bucket (partial aggregation) and turns those sums into per-bucket offsets with a
-   window over the tiny ``(group, bucket)`` table,
+   window over the small ``(group, bucket)`` table,
 4. runs the ordered window inside ``(group, bucket)`` only and adds the offset.
 
-Parallelism is groups x buckets; the only data that meets on one task is one bucket.
+The only data that meets on one task is one range.
 
 ``hash_rank`` gives an exact, seeded, partition-independent rank of rows within a stratum
 with the same bucket idea: the bucket is the top bits of a 64-bit hash, so no sampling is needed.
@@ -29,49 +26,14 @@ from pyspark.sql import functions as F
 
 from scorelab.session import cut_lineage
 
-DEFAULT_BUCKETS = 64
-# distinct order values one window task should sort at most, before a group is cut into buckets
-ROWS_PER_BUCKET = 200_000
-
 
 def _cols(names: Sequence[str]) -> list[Column]:
     return [F.col(c) for c in names]
 
 
 def default_buckets(df: DataFrame) -> int:
-    """Most buckets per group: twice the shuffle width, so a hot group spreads over the cluster."""
-    try:
-        n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))
-    except Exception:  # pragma: no cover - conf not readable
-        n = 8
-    return max(16, 2 * n)
-
-
-def order_cuts(df: DataFrame, group: Sequence[str], order_col: str, buckets: int,
-               rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """Approximate quantile cut points of ``order_col`` per group, checkpointed (group-sized).
-
-    A group gets ceil(n / rows_per_bucket) buckets (at most ``buckets``): small groups stay one
-    bucket, a group holding a third of the data is spread over the cluster."""
-    fracs = [i / buckets for i in range(1, buckets)]
-    t = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"),
-                               F.percentile_approx(order_col, fracs, 10 * buckets).alias("_all"))
-    k = F.least(F.lit(buckets), F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(rows_per_bucket))))
-    step = F.ceil(F.lit(buckets) / k)
-    kept = F.filter("_all", lambda x, i: ((i + 1) % step) == 0)
-    cuts = t.select(*group, F.array_sort(F.array_distinct(kept)).alias("_cuts"))
-    return cut_lineage(cuts)
-
-
-def with_buckets(df: DataFrame, group: Sequence[str], order_col: str, buckets: int | None = None,
-                 rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """Add ``_bucket``: number of cut points strictly below the order value."""
-    buckets = buckets or default_buckets(df)
-    cuts = order_cuts(df, group, order_col, buckets, rows_per_bucket)
-    # one row per group; AQE broadcasts it when its measured size is under the threshold
-    joined = df.join(cuts, list(group), "left")
-    bucket = F.size(F.filter("_cuts", lambda c: c < F.col(order_col)))
-    return joined.withColumn("_bucket", bucket).drop("_cuts")
+    """Hash buckets of a stratum: twice the shuffle width."""
+    return max(16, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def running_totals(
@@ -81,35 +43,23 @@ def running_totals(
     sum_cols: Sequence[str],
     buckets: int | None = None,
     descending: bool = False,
-    bucket_col: Column | None = None,
-    rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """Inclusive running sums of ``sum_cols`` along ``order_col`` within ``group``.
 
-    ``bucket_col``: a precomputed bucket that is monotone in the order (e.g. a string prefix for
-    text, where quantile cuts do not exist); otherwise quantile cuts are taken.
-
     ``df`` should have one row per (group, order value) (collapse first; ties then share a row).
-    Adds ``cum_<c>`` (inclusive) and ``tot_<c>`` (group total) for every c in ``sum_cols``.
-    With duplicate order values the order among them is by the remaining columns of ``df``
-    being undefined, so callers collapse ties first.
+    Adds ``_bucket`` (the range), ``cum_<c>`` (inclusive) and ``tot_<c>`` (group total) for every c
+    in ``sum_cols``. ``buckets`` fixes the number of ranges; by default it is the shuffle width,
+    and adaptive execution joins small ranges.
     """
     group = list(group)
     if not group:
-        out = running_totals(df.withColumn("_g", F.lit(0)), ["_g"], order_col, sum_cols, buckets, descending,
-                             bucket_col, rows_per_bucket)
+        out = running_totals(df.withColumn("_g", F.lit(0)), ["_g"], order_col, sum_cols, buckets, descending)
         return out.drop("_g")
     key = F.col(order_col).desc() if descending else F.col(order_col).asc()
-    if bucket_col is not None:
-        tagged = df.withColumn("_bucket", bucket_col)
-    else:
-        # the (collapsed) input is read twice, for the cuts and for the ordered pass: write it once
-        # to the shared checkpoint folder instead of computing its lineage twice
-        df = cut_lineage(df)
-        tagged = with_buckets(df, group, order_col, buckets, rows_per_bucket)
-    if descending and bucket_col is None:
-        tagged = tagged.withColumn("_bucket", -F.col("_bucket"))
-    bucket_order = F.col("_bucket").desc() if (descending and bucket_col is not None) else F.col("_bucket").asc()
+    along = [*_cols(group), F.col(order_col)]
+    dealt = df.repartitionByRange(buckets, *along) if buckets else df.repartitionByRange(*along)
+    tagged = cut_lineage(dealt.withColumn("_bucket", F.spark_partition_id()))
+    bucket_order = F.col("_bucket").desc() if descending else F.col("_bucket").asc()
 
     per_bucket = tagged.groupBy(*group, "_bucket").agg(*[F.sum(c).alias(f"_b_{c}") for c in sum_cols])
     wb = Window.partitionBy(*_cols(group)).orderBy(bucket_order).rowsBetween(Window.unboundedPreceding, -1)
@@ -195,8 +145,8 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
 
     Returns ``(group..., column, prob, value)``. Never buffers a column in one task: values are
     collapsed to a (column, value) -> count histogram, running counts come from
-    ``running_totals``, and the two order statistics around h = (n - 1) q are picked by a range
-    test on the running count. Nulls are ignored.
+    ``running_totals``, and in one pass over them each value answers the probabilities whose order
+    statistics around h = (n - 1) q it covers. Nulls and NaN are ignored.
     """
     group = list(group)
     long = df.select(*group, F.explode(F.array(*[
@@ -205,20 +155,24 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     keys = [*group, "column"]
     hist = long.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("_cnt"))
     rt = running_totals(hist, keys, "value", ["_cnt"], buckets)
-    # one row per (key, prob): the two 0-based ranks lo, hi that straddle h
-    pr = F.explode(F.array(*[F.lit(float(q)) for q in probs])).alias("prob")
-    need = rt.select(*keys, "tot__cnt").distinct().select(*keys, "tot__cnt", pr)
-    need = need.withColumn("_h", (F.col("tot__cnt") - 1) * F.col("prob")).withColumn(
-        "_lo", F.floor("_h")).withColumn("_hi", F.least(F.col("_lo") + 1, F.col("tot__cnt") - 1))
-    start = F.col("cum__cnt") - F.col("_cnt")  # 0-based rank of the first copy of this value
-    v = rt.select(*keys, "value", start.alias("_s"), F.col("cum__cnt").alias("_e"))
-    lo = need.join(v, keys).where((F.col("_s") <= F.col("_lo")) & (F.col("_lo") < F.col("_e")))
-    lo = lo.select(*keys, "prob", "_h", "_lo", "_hi", F.col("value").alias("_vlo"))
-    hi = need.join(v, keys).where((F.col("_s") <= F.col("_hi")) & (F.col("_hi") < F.col("_e")))
-    hi = hi.select(*keys, "prob", F.col("value").alias("_vhi"))
-    out = lo.join(hi, [*keys, "prob"])
-    frac = F.col("_h") - F.col("_lo")
-    return out.select(*keys, "prob", (F.col("_vlo") + frac * (F.col("_vhi") - F.col("_vlo"))).alias("value"))
+    # each value covers the 0-based ranks [start, end); it answers the probabilities whose two
+    # straddling ranks fall among them. Few values answer any, so little is left to group.
+    n, start, end = F.col("tot__cnt"), F.col("cum__cnt") - F.col("_cnt"), F.col("cum__cnt")
+
+    def straddle(q):
+        h = (n - 1) * q
+        lo = F.floor(h)
+        return F.struct(q.alias("prob"), h.alias("h"), lo.alias("lo"), F.least(lo + 1, n - 1).alias("hi"))
+
+    wanted = F.transform(F.array(*[F.lit(float(q)) for q in probs]), straddle)
+    within = lambda r: (start <= r) & (r < end)
+    hits = rt.select(*keys, "value", start.alias("_s"), end.alias("_e"),
+                     F.explode(F.filter(wanted, lambda t: within(t["lo"]) | within(t["hi"]))).alias("_t"))
+    at = lambda r: (F.col("_s") <= F.col(r)) & (F.col(r) < F.col("_e"))
+    out = hits.groupBy(*keys, F.col("_t.prob").alias("prob")).agg(
+        F.max(F.when(at("_t.lo"), F.col("value"))).alias("_vlo"), F.max(F.when(at("_t.hi"), F.col("value"))).alias("_vhi"),
+        F.first(F.col("_t.h") - F.col("_t.lo")).alias("_frac"))
+    return out.select(*keys, "prob", (F.col("_vlo") + F.col("_frac") * (F.col("_vhi") - F.col("_vlo"))).alias("value"))
 
 
 def dense_codes(df: DataFrame, col: str, order_col: str | None = None, group: Sequence[str] = (),
@@ -226,8 +180,7 @@ def dense_codes(df: DataFrame, col: str, order_col: str | None = None, group: Se
     """Code 0..k-1 for the distinct values of ``col`` (per ``group``), in the order of ``order_col``.
 
     ``order_col`` defaults to the value itself (lexicographic for text). Built on the distinct
-    values only, with running counts by bucket: text is bucketed by its first two characters
-    (monotone in the byte order Spark sorts by), numbers by quantile cuts.
+    values only, with running counts by range.
     Returns ``(group..., col, code)``.
     """
     group = list(group)
@@ -238,7 +191,5 @@ def dense_codes(df: DataFrame, col: str, order_col: str | None = None, group: Se
     else:
         levels = vals.groupBy(*group, col).agg(F.min(order_col).alias(order_col))
     levels = levels.withColumn("_one", F.lit(1))
-    dtype = dict(levels.dtypes)[order_col]
-    bucket = F.substring(F.col(order_col), 1, 2) if dtype == "string" else None
-    rt = running_totals(levels, group, order_col, ["_one"], bucket_col=bucket)
+    rt = running_totals(levels, group, order_col, ["_one"])
     return rt.select(*group, col, (F.col("cum__one") - 1).cast("int").alias(code_col))

@@ -49,12 +49,17 @@ def ship_package(spark: SparkSession) -> None:
         for p in sorted(root.rglob("*.py")):
             z.write(p, Path(root.name) / p.relative_to(root))
     sc.addPyFile(name)
+    # rows may be whole documents: smaller Arrow batches bound what a Python worker holds (a setting
+    # of the caller's own is left as it is)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     sc._scorelab_shipped = True
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The checkpoint folder in use: the context's, else ``spark.checkpoint.dir``; a scratch
-    folder is created only when neither is set (local tests). Never re-set once set, because
+    folder is made only in a single-process local session with neither set (tests); on a cluster
+    that is an error. Never re-set once set, because
     every ``setCheckpointDir`` call adds a new sub-folder."""
     ship_package(spark)
     sc = spark.sparkContext
@@ -63,6 +68,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf = tempfile.mkdtemp(prefix="scorelab-ckpt-")
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf

@@ -11,11 +11,13 @@ import datetime as _dt
 from collections.abc import Sequence
 from pathlib import PurePosixPath
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scorelab.plans.ranks import hash_key
+from scorelab.session import cut_lineage
 
 
 # ---------------------------------------------------------------- names
@@ -37,26 +39,38 @@ def file_stem(path: str) -> str:
 # ---------------------------------------------------------------- readers
 
 def with_row_id(df: DataFrame, key: str | Sequence[str] | None = None, seed: int = 0,
-                chunk: int = 100_000) -> DataFrame:
+                chunk: int = 100_000, wide: bool = False) -> DataFrame:
     """Add ``row_id``: the natural key when given (a single column used as is), else a hash of
     the whole row plus a tie counter among identical rows (never a positional id).
 
     Identical rows are counted (a map-side combined aggregate), each count is cut into chunks of
     ``chunk`` copies that are spread over the cluster, and the copies are numbered inside their
-    chunk, so even one row repeated a billion times never meets in a single task."""
+    chunk, so even one row repeated a billion times never meets in a single task.
+
+    A 64-bit id is expected to collide beyond some 10^9 rows; ``wide`` gives a text id of two
+    hashes and the copy's number instead (128 bits, for tables of any size)."""
     if isinstance(key, str):
         return df.withColumn("row_id", F.col(key).cast("long"))
     cols = list(key) if key else df.columns
     allc = [F.col(f"`{c}`") for c in df.columns]
     counted = df.groupBy(*allc).agg(F.count(F.lit(1)).alias("_copies"))
-    counted = counted.withColumn("_h", hash_key(seed, *[F.col(f"`{c}`") for c in cols]))
+    counted = counted.withColumn("_h", row_hash(cols, seed)).withColumn("_h2", row_hash(cols, seed + 1))
     chunks = counted.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("_copies") - 1) / chunk)))
                             .alias("_chunk"))
     chunks = chunks.repartition("_h", "_chunk")
     ties = chunks.select("*", F.explode(F.sequence(F.col("_chunk") * chunk + 1,
                                                    F.least((F.col("_chunk") + 1) * chunk, F.col("_copies"))))
                          .alias("_tie"))
-    return ties.select(*allc, hash_key(seed + 1, F.col("_h"), F.col("_tie")).alias("row_id"))
+    if wide:
+        text = F.concat_ws("-", F.lower(F.lpad(F.hex("_h"), 16, "0")), F.lower(F.lpad(F.hex("_h2"), 16, "0")), F.col("_tie"))
+        return ties.select(*allc, text.alias("row_id"))
+    return ties.select(*allc, hash_key(seed + 2, F.col("_h"), F.col("_h2"), F.col("_tie")).alias("row_id"))
+
+
+def row_hash(cols: Sequence[str], seed: int) -> Column:
+    """64-bit hash of a row that tells nulls apart: Spark's hash leaves a null out, so each column
+    goes in with a flag."""
+    return hash_key(seed, *[x for c in cols for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))])
 
 
 def read_dataset(spark: SparkSession, path: str, name: str | None = None, target: str | None = "target",
@@ -131,17 +145,21 @@ def result_table_io(df: DataFrame | None, root: str, kind: str, dataset: str,
     if df is not None:
         if df.isEmpty():
             raise ValueError(f"refusing to save an empty {kind} table for {dataset}")
-        (df.withColumn("kind", F.lit(kind)).withColumn("dataset_key", F.lit(dataset))
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("kind", "dataset_key").parquet(base))
+        df.write.mode("overwrite").parquet(f"{base}/kind={kind}/dataset_key={dataset}")
         return df
     spark = spark or SparkSession.getActiveSession()
+    # the folder of this kind and dataset alone: other kinds have other columns
+    return _read_if_there(lambda: spark.read.parquet(f"{base}/kind={kind}/dataset_key={dataset}"))
+
+
+def _read_if_there(read) -> DataFrame | None:
+    """The table, or None if its path does not exist; every other error is the caller's."""
     try:
-        t = spark.read.parquet(base)
-    except Exception:  # noqa: BLE001 - no table written yet
-        return None
-    got = t.where((F.col("kind") == kind) & (F.col("dataset_key") == dataset)).drop("kind", "dataset_key")
-    return None if got.isEmpty() else got
+        return read()
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
 
 
 RECORD_SCHEMA = "dataset string, kind string, record_id long, ts timestamp, payload string"
@@ -152,11 +170,9 @@ def record_store(records: DataFrame, root: str, kind: str) -> DataFrame:
     (max stored id + row_number of the new ones)."""
     spark = records.sparkSession
     path = f"{root.rstrip('/')}/records/kind={kind}"
-    try:
-        old = spark.read.schema(RECORD_SCHEMA.replace("kind string, ", "")).json(path)
-        last = old.groupBy("dataset").agg(F.max("record_id").alias("_last"))
-    except Exception:  # noqa: BLE001 - first write
-        last = spark.createDataFrame([], "dataset string, _last long")
+    old = _read_if_there(lambda: spark.read.schema(RECORD_SCHEMA.replace("kind string, ", "")).json(path))
+    old = old if old is not None else spark.createDataFrame([], RECORD_SCHEMA.replace("kind string, ", ""))
+    last = cut_lineage(old.groupBy("dataset").agg(F.max("record_id").alias("_last")))  # read before the append
     payload_cols = [c for c in records.columns if c not in ("dataset", "ts")]
     new = records.select("dataset", F.coalesce(F.col("ts") if "ts" in records.columns else F.lit(None).cast("timestamp"),
                                                F.current_timestamp()).alias("ts"),
@@ -164,8 +180,8 @@ def record_store(records: DataFrame, root: str, kind: str) -> DataFrame:
     w = Window.partitionBy("dataset").orderBy("ts", "payload")
     out = new.join(last, "dataset", "left").withColumn(
         "record_id", F.coalesce("_last", F.lit(0)) + F.row_number().over(w)).drop("_last")
-    out = out.select("dataset", "record_id", "ts", "payload")
-    out.write.mode("append").json(path)
+    out = cut_lineage(out.select("dataset", "record_id", "ts", "payload"))  # what is returned is what is stored
+    out.write.mode("append").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(path)  # to the microsecond
     return out
 
 
@@ -239,11 +255,11 @@ def report_manifest(wide: DataFrame, names: Sequence[str] = ("AUC", "PCC", "F1",
 
 
 def dataset_fingerprint(df: DataFrame, stored: DataFrame | None = None, by: Sequence[str] = ("dataset",)) -> DataFrame:
-    """Order-free content signature: n_rows and bit_xor of a 64-bit hash of every row; ``stale``
-    when a stored signature differs."""
+    """Order-free content signature: n_rows and two sums of differently seeded, null-safe row
+    hashes, so that equal rows add up instead of cancelling; ``stale`` when a stored one differs."""
     cols = [c for c in df.columns if c not in by]
-    sig = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"),
-                              F.bit_xor(hash_key(0, *[F.col(f"`{c}`") for c in cols])).alias("sig"))
+    total = lambda seed: F.sum(row_hash(cols, seed).cast("decimal(20,0)"))
+    sig = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"), F.concat_ws("/", total(0), total(1)).alias("sig"))
     if stored is None:
         return sig.withColumn("stale", F.lit(None).cast("boolean"))
     s = stored.select(*by, F.col("n_rows").alias("_n0"), F.col("sig").alias("_s0"))

@@ -41,28 +41,37 @@ def running_column_info(stream: DataFrame) -> DataFrame:
                                                           for i, c in enumerate(cols)])
 
 
-def run_to_table(agg: DataFrame, name: str | None = None, output_mode: str = "complete") -> DataFrame:
-    """Run a streaming aggregate over everything available (``availableNow``) into a memory
-    table and return that table as a batch DataFrame."""
+def run_to_table(agg: DataFrame, folder: str | None = None) -> DataFrame:
+    """Run a streaming aggregate over everything available (``availableNow``) and return its complete
+    result, which every batch writes as a table under ``folder``.
+
+    ``folder`` (on a cluster: a shared one) also holds the state, so a later call with the same
+    folder goes on where this one stopped; without one a fresh folder is taken. The result is never
+    held by the driver.
+    """
     spark = agg.sparkSession
-    name = name or f"scorelab_stream_{uuid.uuid4().hex[:12]}"
-    ckpt = f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}"
-    q = (agg.writeStream.outputMode(output_mode).format("memory").queryName(name)
-         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+    folder = (folder or f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{uuid.uuid4().hex[:12]}").rstrip("/")
+    out = f"{folder}/table"
+
+    def keep(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(out)
+
+    q = (agg.writeStream.outputMode("complete").foreachBatch(keep)
+         .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start())
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
-    return spark.table(name)
+    return spark.read.schema(agg.schema).parquet(out)
 
 
-def stream_value_counts(stream: DataFrame, col: str) -> DataFrame:
+def stream_value_counts(stream: DataFrame, col: str, folder: str | None = None) -> DataFrame:
     """value, count after consuming the stream."""
-    return run_to_table(running_value_counts(stream, col))
+    return run_to_table(running_value_counts(stream, col), folder)
 
 
-def stream_column_info(stream: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+def stream_column_info(stream: DataFrame, cols: Sequence[str] | None = None, folder: str | None = None) -> DataFrame:
     """column, non_null, nulls after consuming the stream."""
     cols = list(cols) if cols is not None else stream.columns
-    t = run_to_table(running_column_info(stream.select(*cols)))
+    t = run_to_table(running_column_info(stream.select(*cols)), folder)
     rows = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"nn_{i}").alias("non_null")) for i, c in enumerate(cols)])
     return t.select("n_rows", F.inline(rows)).select("column", "non_null", (F.col("n_rows") - F.col("non_null")).alias("nulls"))
