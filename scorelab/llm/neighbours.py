@@ -141,9 +141,9 @@ def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP4_SQL = """
-WITH e AS (SELECT vec_id, list_transform(embedding, x -> x::DOUBLE) AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
 u AS (SELECT vec_id, v FROM e
-      WHERE len(list_filter(v, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(v, x -> x <> 0)) > 0),
+      WHERE len([x FOR x IN v IF x IS NULL OR isnan(x) OR isinf(x)]) = 0 AND len([x FOR x IN v IF x <> 0]) > 0),
 p AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v) AS score
       FROM u q JOIN u c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM p)
