@@ -15,7 +15,7 @@ from collections.abc import Iterator, Sequence
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorelab.llm.common import arrow_map, doc_view, record, release, require_at_most, table, written
@@ -171,39 +171,48 @@ def scan_documents(docs: DataFrame, items: DataFrame, window: int = 10, id_col:
     With several blocks the spans and items of a row are united. A null or wordless text has no
     words; items without words or id never match; repeated items count once.
     """
-    spark = docs.sparkSession
     rows = doc_view(docs, id_col, text_col)
     built = automata(items, window, block_words, item_id, item_text)
     names = sorted(r.block for r in built.select("block").collect())  # one small number a block
+    if len(names) <= 1:
+        return _block_scan(names[0] if names else None, rows, built, block_bytes, keyed=False)
+    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "decontaminate_rows")
+    return _all_blocks(rows, built, names, block_bytes).groupBy("row").agg(
+        F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), _unite(F.collect_list("spans")).alias("spans"),
+        F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
+    ).drop("row")  # a group is one row's findings in each block
+
+
+def _block_scan(block: int | None, rows: DataFrame, built: DataFrame, block_bytes: int, keyed: bool) -> DataFrame:
+    """Findings of one block's automaton in each row of (doc_id, text) or, ``keyed``, (doc_id, text, row)."""
+    spark = rows.sparkSession
+    blob = built.where(F.col("block") == block).first().automaton if block is not None else pickle.dumps(Automaton([], 1))
+    require_at_most(len(blob), block_bytes, "bytes of an automaton")
+    sent = spark.sparkContext.broadcast(pickle.loads(blob))
     out = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64()))), ("items", pa.list_(pa.int64()))]
     schema = "doc_id long, n_words long, spans array<array<long>>, items array<long>"
 
-    def one(block: int | None, frame: DataFrame, schema: str, keyed: bool) -> DataFrame:
-        blob = built.where(F.col("block") == block).first().automaton if block is not None else pickle.dumps(Automaton([], window))
-        require_at_most(len(blob), block_bytes, "bytes of an automaton")
-        sent = spark.sparkContext.broadcast(pickle.loads(blob))
+    def job(batches: Iterator[pa.RecordBatch]):
+        automaton = sent.value
+        for b in batches:
+            got = [_scanned(automaton, t) for t in b.column(1).to_pylist()]
+            cols = [b.column(0), [g[0] for g in got], [g[1] for g in got], [g[2] for g in got]]
+            yield record([*out, ("row", pa.int64())], [*cols, b.column(2)]) if keyed else record(out, cols)
 
-        def job(batches: Iterator[pa.RecordBatch]):
-            automaton = sent.value
-            for b in batches:
-                got = [_scanned(automaton, t) for t in b.column(1).to_pylist()]
-                cols = [b.column(0), [g[0] for g in got], [g[1] for g in got], [g[2] for g in got]]
-                yield record([*out, ("row", pa.int64())], [*cols, b.column(2)]) if keyed else record(out, cols)
+    return arrow_map(rows, job, schema + ", row long" if keyed else schema)
 
-        return arrow_map(frame, job, schema)
 
-    if len(names) <= 1:
-        return one(names[0] if names else None, rows, schema, False)
-    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "decontaminate_rows")
-    parts = [one(b, rows, schema + ", row long", True) for b in names]
-    all_parts = parts[0]
+def _all_blocks(rows: DataFrame, built: DataFrame, names: Sequence[int], block_bytes: int) -> DataFrame:
+    """Each block's findings in each row of the written table (doc_id, text, row)."""
+    parts = [_block_scan(n, rows, built, block_bytes, keyed=True) for n in names]
+    out = parts[0]
     for p in parts[1:]:
-        all_parts = all_parts.union(p)
-    unite = F.udf(lambda xs: [list(x) for x in merged([tuple(s) for part in xs for s in part])], "array<array<long>>")
-    return all_parts.groupBy("row").agg(
-        F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), unite(F.collect_list("spans")).alias("spans"),
-        F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
-    ).drop("row")  # a group is one row's findings in each block
+        out = out.union(p)
+    return out
+
+
+def _unite(spans: Column) -> Column:
+    return F.udf(lambda xs: [list(x) for x in merged([tuple(s) for part in xs for s in part])], "array<array<long>>")(spans)
 
 
 def _scanned(automaton: Automaton, text: str) -> tuple[int, list[list[int]], list[int]]:
@@ -230,10 +239,14 @@ def clean_text(automaton: Automaton, text: str | None, max_coverage: float) -> s
     A text without hits is returned as it is."""
     if not text:
         return text
-    at = [m.span() for m in _WORDS.finditer(lower_ascii(text))]
-    spans = merged(automaton.scan(words(text))[0])
+    return without(text, merged(automaton.scan(words(text))[0]), max_coverage)
+
+
+def without(text: str, spans: Sequence[tuple[int, int]], max_coverage: float) -> str | None:
+    """The text without the merged word spans; None if they cover more than ``max_coverage`` of its words."""
     if not spans:
         return text
+    at = [m.span() for m in _WORDS.finditer(lower_ascii(text))]
     if sum(b - a for a, b in spans) > max_coverage * len(at):
         return None
     kept, last = [], 0
@@ -247,25 +260,46 @@ def decontaminated(docs: DataFrame, items: DataFrame, window: int = 10, max_cove
                    item_id: str = "item_id", item_text: str = "text", block_words: int = 250_000, block_bytes: int = 400 << 20) -> DataFrame:
     """``docs`` with hit spans cut from the texts; rows of which more than ``max_coverage`` of the
     words are hit go. All columns stay as they are but the text. A null text stays null. With
-    several blocks of items the blocks are applied one after the other; coverage is then judged on
-    what the earlier blocks left."""
-    spark = docs.sparkSession
+    several blocks of items each is held against the whole text as it came; a row's spans are
+    united, then judged and cut once, so the result does not depend on the blocks."""
     built = automata(items, window, block_words, item_id, item_text)
-    for r in sorted(built.select("block").collect(), key=lambda r: r.block):
-        blob = built.where(F.col("block") == r.block).first().automaton
+    names = sorted(r.block for r in built.select("block").collect())  # one small number a block
+    if not names:
+        return docs
+    mark, key, found = "__cut", "__row", "__spans"
+    if len(names) == 1:
+        blob = built.where(F.col("block") == names[0]).first().automaton
         require_at_most(len(blob), block_bytes, "bytes of an automaton")
-        sent = spark.sparkContext.broadcast(pickle.loads(blob))
+        sent = docs.sparkSession.sparkContext.broadcast(pickle.loads(blob))
 
-        @F.pandas_udf("struct<gone: boolean, text: string>")
+        @F.pandas_udf(_CUT)
         def cut(texts: pd.Series) -> pd.DataFrame:
             release()
             automaton = sent.value
-            new = [clean_text(automaton, t, max_coverage) for t in texts]
-            return pd.DataFrame({"gone": [n is None and t is not None for n, t in zip(new, texts, strict=True)], "text": new})
+            return _outcome(texts, [clean_text(automaton, t, max_coverage) for t in texts])
+
+        done = docs.withColumn(mark, cut(F.col(f"`{text_col}`")))
+    else:
+        rows = written(docs.withColumn(key, F.monotonically_increasing_id()), "decontaminate_rows")
+        text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+        view = rows.select(F.lit(None).cast("long").alias("doc_id"), text.alias("text"), F.col(key).alias("row"))
+        hits = _all_blocks(view, built, names, block_bytes).where(F.size("spans") > 0).groupBy(F.col("row").alias(key)).agg(_unite(F.collect_list("spans")).alias(found))
+
+        @F.pandas_udf(_CUT)
+        def cut_spans(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
+            release()
+            new = [t if s is None else without(t, [tuple(x) for x in s], max_coverage) for t, s in zip(texts, spans, strict=True)]
+            return _outcome(texts, new)
+
+        done = rows.join(hits, key, "left").withColumn(mark, cut_spans(F.col(f"`{text_col}`"), F.col(found)))
+    return done.where(~F.col(mark)["gone"]).withColumn(text_col, F.col(mark)["text"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+_CUT = "struct<gone: boolean, text: string>"
+
 
-        mark = "__cut"
-        docs = docs.withColumn(mark, cut(F.col(f"`{text_col}`"))).where(~F.col(mark)["gone"]).withColumn(text_col, F.col(mark)["text"]).drop(mark)
-    return docs
+def _outcome(texts: pd.Series, new: list[str | None]) -> pd.DataFrame:
+    return pd.DataFrame({"gone": [n is None and t is not None for n, t in zip(new, texts, strict=True)], "text": new})
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,6 +61,24 @@ def test_decontaminated_texts(spark):
     assert decontaminate.decontaminated(docs, spark.createDataFrame([], "item_id long, text string")).count() == 5
 
 
+@pytest.mark.parametrize("max_coverage", [0.2, 0.5])
+def test_decontaminated_texts_do_not_depend_on_blocks(spark, max_coverage):
+    rnd = random.Random(5)
+    vocab = ["a", "B", "c", "é", "日本", "dd", "e"]
+    sentence = lambda n: " ".join(rnd.choices(vocab, k=n))
+    items = spark.createDataFrame([(i, sentence(rnd.randint(3, 9))) for i in range(40)], "item_id long, text string")
+    rows = [(i, sentence(rnd.randint(0, 60)), "en", "s") for i in range(80)] + awkward(2, 10)
+    outcome = lambda n: Counter(map(tuple, decontaminate.decontaminated(frame(spark, rows), items, window=4, max_coverage=max_coverage, block_words=n).collect()))
+    whole = outcome(250_000)
+    assert outcome(3) == whole and 0 < sum(whole.values()) < len(rows)
+    # 30% of the words are hit by each of two items, together more than half
+    first, second = "one two three four five six", "p q r s t u"
+    two = spark.createDataFrame([(i, t) for i, t in enumerate([first, second, *[f"other {i} words" for i in range(30)]])], "item_id long, text string")
+    mixed = frame(spark, [(1, f"{first} x1 x2 x3 x4 {second} x5 x6 x7 x8", "en", "s"), (2, "clean", "en", "s")])
+    left = decontaminate.decontaminated(mixed, two, window=6, block_words=3).collect()
+    assert [r.doc_id for r in left] == [2]
+
+
 # ---- secrets
 
 PATTERNS = [("assign", r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12), ("access", "AKIA[A-Z0-9]+", 0, 18), ("hex", "[0-9a-f]+", 0, 16)]
