@@ -65,12 +65,18 @@ def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def block_search(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int, q_tile: int = 512, c_tile: int = 4096) -> list[tuple[int, int, float]]:
     """(query, candidate, score): each query's k best of the block, exactly."""
-    # of equal vectors only the k + 1 smallest ids can be among a query's k best (one may be its own)
+    # Of equal vectors, sorted by id, a row is needed only if fewer than k rows of ids other than a
+    # query's stand before it. The query that has most of them is the id (below the row's own)
+    # with the most rows, so each id's copies are counted apart; about 3k rows are kept at most.
     order = np.lexsort((cid, *c.T[::-1]))
     c, cid = c[order], cid[order]
     same = np.concatenate([[False], (c[1:] == c[:-1]).all(1)])
-    first = np.maximum.accumulate(np.where(same, 0, np.arange(len(c))))
-    keep = np.arange(len(c)) - first <= k
+    place = np.arange(len(c)) - np.maximum.accumulate(np.where(same, 0, np.arange(len(c))))
+    starts = np.flatnonzero(~same | np.concatenate([[True], cid[1:] != cid[:-1]]))  # of equal vector and id
+    sizes, group = np.diff(np.append(starts, len(c))), np.cumsum(~same)[starts] * (len(c) + 1)
+    most = np.maximum.accumulate(group + sizes) - group  # rows of the largest id of the group so far
+    below = np.where(place[starts] == 0, 0, np.concatenate([[0], most[:-1]]))
+    keep = place - np.repeat(below, sizes) < k
     c, cid = c[keep], cid[keep]
     cq, cc = Coded(q), Coded(c)
     heaps: list[list[tuple[float, int]]] = [[] for _ in qid]

@@ -95,6 +95,26 @@ def test_neighbours_are_exact(spark):
     assert neighbours.search(df.limit(0)).count() == 0
 
 
+def test_neighbours_of_repeated_ids(spark):
+    rnd = np.random.default_rng(4)
+    draw = lambda: [float(x) for x in rnd.normal(size=4)]
+    one, two, three = draw(), draw(), draw()
+    vecs = [(i, draw()) for i in range(1, 30)]
+    vecs += [(40, one)] * 25 + [(60, one), (80, one)]  # the smallest id has more rows than k
+    vecs += [(100, two)] + [(120, two)] * 25 + [(140, two)] * 3  # the second one has
+    vecs += [(i, three) for i in (160, 180, 180, 200, 200, 200) for _ in range(8)]
+    good = [(i, np.array(v)) for i, v in vecs]
+    df = spark.createDataFrame(vecs, "vec_id long, embedding array<double>")
+    asked = {i: v for i, v in good if i % 20 == 0}  # repeated rows of an id are equal here
+    for k, q, c in ((20, 4096, 16384), (5, 7, 30)):
+        got = Counter((r.query_id, r["rank"], r.vec_id, r.score) for r in neighbours.search(df, k=k, q_block=q, c_block=c).collect())
+        want = Counter()
+        for a, v in asked.items():
+            near = sorted((-neighbours.exact(v[None], w[None])[0], b) for b, w in good if b != a)[:k]
+            want.update((a, r + 1, b, -s) for r, (s, b) in enumerate(near))
+        assert got == want
+
+
 def slow_cut(rows, length):
     raw = [(repeats.NO_ID if i is None else i, (t or "").encode()) for i, t, *_ in rows]
     low = {}
