@@ -8,6 +8,7 @@ secrets look like and where they stand, and finds those that the patterns do not
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
@@ -222,10 +223,27 @@ def field_spans(field: Field, seen: Tokens, text: str, whole: bool = False) -> l
     return [(at[a][0], at[b - 1][1]) for a, b in spans]
 
 
+def united(spans: Sequence[Span]) -> list[tuple[int, int]]:
+    """Disjoint stretches covered by spans that are sorted by start."""
+    out: list[tuple[int, int]] = []
+    for a, _, b in spans:
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def all_spans(field: Field, seen: Tokens, text: str) -> tuple[list[Span], list[Span]]:
-    """(base spans, all spans): the field adds what no base span touches."""
+    """(base spans, all spans): the field adds what base spans don't cover entirely. A field span
+    that goes beyond a base span stays whole, so the two may overlap."""
     base = base_spans(text)
-    extra = [(a, len(KINDS), b) for a, b in field_spans(field, seen, text) if not any(a < e and s < b for s, _, e in base)]
+    known = united(base)
+    extra = []
+    for a, b in field_spans(field, seen, text):
+        at = bisect.bisect_right(known, a, key=lambda s: s[0]) - 1  # the last stretch that starts by a
+        if at < 0 or known[at][1] < b:
+            extra.append((a, len(KINDS), b))
     return base, sorted(base + extra)
 
 

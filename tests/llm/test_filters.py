@@ -119,6 +119,24 @@ def test_field_finds_what_patterns_miss_and_windows_equal_the_whole():
     assert secret_scan.all_spans(field, seen, "the key of the red door is under the config " * 20)[1] == []
 
 
+def test_field_spans_beyond_base_spans_stay():
+    rnd = random.Random(6)
+    body = lambda n, of: "".join(rnd.choices(of, k=n))
+    wrapped = lambda: f"QwErTy_{body(16, '0123456789abcdef')}_ZxCvBn"
+    texts = [f"the login of this door is {wrapped()} and the red config follows here" for _ in range(300)]
+    field, seen = secret_scan.train(texts), secret_scan.Tokens()
+    token = wrapped()
+    text = f"the login of this door is {token} and the red config follows here"
+    base, spans = secret_scan.all_spans(field, seen, text)
+    at = text.index(token)
+    assert [k for _, k, _ in base] == [2] and set(base) <= set(spans)
+    assert (at, len(secret_scan.KINDS), at + len(token)) in spans
+    assert secret_scan.redact(text, spans) == text.replace(token, "[SECRET]")
+    whole = "the login of this door is " + body(20, "0123456789abcdef") + " and the red config follows here"
+    base, spans = secret_scan.all_spans(field, seen, whole)
+    assert spans == base and len(base) == 1  # covered entirely: nothing added
+
+
 def test_scan_and_redact_tables(spark):
     rows = awkward(4) + [(500 + i, t, "en", "s1") for i, t in enumerate(secretive(5, 80))]
     docs = frame(spark, rows)
