@@ -12,7 +12,8 @@ strings have their anchor at the same place, so they meet under it. The steps:
 3. For those, each chunk sorts the suffixes that start at the anchors and sends them as
    front-coded runs (each suffix without the prefix it shares with the one before), each with the
    few bytes left of the anchor that its strings reach. Equal suffixes with equal left parts are
-   sent once and answered on the spot.
+   sent once a chunk: those of later documents are answered on the spot, the places of the same
+   document's wait for the answer.
 4. A loser tree merges the runs of a slice. It keeps for each run the length of the prefix shared
    with the last winner; longer ones win without a look at the text, and equal ones are compared
    from there on. Suffixes with one gram come out together, and their strings are compared whole.
@@ -24,6 +25,7 @@ strings have their anchor at the same place, so they meet under it. The steps:
 from __future__ import annotations
 
 import itertools
+from array import array
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -141,8 +143,8 @@ class Grams:
         self.bucket = self.key >> 32
 
     def counts(self) -> np.ndarray:
-        """Anchors of each gram, at most 255."""
-        return np.minimum(np.bincount(self.of, minlength=len(self.key)), 255).astype(np.uint8)
+        """Anchors of each gram."""
+        return np.bincount(self.of, minlength=len(self.key))
 
     def several(self, ids: np.ndarray) -> np.ndarray:
         """Which grams occur under two or more doc_ids of the chunk."""
@@ -187,7 +189,7 @@ def _open(batch: pa.RecordBatch, names: Sequence[str]) -> Iterator[tuple]:
 
 
 def _runs_of_grams(chunks: DataFrame, buckets: int, length: int, k: int) -> DataFrame:
-    out = [("bucket", pa.int32()), ("chunk", pa.int64()), ("grams", pa.binary()), ("several", pa.binary()), ("counts", pa.binary())]
+    out = [("bucket", pa.int32()), ("chunk", pa.int64()), ("grams", pa.binary()), ("several", pa.binary()), ("counts", pa.binary()), ("more", pa.binary())]
 
     def job(batches: Iterator[pa.RecordBatch]):
         for b in batches:
@@ -200,14 +202,15 @@ def _runs_of_grams(chunks: DataFrame, buckets: int, length: int, k: int) -> Data
                 several, counts, packer = g.several(c.ids[c.rows(place)]), g.counts(), zstandard.ZstdCompressor(level=1)
                 cut = np.flatnonzero(np.diff(g.bucket, prepend=-1))
                 ends = np.append(cut[1:], len(g.key))
-                values = (g.key & 0xFFFFFFFF).astype(np.uint32)
+                values, low = (g.key & 0xFFFFFFFF).astype(np.uint32), np.minimum(counts, 255).astype(np.uint8)
                 yield record(out, [
                     g.bucket[cut].astype(np.int32), [chunk] * len(cut), [values[a:e].tobytes() for a, e in zip(cut, ends, strict=True)],
                     [np.packbits(several[a:e]).tobytes() for a, e in zip(cut, ends, strict=True)],
-                    [packer.compress(counts[a:e].tobytes()) for a, e in zip(cut, ends, strict=True)],
+                    [packer.compress(low[a:e].tobytes()) for a, e in zip(cut, ends, strict=True)],
+                    [counts[a:e][low[a:e] == 255].astype(np.int64).tobytes() for a, e in zip(cut, ends, strict=True)],  # whole counts of the few with many
                 ])
 
-    return arrow_map(chunks, job, "bucket int, chunk long, grams binary, several binary, counts binary")
+    return arrow_map(chunks, job, "bucket int, chunk long, grams binary, several binary, counts binary, more binary")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], names: Sequence[str]) -> Iterator[tuple[int, list[tuple]]]:
@@ -230,10 +233,12 @@ def _answers(runs: DataFrame, heavy: int) -> DataFrame:
     out = [("chunk", pa.int64()), ("bucket", pa.int32()), ("n", pa.int64()), ("repeated", pa.binary()), ("heavy", pa.binary())]
 
     def job(batches: Iterator[pa.RecordBatch]):
-        for bucket, rows in _groups(batches, ("bucket", "chunk", "grams", "several", "counts")):
+        for bucket, rows in _groups(batches, ("bucket", "chunk", "grams", "several", "counts", "more")):
             values = [np.frombuffer(r[1], np.uint32) for r in rows]
             several = [np.unpackbits(np.frombuffer(r[2], np.uint8), count=len(v)) for r, v in zip(rows, values, strict=True)]
-            counts = [np.frombuffer(zstandard.ZstdDecompressor().decompress(r[3]), np.uint8) for r in rows]
+            counts = [np.frombuffer(zstandard.ZstdDecompressor().decompress(r[3]), np.uint8).astype(np.int64) for r in rows]
+            for n, r in zip(counts, rows, strict=True):
+                n[n == 255] = np.frombuffer(r[4], np.int64)
             _, of, n = np.unique(np.concatenate(values), return_inverse=True, return_counts=True)
             total = np.bincount(of, np.concatenate(counts), len(n))
             marked = np.zeros(len(n), bool)
@@ -438,8 +443,9 @@ def _by_strings(group: Sequence[Entry], length: int) -> Iterator[tuple[int, int,
             yield chunk, row, place + start, place + end
 
 
-#: Kinds of rows that a chunk sends on: a sorted run, spans found on the spot, strings of heavy grams.
-RUN, SPANS, HEAVY = 0, 1, 2
+#: Kinds of rows that a chunk sends on: a sorted run, spans found on the spot, strings of heavy
+#: grams, places of entries that the same document repeats.
+RUN, SPANS, HEAVY, COPIES = 0, 1, 2, 3
 
 
 def _runs_of_suffixes(chunks: DataFrame, buckets: int, slices: int, length: int, k: int) -> DataFrame:
@@ -470,18 +476,25 @@ def _send(c: Chunk, chunk: int, answer: list[dict], buckets: int, slices: int, l
     where = (h[at] >> np.uint64(8)) % np.uint64(slices)
     row = c.rows(place)
     doc, origin = c.ids[row], c.starts[row]
-    raw, found, spans = c.raw, {}, []
-    # entries in order of doc_id: of equal ones the first goes on, later documents' are answered
-    for j in np.argsort(doc, kind="stable").tolist():
-        f, p, e = int(first[j]), int(place[j]), int(last[j]) + length
-        key = (raw[p:e], raw[f:p])
-        old = found.get(key)
-        if old is None:
-            found[key] = j
-        elif doc[old] < doc[j]:
-            spans += (int(row[j]), f - int(origin[j]), e - int(origin[j]))
-        else:  # the same document again: both stand or fall together, each is sent
-            found[key + (j,)] = j
+    raw, found, spans, copies = c.raw, {}, array("q"), {}
+    # entries in order of doc_id: of equal ones the first goes on, later documents' are answered,
+    # and the same document's stand or fall with it: their places wait in the chunk's own rows
+    order = np.argsort(doc, kind="stable")
+    for a in range(0, len(order), 1 << 16):
+        for j in order[a : a + (1 << 16)].tolist():
+            f, p, e = int(first[j]), int(place[j]), int(last[j]) + length
+            key = (raw[p:e], raw[f:p])
+            old = found.get(key)
+            if old is None:
+                found[key] = j
+            elif doc[old] < doc[j]:
+                r, f, e = int(row[j]), f - int(origin[j]), e - int(origin[j])
+                if spans and spans[-3] == r and spans[-2] <= f <= spans[-1]:
+                    spans[-1] = max(spans[-1], e)
+                else:
+                    spans.extend((r, f, e))
+            else:
+                copies.setdefault(old, array("q")).append(f)
     by_slice: dict[int, list[tuple]] = {}
     strings: list[tuple[bytes, int, int, int]] = []
     for key, j in found.items():
@@ -495,8 +508,19 @@ def _send(c: Chunk, chunk: int, answer: list[dict], buckets: int, slices: int, l
     for s, entries in by_slice.items():
         entries.sort()
         rows.append((s, RUN, chunk, Run.pack(*zip(*entries, strict=True))))
-    if spans:
-        rows.append((chunk % slices, SPANS, *_packed({chunk: spans})[0]))
+    for n in range(0, len(spans), 900_000):
+        rows.append(((chunk + n) % slices, SPANS, *_packed({chunk: spans[n : n + 900_000]})[0]))
+    flat = array("q")
+    for n, (j, places) in enumerate(copies.items(), 1):
+        for i in range(0, len(places), 500_000):
+            part = places[i : i + 500_000]
+            flat.extend((int(first[j]), int(last[j]) + length, len(part)))
+            flat.extend(part)
+            if len(flat) >= 500_000:
+                rows.append(((chunk + n) % slices, COPIES, *_packed({chunk: flat})[0]))
+                flat = array("q")
+    if flat:
+        rows.append((chunk % slices, COPIES, *_packed({chunk: flat})[0]))
     for n in range(0, len(strings), 50_000):
         part = strings[n : n + 50_000]
         numbers = np.array([x[1:] for x in part], np.int64).tobytes()
@@ -504,20 +528,38 @@ def _send(c: Chunk, chunk: int, answer: list[dict], buckets: int, slices: int, l
     return rows
 
 
-def _packed(found: dict[int, list[int]]) -> list[tuple[int, bytes]]:
-    """(chunk, blob) of flat (row, start, stop) lists by chunk."""
+def _copied(copies: Sequence[np.ndarray], starts: np.ndarray, stops: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(starts, stops) of the spans that copies have because the entry they repeat has them. All
+    places count from the start of the chunk; what lies within the entry holds for its copies."""
+    order = np.argsort(starts, kind="stable")
+    starts, stops = starts[order], stops[order]
+    for flat in copies:
+        at = 0
+        while at < len(flat):
+            f, e, n = flat[at : at + 3].tolist()
+            places = flat[at + 3 : at + 3 + n]
+            at += 3 + n
+            lo, hi = np.searchsorted(starts, [f, e - length + 1])
+            for a, b in set(zip(starts[lo:hi].tolist(), stops[lo:hi].tolist(), strict=True)):
+                if b <= e:
+                    yield places + (a - f), places + (b - f)
+
+
+def _packed(found: dict[int, Sequence[int]]) -> list[tuple[int, bytes]]:
+    """(chunk, blob) of flat lists of numbers by chunk."""
     return [(c, zstandard.ZstdCompressor(level=1).compress(np.array(x, np.int64).tobytes())) for c, x in found.items()]
 
 
 def _merged(runs: DataFrame, length: int, k: int) -> DataFrame:
-    """(chunk, spans, row, start, doc, string): blobs of spans found by the merges (``spans`` set),
-    and the strings of heavy grams with their document for the grouping (``string`` set)."""
-    names = [("chunk", pa.int64()), ("spans", pa.binary()), ("row", pa.int64()), ("start", pa.int64()), ("doc", pa.int64()), ("string", pa.binary())]
+    """(chunk, spans, copies, row, start, doc, string): blobs of spans found by the merges (``spans``
+    set), those of repeated entries as they came (``copies``), and the strings of heavy grams with
+    their document for the grouping (``string`` set)."""
+    names = [("chunk", pa.int64()), ("spans", pa.binary()), ("copies", pa.binary()), ("row", pa.int64()), ("start", pa.int64()), ("doc", pa.int64()), ("string", pa.binary())]
 
     def flush(found: dict[int, list[int]]):
         rows = _packed(found)
         none = [None] * len(rows)
-        return record(names, [[r[0] for r in rows], [r[1] for r in rows], none, none, none, none])
+        return record(names, [[r[0] for r in rows], [r[1] for r in rows], none, none, none, none, none])
 
     def job(batches: Iterator[pa.RecordBatch]):
         for _, rows in _groups(batches, ("slice", "kind", "chunk", "blob")):
@@ -525,13 +567,15 @@ def _merged(runs: DataFrame, length: int, k: int) -> DataFrame:
             held = 0
             for kind, chunk, blob in rows:
                 if kind == SPANS:
-                    yield record(names, [[chunk], [blob], [None], [None], [None], [None]])
+                    yield record(names, [[chunk], [blob], [None], [None], [None], [None], [None]])
+                elif kind == COPIES:
+                    yield record(names, [[chunk], [None], [blob], [None], [None], [None], [None]])
                 elif kind == HEAVY:
                     raw = zstandard.ZstdDecompressor().decompress(blob)
                     n = len(raw) // (24 + length)
                     x = np.frombuffer(raw, np.int64, 3 * n).reshape(-1, 3)
                     text = raw[24 * n :]
-                    yield record(names, [np.full(n, chunk), [None] * n, x[:, 1], x[:, 2], x[:, 0], [text[length * i : length * (i + 1)] for i in range(n)]])
+                    yield record(names, [np.full(n, chunk), [None] * n, [None] * n, x[:, 1], x[:, 2], x[:, 0], [text[length * i : length * (i + 1)] for i in range(n)]])
             group: list[tuple] = []
             merged = merge([Run(chunk, blob) for kind, chunk, blob in rows if kind == RUN])
             for shared, run in itertools.chain(merged, [(0, None)]):
@@ -550,7 +594,7 @@ def _merged(runs: DataFrame, length: int, k: int) -> DataFrame:
                 yield flush(found)
 
     dealt = runs.repartition("slice").sortWithinPartitions("slice")
-    return arrow_map(dealt, job, "chunk long, spans binary, row long, start long, doc long, string binary")
+    return arrow_map(dealt, job, "chunk long, spans binary, copies binary, row long, start long, doc long, string binary")
 
 
 def cut_repeats(docs: DataFrame, length: int = 50, gram: int = 24, chunk_bytes: int = 16 << 20, bucket_grams: int = 1_500_000,
@@ -574,21 +618,28 @@ def cut_repeats(docs: DataFrame, length: int = 50, gram: int = 24, chunk_bytes:
     strings = out.where("string is not null")
     low = strings.groupBy("string").agg(F.min("doc").alias("low"))
     heavy_cuts = strings.join(low, "string").where("doc > low").groupBy("chunk").agg(F.collect_list(F.struct("row", "start")).alias("starts"))
-    packed = out.where("string is null").groupBy("chunk").agg(F.collect_list("spans").alias("spans"))  # those of one chunk
+    packed = out.where("string is null").groupBy("chunk").agg(F.collect_list("spans").alias("spans"), F.collect_list("copies").alias("copies"))  # those of one chunk
     cuts = written(packed.join(heavy_cuts, "chunk", "full"), "repeat_cuts")
     names = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())]
 
     def job(batches: Iterator[pa.RecordBatch]):
         for b in batches:
-            for ids, sizes, blob, spans, starts in _open(b, ("ids", "sizes", "blob", "spans", "starts")):
+            for ids, sizes, blob, spans, copies, starts in _open(b, ("ids", "sizes", "blob", "spans", "copies", "starts")):
                 c = Chunk(ids, sizes, blob)
                 step = np.zeros(len(c.data) + 1, np.int32)
                 parts = [np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.int64).reshape(-1, 3) for x in spans or ()]
                 if starts:
                     parts.append(np.array([(x["row"], x["start"], x["start"] + length) for x in starts], np.int64))
-                for at in parts:
-                    np.add.at(step, c.starts[at[:, 0]] + at[:, 1], 1)
-                    np.add.at(step, c.starts[at[:, 0]] + at[:, 2], -1)
+                held = [(c.starts[at[:, 0]] + at[:, 1], c.starts[at[:, 0]] + at[:, 2]) for at in parts]
+                for first, last in held:
+                    np.add.at(step, first, 1)
+                    np.add.at(step, last, -1)
+                if copies and held:
+                    first, last = (np.concatenate(x) for x in zip(*held, strict=True))
+                    flats = [np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.int64) for x in copies]
+                    for first, last in _copied(flats, first, last, length):  # distinct places
+                        step[first] += 1
+                        step[last] -= 1
                 gone = np.cumsum(step[:-1]) > 0
                 rows = []
                 for i, a, e in zip(ids, c.starts.tolist(), c.ends.tolist(), strict=True):

@@ -147,6 +147,25 @@ def test_repeats_against_brute_force(spark, length, gram, chunk, heavy):
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == slow_cut(rows, length)
 
 
+@pytest.mark.parametrize("heavy", [1000, 1_000_000])
+def test_repeats_of_long_runs_within_few_documents(spark, heavy):
+    runs = [" " * 1500, "=" * 700 + "x" + "=" * 700, "ab" * 600, "\x00" * 400 + " " * 400]
+    rnd = random.Random(8)
+    rows = [(i, "".join(f"{rnd.random()}{rnd.choice(runs)[rnd.randint(0, 99):]}" for _ in range(3)), "en", "s") for i in range(6)] + [(3, " " * 900, "en", "s"), (9, " " * 49, "en", "s"), (-1, "=" * 60, "en", "s")]
+    got = repeats.cut_repeats(frame(spark, rows).repartition(2), 50, 24, 9000, bucket_grams=200, slice_entries=50, heavy=heavy).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == slow_cut(rows, 50)
+
+
+def test_long_runs_are_counted_whole_and_sent_once(spark):
+    docs = spark.createDataFrame([(1, " " * 3000), (2, " " * 2500)], "doc_id long, text string").coalesce(1)
+    chunks = repeats._chunks(docs, 1 << 20)
+    answers = repeats._answers(repeats._runs_of_grams(chunks, 1, 50, 24), heavy=2000).collect()
+    assert [bool(a.heavy) for a in answers] == [True]
+    (row,) = chunks.collect()
+    sent = repeats._send(repeats.Chunk(row.ids, row.sizes, bytes(row.blob)), row.chunk, [{"bucket": 0, "repeated": b"\xff", "heavy": b""}], 1, 1, 50, 24)
+    assert sum(repeats.Run(row.chunk, blob).n for _, kind, _, blob in sent if kind == repeats.RUN) < 100
+
+
 def test_repeats_of_no_rows(spark):
     assert repeats.cut_repeats(spark.createDataFrame([], DOCS)).count() == 0
 
