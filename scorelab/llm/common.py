@@ -73,6 +73,19 @@ def int32_lists(col: pa.Array) -> Iterator[bytes]:
         yield values[offsets[i] : offsets[i + 1]].tobytes() if ok else b""
 
 
+def join_side(rows: DataFrame, side: DataFrame, key: str, bound: int = 100_000, salts: int = 32) -> DataFrame:
+    """``rows`` with the columns of ``side``, which has one row a value of ``key`` (null is a value).
+    A side of at most ``bound`` rows is broadcast; beyond that both are dealt by (key, salt), so a
+    value that a third of all rows have is spread over ``salts`` tasks. The result is the same."""
+    other = side.withColumnRenamed(key, "_side_key")
+    if other.count() <= bound:
+        return rows.join(F.broadcast(other), rows[key].eqNullSafe(other["_side_key"]), "left").drop("_side_key")
+    left = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)))
+    right = other.withColumn("_side_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    same = left[key].eqNullSafe(right["_side_key"]) & (left["_salt"] == right["_side_salt"])
+    return left.join(right, same, "left").drop("_side_key", "_salt", "_side_salt")
+
+
 def require_at_most(n: int, bound: int, what: str) -> None:
     """The size check in front of every broadcast."""
     if n > bound:

@@ -12,6 +12,7 @@ from scorelab.llm.simhash import op10_simhash
 from scorelab.llm.token_count import op1_token_counts
 from scorelab.llm.token_files import op7_token_files
 from scorelab.llm.toxicity import op2_toxicity
+from scorelab.llm.vector_codes import OP11_SQL, op11_vector_codes
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
@@ -24,9 +25,11 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_packing": op9_packing,
     "op10_simhash": op10_simhash,
+    "op11_vector_codes": op11_vector_codes,
 }
 
 ORACLE: dict[str, str] = {
     "op3_decontamination": OP3_SQL,
     "op4_neighbours": OP4_SQL,
+    "op11_vector_codes": OP11_SQL,
 }
