@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from scorelab.llm.decontaminate import OP3_SQL, op3_decontamination
+from scorelab.llm.divergence import OP12_SQL, op12_divergence
 from scorelab.llm.language_id import op8_language_id
+from scorelab.llm.mixture import OP13_SQL, op13_mixture
 from scorelab.llm.neighbours import OP4_SQL, op4_neighbours
 from scorelab.llm.packing import op9_packing
 from scorelab.llm.repeats import op6_repeated_passages
@@ -26,10 +28,14 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_simhash": op10_simhash,
     "op11_vector_codes": op11_vector_codes,
+    "op12_divergence": op12_divergence,
+    "op13_mixture": op13_mixture,
 }
 
 ORACLE: dict[str, str] = {
     "op3_decontamination": OP3_SQL,
     "op4_neighbours": OP4_SQL,
     "op11_vector_codes": OP11_SQL,
+    "op12_divergence": OP12_SQL,
+    "op13_mixture": OP13_SQL,
 }
