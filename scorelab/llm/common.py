@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +53,26 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[p
     return df.mapInArrow(job, schema)
 
 
+def map_texts(docs: DataFrame, text_col: str, fn: Callable[[list], tuple[list, list | None]], keep=None, chars: int = 1_000_000) -> DataFrame:
+    """``docs`` with new texts: ``fn(texts)`` gives them and, where rows go, whether each row stays.
+    All columns pass as Arrow columns, some ``chars`` characters at a time, so a worker never holds a
+    batch of whole texts as Python objects."""
+    at, schema = docs.columns.index(text_col), docs.schema
+
+    def job(batches: Iterator[pa.RecordBatch]):
+        for b in batches:
+            lengths = pc.fill_null(pc.utf8_length(b.column(at)), 0).to_numpy(zero_copy_only=False)
+            cut = np.flatnonzero(np.diff(np.cumsum(lengths, dtype=np.int64) // chars)) + 1
+            for first, last in zip([0, *cut.tolist()], [*cut.tolist(), b.num_rows], strict=True):
+                part = b.slice(first, last - first)
+                new, stays = fn(part.column(at).to_pylist())
+                texts = pa.array(new, part.column(at).type)
+                out = pa.RecordBatch.from_arrays([texts if i == at else c for i, c in enumerate(part.columns)], names=schema.names)
+                yield out if stays is None else out.filter(pa.array(stays, pa.bool_()))
+
+    return arrow_map(docs, job, schema, keep)
+
+
 def record(schema: Sequence[tuple[str, pa.DataType]], columns: Sequence) -> pa.RecordBatch:
     """A record batch from Python lists, numpy or Arrow arrays."""
     arrays = [c if isinstance(c, pa.Array) else pa.array(c, t) for (_, t), c in zip(schema, columns, strict=True)]
@@ -105,9 +128,15 @@ def held(key, make: Callable):
 
 
 def release(keep=None) -> None:
-    """Let go of what is held under any other key."""
+    """Let go of what is held under any other key, and give the memory that earlier tasks of this
+    worker freed back to the machine: a worker lives through many stages."""
     for key in [k for k in _HELD if k != keep]:
         del _HELD[key]
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim is not None:
+            trim(0)
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:

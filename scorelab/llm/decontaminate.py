@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelab.llm.common import arrow_map, doc_view, record, release, require_at_most, table, written
+from scorelab.llm.common import arrow_map, doc_view, map_texts, record, release, require_at_most, table, written
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _WORDS = re.compile(WORD)
@@ -163,7 +163,7 @@ def automata(items: DataFrame, window: int, block_words: int, id_col: str, text_
 
 
 def scan_documents(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text",
-                   item_id: str = "item_id", item_text: str = "text", block_words: int = 250_000, block_bytes: int = 400 << 20) -> DataFrame:
+                   item_id: str = "item_id", item_text: str = "text", block_words: int = 250_000, block_bytes: int = 100 << 20) -> DataFrame:
     """doc_id, row (a number of the input row), n_words, spans (merged hit word spans), items.
 
     One pass over the documents a block of items: the block's automaton is broadcast after its
@@ -183,12 +183,16 @@ def scan_documents(docs: DataFrame, items: DataFrame, window: int = 10, id_col:
     ).drop("row")  # a group is one row's findings in each block
 
 
+def _automaton(built: DataFrame, block: int, most: int) -> Automaton:
+    """A block's automaton; its size is looked at before it is gathered."""
+    one = built.where(F.col("block") == block)
+    require_at_most(one.select(F.length("automaton")).first()[0], most, "bytes of an automaton")
+    return pickle.loads(one.first().automaton)
+
+
 def _block_scan(block: int | None, rows: DataFrame, built: DataFrame, block_bytes: int, keyed: bool) -> DataFrame:
     """Findings of one block's automaton in each row of (doc_id, text) or, ``keyed``, (doc_id, text, row)."""
-    spark = rows.sparkSession
-    blob = built.where(F.col("block") == block).first().automaton if block is not None else pickle.dumps(Automaton([], 1))
-    require_at_most(len(blob), block_bytes, "bytes of an automaton")
-    sent = spark.sparkContext.broadcast(pickle.loads(blob))
+    sent = rows.sparkSession.sparkContext.broadcast(Automaton([], 1) if block is None else _automaton(built, block, block_bytes))
     out = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64()))), ("items", pa.list_(pa.int64()))]
     schema = "doc_id long, n_words long, spans array<array<long>>, items array<long>"
 
@@ -257,7 +261,7 @@ def without(text: str, spans: Sequence[tuple[int, int]], max_coverage: float) ->
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, window: int = 10, max_coverage: float = 0.5, text_col: str = "text",
-                   item_id: str = "item_id", item_text: str = "text", block_words: int = 250_000, block_bytes: int = 400 << 20) -> DataFrame:
+                   item_id: str = "item_id", item_text: str = "text", block_words: int = 250_000, block_bytes: int = 100 << 20) -> DataFrame:
     """``docs`` with hit spans cut from the texts; rows of which more than ``max_coverage`` of the
     words are hit go. All columns stay as they are but the text. A null text stays null. With
     several blocks of items each is held against the whole text as it came; a row's spans are
@@ -266,40 +270,30 @@ def decontaminated(docs: DataFrame, items: DataFrame, window: int = 10, max_cove
     names = sorted(r.block for r in built.select("block").collect())  # one small number a block
     if not names:
         return docs
-    mark, key, found = "__cut", "__row", "__spans"
-    if len(names) == 1:
-        blob = built.where(F.col("block") == names[0]).first().automaton
-        require_at_most(len(blob), block_bytes, "bytes of an automaton")
-        sent = docs.sparkSession.sparkContext.broadcast(pickle.loads(blob))
+    key, found = "__row", "__spans"
 
-        @F.pandas_udf(_CUT)
-        def cut(texts: pd.Series) -> pd.DataFrame:
-            release()
-            automaton = sent.value
-            return _outcome(texts, [clean_text(automaton, t, max_coverage) for t in texts])
+    def outcome(texts: list[str | None], new: list[str | None]) -> tuple[list, list]:
+        return new, [t is None or n is not None for t, n in zip(texts, new, strict=True)]
 
-        done = docs.withColumn(mark, cut(F.col(f"`{text_col}`")))
-    else:
-        rows = written(docs.withColumn(key, F.monotonically_increasing_id()), "decontaminate_rows")
-        text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-        view = rows.select(F.lit(None).cast("long").alias("doc_id"), text.alias("text"), F.col(key).alias("row"))
-        hits = _all_blocks(view, built, names, block_bytes).where(F.size("spans") > 0).groupBy(F.col("row").alias(key)).agg(_unite(F.collect_list("spans")).alias(found))
-
-        @F.pandas_udf(_CUT)
-        def cut_spans(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
-            release()
-            new = [t if s is None else without(t, [tuple(x) for x in s], max_coverage) for t, s in zip(texts, spans, strict=True)]
-            return _outcome(texts, new)
-
-        done = rows.join(hits, key, "left").withColumn(mark, cut_spans(F.col(f"`{text_col}`"), F.col(found)))
-    return done.where(~F.col(mark)["gone"]).withColumn(text_col, F.col(mark)["text"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    if len(names) == 1:
+        sent = docs.sparkSession.sparkContext.broadcast(_automaton(built, names[0], block_bytes))
+        return map_texts(docs, text_col, lambda texts: outcome(texts, [clean_text(sent.value, t, max_coverage) for t in texts]))
+    rows = written(docs.withColumn(key, F.monotonically_increasing_id()), "decontaminate_rows")
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    view = rows.select(F.lit(None).cast("long").alias("doc_id"), text.alias("text"), F.col(key).alias("row"))
+    hits = _all_blocks(view, built, names, block_bytes).where(F.size("spans") > 0).groupBy(F.col("row").alias(key)).agg(_unite(F.collect_list("spans")).alias(found))
 
+    @F.pandas_udf(_CUT)
+    def cut_spans(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
+        release()
+        new = [t if s is None else without(t, [tuple(x) for x in s], max_coverage) for t, s in zip(texts, spans, strict=True)]
+        return pd.DataFrame({"stays": outcome(texts.tolist(), new)[1], "text": new})
 
-_CUT = "struct<gone: boolean, text: string>"
+    cut = rows.join(hits, key, "left").withColumn("__cut", cut_spans(F.col(f"`{text_col}`"), F.col(found))).where("__cut.stays")
+    return cut.withColumn(text_col, F.col("__cut.text")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-def _outcome(texts: pd.Series, new: list[str | None]) -> pd.DataFrame:
-    return pd.DataFrame({"gone": [n is None and t is not None for n, t in zip(new, texts, strict=True)], "text": new})
+_CUT = "struct<stays: boolean, text: string>"
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

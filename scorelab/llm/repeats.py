@@ -123,12 +123,10 @@ class Chunk:
 
     def valid(self, length: int) -> np.ndarray:
         """Whether a string of ``length`` bytes that starts here stays in its document."""
-        n = max(0, len(self.data) - length + 1)
-        long = self.ends - self.starts >= length
-        step = np.zeros(n + 1, np.int32)
-        np.add.at(step, self.starts[long], 1)
-        np.add.at(step, self.ends[long] - length + 1, -1)
-        return np.cumsum(step[:n]) > 0
+        ok = np.zeros(max(0, len(self.data) - length + 1), bool)
+        for a, e in zip(self.starts.tolist(), self.ends.tolist(), strict=True):
+            ok[a : max(a, e - length + 1)] = True
+        return ok
 
     def rows(self, places: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.ends, places, "right")
@@ -597,8 +595,8 @@ def _merged(runs: DataFrame, length: int, k: int) -> DataFrame:
     return arrow_map(dealt, job, "chunk long, spans binary, copies binary, row long, start long, doc long, string binary")
 
 
-def cut_repeats(docs: DataFrame, length: int = 50, gram: int = 24, chunk_bytes: int = 16 << 20, bucket_grams: int = 1_500_000,
-                slice_entries: int = 150_000, heavy: int = 100_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cut_repeats(docs: DataFrame, length: int = 50, gram: int = 24, chunk_bytes: int = 4 << 20, bucket_grams: int = 1_500_000,
+                slice_entries: int = 150_000, heavy: int = 10_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes), one row a row of ``docs``.
 
     A null text is empty. A text under a null doc_id loses what any document with an id has too,
@@ -640,7 +638,9 @@ def cut_repeats(docs: DataFrame, length: int = 50, gram: int = 24, chunk_bytes:
                     for first, last in _copied(flats, first, last, length):  # distinct places
                         step[first] += 1
                         step[last] -= 1
-                gone = np.cumsum(step[:-1]) > 0
+                np.cumsum(step, out=step)  # in place: a wider sum would be most of what the task holds
+                gone = step[:-1] > 0
+                del step
                 rows = []
                 for i, a, e in zip(ids, c.starts.tolist(), c.ends.tolist(), strict=True):
                     mask = gone[a:e]

@@ -17,12 +17,11 @@ from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelab.llm.common import arrow_map, doc_view, held, record, table
+from scorelab.llm.common import arrow_map, doc_view, held, map_texts, record, table
 
 # The base patterns, in their order, with the group and least length that count.
 KINDS = (
@@ -389,11 +388,10 @@ def redacted(docs: DataFrame, field: Field, text_col: str = "text", mark: str =
     without secrets, and null texts, are returned as they are."""
     sent = docs.sparkSession.sparkContext.broadcast(field)
 
-    @F.pandas_udf("string")
-    def job(texts: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else redact(t, all_spans(sent.value, _tokens(), t)[1], mark) for t in texts], dtype=object)
+    def job(texts: list[str | None]) -> tuple[list, None]:
+        return [None if t is None else redact(t, all_spans(sent.value, _tokens(), t)[1], mark) for t in texts], None
 
-    return docs.withColumn(text_col, job(F.col(f"`{text_col}`")))
+    return map_texts(docs, text_col, job, TOKENS_KEY)
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
