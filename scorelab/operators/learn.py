@@ -14,13 +14,14 @@ import math
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
-                                       MultilayerPerceptronClassifier, RandomForestClassifier)
+from pyspark.ml.classification import (GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier,
+                                       RandomForestClassifier)
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scorelab.operators import boosting, networks, newton, passes
 from scorelab.operators.explain import Scorer
 from scorelab.plans.ranks import hash_key
 from scorelab.session import cut_lineage
@@ -122,11 +123,10 @@ def train_sgb(train: DataFrame, features: Sequence[str], y: str = "y", n: int =
 
 
 def train_gbt_grid(train: DataFrame, features: Sequence[str], y: str = "y", n: int = 100, lr: float = 0.1,
-                   seed: int = 42, max_depth: int = 6) -> Scorer:
-    """Gradient-boosted trees standing in for the XGB / LGBM grid points (same n and rate; trees of
-    ``max_depth``)."""
-    est = GBTClassifier(maxIter=int(n), stepSize=float(lr), maxDepth=max_depth, seed=seed)
-    return _margin(ml_scorer(_fit(est, train, features, y), features))
+                   seed: int = 42, by_leaf: bool = False) -> Scorer:
+    """Second-order boosted trees: grown by level to depth 6 with a penalty of 1, or ``by_leaf`` to 31
+    leaves of at least 20 rows. Nothing is drawn, so ``seed`` is not used."""
+    return family_scorer(newton_family, train, features, y, {"n": n, "lr": lr, "by_leaf": by_leaf})
 
 
 def train_mlp(train: DataFrame, features: Sequence[str], y: str = "y", hidden: Sequence[int] = (64, 32),
@@ -146,80 +146,108 @@ def _average(scorers: Sequence[Scorer]) -> Scorer:
     return score
 
 
-def train_bagged_mlp(train: DataFrame, features: Sequence[str], y: str = "y", n: int = 5, seed: int = 42,
-                     hidden: Sequence[int] = (100,), epochs: int = 1000) -> Scorer:
-    """n perceptrons with one layer of 100, each on a bootstrap resample (rows repeated by their
-    draw counts), probabilities averaged. Each fit stops by itself when the loss settles, after
-    ``epochs`` steps at most."""
-    from scorelab.operators.resample import bootstrap_draws
-
-    t = train.withColumn("_bag", F.lit(0))
-    draws = cut_lineage(bootstrap_draws(t, n, seed, by=["_bag"]))  # drawn once, read by every bag
-    models = []
-    for b in range(n):
-        rows = draws.where(F.col("b") == b).join(t, ["_bag", "row_id"]).select(
-            "*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("weight"))).alias("_copy"))
-        models.append(train_mlp(rows, features, y, hidden, epochs, seed + b))
-    return _average(models)
-
-
-def adaboost_path(train: DataFrame, features: Sequence[str], y: str = "y", n: int = 50, lr: float = 1.0,
-                  seed: int = 42, checkpoint_every: int = 5):
-    """SAMME with depth-1 trees: returns [(alpha_m, stump_m)] for m = 1..n (prefixes give every
-    smaller n). Row weights live in a DataFrame; lineage is cut with a reliable checkpoint."""
-    t = _assemble(train, features).withColumn("label", F.col(y).cast("double"))
-    n_rows = t.count()
-    t = cut_lineage(t.withColumn("_w", F.lit(1.0 / max(n_rows, 1))).select("features", "label", "_w"))
-    path = []
-    for m in range(n):
-        stump = DecisionTreeClassifier(maxDepth=1, weightCol="_w", seed=seed + m).fit(t)
-        pr = stump.transform(t).withColumn("_miss", (F.col("prediction") != F.col("label")).cast("double"))
-        err = pr.agg((F.sum(F.col("_w") * F.col("_miss")) / F.sum("_w")).alias("e")).first()["e"]
-        if err is None or err >= 0.5:
-            break
-        err = max(err, 1e-12)
-        alpha = lr * math.log((1.0 - err) / err)
-        path.append((alpha, stump))
-        if err <= 1e-12:
-            break
-        t = pr.select("features", "label", (F.col("_w") * F.exp(F.lit(alpha) * F.col("_miss"))).alias("_w"))
-        if (m + 1) % checkpoint_every == 0:
-            t = cut_lineage(t)
-    return path
+# ---------------------------------------------------------------- families fitted in one pass
+
+#: (rows, jobs, holds) -> evaluate: the log odds of every (job, hold), jobs first. ``rows`` is the form of
+#: ``passes.model_rows``, a job is (name, params), a hold the fold that a model must not see.
+Family = Callable[[DataFrame, Sequence[tuple[str, dict]], Sequence[int]], passes.Evaluate]
+
+
+def stump_family(rows: DataFrame, jobs: Sequence[tuple[str, dict]], holds: Sequence[int]) -> passes.Evaluate:
+    """SAMME with stumps: one long fit a rate and hold, every smaller n is a prefix of it."""
+    specs = [(float(p.get("lr", 1.0)), h) for _, p in jobs for h in holds]
+    ns = [int(p.get("n", 10)) for _, p in jobs for _ in holds]
+    fits = sorted(set(specs))
+    models = [boosting.Model(max(n for n, s in zip(ns, specs, strict=True) if s == f), *f) for f in fits]
+    paths, cuts = boosting.fit_stumps(rows, models)
+    return boosting.evaluator(paths, cuts, [(fits.index(s), n) for s, n in zip(specs, ns, strict=True)])
+
 
+def newton_family(rows: DataFrame, jobs: Sequence[tuple[str, dict]], holds: Sequence[int]) -> passes.Evaluate:
+    """Second-order trees: one long fit a rate, way of growing and hold."""
+    specs = [(float(p.get("lr", 0.1)), bool(p.get("by_leaf", False)), h) for _, p in jobs for h in holds]
+    ns = [int(p.get("n", 100)) for _, p in jobs for _ in holds]
+    fits = sorted(set(specs))
+    models = [newton.Model(max(n for n, s in zip(ns, specs, strict=True) if s == (lr, leaf, h)), lr, h, **(newton.BY_LEAF if leaf else newton.BY_LEVEL)) for lr, leaf, h in fits]
+    grown, cuts = newton.fit_trees(rows, models)
+    return newton.evaluator(grown, cuts, [(fits.index(s), n) for s, n in zip(specs, ns, strict=True)])
 
-def adaboost_scorer(path, features: Sequence[str]) -> Scorer:
-    """p = sigmoid(2 * sum_m alpha_m h_m / sum_m alpha_m) with h in {-1, +1} (SAMME, two classes)."""
+
+def network_family(rows: DataFrame, jobs: Sequence[tuple[str, dict]], holds: Sequence[int]) -> passes.Evaluate:
+    """Bags of networks: a smaller number of bags is the first ones of a larger."""
+    most = max(int(p.get("n", 5)) for _, p in jobs)
+    seed, hidden, steps = jobs[0][1].get("seed", 42), jobs[0][1].get("hidden", 100), jobs[0][1].get("epochs", 1000)
+    models = [networks.Model(hidden, seed + b, b, h, steps=steps) for h in holds for b in range(most)]
+    thetas = networks.fit_networks(rows, models, seed)
+    return networks.evaluator(thetas, models, [[k * most + b for b in range(int(p.get("n", 5)))] for _, p in jobs for k in range(len(holds))])
+
+
+def family_scorer(family: Family, train: DataFrame, features: Sequence[str], y: str, params: dict) -> Scorer:
+    """Scorer of one model of a family."""
     feats = list(features)
-    total = sum(a for a, _ in path) or 1.0
+    rows = cut_lineage(passes.model_rows(train, feats, y))
+    if rows.isEmpty():
+        raise ValueError("no rows to fit")
+    values = passes.value_column(family(rows, [("", params)], [-2]), [-2])
 
     def score(df: DataFrame) -> DataFrame:
-        cols = df.columns
-        t = _assemble(df, feats, "_f")
-        dec = F.lit(0.0)
-        for i, (alpha, stump) in enumerate(path):
-            s = stump.copy().setFeaturesCol("_f").setPredictionCol(f"_h{i}").setRawPredictionCol(f"_r{i}") \
-                .setProbabilityCol(f"_q{i}")
-            t = s.transform(t)
-            dec = dec + F.lit(alpha) * (2 * F.col(f"_h{i}") - 1)
-        return t.select(*[F.col(f"`{c}`") for c in cols], (1.0 / (1.0 + F.exp(-2.0 * dec / total))).alias("p"))
+        return df.withColumn("p", 1.0 / (1.0 + F.exp(-values(F.lit(""), passes.vector(feats), F.lit(-1)).getItem(0))))
     return _margin(score)
 
 
+def family_scores(family: Family, train: DataFrame, test: DataFrame, jobs: Sequence[tuple[str, dict]], folds: int = 0) -> DataFrame:
+    """The ``test`` rows (without fold and x) with model and p, a row a job. ``train`` and ``test`` as from
+    ``passes.model_rows``. With ``folds`` the train rows' fold column cuts them; each job is fitted without each
+    fold, calibrated by a sigmoid on that fold, and the calibrated probabilities are averaged."""
+    holds = list(range(folds)) or [-2]
+    evaluate, per = family(train, jobs, holds), [h for _ in jobs for h in holds]
+    kept = [c for c in test.columns if c not in ("fold", "x")]
+    value = passes.value_column(evaluate, per)
+    scored = test.withColumn("_v", value("g", "x", "fold"))
+    if folds:
+        own = passes.value_column(evaluate, per, own_fold=True)
+        left = train.select("g", "y", F.posexplode(own("g", "x", "fold")).alias("point", "s")).where("s is not null")
+        fitted = platt_many(cut_lineage(left), ["g", "point"])
+        lines = fitted.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("point", "a", "b"))).alias("_lines"))  # one a point
+        calibrated = F.transform("_v", lambda s, i: 1.0 / (1.0 + F.exp(F.col("_lines")[i]["a"] * s + F.col("_lines")[i]["b"])))
+        total = lambda j: F.aggregate(F.slice("_c", j * folds + 1, folds), F.lit(0.0), lambda a, c: a + c)
+        p = F.transform(F.sequence(F.lit(0), F.lit(len(jobs) - 1)), lambda j: total(j) / folds)
+        scored = scored.join(lines, "g").withColumn("_c", calibrated)
+    else:
+        p = F.transform("_v", lambda v: 1.0 / (1.0 + F.exp(-v)))
+    names = F.array(*[F.lit(n) for n, _ in jobs])
+    return scored.select(*kept, F.posexplode(p).alias("_point", "p")).select(*kept, F.element_at(names, F.col("_point") + 1).alias("model"), "p")
+
+
+def train_bagged_mlp(train: DataFrame, features: Sequence[str], y: str = "y", n: int = 5, seed: int = 42,
+                     hidden: int = 100, epochs: int = 1000) -> Scorer:
+    """n networks with one layer of ``hidden``, each on a bag of the rows (counts from the rows' hashes),
+    probabilities averaged. A tenth of the rows is put aside; a network stops by itself when these get
+    no better, after ``epochs`` steps at most. All bags are trained in the same passes."""
+    return family_scorer(network_family, train, features, y, {"n": n, "seed": seed, "hidden": hidden, "epochs": epochs})
+
+
 def train_adaboost(train: DataFrame, features: Sequence[str], y: str = "y", n: int = 10, lr: float = 1.0,
                    seed: int = 42) -> Scorer:
-    return adaboost_scorer(adaboost_path(train, features, y, n, lr, seed), features)
+    """SAMME with n stumps; p = sigmoid(2 sum alpha h / sum alpha). Nothing is drawn, so ``seed`` is not used."""
+    return family_scorer(stump_family, train, features, y, {"n": n, "lr": lr})
 
 
-def train_boost_grid(train: DataFrame, features: Sequence[str], y: str = "y", ns: Sequence[int] = (10, 50, 100, 250, 500, 1000),
-                     lrs: Sequence[float] = (0.1, 0.5, 1.0), seed: int = 42) -> dict[str, Scorer]:
-    """One long SAMME fit per learning rate gives every smaller n as a prefix."""
-    out = {}
-    for lr in lrs:
-        path = adaboost_path(train, features, y, max(ns), lr, seed)
-        for n in ns:
-            out[f"boost_dt_{n}x{lr}".replace(".", "p")] = adaboost_scorer(path[:n], features)
-    return out
+def grid_scores(family: Family, train: DataFrame, test: DataFrame, features: Sequence[str], jobs: Sequence[tuple[str, dict]], y: str = "y") -> DataFrame:
+    """(dataset, model, row_id, y, p): every job of a family fitted on all of ``train`` and scored on ``test``."""
+    rows = cut_lineage(passes.model_rows(train, features, y))
+    return family_scores(family, rows, passes.model_rows(test, features, y, keep=("dataset", "row_id")), jobs).drop("g")
+
+
+def boost_grid(ns: Sequence[int], lrs: Sequence[float]) -> list[tuple[str, dict]]:
+    return [(f"boost_dt_{n}x{lr}".replace(".", "p"), {"n": n, "lr": lr}) for n in ns for lr in lrs]
+
+
+def train_boost_grid(train: DataFrame, test: DataFrame, features: Sequence[str], y: str = "y",
+                     ns: Sequence[int] = (10, 50, 100, 250, 500, 1000), lrs: Sequence[float] = (0.1, 0.5, 1.0)) -> DataFrame:
+    """Scores of every point of the grid: one fit a rate, all rates in the same passes, and one pass over
+    ``test`` for all points."""
+    return grid_scores(stump_family, train, test, features, boost_grid(ns, lrs), y)
 
 
 # ---------------------------------------------------------------- nearest neighbours
@@ -278,26 +306,59 @@ def platt_fit(scores: DataFrame, s: str = "s", y: str = "y", iters: int = 50) ->
     return a, b
 
 
+def platt_many(scores: DataFrame, keys: Sequence[str], s: str = "s", y: str = "y", iters: int = 50) -> DataFrame:
+    """(keys, a, b): the fit of ``platt_fit`` for every group of ``scores``, all groups in the same steps. The
+    state is a table of one row a group; a step is one aggregate over the rows of the groups that still move."""
+    keys = list(keys)
+    counts = scores.groupBy(*keys).agg(F.sum(F.col(y).cast("double")).alias("np"), F.count(F.lit(1)).alias("n"))
+    first = counts.select(*keys, ((F.col("np") + 1) / (F.col("np") + 2)).alias("hi"), (1 / (F.col("n") - F.col("np") + 2)).alias("lo"),
+                          F.lit(0.0).alias("a"), F.log((F.col("n") - F.col("np") + 1) / (F.col("np") + 1)).alias("b"))
+    state = cut_lineage(first.withColumn("moving", F.lit(True)))
+    for _ in range(iters):
+        if state.where("moving").isEmpty():
+            break
+        at = F.col(s)
+        pr = 1.0 / (1.0 + F.exp(F.col("a") * at + F.col("b")))
+        diff, w = F.when(F.col(y) == 1, F.col("hi")).otherwise(F.col("lo")) - pr, pr * (1 - pr)
+        sums = scores.join(state.where("moving"), keys).groupBy(*keys).agg(
+            F.sum(diff * at).alias("ga"), F.sum(diff).alias("gb"), (F.sum(w * at * at) + 1e-12).alias("haa"),
+            F.sum(w * at).alias("hab"), (F.sum(w) + 1e-12).alias("hbb"))
+        det = F.col("haa") * F.col("hbb") - F.col("hab") * F.col("hab")
+        da = F.when(det == 0, 0.0).otherwise((F.col("hbb") * F.col("ga") - F.col("hab") * F.col("gb")) / F.when(det != 0, det))
+        db = F.when(det == 0, 0.0).otherwise((F.col("haa") * F.col("gb") - F.col("hab") * F.col("ga")) / F.when(det != 0, det))
+        steps = sums.select(*keys, da.alias("da"), db.alias("db"))
+        moved = state.join(steps, keys, "left").na.fill(0.0, ["da", "db"])
+        state = cut_lineage(moved.select(*keys, "hi", "lo", (F.col("a") - F.col("da")).alias("a"), (F.col("b") - F.col("db")).alias("b"),
+                                         ((F.abs("da") >= 1e-10) | (F.abs("db") >= 1e-10)).alias("moving")))
+    return state.select(*keys, "a", "b")
+
+
+def folded(train: DataFrame, y: str, folds: int, seed: int) -> DataFrame:
+    """``train`` with its calibration folds, written once for all models that read them."""
+    from scorelab.operators.resample import stratified_kfold
+
+    return cut_lineage(stratified_kfold(train, y, folds, seed))
+
+
 def calibrate_sigmoid(trainer: Trainer, train: DataFrame, features: Sequence[str], y: str = "y", folds: int = 3,
-                      seed: int = 42, **kw) -> Scorer:
+                      seed: int = 42, tf: DataFrame | None = None, **kw) -> Scorer:
     """3 folds: the base model fits on 2/3, Platt scaling on the held-out third, on the decision
     value where the model has one; the calibrated probability is the mean of the 3 calibrated
-    models."""
-    from scorelab.operators.resample import stratified_kfold
-
-    tf = stratified_kfold(train, y, folds, seed)
-    parts = []
+    models. ``tf``: the train rows with their folds, where they are written already. The folds' sigmoids are
+    fitted together."""
+    tf = folded(train, y, folds, seed) if tf is None else tf
+    bases, held = [], []
     for f in range(folds):
         base = trainer(tf.where(F.col("fold") != f).drop("fold"), features, y, seed=seed, **kw)
-        held = base(tf.where(F.col("fold") == f).drop("fold")).select(decision(base).alias("s"), F.col(y).alias("y"))
-        a, b = platt_fit(cut_lineage(held), "s", "y")  # read once a Newton step
-        parts.append((base, a, b))
+        bases.append(base)
+        held.append(base(tf.where(F.col("fold") == f)).select("fold", decision(base).alias("s"), F.col(y).alias("y")))
+    lines = {r["fold"]: (r["a"], r["b"]) for r in platt_many(cut_lineage(reduce(DataFrame.unionByName, held)), ["fold"]).collect()}
 
     def score(df: DataFrame) -> DataFrame:
         cal = []
-        for base, a, b in parts:
-            def one(d, base=base, a=a, b=b):
-                return base(d).withColumn("p", 1.0 / (1.0 + F.exp(F.lit(a) * decision(base) + F.lit(b))))
+        for f, base in enumerate(bases):
+            def one(d, base=base, line=lines.get(f, (0.0, 0.0))):
+                return base(d).withColumn("p", 1.0 / (1.0 + F.exp(F.lit(line[0]) * decision(base) + F.lit(line[1]))))
             cal.append(one)
         return _average(cal)(df)
     return score
@@ -387,20 +448,18 @@ def tune_knn(train: DataFrame, features: Sequence[str], y: str = "y", ks: Sequen
 
 def grid_search_ada(train: DataFrame, features: Sequence[str], y: str = "y", ns: Sequence[int] = (50, 100, 200),
                     lrs: Sequence[float] = (0.01, 0.1, 1.0), folds: int = 5, seed: int = 42) -> DataFrame:
-    """5-fold AUC of every (n, rate): one long SAMME fit per (fold, rate), prefixes for each n."""
+    """5-fold AUC of every (n, rate): one long SAMME fit a (fold, rate), all of them in the same passes, and
+    one pass for the held-out scores of every n."""
     from scorelab.operators.resample import stratified_kfold
 
     feats = list(features)
     tf = stratified_kfold(train.select("row_id", y, *feats), y, folds, seed)
-    parts = []
-    for f in range(folds):
-        tr, te = tf.where(F.col("fold") != f), tf.where(F.col("fold") == f)
-        for lr in lrs:
-            path = adaboost_path(tr, feats, y, max(ns), lr, seed)
-            for n in ns:
-                s = adaboost_scorer(path[:n], feats)(te)
-                parts.append(s.select(F.lit(f).alias("fold"), F.lit(n).alias("n"), F.lit(lr).alias("lr"), "y", "p"))
-    return _cv_auc(reduce(lambda a, b: a.unionByName(b), parts), ["fold", "n", "lr"])
+    rows = cut_lineage(passes.model_rows(tf, feats, y, fold=F.col("fold")))
+    jobs, holds = [("", {"n": n, "lr": lr}) for n in ns for lr in lrs], list(range(folds))
+    value = passes.value_column(stump_family(rows, jobs, holds), [h for _ in jobs for h in holds], own_fold=True)
+    job = lambda k, t: F.element_at(F.array(*[F.lit(p[k]).cast(t) for _, p in jobs]), F.floor(F.col("point") / folds).cast("int") + 1).alias(k)
+    scored = rows.select("fold", "y", F.posexplode(value("g", "x", "fold")).alias("point", "v")).where("v is not null")
+    return _cv_auc(scored.select("fold", job("n", "int"), job("lr", "double"), "y", (1.0 / (1.0 + F.exp(-F.col("v")))).alias("p")), ["fold", "n", "lr"])
 
 
 # ---------------------------------------------------------------- registry and the experiment runner
@@ -426,8 +485,8 @@ GROUPS = ("lr", "lr_reg", "adaboost", "Bag-CART", "BagNN", "Boost-DT", "RF", "SG
 
 
 def default_registry(groups: Sequence[str] = GROUPS) -> dict[str, dict[str, tuple[Trainer, dict]]]:
-    """Model groups -> {model name: (trainer, params)}. XGB and LGBM points run on Spark's boosted
-    trees; DL has the perceptron alone (its other two need a library that is not there)."""
+    """Model groups -> {model name: (trainer, params)}. XGB and LGBM points run on second-order trees grown by
+    level and by leaf; DL has the perceptron alone (its other two need a library that is not there)."""
     point = lambda x: str(x).replace(".", "p")
     every: dict[str, dict[str, tuple[Trainer, dict]]] = {
         "lr": {f"lr_{s}": (train_lr, {"C": 1e6}) for s in LR_SOLVERS},
@@ -440,7 +499,7 @@ def default_registry(groups: Sequence[str] = GROUPS) -> dict[str, dict[str, tupl
         "SGB": {f"sgb_{n}": (train_sgb, {"n": n}) for n in SGB_N},
         "KNN": {f"knn_{k}": (train_knn, {"k": k}) for k in KNN_K} | {"knn_tuned": (train_knn_tuned, {})},
         "XGB": {f"xgb_{n}x{point(r)}": (train_gbt_grid, {"n": n, "lr": r}) for n in XGB_N for r in XGB_RATES},
-        "LGBM": {f"lgbm_{n}x{point(r)}": (train_gbt_grid, {"n": n, "lr": r}) for n in XGB_N for r in XGB_RATES},
+        "LGBM": {f"lgbm_{n}x{point(r)}": (train_gbt_grid, {"n": n, "lr": r, "by_leaf": True}) for n in XGB_N for r in XGB_RATES},
         "DL": {"torch_mlp": (train_mlp, {})},
     }
     return {g: every[g] for g in groups}
@@ -449,6 +508,9 @@ def default_registry(groups: Sequence[str] = GROUPS) -> dict[str, dict[str, tupl
 #: Groups whose models are not calibrated in a run.
 UNCALIBRATED = ("DL",)
 
+#: Trainers whose models, of all datasets, folds and grid points, are fitted in the same passes.
+FAMILIES: dict[Trainer, Family] = {train_adaboost: stump_family, train_gbt_grid: newton_family, train_bagged_mlp: network_family}
+
 
 def run_experiment(datasets: DataFrame, registry: dict, y: str = "y", test_size: float = 0.2, seed: int = 42,
                    balance: bool = False, calibrate: bool = True, at_once: int = 4) -> tuple[DataFrame, DataFrame]:
@@ -456,8 +518,10 @@ def run_experiment(datasets: DataFrame, registry: dict, y: str = "y", test_size:
 
     Per dataset: exact stratified split, preprocessing learned on train, optional SMOTE on train,
     3-fold sigmoid calibration (but for the groups in ``UNCALIBRATED``) on what SMOTE made, fit,
-    score the test rows; metrics with tau / pi+ from the (unbalanced) train prevalence. ``at_once``
-    models are fitted at a time, each by Spark jobs of its own."""
+    score the test rows; metrics with tau / pi+ from the (unbalanced) train prevalence. Models of one of the
+    ``FAMILIES`` are fitted together, those of all datasets, folds and grid points in the same passes;
+    of the others ``at_once`` are fitted at a time, each by Spark jobs of its own. Folds are written once a
+    dataset."""
     from concurrent.futures import ThreadPoolExecutor
 
     from scorelab.operators.metrics import metric_bundle
@@ -467,7 +531,11 @@ def run_experiment(datasets: DataFrame, registry: dict, y: str = "y", test_size:
     spark = datasets.sparkSession
     names = [r["dataset"] for r in datasets.select("dataset").distinct().orderBy("dataset").collect()]
     split = cut_lineage(stratified_split(datasets, y, test_size, seed, by=["dataset"]))
-    todo = []
+    single, together, rows, asked = [], {}, [], []
+    for g, models in registry.items():
+        for name, (t, params) in models.items():
+            if t in FAMILIES:
+                together.setdefault((t, calibrate and g not in UNCALIBRATED), []).append((f"{g}\x1f{name}", params))
     for ds in names:
         d = split.where(F.col("dataset") == ds)
         tr = d.where(F.col("split") == "train").drop("split")
@@ -475,24 +543,40 @@ def run_experiment(datasets: DataFrame, registry: dict, y: str = "y", test_size:
         pre = fit_preprocessor(tr, y, keep=("dataset", "row_id"))
         feats, trx, tex = pre.feature_names(), cut_lineage(pre.transform(tr)), cut_lineage(pre.transform(te))
         if balance:
-            trx = balanced(trx, feats, y, seed)
-        todo += [(ds, g, name, t, params, trx, tex, feats) for g, models in registry.items() for name, (t, params) in models.items()]
+            trx = balanced(trx, feats, y, seed).withColumn("dataset", F.lit(ds))
+        tf = folded(trx, y, 3, seed)
+        single += [(ds, g, name, t, params, tf, tex, feats) for g, models in registry.items() for name, (t, params) in models.items() if t not in FAMILIES]
+        if together:
+            rows.append(passes.model_rows(tf, feats, y, "dataset", F.col("fold")))
+            asked.append(passes.model_rows(tex, feats, y, "dataset"))
 
     def fit_one(job):
-        ds, group, name, trainer, params, trx, tex, feats = job
+        ds, group, name, trainer, params, tf, tex, feats = job
         try:
             if calibrate and group not in UNCALIBRATED:
-                sc = calibrate_sigmoid(trainer, trx, feats, y, seed=seed, **params)
+                sc = calibrate_sigmoid(trainer, tf.drop("fold"), feats, y, seed=seed, tf=tf, **params)
             else:
-                sc = trainer(trx, feats, y, seed=seed, **params)
+                sc = trainer(tf.drop("fold"), feats, y, seed=seed, **params)
             part = sc(tex).select("dataset", F.lit(group).alias("model_group"), F.lit(name).alias("model"), "row_id", y, "p")
             return cut_lineage(part), None
         except Exception as e:  # noqa: BLE001 - recorded, the others go on
-            return None, (ds, group, name, f"{type(e).__name__}: {str(e).splitlines()[0][:300]}")
+            return None, [(ds, group, name, f"{type(e).__name__}: {str(e).splitlines()[0][:300]}")]
+
+    def fit_family(job):
+        (trainer, cal), jobs = job
+        try:
+            long = family_scores(FAMILIES[trainer], all_rows, reduce(DataFrame.unionByName, asked), jobs, 3 if cal else 0)
+            part = lambda i: F.element_at(F.split("model", "\x1f"), i)
+            return cut_lineage(long.select(F.col("g").alias("dataset"), part(1).alias("model_group"), part(2).alias("model"), "row_id", F.col("y").alias(y), "p")), None
+        except Exception as e:  # noqa: BLE001 - recorded, the others go on
+            why = f"{type(e).__name__}: {str(e).splitlines()[0][:300]}"
+            return None, [(ds, *name.split("\x1f"), why) for ds in names for name, _ in jobs]
 
+    all_rows = cut_lineage(reduce(DataFrame.unionByName, rows)) if rows else None
     with ThreadPoolExecutor(at_once) as pool:
-        done = list(pool.map(fit_one, todo))
-    score_parts, errors = [p for p, _ in done if p is not None], [e for _, e in done if e is not None]
+        families = [pool.submit(fit_family, job) for job in together.items()]
+        done = list(pool.map(fit_one, single)) + [f.result() for f in families]
+    score_parts, errors = [p for p, _ in done if p is not None], [e for _, es in done if es is not None for e in es]
     scores = reduce(lambda a, b: a.unionByName(b), score_parts) if score_parts else None
     tau = split.where(F.col("split") == "train").groupBy("dataset").agg(F.avg(F.col(y).cast("double")).alias("tau"))
     metrics = metric_bundle(scores, tau).withColumn("error", F.lit(None).cast("string")) if scores is not None else None

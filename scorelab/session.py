@@ -7,6 +7,7 @@ The library never creates its own cluster settings beyond what a test needs: it
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import zipfile
@@ -49,10 +50,12 @@ def ship_package(spark: SparkSession) -> None:
         for p in sorted(root.rglob("*.py")):
             z.write(p, Path(root.name) / p.relative_to(root))
     sc.addPyFile(name)
-    # rows may be whole documents: smaller Arrow batches bound what a Python worker holds (a setting
-    # of the caller's own is left as it is)
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    atexit.register(Path(name).unlink, missing_ok=True)
+    # rows may be whole documents: smaller Arrow batches bound what a Python worker holds (settings
+    # of the caller's own are left as they are)
+    for key, default, ours in (("maxRecordsPerBatch", "10000", "2000"), ("maxBytesPerBatch", "67108864b", "4m")):
+        if spark.conf.get(f"spark.sql.execution.arrow.{key}") == default:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", ours)
     sc._scorelab_shipped = True
 
 

@@ -184,14 +184,14 @@ def test_beta22_quantile_closed_form():
 
 
 def test_adaboost_prefix_is_short_fit(spark):
-    from scorelab.operators.learn import adaboost_path
+    from scorelab.operators import boosting, passes
     from scorelab.sources.bindings import credit_customer
 
     feats = ["n_orders", "sum_price", "avg_price"]
     c = credit_customer(spark, SF).na.fill(0.0)
-    long = adaboost_path(c, feats, "y", 4, 1.0, 5)
-    short = adaboost_path(c, feats, "y", 2, 1.0, 5)
-    assert [round(a, 12) for a, _ in long[:2]] == [round(a, 12) for a, _ in short]
+    rows = passes.model_rows(c, feats)
+    long, short = (boosting.fit_stumps(rows, [boosting.Model(n, 1.0)])[0][""][0] for n in (4, 2))
+    assert [(s[1:], round(s.alpha, 12)) for s in long[:2]] == [(s[1:], round(s.alpha, 12)) for s in short]
 
 
 def test_streaming_counts_equal_batch(spark):
