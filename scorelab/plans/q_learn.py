@@ -144,12 +144,12 @@ def q_score_rows(spark, d):
     return L.score_rows(L.train_lr(tr, feats), te)
 
 
-@query("run_experiment", """SELECT dataset, model_group, n_models, n_errors, all_scored FROM (VALUES ('lr', 3), ('lr_reg', 3), ('adaboost', 3)) AS g(model_group, n_models),
+@query("run_experiment", """SELECT dataset, model_group, n_models, n_errors, all_scored FROM (VALUES ('lr', 3), ('lr_reg', 3), ('adaboost', 3), ('Boost-DT', 18)) AS g(model_group, n_models),
   (SELECT DISTINCT dataset FROM credit_orders), (SELECT 0 AS n_errors), (SELECT true AS all_scored)""", views=("credit_orders",))
 def q_run_experiment(spark, d):
-    """The lr, lr_reg and adaboost groups, calibrated, over the three orders datasets: models and
+    """The lr, lr_reg, adaboost and Boost-DT groups, calibrated, over the three orders datasets: models and
     errors by group, and whether every model has an AUC and a Brier score in [0, 1]."""
-    reg = L.default_registry(("lr", "lr_reg", "adaboost"))
+    reg = L.default_registry(("lr", "lr_reg", "adaboost", "Boost-DT"))
     metrics, _ = L.run_experiment(credit_orders(spark, d), reg)
     good = F.col("AUC").between(0.0, 1.0) & F.col("BS").between(0.0, 1.0)
     return metrics.groupBy("dataset", "model_group").agg(
