@@ -15,6 +15,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scorelab.operators.tree_shap import tree_interactions, tree_shapley
 from scorelab.plans.ranks import exact_quantiles, hash_key, hash_rank
 
 Scorer = Callable[[DataFrame], DataFrame]
@@ -83,8 +84,13 @@ def shapley_rows(scorer: Scorer, rows: DataFrame, background: DataFrame, feature
     its reverse (antithetic pair). The d+1 coalition rows x[S] + z[not S] along the order are scored
     in one ``scorer`` call; phi_j of the draw is f(after j) - f(before j); the average over draws
     is the estimate. sum_j phi_j = f(x) - f(z) holds exactly for every draw.
+
+    A scorer of trees is not sampled: its values are exact, on the scale its trees add up on (log-odds of
+    boosted trees, p of a forest), and need no background.
     """
     g = list(group)
+    if getattr(scorer, "trees", None) is not None:
+        return tree_shapley(scorer.trees(), rows, features, g, model)
     feats = list(features)
     d = len(feats)
     bg = hash_rank(background.select(*g, *feats, "row_id"), g, seed + 11).withColumnRenamed("row_id", "_bg_id")
@@ -323,8 +329,11 @@ def partial_dependence(scorer: Scorer, rows: DataFrame, feature: str, grid: int
 def pair_interactions(scorer: Scorer, rows: DataFrame, background: DataFrame, features: Sequence[str], k: int = 10,
                       group: Sequence[str] = ("dataset",)) -> DataFrame:
     """Top-k unordered feature pairs by mean |f(x_ab) - f(x_a) - f(x_b) + f(x)| where x_S puts
-    the background mean in the features of S (a second difference; zero for additive scorers)."""
+    the background mean in the features of S (a second difference; zero for additive scorers). For a
+    scorer of trees the strength is the mean |Shapley interaction| of the pair, exact."""
     g = list(group)
+    if getattr(scorer, "trees", None) is not None:
+        return tree_interactions(scorer.trees(), rows, features, k, g)
     feats = list(features)
     bg_keys = [c for c in g if c in background.columns]
     means = background.groupBy(*bg_keys).agg(*[F.avg(c).alias(f"_m_{c}") for c in feats]).withColumn("_k", F.lit(1))

@@ -21,7 +21,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorelab.operators import boosting, networks, newton, passes
+from scorelab.operators import boosting, networks, newton, passes, tree_shap
 from scorelab.operators.explain import Scorer
 from scorelab.plans.ranks import hash_key
 from scorelab.session import cut_lineage
@@ -98,12 +98,21 @@ def train_lr_reg(train: DataFrame, features: Sequence[str], y: str = "y", C: flo
 
 # ---------------------------------------------------------------- trees and ensembles
 
+def _with_trees(scorer: Scorer, kind: str) -> Scorer:
+    """A scorer that can tell its trees: a forest's add up to p, boosted ones to the log odds."""
+    def trees():
+        nodes, weights = tree_shap.saved_nodes(scorer.model, kind)  # type: ignore[attr-defined]
+        return tree_shap.trees_of(nodes, 0.0, [1.0 / len(nodes) if kind == "forest" else 2.0 * w for w in weights])
+    scorer.trees = trees  # type: ignore[attr-defined]
+    return scorer
+
+
 def train_rf(train: DataFrame, features: Sequence[str], y: str = "y", trees: int = 100, max_features="sqrt",
              seed: int = 42, max_depth: int = FULL_DEPTH) -> Scorer:
     """Random forest; trees grow to ``max_depth`` (by default the largest Spark allows)."""
     strategy = max_features if isinstance(max_features, str) else ("all" if float(max_features) >= 1 else str(max_features))
     est = RandomForestClassifier(numTrees=int(trees), featureSubsetStrategy=strategy, maxDepth=max_depth, seed=seed)
-    return ml_scorer(_fit(est, train, features, y), features)
+    return _with_trees(ml_scorer(_fit(est, train, features, y), features), "forest")
 
 
 def train_bagged_trees(train: DataFrame, features: Sequence[str], y: str = "y", n: int = 10, seed: int = 42,
@@ -112,14 +121,14 @@ def train_bagged_trees(train: DataFrame, features: Sequence[str], y: str = "y",
     trees grow to ``max_depth`` (by default the largest Spark allows)."""
     est = RandomForestClassifier(numTrees=int(n), featureSubsetStrategy="all", maxDepth=max_depth, seed=seed,
                                  bootstrap=True, subsamplingRate=1.0)
-    return ml_scorer(_fit(est, train, features, y), features)
+    return _with_trees(ml_scorer(_fit(est, train, features, y), features), "forest")
 
 
 def train_sgb(train: DataFrame, features: Sequence[str], y: str = "y", n: int = 10, subsample: float = 0.7,
               seed: int = 42, max_depth: int = 3) -> Scorer:
     """Stochastic gradient boosting: ``n`` trees of depth ``max_depth`` on row samples."""
     est = GBTClassifier(maxIter=int(n), subsamplingRate=subsample, stepSize=0.1, maxDepth=max_depth, seed=seed)
-    return _margin(ml_scorer(_fit(est, train, features, y), features))
+    return _with_trees(_margin(ml_scorer(_fit(est, train, features, y), features)), "boost")
 
 
 def train_gbt_grid(train: DataFrame, features: Sequence[str], y: str = "y", n: int = 100, lr: float = 0.1,
@@ -188,10 +197,15 @@ def family_scorer(family: Family, train: DataFrame, features: Sequence[str], y:
     rows = cut_lineage(passes.model_rows(train, feats, y))
     if rows.isEmpty():
         raise ValueError("no rows to fit")
-    values = passes.value_column(family(rows, [("", params)], [-2]), [-2])
+    evaluate = family(rows, [("", params)], [-2])
+    values = passes.value_column(evaluate, [-2])
 
     def score(df: DataFrame) -> DataFrame:
         return df.withColumn("p", 1.0 / (1.0 + F.exp(-values(F.lit(""), passes.vector(feats), F.lit(-1)).getItem(0))))
+    if family is newton_family:
+        m, n = evaluate.points[0]  # type: ignore[attr-defined]
+        fit, cuts = evaluate.fits[""][m], evaluate.cuts[""]  # type: ignore[attr-defined]
+        score.trees = lambda: tree_shap.trees_of([tree_shap.newton_nodes(t, cuts) for t in fit.trees[:n]], fit.start)  # type: ignore[attr-defined]
     return _margin(score)
 
 
@@ -597,17 +611,20 @@ def save_model(scorer: Scorer, root: str, dataset: str, group: str, name: str) -
 
 
 def sanity_ratio(train: DataFrame, test: DataFrame, features: Sequence[str], y: str = "y", seed: int = 42,
-                 C: float = 1.0, group: Sequence[str] = ("dataset",)) -> float:
-    """Mean |phi| of a logistic model over the mean |phi| of the same model refit on labels
-    permuted against the rows (+1e-12). Shapley values are exact on the log-odds of the fit."""
-    from scorelab.operators.explain import shapley_linear
+                 C: float = 1.0, group: Sequence[str] = ("dataset",), trainer: Trainer | None = None, **kw) -> float:
+    """Mean |phi| of a model over the mean |phi| of the same model refit on labels permuted against the rows
+    (+1e-12). Without ``trainer`` the model is logistic, its values exact on the log-odds; a trainer of trees
+    gives exact tree values, any other one sampled values."""
+    from scorelab.operators.explain import shapley_linear, shapley_rows
     from scorelab.operators.resample import permute_labels
 
     def mass(tr: DataFrame) -> float:
-        sc = train_lr_reg(tr, features, y, C=C, l1_ratio=0.0, seed=seed)
-        m = sc.model  # type: ignore[attr-defined]
-        coefs = dict(zip(features, [float(v) for v in m.coefficients.toArray()]))
-        ph = shapley_linear(test, tr.drop(*[g for g in group if g in tr.columns]), coefs, float(m.intercept), group)
+        if trainer is None:
+            m = train_lr_reg(tr, features, y, C=C, l1_ratio=0.0, seed=seed).model  # type: ignore[attr-defined]
+            coefs = dict(zip(features, [float(v) for v in m.coefficients.toArray()]))
+            ph = shapley_linear(test, tr.drop(*[g for g in group if g in tr.columns]), coefs, float(m.intercept), group)
+        else:
+            ph = shapley_rows(trainer(tr, features, y, seed=seed, **kw), test, tr, features, seed=seed, group=group)
         return float(ph.agg(F.avg(F.abs("phi"))).first()[0] or 0.0)
 
     real = mass(train)

@@ -311,4 +311,5 @@ def evaluator(fits: dict[str, list[Fit]], cuts: dict[str, list[np.ndarray]], poi
             out[:, cols] = margins(codes, fits[g][m], [points[which[k]][1] for k in cols])
         return out
 
+    evaluate.fits, evaluate.cuts, evaluate.points = fits, cuts, list(points)  # type: ignore[attr-defined]
     return evaluate

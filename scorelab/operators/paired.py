@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scorelab.operators.metrics import score_curve
-from scorelab.plans.ranks import exact_quantiles
+from scorelab.plans.ranks import exact_quantiles, running_totals
+from scorelab.session import cut_lineage
 
 
 # ---------------------------------------------------------------- tails (vectorised, per result row)
@@ -102,11 +103,13 @@ def wilcoxon_abs_error(pairs: DataFrame, group: Sequence[str] = ("dataset",)) ->
     """stat = min(R+, R-) over d = |pa - y| - |pb - y| with zeros dropped (``wilcox``), normal
     approximation with tie correction for p, median of all d. All-zero d -> (0, 1, 0)."""
     g = list(group)
-    d = pairs.select(*g, (F.abs(F.col("pa") - F.col("y")) - F.abs(F.col("pb") - F.col("y"))).alias("d"))
-    nz = d.where(F.col("d") != 0).select(*g, F.abs("d").alias("ad"), (F.col("d") > 0).cast("int").alias("plus"))
-    curve = score_curve(nz, g, p="ad", y="plus")  # per distinct |d|: pos = #(d>0), neg = #(d<0)
-    cnt = F.col("pos") + F.col("neg")
-    mid = F.col("cum_pos") + F.col("cum_neg") - cnt + (cnt + 1) / 2.0
+    diff = F.abs(F.col("pa") - F.col("y")) - F.abs(F.col("pb") - F.col("y"))
+    d = cut_lineage(pairs.select(*g, diff.alias("d")))  # written once: the ranks, the median and the groups come from it
+    signed = lambda plus: F.sum(((F.col("d") > 0) == F.lit(plus)).cast("long"))
+    sizes = d.where("d <> 0 and d is not null").groupBy(*g, F.abs("d").alias("ad")).agg(signed(True).alias("pos"), signed(False).alias("neg"))
+    curve = running_totals(sizes.withColumn("cnt", F.col("pos") + F.col("neg")), g, "ad", ["cnt"])
+    cnt = F.col("cnt")
+    mid = F.col("cum_cnt") - cnt + (cnt + 1) / 2.0
     stats = curve.groupBy(*g).agg(
         F.sum(F.col("pos") * mid).alias("r_plus"), F.sum(F.col("neg") * mid).alias("r_minus"),
         F.sum(cnt).alias("n"), F.sum(cnt * cnt * cnt - cnt).alias("ties"))
@@ -142,27 +145,32 @@ def mcnemar(pairs: DataFrame, threshold: float = 0.5, group: Sequence[str] = ("d
 # ---------------------------------------------------------------- DeLong
 
 def _placements(pairs: DataFrame, g: list[str], col: str, tag: str) -> DataFrame:
-    c = score_curve(pairs.select(*g, col, "y"), g, p=col)
+    side = lambda y: F.sum(F.when(F.col("y") == y, F.col("c")).otherwise(0))
+    hist = pairs.groupBy(*g, col).agg(side(1).alias("pos"), side(0).alias("neg"))
+    c = running_totals(hist, g, col, ["pos", "neg"])
     v10 = (F.col("cum_neg") - F.col("neg") + F.col("neg") / 2.0) / F.col("tot_neg")  # for positives
     v01 = 1.0 - (F.col("cum_pos") - F.col("pos") + F.col("pos") / 2.0) / F.col("tot_pos")  # for negatives
-    return c.select(*g, F.col("p").alias(col), v10.alias(f"v10_{tag}"), v01.alias(f"v01_{tag}"))
+    return c.select(*g, col, v10.alias(f"v10_{tag}"), v01.alias(f"v01_{tag}"))
 
 
 def delong(pairs: DataFrame, group: Sequence[str] = ("dataset",)) -> DataFrame:
     """auc1, auc2, auc_diff, var, z, p_value by DeLong et al. (1988) with midrank placements
     (Sun & Xu 2014). A zero variance gives z = null and p = 1 when the AUCs are equal."""
     g = list(group)
-    both = pairs.where(F.col("y").isNotNull())
-    ok = both.groupBy(*g).agg(F.sum("y").alias("_m"), F.sum(1 - F.col("y")).alias("_n"))
+    # (scores, class) counts, written once: totals, both curves and the moments read them
+    both = cut_lineage(pairs.where(F.col("y").isNotNull()).groupBy(*g, "pa", "pb", "y").agg(F.count(F.lit(1)).alias("c")))
+    ok = both.groupBy(*g).agg(F.sum(F.col("y") * F.col("c")).alias("_m"), F.sum((1 - F.col("y")) * F.col("c")).alias("_n"))
     rows = both.join(_placements(both, g, "pa", "a"), [*g, "pa"]).join(_placements(both, g, "pb", "b"), [*g, "pb"])
-    pos = rows.where(F.col("y") == 1).groupBy(*g).agg(
-        F.avg("v10_a").alias("auc1"), F.avg("v10_b").alias("auc2"),
-        F.var_samp("v10_a").alias("s10_aa"), F.var_samp("v10_b").alias("s10_bb"),
-        F.covar_samp("v10_a", "v10_b").alias("s10_ab"))
-    neg = rows.where(F.col("y") == 0).groupBy(*g).agg(
-        F.var_samp("v01_a").alias("s01_aa"), F.var_samp("v01_b").alias("s01_bb"),
-        F.covar_samp("v01_a", "v01_b").alias("s01_ab"))
-    j = ok.where((F.col("_m") > 0) & (F.col("_n") > 0)).join(pos, g).join(neg, g)
+    c = F.col("c")
+    moment = lambda y, x, z: F.sum(F.when(F.col("y") == y, c * F.col(x) * F.col(z)))
+    total = lambda y, x: F.sum(F.when(F.col("y") == y, c * F.col(x)))
+    kinds = {"s10_aa": (1, "v10_a", "v10_a"), "s10_bb": (1, "v10_b", "v10_b"), "s10_ab": (1, "v10_a", "v10_b"),
+             "s01_aa": (0, "v01_a", "v01_a"), "s01_bb": (0, "v01_b", "v01_b"), "s01_ab": (0, "v01_a", "v01_b")}
+    size = lambda y: F.sum(F.when(F.col("y") == y, c))
+    cov = lambda y, x, z: F.when(size(y) > 1, (moment(y, x, z) - total(y, x) * total(y, z) / size(y)) / (size(y) - 1))
+    sums = rows.groupBy(*g).agg((total(1, "v10_a") / size(1)).alias("auc1"), (total(1, "v10_b") / size(1)).alias("auc2"),
+                                *[cov(*k).alias(n) for n, k in kinds.items()])
+    j = ok.where((F.col("_m") > 0) & (F.col("_n") > 0)).join(sums, g)
     m, n = F.col("_m").cast("double"), F.col("_n").cast("double")
     s10 = F.coalesce(F.col("s10_aa") + F.col("s10_bb") - 2 * F.col("s10_ab"), F.lit(0.0))
     s01 = F.coalesce(F.col("s01_aa") + F.col("s01_bb") - 2 * F.col("s01_ab"), F.lit(0.0))
@@ -193,13 +201,6 @@ def paired_comparison(scores: DataFrame, model_a: str, model_b: str, threshold:
     )
 
 
-def all_pairs(models: DataFrame) -> DataFrame:
-    """Every unordered pair of distinct models (model_a < model_b) from a model list table."""
-    a = models.select(F.col("model").alias("model_a"))
-    b = models.select(F.col("model").alias("model_b"))
-    return a.join(b, F.col("model_a") < F.col("model_b"))
-
-
 # ---------------------------------------------------------------- tests on reliability scores
 
 def correctness_table(rel: DataFrame, score: str = "reliability_score", pred: str = "pred_default",

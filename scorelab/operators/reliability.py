@@ -13,10 +13,12 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scorelab.plans.ranks import exact_quantiles
+from scorelab.plans.ranks import exact_quantiles, small_side
+from scorelab.session import cut_lineage, ship_package
 
 LABELS = ("Reliable", "Moderately Reliable", "Questionable", "Unreliable")
 # Default cut points of the score buckets.
@@ -87,13 +89,10 @@ def bucket_quantile(batch: DataFrame, score: str = "reliability_score", group: S
 
     The batch is read twice (its quartiles, then every row), so it is written once to the shared
     checkpoint folder instead of being recomputed."""
-    from scorelab.session import cut_lineage
-
     g = list(group)
     batch = cut_lineage(batch)
-    q = batch_quartiles(batch, score, g)
-    # one row a group: left to adaptive execution; without groups it is a single row
-    j = batch.join(q, g) if g else batch.withColumn("_k", F.lit(1)).join(F.broadcast(q.withColumn("_k", F.lit(1))), "_k").drop("_k")
+    q = small_side(batch_quartiles(batch, score, g))  # one row a group
+    j = batch.join(q, g) if g else batch.withColumn("_k", F.lit(1)).join(q.withColumn("_k", F.lit(1)), "_k").drop("_k")
     s = F.col(score)
     b = (F.when(s.isNull(), "Unknown").when(s >= F.col("q3"), LABELS[0]).when(s >= F.col("q2"), LABELS[1])
          .when(s >= F.col("q1"), LABELS[2]).otherwise(LABELS[3]))
@@ -252,6 +251,64 @@ def _poisson_weights(ids: np.ndarray, b: int, seed: int) -> np.ndarray:
     return np.searchsorted(cdf, u, side="right")
 
 
+def _auc_parts(batches, keys: int, b: int, seed: int):
+    """For rows in order of (group, p): each group's (positives, negatives, pairs in the right order) of every
+    replicate over this range, ties counting half. Rows are weighed here, so only narrow rows were sorted."""
+    import pyarrow as pa
+
+    group, first, sums, tie, tie_p = None, None, None, None, None
+
+    def settle():
+        """Add the open tie to the group's sums."""
+        nonlocal tie
+        if tie is not None:
+            sums[2] += tie[0] * (sums[1] + tie[1] / 2.0)
+            sums[0] += tie[0]
+            sums[1] += tie[1]
+            tie = None
+
+    def row():
+        cols = [pa.array([v.as_py()], v.type) for v in first] + [pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([sums.tobytes()], pa.binary())]
+        return pa.RecordBatch.from_arrays(cols, names=[*[f"k{i}" for i in range(keys)], "part", "sums"])
+
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        p, y = batch.column(keys).to_numpy(zero_copy_only=False), batch.column(keys + 1).to_numpy(zero_copy_only=False)
+        h = batch.column(keys + 2).to_numpy(zero_copy_only=False).view(np.uint64)
+        new = np.zeros(n, bool)
+        new[0] = True
+        for i in range(keys):
+            code = batch.column(i).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            new[1:] |= code[1:] != code[:-1]
+        cuts = [*np.flatnonzero(new).tolist(), n]
+        for a, e in zip(cuts, cuts[1:], strict=False):
+            key = [batch.column(i)[a] for i in range(keys)]
+            if group is None or [v.as_py() for v in key] != group:
+                if group is not None:
+                    settle()
+                    yield row()
+                group, first, sums, tie = [v.as_py() for v in key], key, np.zeros((3, b)), None
+            starts = np.flatnonzero(np.concatenate([[True], p[a + 1 : e] != p[a : e - 1]]))
+            w = _poisson_weights(h[a:e], b, seed)
+            pos = np.add.reduceat(w * (y[a:e] == 1)[:, None], starts).astype(float)
+            neg = np.add.reduceat(w * (y[a:e] != 1)[:, None], starts).astype(float)
+            if tie is not None and tie_p == p[a]:
+                pos[0] += tie[0]
+                neg[0] += tie[1]
+                tie = None
+            settle()
+            below = sums[1] + np.cumsum(neg[:-1], axis=0) - neg[:-1]
+            sums[2] += (pos[:-1] * (below + neg[:-1] / 2.0)).sum(0)
+            sums[0] += pos[:-1].sum(0)
+            sums[1] += neg[:-1].sum(0)
+            tie, tie_p = (pos[-1].copy(), neg[-1].copy()), p[e - 1]
+    if group is not None:
+        settle()
+        yield row()
+
+
 def bootstrap_auc(scores: DataFrame, b: int = 50, seed: int = 42, group: Sequence[str] = ("dataset", "model_group", "model"),
                   by: Sequence[str] = ("dataset",)) -> DataFrame:
     """B bootstrap AUCs per model (rows weighted per dataset, shared by all models): mean,
@@ -259,35 +316,38 @@ def bootstrap_auc(scores: DataFrame, b: int = 50, seed: int = 42, group: Sequenc
 
     Each row's count in a replicate is a Poisson(1) variable of its (dataset, row id) hash, the
     usual bootstrap for data of any size: a replicate then has n rows on average, not exactly
-    (``bootstrap_draws`` draws exactly n). Rows keep their replicates side by side as columns, so
-    what is shuffled and sorted is one row a distinct score, not one a draw.
+    (``bootstrap_draws`` draws exactly n). What is shuffled is one narrow row a score, whatever B: the
+    counts are worked out inside each range of scores, and a range gives one vector of (positives,
+    negatives, ordered pairs) a model. Two ranges merge by adding the lower one's negatives times the upper
+    one's positives, so a model's ranges, which are as many as the shuffle is wide, meet in one small group.
     """
-    from scorelab.plans.ranks import hash_key, running_totals
+    from scorelab.plans.ranks import hash_key
 
     g = list(group)
-    pos, neg = [f"pos_{i}" for i in range(b)], [f"neg_{i}" for i in range(b)]
-    rows = scores.select(*g, "p", F.col("y").cast("int").alias("y"), hash_key(seed, *by, "row_id").alias("_h"))
-    fields = [f for f in rows.schema.fields if f.name in [*g, "p"]]
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in fields], *[f"{c} long" for c in [*pos, *neg]]])
-
-    def weigh(batches):
-        for pdf in batches:
-            w = _poisson_weights(pdf["_h"].to_numpy(np.int64).view(np.uint64), b, seed)
-            y = (pdf["y"] == 1).to_numpy()[:, None]
-            counts = pd.DataFrame(np.hstack([w * y, w * ~y]), columns=[*pos, *neg])
-            yield pd.concat([pdf[[f.name for f in fields]].reset_index(drop=True), counts], axis=1)
-
-    hist = rows.mapInPandas(weigh, schema).groupBy(*g, "p").agg(*[F.sum(c).alias(c) for c in [*pos, *neg]])
-    rt = running_totals(hist, g, "p", neg)
-    per = rt.groupBy(*g).agg(*[F.sum(F.col(x) * (F.col(f"cum_{y}") - F.col(y) / 2.0)).alias(f"num_{i}") for i, (x, y) in enumerate(zip(pos, neg))],
-                             *[F.sum(c).alias(c) for c in [*pos, *neg]])
-    per = per.select(*g, F.inline(F.array(*[F.struct(F.lit(i).alias("b"), F.col(f"num_{i}").alias("_num"), F.col(x).alias("_P"), F.col(y).alias("_N"))
-                                            for i, (x, y) in enumerate(zip(pos, neg))])))
-    per = per.where((F.col("_P") > 0) & (F.col("_N") > 0)).select(*g, "b", (F.col("_num") / (F.col("_P") * F.col("_N"))).alias("auc"))
-    stats = per.groupBy(*g).agg(F.avg("auc").alias("mean"), F.stddev_pop("auc").alias("std"),
-                                F.count(F.lit(1)).alias("n_boot"),
-                                F.percentile("auc", [0.025, 0.975]).alias("_q"))  # at most b values a model
-    return stats.select(*g, "mean", "std", "n_boot", F.col("_q")[0].alias("ci_lower"), F.col("_q")[1].alias("ci_upper"))
+    rows = scores.select(*g, F.col("p").cast("double").alias("p"), F.col("y").cast("int").alias("y"), hash_key(seed, *by, "row_id").alias("_h"))
+    rows = cut_lineage(rows.where("p is not null"))  # read twice: to find the ranges and to deal the rows
+    dealt = rows.repartitionByRange(*g, "p").sortWithinPartitions(*g, "p")
+    kinds = [f.dataType.simpleString() for f in rows.schema.fields[: len(g)]]
+    ship_package(rows.sparkSession)
+    parts = dealt.mapInArrow(lambda batches: _auc_parts(batches, len(g), b, seed),
+                             ", ".join([*[f"k{i} {t}" for i, t in enumerate(kinds)], "part int", "sums binary"]))
+    parts = parts.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(g)], F.struct("part", "sums").alias("_p"))
+
+    @F.pandas_udf("struct<mean: double, std: double, n_boot: long, ci_lower: double, ci_upper: double>")
+    def merged(ranges: pd.Series) -> pd.DataFrame:
+        out = []
+        for some in ranges:
+            total = np.zeros((3, b))
+            for r in sorted(some, key=lambda r: r["part"]):
+                pos, neg, pairs = np.frombuffer(r["sums"]).reshape(3, b)
+                total += pos, neg, pairs + pos * total[1]
+            use = (total[0] > 0) & (total[1] > 0)
+            auc = total[2][use] / (total[0][use] * total[1][use])
+            out.append((auc.mean(), auc.std(), len(auc), *np.quantile(auc, [0.025, 0.975])) if len(auc) else (None, None, 0, None, None))
+        return pd.DataFrame(out, columns=["mean", "std", "n_boot", "ci_lower", "ci_upper"])
+
+    stats = parts.groupBy(*g).agg(F.collect_list("_p").alias("_p")).select(*g, merged("_p").alias("_s"))
+    return stats.where("_s.n_boot > 0").select(*g, "_s.*")
 
 
 def bootstrap_summary(boot: DataFrame, best: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from scorelab.operators import explain as X
 from scorelab.operators import importance as IM
 from scorelab.operators import learn as L
 from scorelab.operators.metrics import metric_auc
@@ -266,7 +267,27 @@ def q_importance_many(spark, d):
 
 @query("sanity_ratio")
 def q_sanity_ratio(spark, d):
-    """Explanation mass of a fitted logistic model over that of a refit on permuted labels."""
+    """Explanation mass of a fitted model over that of a refit on permuted labels: logistic, and boosted trees."""
     tr, te, feats = prepared(spark, d)
-    r = L.sanity_ratio(tr, te, feats)
-    return spark.createDataFrame([(float(r),)], "sanity_ratio double")
+    r = [("lr", float(L.sanity_ratio(tr, te, feats))), ("xgb", float(L.sanity_ratio(tr, te, feats, trainer=L.train_gbt_grid, n=10)))]
+    return spark.createDataFrame(r, "model string, sanity_ratio double")
+
+
+def _boosted(spark, d):
+    """20 second-order trees on the train split: (scorer, train and test rows, features)."""
+    tr, te, feats = prepared(spark, d)
+    return L.train_gbt_grid(tr, feats, n=20, lr=0.3), tr.unionByName(te), feats
+
+
+@query("tree_shapley")
+def q_tree_shapley(spark, d):
+    """Exact Shapley values (log-odds) of 20 boosted trees for every order."""
+    sc, rows, feats = _boosted(spark, d)
+    return X.shapley_rows(sc, rows, rows, feats, model="xgb_20")
+
+
+@query("tree_interactions")
+def q_tree_interactions(spark, d):
+    """The 10 feature pairs with the largest mean |Shapley interaction| of 20 boosted trees, by dataset."""
+    sc, rows, feats = _boosted(spark, d)
+    return X.pair_interactions(sc, rows, rows, feats, 10)

@@ -4,7 +4,7 @@ Many credit metrics need running totals along the score (AUC, KS, ROC, H, midran
 ``Window.partitionBy(group).orderBy(score)`` pushes every row of a group through one task, and
 one group may hold a third of all rows. ``running_totals`` instead:
 
-1. deals its (already collapsed) input by range of (group, order value), so equal values meet in one
+1. writes its (already collapsed) input and deals it by range of (group, order value), so equal values meet in one
    range, ranges are as many as the shuffle is wide, and any sortable type works,
 2. writes it once with the range's number as its bucket (a retried stage sees the same ranges),
 3. sums each bucket (partial aggregation) and turns those sums into per-bucket offsets with a
@@ -20,6 +20,7 @@ with the same bucket idea: the bucket is the top bits of a 64-bit hash, so no sa
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -57,6 +58,7 @@ def running_totals(
         return out.drop("_g")
     key = F.col(order_col).desc() if descending else F.col(order_col).asc()
     along = [*_cols(group), F.col(order_col)]
+    df = cut_lineage(df)  # read twice below: once to find the ranges, once to deal the rows
     dealt = df.repartitionByRange(buckets, *along) if buckets else df.repartitionByRange(*along)
     tagged = cut_lineage(dealt.withColumn("_bucket", F.spark_partition_id()))
     bucket_order = F.col("_bucket").desc() if descending else F.col("_bucket").asc()
@@ -139,39 +141,52 @@ def midrank(df: DataFrame, group: Sequence[str], value_col: str, out_col: str =
     return df.join(ranks, [*group, value_col], "left")
 
 
+#: Rank error of the sketch that brackets a quantile, as a share of the rows: 1 / SKETCH.
+SKETCH = 10_000
+
+#: Rows of a small table that may be broadcast.
+SMALL = 100_000
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """``df``, written, as the side of a join that is broadcast if it has at most ``SMALL`` rows. Left to
+    itself the plan would deal all rows of the other side before it knows."""
+    df = cut_lineage(df)
+    return F.broadcast(df) if df.count() <= SMALL else df
+
+
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                     group: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
     """Exact linear-interpolation quantiles (DuckDB ``quantile_cont``, numpy 'linear').
 
-    Returns ``(group..., column, prob, value)``. Never buffers a column in one task: values are
-    collapsed to a (column, value) -> count histogram, running counts come from
-    ``running_totals``, and in one pass over them each value answers the probabilities whose order
-    statistics around h = (n - 1) q it covers. Nulls and NaN are ignored.
+    Returns ``(group..., column, prob, value)``. Two passes over the rows, neither of which shuffles
+    them: a sketch brackets each quantile between two values, then the rows below the bracket are counted
+    and those inside it, about 4 in ``SKETCH``, are collapsed to counts. The order statistics around
+    h = (n - 1) q lie inside, or are the value next to the bracket. Nulls and NaN are ignored.
     """
     group = list(group)
     long = df.select(*group, F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols
     ])).alias("_kv")).select(*group, "_kv.column", "_kv.value").where(F.col("value").isNotNull() & ~F.isnan("value"))
     keys = [*group, "column"]
-    hist = long.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("_cnt"))
-    rt = running_totals(hist, keys, "value", ["_cnt"], buckets)
-    # each value covers the 0-based ranks [start, end); it answers the probabilities whose two
-    # straddling ranks fall among them. Few values answer any, so little is left to group.
-    n, start, end = F.col("tot__cnt"), F.col("cum__cnt") - F.col("_cnt"), F.col("cum__cnt")
-
-    def straddle(q):
-        h = (n - 1) * q
-        lo = F.floor(h)
-        return F.struct(q.alias("prob"), h.alias("h"), lo.alias("lo"), F.least(lo + 1, n - 1).alias("hi"))
-
-    wanted = F.transform(F.array(*[F.lit(float(q)) for q in probs]), straddle)
-    within = lambda r: (start <= r) & (r < end)
-    hits = rt.select(*keys, "value", start.alias("_s"), end.alias("_e"),
-                     F.explode(F.filter(wanted, lambda t: within(t["lo"]) | within(t["hi"]))).alias("_t"))
-    at = lambda r: (F.col("_s") <= F.col(r)) & (F.col(r) < F.col("_e"))
-    out = hits.groupBy(*keys, F.col("_t.prob").alias("prob")).agg(
-        F.max(F.when(at("_t.lo"), F.col("value"))).alias("_vlo"), F.max(F.when(at("_t.hi"), F.col("value"))).alias("_vhi"),
-        F.first(F.col("_t.h") - F.col("_t.lo")).alias("_frac"))
+    margin = 2.0 / SKETCH
+    edges = [F.lit(float(e)) for q in probs for e in (max(0.0, q - margin), min(1.0, q + margin))]
+    sketch = long.groupBy(*keys).agg(F.percentile_approx("value", F.array(*edges), SKETCH).alias("_e"), F.count(F.lit(1)).alias("_n"))
+    bracket = [F.struct(F.lit(float(q)).alias("prob"), F.col("_e")[2 * i].alias("lo"), F.col("_e")[2 * i + 1].alias("hi")) for i, q in enumerate(probs)]
+    brackets = small_side(sketch.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_n", F.array(*bracket).alias("_q")))
+    same = reduce(lambda a, b: a & b, [long[k].eqNullSafe(brackets[f"_k_{k}"]) for k in keys])
+    each = long.join(brackets, same).select(*keys, "value", "_n", F.explode("_q").alias("_q"))
+    side = F.when(F.col("value") < F.col("_q.lo"), -1).when(F.col("value") > F.col("_q.hi"), 1).otherwise(0)
+    at = each.select(*keys, "_n", F.col("_q.prob").alias("prob"), "value", side.alias("_side"))
+    hist = at.groupBy(*keys, "_n", "prob", "_side", F.when(F.col("_side") == 0, F.col("value")).alias("_v")).agg(
+        F.count(F.lit(1)).alias("_cnt"), F.min("value").alias("_min"), F.max("value").alias("_max"))
+    w = Window.partitionBy(*_cols(keys), F.col("prob")).orderBy("_side", "_v")  # the bracket and two rows
+    run = hist.withColumn("_end", F.sum("_cnt").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_start", F.col("_end") - F.col("_cnt"))
+    h = (F.col("_n") - 1) * F.col("prob")
+    lo = F.floor(h)
+    # a rank below or above the bracket is the one next to it
+    one = lambda r: F.max(F.when((F.col("_start") <= r) & (r < F.col("_end")), F.when(F.col("_side") > 0, F.col("_min")).otherwise(F.col("_max"))))
+    out = run.groupBy(*keys, "prob").agg(one(lo).alias("_vlo"), one(F.least(lo + 1, F.col("_n") - 1)).alias("_vhi"), F.first(h - lo).alias("_frac"))
     return out.select(*keys, "prob", (F.col("_vlo") + F.col("_frac") * (F.col("_vhi") - F.col("_vlo"))).alias("value"))
 
 
