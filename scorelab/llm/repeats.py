@@ -419,24 +419,31 @@ def _by_pairs(group: Sequence[Entry], length: int) -> Iterator[tuple[int, int, i
 
 
 def _by_strings(group: Sequence[Entry], length: int) -> Iterator[tuple[int, int, int, int]]:
-    """For many: the smallest document of each string."""
-    low: dict[bytes, int] = {}
-    texts = [e[0] + e[1] for e in group]
-    for text, e in zip(texts, group, strict=True):
-        doc = e[2]
-        for s in range(len(text) - length + 1):
-            w = text[s : s + length]
-            if low.get(w, NO_ID) >= doc:
-                low[w] = doc
-    for text, (_, _, doc, chunk, row, place) in zip(texts, group, strict=True):
+    """For many: the smallest document of each string. Equal strings have the anchor at equal places, so
+    strings are held against each other one place of the anchor at a time."""
+    hits = [0] * len(group)  # a bit for each start, counted from the entry's first byte
+    for before in range(max(len(e[0]) for e in group) + 1):  # bytes in front of the anchor
+        low: dict[bytes, int] = {}
+        mine = []
+        for j, (left, right, doc, *_) in enumerate(group):
+            if before <= len(left) and len(right) >= length - before:
+                w = left[len(left) - before :] + right[: length - before]
+                mine.append((j, w))
+                if low.get(w, NO_ID) >= doc:
+                    low[w] = doc
+        for j, w in mine:
+            if low[w] < group[j][2]:
+                hits[j] |= 1 << (len(group[j][0]) - before)
+    for bits, (_, _, _, chunk, row, place) in zip(hits, group, strict=True):
         start = end = -1
-        for s in range(len(text) - length + 1):
-            if low[text[s : s + length]] < doc:
-                if s > end or end < 0:
-                    if end >= 0:
-                        yield chunk, row, place + start, place + end
-                    start = s
-                end = s + length
+        while bits:
+            s = (bits & -bits).bit_length() - 1
+            bits &= bits - 1
+            if s > end or end < 0:
+                if end >= 0:
+                    yield chunk, row, place + start, place + end
+                start = s
+            end = s + length
         if end >= 0:
             yield chunk, row, place + start, place + end
 
@@ -595,8 +602,8 @@ def _merged(runs: DataFrame, length: int, k: int) -> DataFrame:
     return arrow_map(dealt, job, "chunk long, spans binary, copies binary, row long, start long, doc long, string binary")
 
 
-def cut_repeats(docs: DataFrame, length: int = 50, gram: int = 24, chunk_bytes: int = 4 << 20, bucket_grams: int = 1_500_000,
-                slice_entries: int = 150_000, heavy: int = 10_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cut_repeats(docs: DataFrame, length: int = 50, gram: int = 24, chunk_bytes: int = 8 << 20, bucket_grams: int = 1_500_000,
+                slice_entries: int = 150_000, heavy: int = 100_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes), one row a row of ``docs``.
 
     A null text is empty. A text under a null doc_id loses what any document with an id has too,
