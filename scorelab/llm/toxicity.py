@@ -3,8 +3,8 @@
 Writers hide words by look-alike characters (1d10t), spacing (i d i o t, i.d.i.o.t) and repetition
 (idiooot). Such a token is a lattice: each run of a character may stand for the letters it looks
 like, for itself once or twice, or for nothing. The likeliest reading under a character trigram
-model of the corpus, with a cost for each change, is found by Viterbi. The model's counts come from
-the plain words of all documents. Restored words that mark toxic documents are learned from
+model of the corpus, with a cost for each change, is found by Viterbi and stands beside the plain
+reading. The model's counts are those of the plain words of all documents. Restored words that mark toxic documents are learned from
 labelled rows by grouped counts over all of them, and a logistic curve on them gives the score.
 """
 
@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator, Sequence
 
@@ -21,50 +20,82 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelab.llm.common import arrow_map, doc_view, record, table, written
+from scorelab.llm.common import arrow_map, doc_view, record, require_at_most, table, written
 
 # Letters that other characters are read as.
 LOOKS_LIKE = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l",
 }
-#: Log costs of the channel: a look-alike, a collapsed run, a dropped symbol or digit, a kept gap.
-LOOK_COST, RUN_COST, DROP_COST, DROP_DIGIT_COST, GAP_COST = -0.7, -0.7, -6.0, -10.0, -4.0
+#: Log costs of the channel: a look-alike, a collapsed run, a dropped symbol or digit.
+LOOK_COST, RUN_COST, DROP_COST, DROP_DIGIT_COST = -0.7, -0.7, -6.0, -10.0
+#: Log cost of a gap between spaced-out characters that ends a word. A run is read twice, for it may be one word
+#: or a whole sentence spelled out.
+GAP_COSTS = (-4.0, -0.5)
+#: Punctuation that may stand at either end of a spaced-out character.
+_ENDS = ".,;:?!\"'()[]{}*#%&-_~…“”‘’«»„"
 
-TRIGRAMS, BIGRAMS = 1 << 18, 1 << 16
 _PLAIN = re.compile(r"[^\W\d_]+")
 _EDGE = re.compile(r"^[^\w@$|+(€£]*|[^\w@$|+)€£]*$")
 _TAIL = re.compile(r"([^\w\s])\1+$|^([^\w\s])\2+|[.,;:!?\"')\]}*#%&]+$|^[\"'(\[{*#%&]+")
 _RUN = re.compile(r"(.)\1*", re.S)
-_LONG_RUN = re.compile(r"([^\W\d_])\1\1")
+_DOUBLE = re.compile(r"([^\W\d_])\1")
 _DOTTED = re.compile(r"[^\W_](?:([.\-_*~])[^\W_])(?:\1[^\W_])+")
-#: Longer tokens are read in stretches of this many characters.
-STRETCH = 64
+#: Longer tokens and runs of single characters are read in stretches of so many, each starting ``OVERLAP``
+#: before the end of the last, so a word of up to that length lies whole in one of them.
+STRETCH, OVERLAP = 4096, 256
+#: Grams of their own counter; rarer ones beyond that many share ``REST`` counters.
+EXACT, REST = 4_000_000, 1_048_573
 
 
-def _bucket(gram: str, size: int) -> int:
-    return zlib.crc32(gram.encode()) % size
+def _keys(words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(keys of the trigrams and of their first two characters, how many of either each word has). A word
+    stands between two spaces and one; a key holds the characters' numbers, 21 bits each."""
+    sizes = np.array([len(w) + 1 for w in words], np.int64)
+    c = np.frombuffer("".join([f"  {w} " for w in words]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    at = np.arange(int(sizes.sum())) + np.repeat(2 * np.arange(len(words)), sizes)  # a word has two characters more than trigrams
+    return np.stack([c[at] << 42 | c[at + 1] << 21 | c[at + 2], 1 << 62 | c[at] << 21 | c[at + 1]]), sizes
 
 
 class CharModel:
-    """Smoothed P(next character | the two before) from hashed counts."""
+    """Smoothed P(next character | the two before) from counts by gram: sorted ``keys`` with their counts,
+    and shared counts of the rare grams of a corpus that has very many (none else)."""
 
-    def __init__(self, trigrams: np.ndarray, bigrams: np.ndarray):
-        self.trigrams, self.bigrams = trigrams.astype(np.float32), bigrams.astype(np.float32)
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, rest: np.ndarray | None = None):
+        self.keys, self.counts, self.rest = keys, counts.astype(np.float32), rest
         self.known: dict[str, float] = {}
 
     def __reduce__(self):
-        return CharModel, (self.trigrams, self.bigrams)
+        return CharModel, (self.keys, self.counts, self.rest)
+
+    def count(self, key: int) -> float:
+        i = int(np.searchsorted(self.keys, key))
+        if i < len(self.keys) and self.keys[i] == key:
+            return float(self.counts[i])
+        return float(self.rest[key % REST]) if self.rest is not None else 0.0
 
     def logp(self, before: str, c: str) -> float:
         gram = before + c
         got = self.known.get(gram)
         if got is None:
-            t, b = self.trigrams[_bucket(gram, TRIGRAMS)], self.bigrams[_bucket(before, BIGRAMS)]
-            got = self.known[gram] = math.log((float(t) + 0.02) / (float(max(b, t)) + 1.0))
+            if len(self.known) > 1_000_000:
+                self.known.clear()
+            x, y, z = map(ord, gram)
+            t, b = self.count(x << 42 | y << 21 | z), self.count(1 << 62 | x << 21 | y)
+            got = self.known[gram] = math.log((t + 0.02) / (max(b, t) + 1.0))
         return got
 
-    def restore(self, parts: Sequence[str], spaced: bool) -> str:
+    def read(self, parts: Sequence[str], spaced: bool) -> list[str]:
+        """Words of the likeliest reading; one lattice up to ``STRETCH`` characters or parts."""
+        whole = parts if spaced else parts[0]
+        out: list[str] = []
+        for a in range(0, max(1, len(whole) - OVERLAP), STRETCH - OVERLAP):
+            some = whole[a : a + STRETCH]
+            for gap in GAP_COSTS if spaced else GAP_COSTS[:1]:
+                out += self.restore(some if spaced else [some], spaced, gap).split()
+        return out
+
+    def restore(self, parts: Sequence[str], spaced: bool, gap: float = GAP_COSTS[0]) -> str:
         """The likeliest reading of a token (one part) or of spaced-out characters (many)."""
         states: dict[str, tuple[float, tuple]] = {"  ": (0.0, ())}
         for k, part in enumerate(parts):
@@ -72,7 +103,7 @@ class CharModel:
                 grown = dict(states)
                 for s, (score, path) in states.items():
                     if s[1] != " ":
-                        self._offer(grown, s, score + GAP_COST, path, " ")
+                        self._offer(grown, s, score + gap, path, " ")
                 states = grown
             for m in _RUN.finditer(part):
                 c, n = m[1], m.end() - m.start()
@@ -128,74 +159,65 @@ class Restorer:
         return Restorer, (self.model, self.most)
 
     def token(self, token: str) -> tuple[str, ...]:
-        if token.isalpha() and not _LONG_RUN.search(token):
-            return (token,)
+        """A token's words: the plain ones and, where it has a doubled letter, a digit or a symbol inside, those
+        of its lattice beside them."""
         core = token
-        while core and (m := _TAIL.search(core)) and m.end() > m.start():
-            core = core[: m.start()] if m.end() == len(core) else core[m.end() :]
-        core = _EDGE.sub("", core)
-        if core.isalpha() and not _LONG_RUN.search(core):
-            return (core,)
-        letters = sum(c.isalpha() for c in core)
-        if not letters:
-            return ()
-        if _DOTTED.fullmatch(core):
-            return tuple(self.model.restore([c for c in core if c.isalnum()], True).split())
-        odd = [c for c in core if not c.isalpha()]
-        if odd and any(c not in LOOKS_LIKE for c in odd):  # a hyphenated word, an address: its plain words
-            return tuple(w for part in re.split(r"[^\w@$!|+(€£]+|_", core) if part for w in (self.known.get(part) or self._simple(part)))
-        return self._simple(core)
-
-    def _simple(self, core: str) -> tuple[str, ...]:
-        if core.isalpha() and not _LONG_RUN.search(core):
-            return (core,)
+        if not token.isalpha():
+            while core and (m := _TAIL.search(core)) and m.end() > m.start():
+                core = core[: m.start()] if m.end() == len(core) else core[m.end() :]
+            core = _EDGE.sub("", core)
+        if core.isalpha():
+            return (core, *self.model.read([core], False)) if _DOUBLE.search(core) else (core,)
         if not any(c.isalpha() for c in core):
             return ()
-        return tuple(w for at in range(0, len(core), STRETCH) for w in self.model.restore([core[at : at + STRETCH]], False).split())
+        if _DOTTED.fullmatch(core):
+            return tuple(self.model.read([c for c in core if c.isalnum()], True))
+        out = self.model.read([core], False)
+        if any(not c.isalpha() and c not in LOOKS_LIKE for c in core):  # a hyphenated word, an address: its parts too
+            for part in re.split(r"[^\w@$!|+(€£]+|_", core):
+                out += [part] if part.isalpha() else self.model.read([part], False) if any(c.isalpha() for c in part) else []
+        return tuple(out)
+
+    def single(self, token: str) -> str:
+        """The one character a token has but for punctuation at its ends, or nothing."""
+        if len(token) > 1:
+            token = token.strip(_ENDS)
+        return token if len(token) == 1 and (token.isalnum() or token in LOOKS_LIKE) else ""
 
     def words(self, text: str) -> set[str]:
         tokens = text.lower().split()
-        known = self.known
+        known, distinct = self.known, set(tokens)
         if len(known) > self.most:
             known.clear()
         out: set[str] = set()
-        for t in set(tokens):
+        for t in distinct:
             got = known.get(t)
             if got is None:
                 got = known[t] = self.token(t)
             out.update(got)
-        sizes = list(map(len, tokens))
-        if sizes.count(1) >= 3:  # runs of three or more single characters
+        singles = {t: c for t in distinct if len(t) < 5 and (c := self.single(t))}
+        if len(set(singles.values())) > 1 and any(c.isalpha() for c in singles.values()):  # runs of three or more single characters
             at = 0
             while at < len(tokens):
-                if sizes[at] != 1:
+                if tokens[at] not in singles:
                     at += 1
                     continue
                 end = at
-                while end < len(tokens) and sizes[end] == 1:
+                while end < len(tokens) and tokens[end] in singles:
                     end += 1
-                if end - at >= 3 and any(t.isalpha() for t in tokens[at:end]):
-                    for a in range(at, end, STRETCH):
-                        out.update(self.model.restore([t for t in tokens[a : min(end, a + STRETCH)] if t.isalnum() or t in LOOKS_LIKE] or ["a"], True).split())
+                run = "".join([singles[t] for t in tokens[at:end]])
+                if end - at >= 3 and any(c.isalpha() for c in run):
+                    out.update(self.model.read([m[0] for m in _RUN.finditer(run)], True))
                 at = end
         return out
 
 
-def train_chars(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> CharModel:
-    """Trigram and context counts of the plain words of all documents. Tasks add up their words
-    before the shuffle; the driver gets at most ``TRIGRAMS + BIGRAMS`` numbers."""
-    out = [("kind", pa.int32()), ("bucket", pa.int32()), ("n", pa.int64())]
-
-    def flush(words: Counter):
-        tri, bi = np.zeros(TRIGRAMS, np.int64), np.zeros(BIGRAMS, np.int64)
-        for w, n in words.items():
-            w = f"  {w} "
-            for i in range(len(w) - 2):
-                tri[_bucket(w[i : i + 3], TRIGRAMS)] += n
-                bi[_bucket(w[i : i + 2], BIGRAMS)] += n
-        for kind, counts in ((3, tri), (2, bi)):
-            hit = np.flatnonzero(counts)
-            yield record(out, [np.full(len(hit), kind, np.int32), hit.astype(np.int32), counts[hit]])
+def train_chars(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", exact: int = EXACT) -> CharModel:
+    """Trigram and context counts of the plain words of all documents: words are counted first, then the grams of
+    each distinct word, so the work on grams grows with the vocabulary. Every gram has its own counter, and
+    their number grows with the corpus; in one with more than ``exact`` distinct grams the rarest share
+    ``REST`` counters, so that what is broadcast stays below 100 MB."""
+    out = [("word", pa.string()), ("n", pa.int64())]
 
     def job(batches: Iterator[pa.RecordBatch]):
         words: Counter = Counter()
@@ -203,20 +225,39 @@ def train_chars(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             for t in b.column(1).to_pylist():
                 words.update(_PLAIN.findall(t.lower()))
             if len(words) > 300_000:
-                yield from flush(words)
+                yield record(out, [list(words), list(words.values())])
                 words = Counter()
-        yield from flush(words)
+        yield record(out, [list(words), list(words.values())])
 
-    rows = arrow_map(doc_view(docs, id_col, text_col), job, "kind int, bucket int, n long").groupBy("kind", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    grids = {3: np.zeros(TRIGRAMS), 2: np.zeros(BIGRAMS)}
-    for kind, grid in grids.items():
-        part = rows[rows["kind"] == kind]
-        grid[part["bucket"].to_numpy()] = part["n"].to_numpy()
-    return CharModel(grids[3], grids[2])
+    def grams(batches: Iterator[pa.RecordBatch]):
+        for b in batches:
+            if b.num_rows:
+                keys, sizes = _keys(b.column(0).to_pylist())
+                n = np.repeat(b.column(1).to_numpy(), sizes)
+                for k in keys:
+                    distinct, of = np.unique(k, return_inverse=True)
+                    yield record([("key", pa.int64()), ("n", pa.int64())], [distinct, np.bincount(of, n, len(distinct)).astype(np.int64)])
+
+    words = arrow_map(doc_view(docs, id_col, text_col), job, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = written(arrow_map(words, grams, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "toxicity_grams")
+    least, rest = 0, None
+    if counted.count() > exact:
+        sizes = counted.groupBy("n").count().orderBy(F.desc("n"))  # a row a distinct count
+        kept = 0
+        for r in sizes.toLocalIterator():
+            kept += r["count"]
+            if kept > exact:
+                least = r.n
+                break
+        rest = np.zeros(REST, np.float32)
+        for r in counted.where(F.col("n") <= least).groupBy((F.col("key") % REST).alias("at")).agg(F.sum("n").alias("n")).toLocalIterator():
+            rest[r["at"]] = r["n"]
+    found = counted.where(F.col("n") > least).orderBy("key").toPandas()
+    return CharModel(found["key"].to_numpy(np.int64), found["n"].to_numpy(float), rest)
 
 
 def labelled(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-             most_broadcast: int = 2_000_000) -> DataFrame:
+             most_broadcast: int = 1_000_000) -> DataFrame:
     """doc_id, text, label (0/1) of the rows that ``train`` (over doc_id) admits. Labels are
     broadcast while there are at most ``most_broadcast`` of them; beyond it the join is shuffled.
     Of several labels of one doc_id the largest counts; null labels don't."""
@@ -242,7 +283,7 @@ class Lexicon:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def toxic_words(rows: DataFrame, model: CharModel, least: int = 5, sure: float = 6.0) -> dict[str, float]:
+def toxic_words(rows: DataFrame, model: CharModel, least: int = 5, sure: float = 6.0, most: int = 2_000_000) -> dict[str, float]:
     """Words whose share of toxic labelled documents is beyond chance: in at least ``least`` toxic
     documents, and ``sure`` standard errors above the share of all. Counts cover every labelled
     row; tasks add up before the shuffle."""
@@ -273,7 +314,9 @@ def toxic_words(rows: DataFrame, model: CharModel, least: int = 5, sure: float =
         return {}
     share = bad / all_
     z = (F.col("toxic") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share))
-    kept = counted.where(F.col("toxic") >= least).where(z > sure).orderBy(F.desc("toxic"), "word").collect()  # significant words only
+    kept = written(counted.where(F.col("toxic") >= least).where(z > sure), "toxicity_words")  # significant words only
+    require_at_most(kept.count(), most, "significant words")
+    kept = kept.orderBy(F.desc("toxic"), "word").collect()
     return {r.word: math.log((r.toxic + 0.5) / (r.n - r.toxic + 0.5) * (1 - share) / share) for r in kept}
 
 

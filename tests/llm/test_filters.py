@@ -1,6 +1,8 @@
 """Toxicity, decontamination, secrets and language ID."""
 
 import hashlib
+import itertools
+import math
 import random
 import re
 from collections import Counter
@@ -175,6 +177,75 @@ def test_plain_words_stay(char_model):
     assert {"heiß", "hello", "world", "éé"} <= words and not any(c.isdigit() for w in words for c in w)
 
 
+@pytest.mark.parametrize("hidden", [
+    "idiiot", "iiddiioott", "i d i o t.", '"i d i o t"', "id*iot", "idi-ot", "i.d-i.o.t", "i i d d i o t", "(i) (d) (i) (o) (t)", "1d1ot!!", "id..iot"])
+def test_obfuscations_reach_the_lattice(char_model, hidden):
+    assert "idiot" in toxicity.Restorer(char_model).words(f"and then {hidden} was there"), hidden
+
+
+def test_long_runs_lose_no_word_at_a_border(spark, char_model, monkeypatch):
+    text = spark.read.parquet(f"{SF}/documents.parquet").where("length(text) > 400 and lang = 'en'").orderBy("doc_id").first().text.lower()
+    letters = [c for c in text if c.isalpha()][:300]
+    spaced, glued = char_model.restore(letters, True, toxicity.GAP_COSTS[1]).split(), char_model.restore(["".join(letters)], False).split()
+    assert len(spaced) > 15
+    monkeypatch.setattr(toxicity, "STRETCH", 60)
+    monkeypatch.setattr(toxicity, "OVERLAP", 30)
+    got = set(char_model.read(letters, True))
+    assert sum(w in got for w in spaced) >= 0.8 * len(spaced)  # a border may change how a word next to it is read
+    assert "".join(glued)[:40] == "".join(char_model.read(["".join(letters)], False))[:40]
+
+
+def slow_reading(model, parts, spaced):
+    """The best score over all readings, listed one by one."""
+    options = []
+    for k, part in enumerate(parts):
+        if spaced and k:
+            options.append([("", 0.0), (" ", toxicity.GAP_COSTS[0])])
+        options += [toxicity._readings(m[1], m.end() - m.start()) for m in toxicity._RUN.finditer(part)]
+    best = {}
+    for choice in itertools.product(*options):
+        text, s, total, last = "", "  ", 0.0, False
+        for t, cost in choice:
+            if t == " " and s[1] == " ":
+                total = -math.inf
+            total += cost
+            for c in t:
+                total += model.logp(s, c)
+                s = s[1] + c
+            text += t
+        total += model.logp(s, " ") if s[1] != " " else 0.0
+        best[text] = max(best.get(text, -math.inf), total)
+    return best
+
+
+def test_restored_words_are_the_best_of_all_readings(char_model):
+    rnd = random.Random(9)
+    cases = [("".join(rnd.choices("aabiot01l!$*-", k=rnd.randint(1, 7))),) for _ in range(150)]
+    cases += [tuple(m[0] for m in toxicity._RUN.finditer("".join(rnd.choices("aidot10", k=rnd.randint(3, 6))))) for _ in range(60)]
+    for parts in cases:
+        spaced = len(parts) > 1
+        best = slow_reading(char_model, parts, spaced)
+        got = char_model.restore(list(parts), spaced)
+        assert math.isclose(best[got], max(best.values()), abs_tol=1e-9), parts
+
+
+def test_gram_counts_are_exact_or_shared(spark):
+    docs = frame(spark, [(i, t, "en", "s") for i, t in enumerate(["abc abd x", "abc. Abc", None, "日本語 😀é"])])
+    want = Counter()
+    for w in ["abc", "abd", "x", "abc", "abc", "日本語", "é"]:
+        for i in range(len(w) + 1):
+            want[f"  {w} "[i : i + 3]] += 1
+            want[f"  {w} "[i : i + 2]] += 1
+    key = lambda g: ord(g[0]) << 42 | ord(g[1]) << 21 | ord(g[2]) if len(g) == 3 else 1 << 62 | ord(g[0]) << 21 | ord(g[1])
+    model = toxicity.train_chars(docs)
+    assert {int(k): int(n) for k, n in zip(model.keys, model.counts, strict=True)} == {key(g): n for g, n in want.items()} and model.rest is None
+    few = toxicity.train_chars(docs, exact=4)
+    assert 0 < len(few.keys) <= 4 and int(few.counts.sum() + few.rest.sum()) == sum(want.values())
+    assert all(few.count(key(g)) >= n for g, n in want.items())
+    empty = toxicity.train_chars(docs.limit(0))
+    assert len(empty.keys) == 0 and empty.logp("ab", "c") < 0
+
+
 def test_toxicity_on_held_out_rows(spark):
     got = toxicity.op2_toxicity(spark, SF)
     rows = got.join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").where("held_out").select("score", "predicted", "toxic").collect()
