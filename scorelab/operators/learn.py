@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from scorelab.operators import boosting, networks, newton, passes, tree_shap
 from scorelab.operators.explain import Scorer
-from scorelab.plans.ranks import hash_key
+from scorelab.plans.ranks import SMALL
 from scorelab.session import cut_lineage
 
 Trainer = Callable[..., Scorer]
@@ -328,20 +328,21 @@ def platt_many(scores: DataFrame, keys: Sequence[str], s: str = "s", y: str = "y
     first = counts.select(*keys, ((F.col("np") + 1) / (F.col("np") + 2)).alias("hi"), (1 / (F.col("n") - F.col("np") + 2)).alias("lo"),
                           F.lit(0.0).alias("a"), F.log((F.col("n") - F.col("np") + 1) / (F.col("np") + 1)).alias("b"))
     state = cut_lineage(first.withColumn("moving", F.lit(True)))
+    side = F.broadcast if state.count() <= SMALL else (lambda df: df)  # else every step would deal all rows
     for _ in range(iters):
         if state.where("moving").isEmpty():
             break
         at = F.col(s)
         pr = 1.0 / (1.0 + F.exp(F.col("a") * at + F.col("b")))
         diff, w = F.when(F.col(y) == 1, F.col("hi")).otherwise(F.col("lo")) - pr, pr * (1 - pr)
-        sums = scores.join(state.where("moving"), keys).groupBy(*keys).agg(
+        sums = scores.join(side(state.where("moving")), keys).groupBy(*keys).agg(
             F.sum(diff * at).alias("ga"), F.sum(diff).alias("gb"), (F.sum(w * at * at) + 1e-12).alias("haa"),
             F.sum(w * at).alias("hab"), (F.sum(w) + 1e-12).alias("hbb"))
         det = F.col("haa") * F.col("hbb") - F.col("hab") * F.col("hab")
         da = F.when(det == 0, 0.0).otherwise((F.col("hbb") * F.col("ga") - F.col("hab") * F.col("gb")) / F.when(det != 0, det))
         db = F.when(det == 0, 0.0).otherwise((F.col("haa") * F.col("gb") - F.col("hab") * F.col("ga")) / F.when(det != 0, det))
         steps = sums.select(*keys, da.alias("da"), db.alias("db"))
-        moved = state.join(steps, keys, "left").na.fill(0.0, ["da", "db"])
+        moved = state.join(side(steps), keys, "left").na.fill(0.0, ["da", "db"])
         state = cut_lineage(moved.select(*keys, "hi", "lo", (F.col("a") - F.col("da")).alias("a"), (F.col("b") - F.col("db")).alias("b"),
                                          ((F.abs("da") >= 1e-10) | (F.abs("db") >= 1e-10)).alias("moving")))
     return state.select(*keys, "a", "b")

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scorelab.operators.metrics import score_curve
-from scorelab.plans.ranks import exact_quantiles, running_totals
+from scorelab.plans.ranks import SMALL, exact_quantiles, running_totals
 from scorelab.session import cut_lineage
 
 
@@ -253,62 +253,43 @@ def correctness_auc(rel: DataFrame, group: Sequence[str] = (), **kw) -> DataFram
                / (F.first("tot_pos") * F.first("tot_neg"))).alias("roc_auc"))
 
 
-def univariate_logit(rel: DataFrame, group: Sequence[str] = (), **kw) -> DataFrame:
+def univariate_logit(rel: DataFrame, group: Sequence[str] = (), iters: int = 50, **kw) -> DataFrame:
     """correct ~ score by unpenalised logistic regression: coef, LR-test p, McFadden R2, Wald p.
 
-    Newton steps run as Spark aggregates (gradient and 2x2 Hessian sums per group); only the
-    2-parameter update happens on the driver, a fixed number of times."""
-    g = list(group)
-    t = correctness_table(rel, group=g, **kw).cache()
-    keys = [tuple(r) for r in t.select(*g).distinct().collect()] if g else [()]
-    out = []
-    for key in keys:  # one fit per group; groups are few (datasets / models)
-        sub = t
-        for c, v in zip(g, key):
-            sub = sub.where(F.col(c) == F.lit(v))
-        b0, b1 = 0.0, 0.0
-        for _ in range(50):
-            eta = F.lit(b0) + F.lit(b1) * F.col("score")
-            p = 1.0 / (1.0 + F.exp(-eta))
-            w = p * (1 - p)
-            r = sub.agg(F.sum(F.col("correct") - p).alias("g0"), F.sum((F.col("correct") - p) * F.col("score")).alias("g1"),
-                        F.sum(w).alias("h00"), F.sum(w * F.col("score")).alias("h01"),
-                        F.sum(w * F.col("score") * F.col("score")).alias("h11")).first()
-            h = np.array([[r["h00"], r["h01"]], [r["h01"], r["h11"]]], dtype=float)
-            gr = np.array([r["g0"], r["g1"]], dtype=float)
-            try:
-                step = np.linalg.solve(h, gr)
-            except np.linalg.LinAlgError:
-                break
-            b0, b1 = b0 + step[0], b1 + step[1]
-            if np.max(np.abs(step)) < 1e-10:
-                break
-        eps = 1e-12
-        eta = F.lit(b0) + F.lit(b1) * F.col("score")
-        p = F.least(F.greatest(1.0 / (1.0 + F.exp(-eta)), F.lit(eps)), F.lit(1 - eps))
-        w = p * (1 - p)
-        r = sub.agg(F.sum(F.col("correct") * F.log(p) + (1 - F.col("correct")) * F.log(1 - p)).alias("ll"),
-                    F.avg("correct").alias("ybar"), F.count(F.lit(1)).alias("n"),
-                    F.sum(w).alias("h00"), F.sum(w * F.col("score")).alias("h01"),
-                    F.sum(w * F.col("score") * F.col("score")).alias("h11")).first()
-        ybar = min(max(r["ybar"], eps), 1 - eps)
-        ll0 = r["n"] * (ybar * math.log(ybar) + (1 - ybar) * math.log(1 - ybar))
-        lr = 2.0 * (r["ll"] - ll0)
-        lr_p = math.erfc(math.sqrt(max(lr, 0.0) / 2.0))
-        r2 = 1.0 - r["ll"] / ll0 if ll0 != 0 else None
-        try:
-            cov = np.linalg.inv(np.array([[r["h00"], r["h01"]], [r["h01"], r["h11"]]], dtype=float))
-            se = math.sqrt(abs(cov[1, 1]))
-            z = b1 / (se + 1e-18)
-            wald = math.erfc(abs(z) / math.sqrt(2.0))
-        except np.linalg.LinAlgError:
-            wald = None
-        out.append((*key, float(b1), float(lr_p), r2, wald))
-    t.unpersist()
-    schema = ", ".join([f"`{c}` {dict(rel.dtypes)[c]}" for c in g]
-                       + ["logit_coef double", "logit_pvalue double", "logit_pseudo_r2 double",
-                          "logit_pvalue_wald double"])
-    return rel.sparkSession.createDataFrame(out, schema)
+    All groups' fits take their Newton steps together: the state is a table of one row a group, and a
+    step is one aggregate over the rows of the groups that still move, so the number of jobs follows the
+    steps, never the groups. A group whose Hessian is singular stays where it is."""
+    g = list(group) or ["_g"]
+    t = correctness_table(rel, group=list(group), **kw)
+    t = cut_lineage(t if group else t.withColumn("_g", F.lit(0)))
+    state = cut_lineage(t.groupBy(*g).agg(F.count(F.lit(1)).alias("n"), F.avg("correct").alias("ybar"))
+                        .select(*g, "n", "ybar", F.lit(0.0).alias("b0"), F.lit(0.0).alias("b1"), F.lit(True).alias("moving")))
+    side = F.broadcast if state.count() <= SMALL else (lambda df: df)
+    x = F.col("score")
+    p = 1.0 / (1.0 + F.exp(-(F.col("b0") + F.col("b1") * x)))
+    w = p * (1 - p)
+    hessian = [F.sum(w).alias("h00"), F.sum(w * x).alias("h01"), F.sum(w * x * x).alias("h11")]
+    det = F.col("h00") * F.col("h11") - F.col("h01") * F.col("h01")
+    some = lambda up: F.when(det > 0, up / F.when(det > 0, det)).otherwise(0.0)
+    for _ in range(iters):
+        if state.where("moving").isEmpty():
+            break
+        sums = t.join(side(state.where("moving")), g).groupBy(*g).agg(F.sum(F.col("correct") - p).alias("g0"), F.sum((F.col("correct") - p) * x).alias("g1"), *hessian)
+        steps = sums.select(*g, some(F.col("h11") * F.col("g0") - F.col("h01") * F.col("g1")).alias("d0"),
+                            some(F.col("h00") * F.col("g1") - F.col("h01") * F.col("g0")).alias("d1"))
+        moved = state.join(side(steps), g, "left").na.fill(0.0, ["d0", "d1"])
+        state = cut_lineage(moved.select(*g, "n", "ybar", (F.col("b0") + F.col("d0")).alias("b0"), (F.col("b1") + F.col("d1")).alias("b1"),
+                                         (F.greatest(F.abs("d0"), F.abs("d1")) >= 1e-10).alias("moving")))
+    eps = 1e-12
+    sure = F.least(F.greatest(p, F.lit(eps)), F.lit(1 - eps))
+    ll = F.sum(F.col("correct") * F.log(sure) + (1 - F.col("correct")) * F.log(1 - sure)).alias("ll")
+    end = t.join(side(state), g).groupBy(*g, "n", "ybar", "b1").agg(ll, *hessian)
+    mean = F.least(F.greatest("ybar", F.lit(eps)), F.lit(1 - eps))
+    ll0 = F.col("n") * (mean * F.log(mean) + (1 - mean) * F.log(1 - mean))
+    se = F.when(det > 0, F.sqrt(F.col("h00") / F.when(det > 0, det)))
+    lr = F.greatest(2.0 * (F.col("ll") - ll0), F.lit(0.0))
+    return end.select(*group, F.col("b1").alias("logit_coef"), chi2_1_sf(lr).alias("logit_pvalue"), F.when(ll0 != 0, 1.0 - F.col("ll") / ll0).alias("logit_pseudo_r2"),
+                      F.when(se.isNotNull(), norm_two_sided_p(F.col("b1") / (se + 1e-18))).alias("logit_pvalue_wald"))
 
 
 def reliability_diagnostics(rel: DataFrame, group: Sequence[str] = (), with_logit: bool = True, **kw) -> DataFrame:

@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scorelab.plans.ranks import exact_quantiles
+from scorelab.plans.ranks import exact_quantiles, small_side
+from scorelab.session import cut_lineage
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
@@ -193,9 +194,36 @@ def target_correlation(df: DataFrame, y: str, cols: Sequence[str] | None = None,
     return t.where(F.col("r").isNotNull()).orderBy(F.abs("r").desc(), "feature").limit(n)
 
 
-def profile(df: DataFrame, cols: Sequence[str] | None = None, top: int = 5,
+def frequent_values(df: DataFrame, cols: Sequence[str], top: int = 5, buckets: int = 1 << 16, probe: int = 64) -> DataFrame:
+    """column, value (as text), count, rank: the ``top`` most frequent non-null values of each column, ties
+    to the smaller value; exact, for columns of any type and any number of distinct values.
+
+    Values are not shuffled to find the few that matter: counts by hash bucket, which tasks add up first, are
+    upper bounds for the values inside. The values of the ``probe`` largest buckets are counted exactly; the
+    ``top``-th of those counts is a bound that a value of any other bucket must reach, so only the
+    values of buckets at or above it are counted too (of a column whose values are all rare: all)."""
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in cols])).alias("_v"))
+    long = long.select("_v.column", "_v.value").where("value is not null").withColumn("_b", F.pmod(F.xxhash64("value"), F.lit(buckets)))
+    sizes = long.groupBy("column", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    order = Window.partitionBy("column").orderBy(F.desc("_n"), "_b")  # at most ``buckets`` rows
+    sizes = cut_lineage(sizes.withColumn("_place", F.row_number().over(order)))
+    best = Window.partitionBy("column").orderBy(F.desc("count"), "value")
+
+    def counted(some: DataFrame) -> DataFrame:
+        values = long.join(small_side(some.select("column", "_b")), ["column", "_b"], "left_semi").groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
+        return cut_lineage(values.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top))
+
+    first = counted(sizes.where(F.col("_place") <= probe))
+    bound = first.where(F.col("rank") == top).select("column", F.col("count").alias("_least"))
+    others = sizes.where(F.col("_place") > probe).join(F.broadcast(bound), "column", "left")  # a row a column
+    more = counted(others.where(F.col("_n") >= F.coalesce("_least", F.lit(0))))
+    return first.unionByName(more).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
+
+
+def profile(df: DataFrame, cols: Sequence[str] | None = None,
             probs: Sequence[float] = (0.05, 0.25, 0.5, 0.75, 0.95)) -> DataFrame:
-    """Per numeric column: missing, distinct, zeros, mean, std, quantiles, skew, kurtosis (population)."""
+    """Per numeric column: missing, distinct, zeros, mean, std, quantiles, skew, kurtosis (population).
+    ``frequent_values`` has the top values, of text columns too."""
     cols = list(cols) if cols is not None else numeric_columns(df)
     aggs = []
     for i, c in enumerate(cols):
@@ -240,7 +268,8 @@ def _bin(col: str, lo: float, hi: float, bins: int):
 
 
 def histogram(df: DataFrame, cols: Sequence[str], bins: int = 10) -> DataFrame:
-    """column, bin, lo, hi, n: equal-width bins over [min, max]; the max falls in the last bin."""
+    """column, bin, lo, hi, n: equal-width bins over [min, max], empty ones with n = 0; the max falls in the
+    last bin. A constant column has one bin, a column without values none."""
     cols = list(cols)
     mm = _min_max(df, cols)
     long = df.select(F.explode(F.array(*[
@@ -248,10 +277,11 @@ def histogram(df: DataFrame, cols: Sequence[str], bins: int = 10) -> DataFrame:
     ])).alias("kv")).select("kv.column", "kv.bin").where(F.col("bin").isNotNull())
     h = long.groupBy("column", "bin").agg(F.count(F.lit(1)).alias("n"))
     edges = df.sparkSession.createDataFrame(
-        [(c, float(mm[c][0]), float(mm[c][1])) for c in cols if mm[c][0] is not None], "column string, _lo double, _hi double")
+        [(c, float(mm[c][0]), float(mm[c][1]), i) for c in cols if mm[c][0] is not None for i in range(bins if mm[c][0] != mm[c][1] else 1)],
+        "column string, _lo double, _hi double, bin int")
     w = (F.col("_hi") - F.col("_lo")) / F.lit(bins)
-    return h.join(F.broadcast(edges), "column").select(
-        "column", "bin", (F.col("_lo") + F.col("bin") * w).alias("lo"), (F.col("_lo") + (F.col("bin") + 1) * w).alias("hi"), "n")
+    return edges.join(h, ["column", "bin"], "left").select(
+        "column", "bin", (F.col("_lo") + F.col("bin") * w).alias("lo"), (F.col("_lo") + (F.col("bin") + 1) * w).alias("hi"), F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
 def pair_bins(df: DataFrame, cols: Sequence[str], bins: int = 10) -> DataFrame:

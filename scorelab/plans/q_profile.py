@@ -143,11 +143,12 @@ MM = "mm AS (SELECT " + ", ".join(f"min({c}) AS mn_{c}, max({c}) AS mx_{c}" for
 
 
 @query("histogram", f"""WITH {MM}, b AS (""" + " UNION ALL ".join(
-    f"SELECT '{c}' AS \"column\", {_bin_sql(c)} AS bin, mn_{c} AS lo0, mx_{c} AS hi0 FROM credit_orders, mm WHERE {c} IS NOT NULL"
-    for c in NUM) + """)
+    f"SELECT '{c}' AS \"column\", {_bin_sql(c)} AS bin FROM credit_orders, mm WHERE {c} IS NOT NULL" for c in NUM) + """),
+e AS (""" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", mn_{c} AS lo0, mx_{c} AS hi0 FROM mm WHERE mn_{c} IS NOT NULL" for c in NUM) + """),
+g AS (SELECT "column", bin::INTEGER AS bin, lo0, hi0 FROM e, range(10) r(bin) WHERE bin = 0 OR lo0 <> hi0)
 SELECT "column", bin, any_value(lo0) + bin * ((any_value(hi0) - any_value(lo0)) / 10) AS lo,
-       any_value(lo0) + (bin + 1) * ((any_value(hi0) - any_value(lo0)) / 10) AS hi, count(*) AS n
-FROM b GROUP BY "column", bin""", views=("credit_orders",), rnd=["lo", "hi"])
+       any_value(lo0) + (bin + 1) * ((any_value(hi0) - any_value(lo0)) / 10) AS hi, count(b.bin) AS n
+FROM g LEFT JOIN b USING ("column", bin) GROUP BY "column", bin""", views=("credit_orders",), rnd=["lo", "hi"])
 def q_histogram(spark, d):
     """Equal-width 10-bin histograms of the order features."""
     return P.histogram(credit_orders(spark, d), NUM, 10)
@@ -161,3 +162,19 @@ SELECT a, b, bin_a, bin_b, count(*) AS n FROM b GROUP BY ALL""", views=("credit_
 def q_pair_bins(spark, d):
     """2-D binned counts for every pair of order features."""
     return P.pair_bins(credit_orders(spark, d), NUM, 10)
+
+
+def _top_sql(table, col, cast=""):
+    return (f"SELECT '{col}' AS \"column\", {col}{cast} AS value, count(*) AS count FROM {table} WHERE {col} IS NOT NULL GROUP BY {col}")
+
+
+TOP = [("events", "event_type", ""), ("events", "props", ""), ("events", "user_id", "::VARCHAR"), ("pages", "url", ""), ("documents", "source", "")]
+
+
+@query("frequent_values", f"""WITH c AS ({" UNION ALL ".join(_top_sql(*t) for t in TOP)}),
+r AS (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY count DESC, encode(value)) AS rank FROM c)
+SELECT "column", value, count, rank::INTEGER AS rank FROM r WHERE rank <= 5""")
+def q_frequent_values(spark, d):
+    """The 5 most frequent values of text and id columns, skewed and all different ones."""
+    parts = [P.frequent_values(table(spark, d, t), [c for u, c, _ in TOP if u == t], 5) for t in ("events", "pages", "documents")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

@@ -231,3 +231,29 @@ def test_family_run_equals_calibrating_alone(spark, trainer):
     want = {r.row_id: r.p for r in alone(a).select("row_id", "p").collect()}
     assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in got) < 1e-6
     assert long.count() == 2 * (180 + 120)
+
+
+def test_grouped_logits_equal_single_ones(spark):
+    from scorelab.operators.paired import univariate_logit
+
+    rnd = random.Random(8)
+    rows = [(g, s, int(rnd.random() < 1 / (1 + math.exp(-k * s))), 1) for g, k in (("p", 0.5), ("q", 2.0)) for s in (rnd.gauss(0, 1) for _ in range(250))]
+    rows += [("flat", 0.5, int(i % 2), 1) for i in range(10)]  # one score: the slope can't be told
+    df = spark.createDataFrame(rows, "g string, reliability_score double, pred_default int, actual_default int")
+    got = {r.g: r for r in univariate_logit(df, ["g"]).collect()}
+    for g in ("p", "q"):
+        s, y = (np.array([r[i] for r in rows if r[0] == g], float) for i in (1, 2))
+        x, b = np.stack([np.ones_like(s), s], axis=1), np.zeros(2)
+        for _ in range(40):
+            p = 1 / (1 + np.exp(-x @ b))
+            b += np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x, x.T @ (y - p))
+        p = 1 / (1 + np.exp(-x @ b))
+        ll, m = (y * np.log(p) + (1 - y) * np.log(1 - p)).sum(), y.mean()
+        ll0 = len(y) * (m * math.log(m) + (1 - m) * math.log(1 - m))
+        se = math.sqrt(np.linalg.inv((x * (p * (1 - p))[:, None]).T @ x)[1, 1])
+        want = (b[1], math.erfc(math.sqrt(ll - ll0)), 1 - ll / ll0, math.erfc(abs(b[1] / se) / math.sqrt(2)))
+        r = got[g]
+        assert np.allclose((r.logit_coef, r.logit_pvalue, r.logit_pseudo_r2, r.logit_pvalue_wald), want, atol=1e-6)
+    assert got["flat"].logit_coef == 0.0 and got["flat"].logit_pvalue_wald is None
+    alone = univariate_logit(df.where("g = 'p'")).first()
+    assert math.isclose(alone.logit_coef, got["p"].logit_coef, rel_tol=1e-9)
