@@ -23,13 +23,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelab.llm.common import arrow_map, doc_view, record, release, require_at_most, table, written
+from scorelab.llm.common import arrow_map, doc_view, join_side, record, release, require_at_most, table, written
 from scorelab.llm.token_ids import in_slices
 
-#: Trigrams share this many counters a language, so the model's size is fixed by the languages.
-BITS = 17
-BUCKETS = 1 << BITS
-MAX_LANGUAGES = 200
+#: Trigrams are counted by a hash of ``FINE`` bits; a model has 2^bits counters a language, at least
+#: ``SPARE`` times as many as there are different trigrams (so that about one in ``SPARE`` shares its counter) up
+#: to 2^``FINE``. A block of a model has as many languages as fit ``CELLS`` counters.
+FINE, LEAST_BITS, SPARE, CELLS = 24, 17, 8, 1 << 25
+#: Different language labels; there are some 8,000 languages.
+MAX_LANGUAGES = 10_000
 #: Whether a character is a letter, for the basic plane; the others are looked up when met.
 _PLANE = 0x10000
 
@@ -46,8 +48,8 @@ def _letters(codes: np.ndarray) -> np.ndarray:
 
 
 def trigrams(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Counters of the character trigrams of all words, text by text, and how many the texts up to
-    each have. A word of n letters has n trigrams, a space standing at either end."""
+    """Hashes (``FINE`` bits) of the character trigrams of all words, text by text, and how many the texts up
+    to each have. A word of n letters has n trigrams, a space standing at either end."""
     line = " " + " ".join(texts).lower() + " "
     sizes = np.array([len(t.lower()) if not t.isascii() else len(t) for t in texts], np.int64)
     codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -58,16 +60,27 @@ def trigrams(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
     h ^= h >> np.uint32(15)
     h *= np.uint32(0x2C1B3C6D)
     ends = np.cumsum(sizes + 1)  # the place after each text's separator
-    return (h >> np.uint32(32 - BITS)).astype(np.int64), np.searchsorted(at, ends)
+    return (h >> np.uint32(32 - FINE)).astype(np.int64), np.searchsorted(at, ends)
 
 
-def count_trigrams(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(lang, bucket, n) over all rows with a language. Tasks add up a table of counters by language
-    before anything is shuffled."""
-    out = [("lang", pa.string()), ("bucket", pa.int32()), ("n", pa.int64())]
+def label(lang: Column) -> Column:
+    """A declared language as the model has it: the primary part in lower case (en-US, EN and en are one)."""
+    text = lang.cast("string")
+    main = F.lower(F.regexp_extract(text, r"^\s*([A-Za-z]+)", 1))
+    return F.when(main != "", main).otherwise(F.lower(F.trim(text)))
+
+
+def count_trigrams(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", at_most: int = 1_000_000) -> DataFrame:
+    """(lang, fine, n) over all rows with a language. Tasks add up counts by language and pass on what they
+    have at ``at_most`` different ones."""
+    out = [("lang", pa.string()), ("fine", pa.int32()), ("n", pa.int64())]
+
+    def added(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        distinct, of = np.unique(keys, return_inverse=True)
+        return distinct, np.bincount(of, n, len(distinct)).astype(np.int64)
 
     def job(batches: Iterator[pa.RecordBatch]):
-        seen: dict[str, np.ndarray] = {}
+        seen: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         for b in batches:
             texts, langs = b.column(1).to_pylist(), b.column(2).to_pylist()
             for first, last in in_slices(texts):
@@ -75,119 +88,165 @@ def count_trigrams(docs: DataFrame, lang_col: str = "lang", text_col: str = "tex
                 for t, lang in zip(texts[first:last], langs[first:last], strict=True):
                     by.setdefault(lang, []).append(t)
                 for lang, some in by.items():
-                    counts = np.bincount(trigrams(some)[0], minlength=BUCKETS)
-                    seen[lang] = seen[lang] + counts if lang in seen else counts
-            if len(seen) > MAX_LANGUAGES:
+                    grams = trigrams(some)[0]
+                    new = added(grams, np.ones(len(grams), np.int64))
+                    old = seen.get(lang)
+                    seen[lang] = new if old is None else added(*(np.concatenate(x) for x in zip(old, new, strict=True)))
+            if sum(len(k) for k, _ in seen.values()) > at_most:
                 yield from flush(seen)
                 seen = {}
         yield from flush(seen)
 
-    def flush(seen: dict[str, np.ndarray]):
-        for lang, counts in seen.items():
-            hit = np.flatnonzero(counts)
-            yield record(out, [[lang] * len(hit), hit.astype(np.int32), counts[hit]])
+    def flush(seen: dict):
+        for lang, (keys, n) in seen.items():
+            yield record(out, [[lang] * len(keys), keys.astype(np.int32), n])
 
-    view = doc_view(docs, id_col, text_col, lang=lang_col).where("lang is not null and lang <> ''")
-    return arrow_map(view, job, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    view = doc_view(docs, id_col, text_col, lang=lang_col).withColumn("lang", label(F.col("lang"))).where("lang is not null and lang <> ''")
+    return arrow_map(view, job, "lang string, fine int, n long").groupBy("lang", "fine").agg(F.sum("n").alias("n"))
 
 
-class TextModel:
-    """Log likelihood ratios of words by language, and those of a uniform guess."""
+class Block:
+    """Log likelihoods of trigrams under some languages: (language, counter)."""
 
-    def __init__(self, languages: list[str], counts: np.ndarray):
-        self.languages = languages
-        total, met = counts.sum(1, keepdims=True), max(1, int((counts.sum(0) > 0).sum()))
-        #: what a text in none of the languages would get: every trigram a quarter as likely as any met one
-        self.unknown = math.log(1 / (4 * met))
-        self.logp = np.maximum(np.log((counts + 0.5) / (total + 0.5 * met)), self.unknown - 2)
+    def __init__(self, counts: np.ndarray, total: np.ndarray, met: int, unknown: float, bits: int):
+        logp = np.log((counts + 0.5) / (total[:, None] + 0.5 * met))
+        self.logp, self.bits = np.maximum(logp, unknown - 2).astype(np.float32), bits
 
     def scores(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """(texts, languages) log likelihoods and the trigrams of each text."""
         grams, ends = trigrams(texts)
+        grams >>= FINE - self.bits
         bounds = np.concatenate([[0], ends])
-        out = np.zeros((len(texts), len(self.languages)))
+        out = np.zeros((len(texts), len(self.logp)))
         for k, logp in enumerate(self.logp):
-            total = np.concatenate([[0.0], np.cumsum(logp[grams])])
+            total = np.concatenate([[0.0], np.cumsum(logp[grams], dtype=np.float64)])
             out[:, k] = total[bounds[1:]] - total[bounds[:-1]]
         return out, np.diff(bounds)
 
 
+class TextModel:
+    """The languages, and their likelihoods in blocks of languages that are built one at a time."""
+
+    def __init__(self, counts: DataFrame, cells: int = CELLS):
+        self.counts = counts
+        sizes = counts.groupBy("lang").agg(F.sum("n").alias("n")).limit(MAX_LANGUAGES + 1).collect()  # a row a language
+        require_at_most(len(sizes), MAX_LANGUAGES, "languages")
+        self.languages = sorted(r.lang for r in sizes)
+        self.total = np.array([dict(map(tuple, sizes))[lang] for lang in self.languages], float)
+        different = counts.select("fine").distinct().count()
+        self.bits = min(FINE, max(LEAST_BITS, (SPARE * different).bit_length()))
+        self.met = max(1, counts.select(F.shiftright("fine", FINE - self.bits)).distinct().count())
+        #: what a text in none of the languages would get: every trigram a quarter as likely as any met one
+        self.unknown = math.log(1 / (4 * self.met))
+        self.size = max(1, cells >> self.bits)
+
+    def blocks(self) -> Iterator[Block]:
+        for a in range(0, len(self.languages), self.size):
+            some = self.languages[a : a + self.size]
+            at = F.shiftright("fine", FINE - self.bits).alias("at")
+            got = self.counts.where(F.col("lang").isin(some)).groupBy("lang", at).agg(F.sum("n").alias("n")).toPandas()
+            counts = np.zeros((len(some), 1 << self.bits), np.int64)
+            counts[got["lang"].map({x: i for i, x in enumerate(some)}).to_numpy(int), got["at"].to_numpy(int)] = got["n"].to_numpy()
+            yield Block(counts, self.total[a : a + self.size], self.met, self.unknown, self.bits)
+
+
 def train_text(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> TextModel:
-    """The text model of all labelled rows. The counts come to the driver as one row a language
-    and counter: at most ``MAX_LANGUAGES`` (checked) times ``BUCKETS``, whatever the corpus."""
-    counts = written(count_trigrams(docs, lang_col, text_col), "trigrams")
-    languages = sorted(r.lang for r in counts.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
-    require_at_most(len(languages), MAX_LANGUAGES, "languages")
-    grid = np.zeros((len(languages), BUCKETS), np.int64)
-    for lang in languages:
-        got = counts.where(F.col("lang") == lang).select("bucket", "n").toPandas()
-        grid[languages.index(lang), got["bucket"].to_numpy()] = got["n"].to_numpy()
-    return TextModel(languages, grid)
+    """The text model of all labelled rows. Its number of counters follows the number of different trigrams;
+    what the driver holds at a time is a block of at most ``CELLS`` counters."""
+    return TextModel(written(count_trigrams(docs, lang_col, text_col), "trigrams"))
 
 
-def likelihoods(df: DataFrame, model: TextModel, text: Column) -> DataFrame:
-    """``df`` with _ll (log likelihood by language, relative to the best), _grams, _fit (mean log
-    likelihood of a trigram under the best language)."""
-    sent = df.sparkSession.sparkContext.broadcast(model)
+def _scored(df: DataFrame, block: Block, text: Column) -> Column:
+    """Log likelihoods under a block's languages and the number of trigrams."""
+    sent = df.sparkSession.sparkContext.broadcast(block)
 
-    @F.pandas_udf("struct<ll: array<double>, grams: long, fit: double>")
+    @F.pandas_udf("struct<ll: array<double>, grams: long>")
     def job(texts: pd.Series) -> pd.DataFrame:
         release()
         texts, parts = texts.fillna("").tolist(), []
         for first, last in in_slices(texts):
             ll, n = sent.value.scores(texts[first:last])
-            best = ll.max(1)
-            parts.append(pd.DataFrame({"ll": list(ll - best[:, None]), "grams": n, "fit": np.where(n > 0, best / np.maximum(n, 1), 0.0)}))
-        return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"ll": [], "grams": [], "fit": []})
+            parts.append(pd.DataFrame({"ll": list(ll), "grams": n}))
+        return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"ll": [], "grams": []})
+
+    return job(text)
 
-    return df.withColumn("_t", job(text)).withColumns({"_ll": F.col("_t")["ll"], "_grams": F.col("_t")["grams"], "_fit": F.col("_t")["fit"]}).drop("_t")
+
+def likelihoods(df: DataFrame, model: TextModel, text: Column) -> DataFrame:
+    """``df`` with _ll (log likelihood by language, relative to the best), _grams, _fit (mean log
+    likelihood of a trigram under the best language). With several blocks of languages the texts are scored block
+    by block, each block's numbers are written, and the rows' parts are put together."""
+    if len(model.languages) <= model.size:
+        out = df.withColumn("_t", _scored(df, next(model.blocks()), text))
+        every, grams = F.col("_t")["ll"], F.col("_t")["grams"]
+    else:
+        out = written(df.withColumn("_n", F.monotonically_increasing_id()), "lang_rows")
+        for i, block in enumerate(model.blocks()):
+            part = written(out.select("_n", _scored(out, block, text).alias("_t")), "lang_block").select("_n", F.col("_t")["ll"].alias(f"_l{i}"), F.col("_t")["grams"].alias("_g"))
+            out = out.join(part if not i else part.drop("_g"), "_n")
+        n_blocks = -(-len(model.languages) // model.size)
+        every, grams = F.concat(*[F.col(f"_l{i}") for i in range(n_blocks)]), F.col("_g")
+        out = out.withColumn("_t", F.struct(every.alias("ll"), grams.alias("grams"))).drop("_n", "_g", *[f"_l{i}" for i in range(n_blocks)])
+        every, grams = F.col("_t")["ll"], F.col("_t")["grams"]
+    best = F.array_max(every)
+    return out.withColumns({"_ll": F.transform(every, lambda x: x - F.array_max(F.col("_t")["ll"])), "_grams": grams,
+                            "_fit": F.when(grams > 0, best / grams).otherwise(F.lit(0.0))}).drop("_t")
 
 
 def _array(values: list[float]) -> Column:
     return F.array(*[F.lit(float(v)) for v in values])
 
 
+def _by_language(rows: DataFrame, *keys: str) -> DataFrame:
+    """(keys, total, m): rows with a reading and, by language index, how many. Keys without any stay."""
+    counted = rows.groupBy(*keys, "reading").agg(F.count("*").alias("n"))
+    some = F.filter(F.collect_list(F.struct("reading", "n")), lambda x: x["reading"].isNotNull())  # at most one a language
+    return counted.groupBy(*keys).agg(F.sum(F.when(F.col("reading").isNotNull(), F.col("n")).otherwise(0)).alias("total"), F.map_from_entries(some).alias("m"))
+
+
+def _languages(k: int, value) -> Column:
+    """An array with ``value(index)`` for each of k languages."""
+    return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), value)
+
+
+def _of(m: str, i: Column) -> Column:
+    return F.coalesce(F.try_element_at(F.col(m), i), F.lit(0).cast("long"))
+
+
 def host_priors(rows: DataFrame, languages: list[str], strength: float = 10.0) -> DataFrame:
     """(host, domain, _prior): log prior by language. ``rows``: host, domain, reading (index of
     the text's own language, null if it has no words). A host with n rows has n parts of its own
     evidence and ``strength`` of its domain's, a domain likewise of all rows'."""
     k = len(languages)
-    n = [F.sum(F.when(F.col("reading") == i, 1).otherwise(0)).alias(f"n{i}") for i in range(k)]
-    hosts = rows.groupBy("host", "domain").agg(*n)
-    domains = hosts.groupBy("domain").agg(*[F.sum(f"n{i}").alias(f"d{i}") for i in range(k)])
-    total = domains.agg(*[F.sum(f"d{i}").alias(f"g{i}") for i in range(k)]).first()  # one row
-    g = [float(total[f"g{i}"] or 0) + 1.0 for i in range(k)]
-    base = [x / sum(g) for x in g]
-    d_sum = sum((F.col(f"d{i}") for i in range(k)), F.lit(0))
-    domains = domains.withColumns({f"p{i}": (F.col(f"d{i}") + strength * base[i]) / (d_sum + strength) for i in range(k)})
-    h_sum = sum((F.col(f"n{i}") for i in range(k)), F.lit(0))
-    prior = F.array(*[F.log((F.col(f"n{i}") + strength * F.col(f"p{i}")) / (h_sum + strength)) for i in range(k)])
-    return hosts.join(domains.drop(*[f"d{i}" for i in range(k)]), hosts.domain.eqNullSafe(domains.domain)).select(hosts.host, prior.alias("_prior"))
-
-
-def _confusion(rows: DataFrame, col: str, k: int, most: int) -> dict[str | None, list[float]]:
-    """log P(value | language) with add-one smoothing over the values met; values beyond the
-    ``most`` frequent share one entry. Null has no evidence."""
-    n = [F.sum(F.when(F.col("reading") == i, 1).otherwise(0)).alias(f"n{i}") for i in range(k)]
-    counted = rows.where(F.col(col).isNotNull() & F.col("reading").isNotNull()).groupBy(col).agg(*n, F.count("*").alias("n"))
-    got = counted.orderBy(F.desc("n"), col).limit(most).collect()
-    table_ = np.array([[r[f"n{i}"] for i in range(k)] for r in got], float).reshape(-1, k)
-    whole = counted.agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(k)]).first()
-    rest = np.array([float(whole[i] or 0) for i in range(k)]) - table_.sum(0)
-    table_ = np.log((np.vstack([table_, rest]) + 1) / (np.vstack([table_, rest]) + 1).sum(0))
-    return {r[col]: table_[j].tolist() for j, r in enumerate(got)} | {None: table_[-1].tolist()}
-
-
-def _evidence(col: Column, logs: dict, k: int) -> Column:
-    """The evidence of a value; null: none."""
-    known = F.create_map(*[x for v, ll in logs.items() if v is not None for x in (F.lit(v), _array(ll))]) if len(logs) > 1 else None
-    other = _array(logs[None])
-    found = F.coalesce(known[col], other) if known is not None else other
-    return F.when(col.isNull(), _array([0.0] * k)).otherwise(found)
+    hosts = _by_language(rows, "host", "domain")
+    domains = _by_language(rows, "domain").select(F.col("domain").alias("_domain"), F.col("total").alias("_total"), F.col("m").alias("_m"))
+    every = dict(map(tuple, rows.where("reading is not null").groupBy("reading").agg(F.count("*").alias("n")).collect()))  # a row a language
+    base = _array([(every.get(i, 0) + 1.0) / (sum(every.values()) + k) for i in range(k)])
+    domains = domains.select("_domain", _languages(k, lambda i: (_of("_m", i) + strength * F.get(base, i)) / (F.col("_total") + strength)).alias("_p"))
+    prior = _languages(k, lambda i: F.log((_of("m", i) + strength * F.get("_p", i)) / (F.col("total") + strength)))
+    return hosts.join(domains, hosts.domain.eqNullSafe(domains["_domain"])).select("host", prior.alias("_prior"))
+
+
+def _confusion(rows: DataFrame, col: str, k: int) -> tuple[DataFrame, Column]:
+    """((col, _e): log P(value | language) of every value met, the same of a value never met with a
+    reading), with add-one smoothing over the values met."""
+    met = rows.where(F.col(col).isNotNull() & F.col("reading").isNotNull())
+    every = dict(map(tuple, met.groupBy("reading").agg(F.count("*").alias("n")).collect()))  # a row a language
+    values = _by_language(met, col)
+    different = met.select(col).distinct().count() + 1
+    sums = [every.get(i, 0) + different for i in range(k)]
+    whole = _array([float(x) for x in sums])
+    return values.select(col, _languages(k, lambda i: F.log((_of("m", i) + 1) / F.get(whole, i))).alias("_e")), _array([-math.log(x) for x in sums])
+
+
+def _with_evidence(df: DataFrame, col: str, logs: tuple[DataFrame, Column], k: int, out: str) -> DataFrame:
+    """``df`` with the evidence of its value; null: none."""
+    found = join_side(df, written(logs[0], "lang_values").withColumnRenamed("_e", out), col)
+    return found.withColumn(out, F.when(F.col(col).isNull(), _array([0.0] * k)).otherwise(F.coalesce(out, logs[1])))
 
 
 def identify(df: DataFrame, model: TextModel, text: Column, declared: Column, suffix: Column, host: Column, domain: Column,
-             strength: float = 10.0, most_values: int = 500, temper: float = 0.2) -> DataFrame:
+             strength: float = 10.0, temper: float = 0.2) -> DataFrame:
     """``df`` with lang_id, lang_p (posterior of lang_id), lang_text (the text's own reading),
     lang_fit (mean log likelihood of a trigram), lang_grams and lang_posterior.
 
@@ -202,22 +261,24 @@ def identify(df: DataFrame, model: TextModel, text: Column, declared: Column, su
     if not k:
         return df.withColumns({"lang_id": F.lit(None).cast("string"), "lang_p": F.lit(None).cast("double"), "lang_text": F.lit(None).cast("string"),
                                "lang_fit": F.lit(0.0), "lang_grams": F.lit(0).cast("long"), "lang_posterior": F.array().cast("array<double>")})
-    base = df.withColumns({"_declared": declared.cast("string"), "_suffix": suffix.cast("string"), "_host": F.coalesce(host.cast("string"), F.lit("")), "_domain": F.coalesce(domain.cast("string"), F.lit(""))})
+    base = df.withColumns({"_declared": label(declared), "_suffix": suffix.cast("string"), "_host": F.coalesce(host.cast("string"), F.lit("")), "_domain": F.coalesce(domain.cast("string"), F.lit(""))})
     reading = F.when(F.col("_grams") > 0, F.array_position("_ll", F.lit(0.0)).cast("int") - 1).alias("reading")
     slim = base.select(text.alias("_text"), "_declared", "_suffix", "_host", "_domain")
     seen = written(likelihoods(slim, model, F.col("_text")).select(F.col("_declared").alias("declared"), F.col("_suffix").alias("suffix"), F.col("_host").alias("host"), F.col("_domain").alias("domain"), reading), "lang_readings")
     priors = written(host_priors(seen, model.languages, strength).withColumnRenamed("host", "_host"), "lang_priors")
-    said, ends = _confusion(seen, "declared", k, most_values), _confusion(seen, "suffix", k, most_values)
     joined = likelihoods(base, model, text).join(priors, "_host")
-    parts = [F.transform("_ll", lambda x: x * temper), F.col("_prior"), _evidence(F.col("_declared"), said, k), _evidence(F.col("_suffix"), ends, k)]
-    total = F.array(*[sum((p[i] for p in parts[1:]), parts[0][i]) for i in range(k)])
+    for col, out in (("declared", "_said"), ("suffix", "_ends")):
+        logs = _confusion(seen, col, k)
+        joined = _with_evidence(joined, f"_{col}", (logs[0].withColumnRenamed(col, f"_{col}"), logs[1]), k, out)
+    add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
+    total = add(add(F.transform("_ll", lambda x: x * temper), "_prior"), add("_said", "_ends"))
     top = F.array_max("_total")
     out = joined.withColumn("_total", total).withColumn("_e", F.transform("_total", lambda x: F.exp(x - F.array_max("_total"))))
     out = out.withColumn("lang_posterior", F.transform("_e", lambda x: x / F.aggregate("_e", F.lit(0.0), lambda a, y: a + y)))
     return out.withColumns({
         "lang_id": names[F.array_position("_total", top).cast("int") - 1], "lang_p": F.array_max("lang_posterior"),
         "lang_text": F.when(F.col("_grams") > 0, names[F.array_position("_ll", F.lit(0.0)).cast("int") - 1]), "lang_fit": F.col("_fit"), "lang_grams": F.col("_grams"),
-    }).drop("_declared", "_suffix", "_host", "_domain", "_ll", "_grams", "_fit", "_prior", "_total", "_e")
+    }).drop("_declared", "_suffix", "_host", "_domain", "_ll", "_grams", "_fit", "_prior", "_said", "_ends", "_total", "_e")
 
 
 def rejected(model: TextModel, declared: Column, sure: float = 0.99, least_grams: int = 60) -> Column:
@@ -225,6 +286,7 @@ def rejected(model: TextModel, declared: Column, sure: float = 0.99, least_grams
     model's and another one is sure beyond it, or the text fits no language of the model. Texts
     of fewer than ``least_grams`` trigrams, or with no declared language, are kept."""
     enough = F.col("lang_grams") >= least_grams
+    declared = label(declared)
     other = declared.isin(*model.languages) & (F.col("lang_id") != declared) & (F.col("lang_p") >= sure)
     return F.coalesce(enough & (other | (F.col("lang_fit") < F.lit(model.unknown))), F.lit(False))
 

@@ -28,7 +28,6 @@ from scorelab.llm.token_ids import encoder, encoder_key, in_slices
 
 #: Fraction bits of the quota.
 _BITS = 16
-MAX_QUEUES = 4096
 
 
 class Schedule:
@@ -59,8 +58,11 @@ class Schedule:
         rounds = ((grains + 1) * self.unit + q - 1) // q - 1
         new = np.flatnonzero(np.diff(rounds, prepend=-1))
         starts, rounds = np.maximum(grains[new] * self.grain, first), rounds[new]
-        before, after = self.served(rounds), self.served(rounds + 1)
-        return starts, starts + after[:, :queue].sum(1) + before[:, queue + 1 :].sum(1)
+        places, step = starts.copy(), max(1, (1 << 21) // len(self.totals))
+        for a in range(0, len(rounds), step):  # some rounds at a time, however many queues there are
+            some = rounds[a : a + step]
+            places[a : a + step] += self.served(some + 1)[:, :queue].sum(1) + self.served(some)[:, queue + 1 :].sum(1)
+        return starts, places
 
     def pieces(self, queue: int, first: int, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ids first..cuts[-1]-1 of a queue, cut at every place in ``cuts`` (ascending ends), at every
@@ -104,24 +106,20 @@ class Schedule:
 
 
 def pack(docs: DataFrame, vocabulary: str, kind: str = "byte", end_id: int = 0, window: int = 1024, grain: int = 32,
-         weights: dict[str, float] | None = None, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-         max_queues: int = MAX_QUEUES) -> DataFrame:
+         weights: dict[str, float] | None = None, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, queue,
     and with ``with_ids`` ids (list<int>). ``window`` must be a power of two.
 
     A range shuffle by (source, doc_id) puts the queues in order; ids are written once with their
     running place. Totals by (range, source) give each range's start in its queue. Null sources
-    are a queue of their own; a null text is the empty text (one end id). With more than
-    ``max_queues`` sources, sources share ``max_queues`` queues by hash, and proportions hold by
-    queue; no row is dropped. The driver holds one number a (range, queue), checked before it is
+    are a queue of their own; a null text is the empty text (one end id). Every source is a queue,
+    however many there are; the time to place a run grows with their number. The driver holds one number a (range, queue), checked before it is
     broadcast.
     """
     if window & (window - 1):
         raise ValueError("window must be a power of two")
     spark = docs.sparkSession
     view = doc_view(docs, id_col, text_col, source=source_col).withColumn("origin", F.spark_partition_id())
-    if docs.select(source_col).distinct().limit(max_queues + 1).count() > max_queues:
-        view = view.withColumn("source", F.concat(F.lit("queue "), F.pmod(F.xxhash64("source"), F.lit(max_queues)).cast("string")))
     ordered = view.repartitionByRange("source", "doc_id", "origin").sortWithinPartitions("source", "doc_id", "origin").drop("origin")
     stored = [("doc_id", pa.int64()), ("source", pa.string()), ("part", pa.int32()), ("local_start", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())]
     end = np.array([end_id], "<u4").tobytes()

@@ -302,6 +302,96 @@ def test_evidence_is_fused(spark):
     assert language_id.identify(test.limit(0), model, F.col("text"), F.col("lang"), nothing, nothing, nothing).count() == 0
 
 
+def slow_posterior(docs, rows, strength, temper):
+    """Everything by counting exact trigrams, values and hosts in Python. Rows: id, text, declared, suffix, host, domain."""
+    def grams(t):
+        line = "".join(c if c.isalpha() else " " for c in f" {(t or '').lower()} ")
+        return [line[i - 1 : i + 2] for i in range(1, len(line) - 1) if line[i] != " "]
+
+    def tidy(lang):
+        m = re.match(r"\s*([A-Za-z]+)", lang or "")
+        return m[1].lower() if m else lang and lang.strip().lower()
+
+    counts = {}
+    for t, lang in docs:
+        if tidy(lang):
+            counts.setdefault(tidy(lang), Counter()).update(grams(t))
+    langs = sorted(counts)
+    met = len(set().union(*counts.values()))
+    floor = math.log(1 / (4 * met)) - 2
+    logp = lambda lang, g: max(math.log((counts[lang][g] + 0.5) / (sum(counts[lang].values()) + 0.5 * met)), floor)
+    ll = {i: [sum(logp(lang, g) for g in grams(t)) for lang in langs] for i, t, *_ in rows}
+    reading = {i: ll[i].index(max(ll[i])) if grams(t) else None for i, t, *_ in rows}
+    n = lambda want: [sum(reading[r[0]] == k and want(r) for r in rows) for k in range(len(langs))]
+    every = n(lambda r: True)
+    base = [(x + 1) / (sum(every) + len(langs)) for x in every]
+
+    def evidence(col, v):
+        if v is None:
+            return [0.0] * len(langs)
+        met_values = {r[col] for r in rows if r[col] is not None and reading[r[0]] is not None}
+        of, whole = n(lambda r: r[col] == v), n(lambda r: r[col] is not None)
+        return [math.log((x + 1) / (w + len(met_values) + 1)) for x, w in zip(of, whole, strict=True)]
+
+    rows = [(i, t, tidy(d), s, h or "", m or "") for i, t, d, s, h, m in rows]
+    out = {}
+    for i, _, d, s, h, m in rows:
+        dom = n(lambda r, m=m: r[5] == m)
+        p = [(x + strength * b) / (sum(dom) + strength) for x, b in zip(dom, base, strict=True)]
+        host = n(lambda r, h=h, m=m: r[4] == h and r[5] == m)
+        prior = [math.log((x + strength * q) / (sum(host) + strength)) for x, q in zip(host, p, strict=True)]
+        top = max(ll[i])
+        total = [temper * (a - top) + b + c + e for a, b, c, e in zip(ll[i], prior, evidence(2, d), evidence(3, s), strict=True)]
+        w = [math.exp(x - max(total)) for x in total]
+        out[i] = (langs, [x / sum(w) for x in w])
+    return out
+
+
+WORDS = {"en": "the house garden of my friend and water", "de": "das haus garten von meinem freund und wasser", "fr": "la maison jardin de mon ami et eau"}
+
+
+def language_rows(n=90):
+    rnd = random.Random(11)
+    say = lambda lang, k: " ".join(rnd.choices(WORDS[lang].split(), k=k))
+    docs = [(say(lang, 8), rnd.choice([lang, lang.upper(), f"{lang}-XX", f" {lang}_yy"])) for lang in WORDS for _ in range(20)] + [("12 !!", "en"), (None, "de"), ("the", None), ("das", "")]
+    rows = []
+    for i in range(n):
+        lang = rnd.choice(list(WORDS))
+        host = f"h{i % 7}.{lang if i % 3 else 'x'}"
+        rows.append((i, say(lang, rnd.randint(0, 3)) if i % 11 else None, rnd.choice([lang, lang.upper(), f"v{i}", None]), rnd.choice([f"s{i}", lang, None]), host if i % 13 else None, host[-1] if i % 13 else None))
+    return docs, rows
+
+
+@pytest.mark.parametrize("cells", [language_id.CELLS, 1 << 18])
+def test_posterior_against_brute_force(spark, cells):
+    docs, rows = language_rows()
+    table = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(docs)], "doc_id long, text string, lang string")
+    model = language_id.TextModel(language_id.written(language_id.count_trigrams(table), "trigrams"), cells)
+    assert (len(model.languages) > model.size) == (cells == 1 << 18) and model.languages == ["de", "en", "fr"]
+    df = spark.createDataFrame(rows, "id long, t string, d string, s string, h string, m string")
+    got = language_id.identify(df, model, *map(F.col, "tdshm")).collect()
+    want = slow_posterior(docs, rows, 10.0, 0.2)
+    assert len(got) == len(rows)
+    for r in got:
+        langs, p = want[r.id]
+        assert all(math.isclose(a, b, rel_tol=1e-4, abs_tol=1e-7) for a, b in zip(r.lang_posterior, p, strict=True)), r
+        assert math.isclose(p[langs.index(r.lang_id)], max(p), rel_tol=1e-4)
+
+
+def test_many_values_and_labels_keep_their_own_evidence(spark):
+    """1,500 address suffixes and 300 labels: none is pooled with the others or refused."""
+    rows = [(i, "the house and the garden" if i % 2 else "das haus und der garten", f"x{'abcdefghij'[i % 10]}{'abcdefghij'[i // 10 % 10]}{'abc'[i // 100 % 3]}", f"s{i // 2 % 1500}e{i % 2}") for i in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, suffix string")
+    model = language_id.train_text(df.withColumn("lang", F.when(F.col("doc_id") < 600, F.col("lang")).otherwise(F.when(F.col("doc_id") % 2 == 1, "en").otherwise("de"))))
+    assert len(model.languages) == 302
+    nothing = F.lit(None).cast("string")
+    two = language_id.train_text(df.withColumn("lang", F.when(F.col("doc_id") % 2 == 1, "en").otherwise("de")))
+    asked = spark.createDataFrame([(1, None, "s7e1"), (2, None, "s7e0"), (3, None, "s1499e1"), (4, None, "never met")], "doc_id long, text string, suffix string")
+    found = language_id.identify(df.select("doc_id", "text", "suffix").unionByName(asked.withColumn("doc_id", -F.col("doc_id"))), two, F.col("text"), nothing, F.col("suffix"), nothing, nothing)
+    got = {-r.doc_id: (r.lang_id, r.lang_p) for r in found.where("doc_id < 0").collect()}
+    assert got[1][0] == got[3][0] == "en" and got[2][0] == "de" and got[1][1] > 0.7 and abs(got[4][1] - 0.5) < 0.05
+
+
 def test_pages_with_gaps(spark):
     pages = spark.createDataFrame([(1, None, None), (2, "not an address", "<p>the and of"), (3, "http://u:p@Host.Example.COM:80/x", "<html LANG='de-AT'><script>x</script>the &amp; und"), (4, "", "")], "page_id long, url string, html string")
     got = {r.page_id: r for r in language_id.page_evidence(pages).collect()}

@@ -85,7 +85,7 @@ def packed(spark, rows, **options):
     return pieces, want
 
 
-@pytest.mark.parametrize("options", [{"window": 64, "grain": 4}, {"window": 64, "grain": 4, "weights": {"s1": 3.0, "s2": 1.0}}, {"window": 128, "max_queues": 2}, {}])
+@pytest.mark.parametrize("options", [{"window": 64, "grain": 4}, {"window": 64, "grain": 4, "weights": {"s1": 3.0, "s2": 1.0}}, {"window": 128}, {}])
 def test_packing_holds_every_id_once(spark, options):
     pieces, want = packed(spark, awkward(5), **options)
     window = options.get("window", 1024)
@@ -125,6 +125,18 @@ def test_every_window_has_the_mixture(spark):
     assert all(abs(c[q] - 1024 * share[q]) <= 2 * 32 + 2 * len(share) for c in full[:-1] for q in share)
 
 
+def test_every_source_is_a_queue_however_many(spark):
+    rows = [(i, "word " * (i % 5), "en", f"s{i}") for i in range(4500)] + [(5000 + i, "word " * 300, "en", "large") for i in range(6)]
+    pieces = packing.pack(frame(spark, rows), P.path("byte_bpe_50k.json"), with_ids=False).collect()
+    assert len({p.queue for p in pieces}) == 4501
+    by = {}
+    for p in pieces:
+        by.setdefault(p.sequence_id, []).append((p.offset, p.length))
+    for s in by.values():
+        s.sort()
+        assert all(a + n == b for (a, n), (b, _) in zip(s, s[1:], strict=False)) and s[0][0] == 0
+
+
 def test_sequences_and_empty(spark):
     pieces = packing.pack(frame(spark, awkward(6)), P.path("byte_bpe_50k.json"), window=64)
     for r in packing.sequences(pieces).collect():
