@@ -422,18 +422,21 @@ def _by_strings(group: Sequence[Entry], length: int) -> Iterator[tuple[int, int,
     """For many: the smallest document of each string. Equal strings have the anchor at equal places, so
     strings are held against each other one place of the anchor at a time."""
     hits = [0] * len(group)  # a bit for each start, counted from the entry's first byte
-    for before in range(max(len(e[0]) for e in group) + 1):  # bytes in front of the anchor
+    rows = [(j, len(e[0]), e[0] + e[1], e[2]) for j, e in enumerate(group)]
+    for before in range(max(r[1] for r in rows) + 1):  # bytes in front of the anchor
         low: dict[bytes, int] = {}
-        mine = []
-        for j, (left, right, doc, *_) in enumerate(group):
-            if before <= len(left) and len(right) >= length - before:
-                w = left[len(left) - before :] + right[: length - before]
-                mine.append((j, w))
-                if low.get(w, NO_ID) >= doc:
+        get, mine = low.get, []
+        for j, left, text, doc in rows:
+            s = left - before
+            if s >= 0 and s + length <= len(text):
+                w = text[s : s + length]
+                mine.append((j, s, w, doc))
+                if get(w, NO_ID) >= doc:
                     low[w] = doc
-        for j, w in mine:
-            if low[w] < group[j][2]:
-                hits[j] |= 1 << (len(group[j][0]) - before)
+        if len(low) < len(mine):
+            for j, s, w, doc in mine:
+                if low[w] < doc:
+                    hits[j] |= 1 << s
     for bits, (_, _, _, chunk, row, place) in zip(hits, group, strict=True):
         start = end = -1
         while bits:
