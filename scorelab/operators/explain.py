@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorelab.operators.tree_shap import tree_interactions, tree_shapley
-from scorelab.plans.ranks import exact_quantiles, hash_key, hash_rank
+from scorelab.plans.ranks import exact_quantiles, hash_key, hash_rank, small_side
+from scorelab.session import cut_lineage
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -196,19 +197,40 @@ def shap_stable(phi: DataFrame, trial: str = "trial", group: Sequence[str] = ("m
     return pooled.join(r, [*g, "feature"])
 
 
+#: Fixed values: (trials, background rows) of the stability runs, from a quick look to a thorough one.
+PRESETS = {"minimal": (1, 20), "quick": (3, 50), "balanced": (10, 200), "thorough": (30, 500)}
+
+
+def _windows(df: DataFrame, size: Column, trials: int) -> DataFrame:
+    """Rows with ``_rank`` in a cycle of ``_n`` rows, once for each trial (column ``trial``) whose window of
+    ``size`` ranks they fall into; windows follow each other and start again at the end."""
+    inside = F.filter(F.sequence(F.lit(0), F.lit(trials - 1)), lambda t: F.pmod(F.col("_rank") - t * size, F.col("_n")) < F.least(size, F.col("_n")))
+    return df.withColumn("trial", F.explode(inside)).drop("_rank", "_n")
+
+
 def trial_samples(train: DataFrame, test: DataFrame, trials: int, bg: int, explain: int, seed: int = 42,
-                  y: str = "y", group: Sequence[str] = ("dataset",)):
-    """(background, explain) tables with a ``trial`` column: stratified background of ``bg`` rows
-    and ``explain`` uniform rows per trial, drawn with trial-specific seeds."""
-    from scorelab.operators.resample import stratified_sample, uniform_sample
-
-    bgs, exs = None, None
-    for t in range(trials):
-        b = stratified_sample(train, y, bg, seed + 101 * t, by=group).withColumn("trial", F.lit(t))
-        e = uniform_sample(test, explain, seed + 7 + 101 * t, by=group).withColumn("trial", F.lit(t))
-        bgs = b if bgs is None else bgs.unionByName(b)
-        exs = e if exs is None else exs.unionByName(e)
-    return bgs, exs
+                  y: str = "y", group: Sequence[str] = ("dataset",)) -> tuple[DataFrame, DataFrame]:
+    """(background, explain) tables with a ``trial`` column: in every trial a background of ``bg`` train rows
+    with the classes in proportion (largest remainders) and ``explain`` test rows. Rows are ranked by hash once;
+    a trial is a range of ranks, so rows repeat only when all have been used, and the numbers are the
+    same under any partitioning."""
+    g = list(group)
+    sizes = train.groupBy(*g, y).agg(F.count(F.lit(1)).alias("_c"))
+    exact = F.lit(bg) * F.col("_c") / F.sum("_c").over(Window.partitionBy(*g))
+    order = Window.partitionBy(*g).orderBy(F.desc(F.col("_x") - F.floor("_x")), y)
+    spare = F.lit(bg) - F.sum(F.floor("_x")).over(Window.partitionBy(*g))
+    quota = sizes.withColumn("_x", exact).withColumn("_q", F.floor("_x") + F.when(F.row_number().over(order) <= spare, 1).otherwise(0))
+    ranked = hash_rank(train, [*g, y], seed).join(small_side(quota.select(*g, y, "_q")), [*g, y])
+    return _windows(ranked, F.col("_q"), trials).drop("_q"), _windows(hash_rank(test, g, seed + 7), F.lit(explain).cast("long"), trials)
+
+
+def trial_shapley(scorer: Scorer, train: DataFrame, test: DataFrame, features: Sequence[str], trials: int = 10, bg: int = 200, explain: int = 100,
+                  draws: int = 8, seed: int = 42, y: str = "y", group: Sequence[str] = ("dataset",), model: str = "model") -> DataFrame:
+    """The Shapley table of every trial of a fitted scorer, with a ``trial`` column, in one scoring plan."""
+    g = [*group, "trial"]
+    back, rows = trial_samples(train, test, trials, bg, explain, seed, y, group)
+    return shapley_rows(scorer, cut_lineage(rows), cut_lineage(back), features, draws, seed, g, model)
+
 
 
 # ---------------------------------------------------------------- local records

@@ -356,9 +356,3 @@ def class_report(scores: DataFrame, threshold: float = 0.5, group=DEFAULT_GROUP)
                  tot.alias("support")),
     )
     return wide.select(*group, F.inline(rows))
-
-
-def metrics_long_from_bundle(bundle: DataFrame, group=DEFAULT_GROUP) -> DataFrame:
-    """Bundle (wide) -> metrics(G, metric, value)."""
-    present = [m for m in METRIC_NAMES if m in bundle.columns]
-    return bundle.unpivot(list(group), present, "metric", "value")

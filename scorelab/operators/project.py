@@ -119,7 +119,3 @@ def pick_instances(df: DataFrame, ids: Sequence | None = None, n_random: int = 5
     if ids:
         return df.where(F.col(key).isin(list(ids)))
     return df.orderBy(hash_key(seed, key), key).limit(n_random)  # a sampling operator: the limit is the feature
-
-
-def hash_order(seed: int, key: str = "row_id") -> Column:
-    return hash_key(seed, key)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -186,13 +187,22 @@ def smote(df: DataFrame, features: Sequence[str], y: str = "y", k: int = 5, seed
     nn one of the k nearest same-class neighbours of x (k reduced to class size - 1 when small).
 
     Adds ``synthetic`` (false for the input rows). Neighbours come from the exact ``knn_join``;
-    the base row, the neighbour and u are seeded hashes of the synthetic index. With one class,
+    the base row, the neighbour and u are seeded hashes of the synthetic index. With ``by`` each dataset is
+    topped up on its own (ids of synthetic rows are unique within a dataset). With one class,
     or a class of a single row, the input is returned unchanged (as the reference does on failure).
     """
     from scorelab.operators.neighbours import knn_join
 
-    if by:
-        raise NotImplementedError("smote runs per dataset: filter first")
+    if by:  # a dataset at a time: neighbours and class sizes are its own
+        keys = [tuple(r) for r in df.select(*by).distinct().orderBy(*by).collect()]  # a row a dataset
+        own = lambda key: reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.lit(v)) for c, v in zip(by, key, strict=True)])
+        parts = []
+        for key in keys:
+            part = smote(df.where(own(key)), features, y, k, seed, id_col)
+            for c, v in zip(by, key, strict=True):  # synthetic rows belong to the dataset too
+                part = part.withColumn(c, F.lit(v).cast(df.schema[c].dataType))
+            parts.append(part)
+        return reduce(DataFrame.unionByName, parts) if parts else df.withColumn("synthetic", F.lit(False))
     feats = list(features)
     base = df.withColumn("synthetic", F.lit(False))
     counts = {r[y]: r["n"] for r in df.groupBy(y).agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per class

@@ -291,3 +291,12 @@ def q_tree_interactions(spark, d):
     """The 10 feature pairs with the largest mean |Shapley interaction| of 20 boosted trees, by dataset."""
     sc, rows, feats = _boosted(spark, d)
     return X.pair_interactions(sc, rows, rows, feats, 10)
+
+
+@query("trial_stability")
+def q_trial_stability(spark, d):
+    """Rank stability of 20 boosted trees' Shapley values over 3 trials of 100 rows each ("quick"), by dataset."""
+    tr, te, feats = prepared(spark, d)
+    trials, bg = X.PRESETS["quick"]
+    sc = L.train_gbt_grid(tr, feats, n=20, lr=0.3)
+    return X.rank_stability(X.trial_shapley(sc, tr, te, feats, trials, bg, 100, model="xgb_20"), group=("dataset", "model"))

@@ -43,25 +43,27 @@ def running_column_info(stream: DataFrame) -> DataFrame:
 
 def run_to_table(agg: DataFrame, folder: str | None = None) -> DataFrame:
     """Run a streaming aggregate over everything available (``availableNow``) and return its complete
-    result, which every batch writes as a table under ``folder``.
+    result.
 
-    ``folder`` (on a cluster: a shared one) also holds the state, so a later call with the same
-    folder goes on where this one stopped; without one a fresh folder is taken. The result is never
-    held by the driver.
+    ``folder`` (on a cluster: a shared one) holds the state, so a later call with the same folder goes on where
+    this one stopped; without one a fresh folder is taken. Every batch writes a table of its own, and its
+    number among the finished ones only once that is written: what is read is the last finished table,
+    which no later or failed batch touches. The result is never held by the driver.
     """
     spark = agg.sparkSession
     folder = (folder or f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{uuid.uuid4().hex[:12]}").rstrip("/")
-    out = f"{folder}/table"
 
-    def keep(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batch-{number}")
+        spark.createDataFrame([(number,)], "number long").coalesce(1).write.mode("append").parquet(f"{folder}/finished")
 
     q = (agg.writeStream.outputMode("complete").foreachBatch(keep)
          .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start())
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
-    return spark.read.schema(agg.schema).parquet(out)
+    last = spark.read.schema("number long").parquet(f"{folder}/finished").agg(F.max("number")).first()[0]
+    return spark.read.schema(agg.schema).parquet(f"{folder}/batch-{last}")
 
 
 def stream_value_counts(stream: DataFrame, col: str, folder: str | None = None) -> DataFrame:
