@@ -148,15 +148,33 @@ def _readings(c: str, n: int) -> list[tuple[str, float]]:
     return out
 
 
+class _Met(dict):
+    """What a function gives, kept by argument."""
+
+    def __init__(self, fn):
+        self.fn = fn
+
+    def __missing__(self, key):
+        self[key] = got = self.fn(key)
+        return got
+
+
 class Restorer:
-    """Words of a text after restoring what was obfuscated; met tokens are kept."""
+    """Words of a text after restoring what was obfuscated; met tokens are kept. With ``only``, some words, just
+    those of them that occur: a token of letters alone can be read as one of them only if the two are equal
+    once every run of a letter is one letter, so the others need no lattice."""
 
-    def __init__(self, model: CharModel, most: int = 500_000):
-        self.model, self.most = model, most
-        self.known: dict[str, tuple[str, ...]] = {}
+    def __init__(self, model: CharModel, only: frozenset[str] | None = None, most: int = 500_000):
+        self.model, self.only, self.most = model, only, most
+        self.squeezed = None if only is None else {_squeezed(w) for w in only}
+        self.known, self.short = _Met(self._token), _Met(self.single)
 
     def __reduce__(self):
-        return Restorer, (self.model, self.most)
+        return Restorer, (self.model, self.only, self.most)
+
+    def _token(self, token: str) -> tuple[str, ...]:
+        got = self.token(token)
+        return got if self.only is None else tuple(w for w in got if w in self.only)
 
     def token(self, token: str) -> tuple[str, ...]:
         """A token's words: the plain ones and, where it has a doubled letter, a digit or a symbol inside, those
@@ -167,7 +185,9 @@ class Restorer:
                 core = core[: m.start()] if m.end() == len(core) else core[m.end() :]
             core = _EDGE.sub("", core)
         if core.isalpha():
-            return (core, *self.model.read([core], False)) if _DOUBLE.search(core) else (core,)
+            if _DOUBLE.search(core) and (self.squeezed is None or _squeezed(core) in self.squeezed):
+                return (core, *self.model.read([core], False))
+            return (core,)
         if not any(c.isalpha() for c in core):
             return ()
         if _DOTTED.fullmatch(core):
@@ -186,16 +206,13 @@ class Restorer:
 
     def words(self, text: str) -> set[str]:
         tokens = text.lower().split()
-        known, distinct = self.known, set(tokens)
-        if len(known) > self.most:
-            known.clear()
-        out: set[str] = set()
-        for t in distinct:
-            got = known.get(t)
-            if got is None:
-                got = known[t] = self.token(t)
-            out.update(got)
-        singles = {t: c for t in distinct if len(t) < 5 and (c := self.single(t))}
+        distinct = set(tokens)
+        if len(self.known) > self.most:
+            self.known.clear()
+            self.short.clear()
+        out = set().union(*filter(None, map(self.known.__getitem__, distinct)))
+        short = [t for t in distinct if len(t) < 5]
+        singles = {t: c for t, c in zip(short, map(self.short.__getitem__, short), strict=True) if c}
         if len(set(singles.values())) > 1 and any(c.isalpha() for c in singles.values()):  # runs of three or more single characters
             at = 0
             while at < len(tokens):
@@ -212,6 +229,10 @@ class Restorer:
         return out
 
 
+def _squeezed(word: str) -> str:
+    return _RUN.sub(r"\1", word)
+
+
 def train_chars(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", exact: int = EXACT) -> CharModel:
     """Trigram and context counts of the plain words of all documents: words are counted first, then the grams of
     each distinct word, so the work on grams grows with the vocabulary. Every gram has its own counter, and
@@ -324,7 +345,7 @@ def fit_curve(rows: DataFrame, model: CharModel, weights: dict[str, float], step
     """Logistic regression on the two features, from counts by (features, label) of all labelled
     rows. Features are rounded to 0.1, so their number is bounded by the lexicon's range."""
     lexicon = Lexicon(weights)
-    sent = rows.sparkSession.sparkContext.broadcast((Restorer(model), lexicon))
+    sent = rows.sparkSession.sparkContext.broadcast((Restorer(model, frozenset(weights)), lexicon))
     out = [("a", pa.int64()), ("b", pa.int64()), ("label", pa.int64()), ("n", pa.int64())]
 
     def job(batches: Iterator[pa.RecordBatch]):
@@ -355,7 +376,7 @@ def fit_curve(rows: DataFrame, model: CharModel, weights: dict[str, float], step
 def score(docs: DataFrame, model: CharModel, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score (0 to 1) of every row, from the text alone; null is the empty text, which
     gets the curve's value for no toxic word."""
-    sent = docs.sparkSession.sparkContext.broadcast((Restorer(model), lexicon))
+    sent = docs.sparkSession.sparkContext.broadcast((Restorer(model, frozenset(lexicon.weights)), lexicon))
     out = [("doc_id", pa.int64()), ("score", pa.float64())]
 
     def job(batches: Iterator[pa.RecordBatch]):

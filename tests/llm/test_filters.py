@@ -229,6 +229,14 @@ def test_restored_words_are_the_best_of_all_readings(char_model):
         assert math.isclose(best[got], max(best.values()), abs_tol=1e-9), parts
 
 
+def test_looking_for_some_words_finds_the_same(spark, char_model):
+    only = frozenset(["idiot", "moron", "stupid", "hello", "coffee"])
+    every, some = toxicity.Restorer(char_model), toxicity.Restorer(char_model, only)
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
+    texts += ["iddiioott cofffee hhello", "m0ron st-upid i d i o t.", "moroon stuppid!! cof.fee", "", "a b c"]
+    assert [every.words(t or "") & only for t in texts] == [some.words(t or "") & only for t in texts]
+
+
 def test_gram_counts_are_exact_or_shared(spark):
     docs = frame(spark, [(i, t, "en", "s") for i, t in enumerate(["abc abd x", "abc. Abc", None, "日本語 😀é"])])
     want = Counter()
