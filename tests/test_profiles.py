@@ -74,3 +74,33 @@ def test_bootstrap_equals_a_weighted_brute_force(spark):
         r = got[m]
         assert np.allclose((r["mean"], r["std"], r.n_boot, r.ci_lower, r.ci_upper), want)
     assert set(got) == {"smooth", "ties"}  # a model whose rows have one class has no AUC
+
+
+@pytest.mark.parametrize(("kind", "p"), [("clustered", 2), ("clustered", 1), ("constant", 2), ("grid", 2)])
+def test_neighbours_on_awkward_data(spark, kind, p, monkeypatch):
+    from scorelab.operators import neighbours
+
+    rnd = random.Random(5)
+    if kind == "clustered":  # a third of all rows in one tiny cluster, the rest far apart
+        pts = [(rnd.gauss(0, 1e-3), rnd.gauss(0, 1e-3)) if i % 3 else (rnd.uniform(-1e3, 1e3), rnd.gauss(0, 1)) for i in range(400)]
+    elif kind == "constant":
+        pts = [(1.0, 2.0)] * 300 + [(1.0, 2.5)] * 2
+    else:
+        pts = [(float(rnd.randint(0, 4)), float(rnd.randint(0, 4))) for _ in range(300)]
+    df = spark.createDataFrame([(i, a, b if i != 7 else None) for i, (a, b) in enumerate(pts)], "row_id long, a double, b double").repartition(3)
+    pts[7] = (pts[7][0], 0.0)
+    asked = df.where("row_id % 5 = 0")
+    for own in (False, True):
+        got = {}
+        for r in neighbours.knn_join(asked, df, ["a", "b"], 4, p, exclude_self=own, bound=40, fan=4).collect():
+            got.setdefault(r.q_id, []).append((r.nn_rank, r.r_id, r.dist))
+        for q in range(0, len(pts), 5):
+            dist = lambda i, q=q: abs(pts[q][0] - pts[i][0]) + abs(pts[q][1] - pts[i][1]) if p == 1 else ((pts[q][0] - pts[i][0]) ** 2 + (pts[q][1] - pts[i][1]) ** 2) ** 0.5
+            want = sorted((dist(i), i) for i in range(len(pts)) if not own or i != q)[:4]
+            assert [(k + 1, i) for k, (_, i) in enumerate(want)] == [(k, i) for k, i, _ in sorted(got[q])]
+            assert np.allclose([d for d, _ in want], [d for *_, d in sorted(got[q])])
+    _, cells, levels = neighbours.pivot_tree(df.select(F.col("row_id").alias("r_id"), F.array("a", F.coalesce("b", F.lit(0.0))).alias("x")).dropDuplicates(["x"]), p, 40, 4, 1)
+    assert max(r["count"] for r in cells.groupBy("cell").count().collect()) <= 40
+    assert neighbours.knn_join(asked, df.limit(0), ["a", "b"], 4).count() == 0 and neighbours.knn_join(asked.limit(0), df, ["a", "b"], 4).count() == 0
+    few = neighbours.knn_join(asked.where("row_id = 0"), df.where("row_id < 3"), ["a", "b"], 4).collect()
+    assert [r.nn_rank for r in sorted(few, key=lambda r: r.nn_rank)] == [1, 2, 3][: len(few)] and len(few) == 3
