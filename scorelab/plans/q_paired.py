@@ -61,12 +61,14 @@ def q_wilcoxon(spark, d):
     return T.wilcoxon_abs_error(pairs(spark, d)).drop("p_value")
 
 
-@query("mcnemar", f"""WITH {PAIR}, t AS (SELECT dataset,
+MSQL = f"""WITH {PAIR}, t AS (SELECT dataset,
   CAST(sum(CASE WHEN (CAST(pa > 0.5 AS INTEGER) = y) AND NOT (CAST(pb > 0.5 AS INTEGER) = y) THEN 1 ELSE 0 END) AS BIGINT) AS b,
   CAST(sum(CASE WHEN NOT (CAST(pa > 0.5 AS INTEGER) = y) AND (CAST(pb > 0.5 AS INTEGER) = y) THEN 1 ELSE 0 END) AS BIGINT) AS c
   FROM pr GROUP BY dataset)
-SELECT dataset, b, c, CASE WHEN b + c > 0 THEN power(abs(b - c) - 1, 2) / (b + c) END AS chi2 FROM t""",
-       views=V, rnd=["chi2"])
+SELECT dataset, b, c, CASE WHEN b + c > 0 THEN power(abs(b - c) - 1, 2) / (b + c) END AS chi2 FROM t"""
+
+
+@query("mcnemar", MSQL, views=V, rnd=["chi2"])
 def q_mcnemar(spark, d):
     """McNemar discordant counts and continuity-corrected chi2 of lin_a vs lin_b (p in pytest)."""
     return T.mcnemar(pairs(spark, d), 0.5).drop("p_value")
@@ -104,6 +106,16 @@ def q_paired_comparison(spark, d):
     return T.paired_comparison(scores_orders(spark, d), "lin_a", "lin_b")
 
 
+@query("paired_statistics", f"""SELECT dataset, w.stat AS wilcoxon_stat, w.median_diff, m.b, m.c, m.chi2, d.auc1, d.auc2, d.auc_diff, d.var, d.z
+FROM ({WSQL}) w JOIN ({MSQL}) m USING (dataset) JOIN ({DSQL}) d USING (dataset)""", views=V,
+       rnd=["wilcoxon_stat", "median_diff", "chi2", "auc1", "auc2", "auc_diff", "var", "z"])
+def q_paired_statistics(spark, d):
+    """The statistics of ``paired_comparison``'s record as columns (its p-values need erfc)."""
+    r = T.paired_comparison(scores_orders(spark, d), "lin_a", "lin_b")
+    return r.select("dataset", F.col("wilcoxon.statistic").alias("wilcoxon_stat"), F.col("wilcoxon.median_abs_error_diff").alias("median_diff"),
+                    *[F.col(f"mcnemar.{c}") for c in ("b", "c", "chi2")], *[F.col(f"delong.{c}") for c in ("auc1", "auc2", "auc_diff", "var", "z")])
+
+
 def rel(spark, d):
     """Reliability-style rows: coarse score as the reliability of lin_a's decisions at 0.5."""
     pr = T.pair_scores(scores_orders(spark, d), "lin_a", "coarse")
@@ -119,20 +131,25 @@ c AS (SELECT *, sum(pos) OVER (PARTITION BY dataset ORDER BY score) AS cp, sum(n
       sum(pos) OVER (PARTITION BY dataset) AS n1, sum(neg) OVER (PARTITION BY dataset) AS n2 FROM h)"""
 
 
-@query("two_sample_ks", f"""WITH {REL} SELECT dataset, max(abs(cp / n1 - cn / n2)) AS ks_stat,
-  CAST(any_value(n1) AS BIGINT) AS n_correct, CAST(any_value(n2) AS BIGINT) AS n_wrong FROM c GROUP BY dataset""",
-       views=V, rnd=["ks_stat"])
+KS_SQL = f"""WITH {REL} SELECT dataset, max(abs(cp / n1 - cn / n2)) AS ks_stat,
+  CAST(any_value(n1) AS BIGINT) AS n_correct, CAST(any_value(n2) AS BIGINT) AS n_wrong FROM c GROUP BY dataset"""
+
+
+@query("two_sample_ks", KS_SQL, views=V, rnd=["ks_stat"])
 def q_two_sample_ks(spark, d):
     """KS distance between scores of correct and wrong decisions (p in pytest)."""
     return T.two_sample_ks(rel(spark, d), ["dataset"]).drop("ks_pvalue")
 
 
-@query("mann_whitney", f"""WITH {REL}, s AS (SELECT dataset,
+MW_SQL = f"""WITH {REL}, s AS (SELECT dataset,
   sum(pos * (cp + cn - (pos + neg) + (pos + neg + 1) / 2)) AS r1, any_value(n1)::DOUBLE AS n1, any_value(n2)::DOUBLE AS n2,
   sum((pos + neg) * (pos + neg) * (pos + neg) - (pos + neg)) AS ties FROM c GROUP BY dataset)
 SELECT dataset, r1 - n1 * (n1 + 1) / 2 AS mw_stat,
   (r1 - n1 * (n1 + 1) / 2 - n1 * n2 / 2 - 0.5) / sqrt(n1 * n2 / 12 * ((n1 + n2 + 1) - ties / ((n1 + n2) * (n1 + n2 - 1)))) AS mw_z
-FROM s""", views=V, rnd=["mw_stat", "mw_z"])
+FROM s"""
+
+
+@query("mann_whitney", MW_SQL, views=V, rnd=["mw_stat", "mw_z"])
 def q_mann_whitney(spark, d):
     """Mann-Whitney U (correct > wrong) and its z (p in pytest)."""
     return T.mann_whitney(rel(spark, d), ["dataset"]).drop("mw_pvalue")
@@ -166,3 +183,10 @@ def q_univariate_logit(spark, d):
 def q_reliability_diagnostics(spark, d):
     """KS, Mann-Whitney, AUC and logit test of the reliability score in one row per dataset."""
     return T.reliability_diagnostics(rel(spark, d), ["dataset"])
+
+
+@query("diagnostic_statistics", f"""SELECT dataset, ks_stat, n_correct, n_wrong, mw_stat, roc_auc
+FROM ({KS_SQL}) JOIN ({MW_SQL}) USING (dataset) JOIN ({AUC_SQL}) USING (dataset)""", views=V, rnd=["ks_stat", "mw_stat", "roc_auc"])
+def q_diagnostic_statistics(spark, d):
+    """The statistics of ``reliability_diagnostics`` (p-values and the logit fit are held by pytest)."""
+    return T.reliability_diagnostics(rel(spark, d), ["dataset"], with_logit=False).select("dataset", "ks_stat", "n_correct", "n_wrong", "mw_stat", "roc_auc")
