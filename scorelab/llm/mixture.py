@@ -148,7 +148,8 @@ def streams(rows: DataFrame, block: int) -> DataFrame:
 def mixed(rows: DataFrame, sources: DataFrame, block: int) -> DataFrame:
     """The mix: (slot, place, row, doc_id, first_word, n_words), in order of (slot, place). A key holds one
     block's pieces and the few slots that take it."""
-    found = streams(rows, block).join(schedule(sources, block), ["skey", "block"])
+    # both sides grow with the documents: well packed files must not pass for small tables
+    found = streams(rows, block).join(schedule(sources, block).hint("merge"), ["skey", "block"])
     taken = F.least("hi", "words") - F.col("lo")
     return found.select("slot", F.col("lo").alias("place"), "row", "doc_id", F.col("first").alias("first_word"), taken.alias("n_words")).where("n_words > 0")
 
@@ -166,7 +167,7 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3,
     sources = targets(rows, weights, most)
     mix = written(mixed(rows, sources, block), "mix")
     taken = mix.groupBy("row").agg(F.sum("n_words").alias("taken"))
-    out = rows.select("row", "doc_id", "skey", "size").join(taken, "row", "left")
+    out = rows.select("row", "doc_id", "skey", "size").join(taken.hint("merge"), "row", "left")
     out = join_side(out, sources.select("skey", "source_size", "target"), "skey")
     return mix.drop("row"), out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
 
