@@ -428,19 +428,27 @@ def _cv_auc(scored_by_setting: DataFrame, group: Sequence[str]) -> DataFrame:
 
 def tune_knn(train: DataFrame, features: Sequence[str], y: str = "y", ks: Sequence[int] = (3, 5, 7, 11, 15, 21),
              weights: Sequence[str] = ("uniform", "distance"), ps: Sequence[int] = (1, 2), folds: int = 5,
-             seed: int = 42) -> DataFrame:
+             seed: int = 42, prepare: bool = False, balance: bool = False) -> DataFrame:
     """5-fold AUC of every (k, weights, p): one neighbour table at max(k) per (fold, p); every
-    smaller k and both weightings are aggregations of it. Best setting flagged."""
+    smaller k and both weightings are aggregations of it. Best setting flagged. With ``prepare`` the
+    preprocessing is learned on each fold's own train rows, with ``balance`` these are then topped up by
+    SMOTE, so nothing of a held-out row is seen before it is scored."""
     from scorelab.operators.neighbours import knn_join
-    from scorelab.operators.resample import stratified_kfold
+    from scorelab.operators.prep import fit_preprocessor
 
-    feats = list(features)
-    tf = cut_lineage(stratified_kfold(train.select("row_id", y, *feats), y, folds, seed))
+    tf = folded(train.select("row_id", y, *features), y, folds, seed)
     kmax = max(ks)
     parts = []
     for f in range(folds):
-        tr = tf.where(F.col("fold") != f)
-        te = tf.where(F.col("fold") == f)
+        feats = list(features)
+        tr = tf.where(F.col("fold") != f).drop("fold")
+        te = tf.where(F.col("fold") == f).drop("fold")
+        if prepare:
+            pre = fit_preprocessor(tr, y, keep=("row_id",))
+            feats, tr, te = pre.feature_names(), pre.transform(tr), pre.transform(te)
+        if balance:
+            tr = balanced(tr, feats, y, seed)
+        tr = cut_lineage(tr)
         lab = tr.select(F.col("row_id").alias("r_id"), F.col(y).cast("double").alias("_y"))
         truth = te.select(F.col("row_id").alias("q_id"), F.col(y).alias("y"))
         for p in ps:

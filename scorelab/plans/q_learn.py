@@ -107,8 +107,8 @@ def q_train_knn(spark, d):
 
 @query("tune_knn")
 def q_tune_knn(spark, d):
-    """5-fold AUC over k x weights x p for customers, best flagged."""
-    return L.tune_knn(credit_customer(spark, d), CUST_FEATS, ks=(3, 5, 7, 11, 15, 21))
+    """5-fold AUC over k x weights x p for customers, best flagged; preprocessing and SMOTE in each fold."""
+    return L.tune_knn(credit_customer(spark, d), CUST_FEATS, ks=(3, 5, 7, 11, 15, 21), prepare=True, balance=True)
 
 
 @query("grid_search_ada")

@@ -257,3 +257,41 @@ def test_grouped_logits_equal_single_ones(spark):
     assert got["flat"].logit_coef == 0.0 and got["flat"].logit_pvalue_wald is None
     alone = univariate_logit(df.where("g = 'p'")).first()
     assert math.isclose(alone.logit_coef, got["p"].logit_coef, rel_tol=1e-9)
+
+
+def auc(y, s):
+    above = (s[y == 1][:, None] > s[y == 0]) + 0.5 * (s[y == 1][:, None] == s[y == 0])
+    return above.mean()
+
+
+def test_grid_search_holds_each_fold_out(spark):
+    df = toy(spark, 210, 9).withColumn("a", F.greatest(F.lit(-2.0), F.least(F.lit(2.0), F.round("a"))))
+    tf = learn.folded(df.select("row_id", "y", *FEATS), "y", 3, 42)
+    x, y = plain(df)
+    fold = np.array([r.fold for r in tf.orderBy("row_id").collect()])
+    got = {(r.n, r.lr): r.cv_auc for r in learn.grid_search_ada(df, FEATS, ns=(2, 5), lrs=(0.3, 1.0), folds=3).collect()}
+    for lr in (0.3, 1.0):
+        for n in (2, 5):
+            want = []
+            for f in range(3):
+                path = slow_stumps(x[fold != f], y[fold != f], np.ones((fold != f).sum()), n, lr)
+                votes = sum(s[4] * (2 * np.where(x[fold == f][:, s[0]] <= s[1], s[2], s[3]) - 1) for s in path)
+                want.append(auc(y[fold == f], np.round(votes, 9)))
+            assert abs(got[n, lr] - np.mean(want)) < 0.02, (n, lr)  # votes that only rounding parts are ties here
+
+
+def test_tune_knn_prepares_inside_the_folds(spark):
+    df = toy(spark, 120, 10)
+    got = {(r.k, r.weights, r.p_norm): r.cv_auc for r in learn.tune_knn(df, ["a", "b"], ks=(3, 5), weights=("uniform",), ps=(2,), folds=3, prepare=True).collect()}
+    tf = learn.folded(df.select("row_id", "y", "a", "b"), "y", 3, 42).orderBy("row_id").collect()
+    x, y, fold = np.array([[r.a, r.b] for r in tf]), np.array([r.y for r in tf]), np.array([r.fold for r in tf])
+    for k in (3, 5):
+        want = []
+        for f in range(3):
+            tr, te = x[fold != f], x[fold == f]
+            tr, te = ((v - tr.mean(0)) / tr.std(0) for v in (tr, te))
+            near = np.argsort(np.linalg.norm(te[:, None] - tr, axis=2), axis=1, kind="stable")[:, :k]
+            want.append(auc(y[fold == f], y[fold != f][near].mean(1)))
+        assert abs(got[k, "uniform", 2] - np.mean(want)) < 1e-6
+    both = learn.tune_knn(df, ["a", "b"], ks=(3,), ps=(1,), folds=2, prepare=True, balance=True)
+    assert both.count() == 2 and both.where("best").count() == 1
