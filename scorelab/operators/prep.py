@@ -11,12 +11,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorelab.operators.profiling import NUMERIC
-from scorelab.plans.ranks import dense_codes, exact_quantiles
+from scorelab.plans.ranks import SMALL, dense_codes, exact_quantiles
+from scorelab.session import cut_lineage
 
 
 def _q(c: str) -> Column:
@@ -155,6 +157,36 @@ def one_hot(df: DataFrame, cols: Sequence[str], fit_on: DataFrame | None = None)
     return df.select(*keep, *new)
 
 
+def sparse_one_hot(df: DataFrame, cols: Sequence[str], fit_on: DataFrame | None = None, out: str = "features") -> tuple[DataFrame, DataFrame]:
+    """(rows, names) for columns with any number of levels: the rows with one sparse vector ``out`` in place of
+    ``cols``, and the table (index, column, level) of what its places mean, columns as given, levels in
+    order of their text. Unseen or null: no entry. Levels are numbered by range and joined to the rows; they
+    are neither collected nor made columns."""
+    from pyspark.ml.feature import OneHotEncoder, VectorAssembler
+
+    spark, fit_on = df.sparkSession, fit_on if fit_on is not None else df
+    rows, names, sizes, start = df, [], [], 0
+    for i, c in enumerate(cols):
+        levels = fit_on.select(_q(c).cast("string").alias("level"))
+        codes = cut_lineage(dense_codes(levels, "level", code_col="code"))
+        n = codes.count()
+        names.append(codes.select((F.col("code") + start).cast("long").alias("index"), F.lit(c).alias("column"), "level"))
+        sizes.append(n)
+        start += n
+        level = codes.select(F.col("level").alias(f"_level{i}"), F.col("code").alias(f"_code{i}"))
+        level = F.broadcast(level) if n <= SMALL else level
+        rows = rows.join(level, _q(c).cast("string") == F.col(f"_level{i}"), "left").withColumn(f"_code{i}", F.coalesce(f"_code{i}", F.lit(n)).cast("double")).drop(f"_level{i}")
+    some = [i for i, n in enumerate(sizes) if n]  # a column without any level has no place
+    largest = spark.createDataFrame([tuple(float(sizes[i] - 1) for i in some)], ", ".join(f"_code{i} double" for i in some)) if some else None
+    empty = spark.createDataFrame([], "index long, column string, level string")
+    if not some:
+        return df.drop(*cols), empty
+    # the place beyond a column's levels stands for unseen ones and is dropped
+    encoder = OneHotEncoder(inputCols=[f"_code{i}" for i in some], outputCols=[f"_hot{i}" for i in some], handleInvalid="keep", dropLast=True).fit(largest)
+    done = VectorAssembler(inputCols=[f"_hot{i}" for i in some], outputCol=out).transform(encoder.transform(rows))
+    return done.select(*[_q(c) for c in df.columns if c not in cols], out), reduce(DataFrame.unionByName, names)
+
+
 def dummies_with_null(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """One-hot text columns with a ``col=null`` indicator; booleans -> 0/1; other columns numeric;
     remaining nulls -> 0."""

@@ -92,6 +92,21 @@ def q_one_hot(spark, d):
     return R.one_hot(credit_orders(spark, d), ["o_orderpriority"])
 
 
+SPARSE = ("event_type", "props", "user_id")
+
+
+@query("sparse_one_hot", " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", {c}::VARCHAR AS level, count(*)::DOUBLE AS n FROM events WHERE {c} IS NOT NULL GROUP BY {c}""" for c in SPARSE), rnd=["n"])
+def q_sparse_one_hot(spark, d):
+    """Text and id columns of all events as sparse one-hot vectors, levels of any number: the sum of each place."""
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    rows, names = R.sparse_one_hot(table(spark, d, "events").select(*SPARSE), SPARSE)
+    total = rows.select(Summarizer.sum(F.col("features")).alias("s")).select(F.posexplode(vector_to_array("s")).alias("index", "n"))
+    return names.join(total, "index").select("column", "level", "n")
+
+
 @query("dummies_with_null", f"""SELECT l_orderkey, l_linenumber, l_quantity, coalesce(nullif(l_discount, 0.0::DOUBLE), 0) AS l_discount,
   coalesce(nullif(l_tax, 0.08::DOUBLE), 0) AS l_tax, {_dummies("l_returnflag", ["A", "R"])},
   CASE WHEN l_returnflag IS NULL OR l_returnflag = 'N' THEN 1 ELSE 0 END AS "l_returnflag=null"

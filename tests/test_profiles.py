@@ -104,3 +104,31 @@ def test_neighbours_on_awkward_data(spark, kind, p, monkeypatch):
     assert neighbours.knn_join(asked, df.limit(0), ["a", "b"], 4).count() == 0 and neighbours.knn_join(asked.limit(0), df, ["a", "b"], 4).count() == 0
     few = neighbours.knn_join(asked.where("row_id = 0"), df.where("row_id < 3"), ["a", "b"], 4).collect()
     assert [r.nn_rank for r in sorted(few, key=lambda r: r.nn_rank)] == [1, 2, 3][: len(few)] and len(few) == 3
+
+
+def test_sparse_one_hot_equals_the_wide_one(spark):
+    from pyspark.ml.functions import vector_to_array
+
+    from scorelab.operators import prep
+
+    rnd = random.Random(6)
+    train = spark.createDataFrame([(i, rnd.choice(["b", "a", "ä", None]), f"id{i % 40}", None) for i in range(120)], "row_id long, few string, many string, nothing string")
+    test = spark.createDataFrame([(1, "a", "id3", "x"), (2, "unseen", "id39", None), (3, None, "id40", None), (3, None, "id40", None)], train.schema)
+    rows, names = prep.sparse_one_hot(test, ["few", "many", "nothing"], train)
+    wide = prep.one_hot(test, ["few", "many", "nothing"], train)
+    place = {r["index"]: f"{r.column}={r.level}" for r in names.collect()}
+    assert sorted(place) == list(range(43)) and [place[i] for i in (0, 1, 2)] == ["few=a", "few=b", "few=ä"] and rows.columns == ["row_id", "features"]
+    got = Counter((r.row_id, tuple(sorted(place[i] for i, v in enumerate(r.v) if v))) for r in rows.select("row_id", vector_to_array("features").alias("v")).collect())
+    want = Counter((r.row_id, tuple(sorted(c for c in wide.columns[1:] if r[c]))) for r in wide.collect())
+    assert got == want
+
+
+def test_sparse_one_hot_of_very_many_levels(spark):
+    from scorelab.operators import prep
+
+    df = spark.range(120_000).select(F.concat(F.lit("u"), "id").alias("u"))
+    rows, names = prep.sparse_one_hot(df, ["u"])
+    assert names.count() == 120_000
+    first = rows.first().features
+    assert first.size == 120_000 and len(first.indices) == 1
+    assert prep.sparse_one_hot(df.limit(0), ["u"])[0].count() == 0
