@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scorelab.plans.ranks import hash_key
+from scorelab.plans.ranks import hash_key, small_side
 from scorelab.session import cut_lineage
 
 
@@ -43,9 +43,11 @@ def with_row_id(df: DataFrame, key: str | Sequence[str] | None = None, seed: int
     """Add ``row_id``: the natural key when given (a single column used as is), else a hash of
     the whole row plus a tie counter among identical rows (never a positional id).
 
-    Identical rows are counted (a map-side combined aggregate), each count is cut into chunks of
-    ``chunk`` copies that are spread over the cluster, and the copies are numbered inside their
-    chunk, so even one row repeated a billion times never meets in a single task.
+    Only hashes are shuffled: rows are counted by a 128-bit hash, and rows whose hash occurs once, as most do,
+    are number 1 where they are. The others are grouped by all columns and counted (tasks add up
+    first), each count is cut into chunks of ``chunk`` copies that are spread over the cluster, and the
+    copies are numbered inside their chunk, so even one row repeated a billion times never meets in a
+    single task.
 
     A 64-bit id is expected to collide beyond some 10^9 rows; ``wide`` gives a text id of two
     hashes and the copy's number instead (128 bits, for tables of any size)."""
@@ -53,14 +55,19 @@ def with_row_id(df: DataFrame, key: str | Sequence[str] | None = None, seed: int
         return df.withColumn("row_id", F.col(key).cast("long"))
     cols = list(key) if key else df.columns
     allc = [F.col(f"`{c}`") for c in df.columns]
-    counted = df.groupBy(*allc).agg(F.count(F.lit(1)).alias("_copies"))
-    counted = counted.withColumn("_h", row_hash(cols, seed)).withColumn("_h2", row_hash(cols, seed + 1))
+    hashes = [row_hash(df.columns, seed + 3).alias("_r"), row_hash(df.columns, seed + 4).alias("_r2")]
+    own = [row_hash(cols, seed).alias("_h"), row_hash(cols, seed + 1).alias("_h2")]
+    rows = df.select(*allc, *hashes)
+    again = small_side(rows.groupBy("_r", "_r2").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_r", "_r2"))
+    once = rows.join(again, ["_r", "_r2"], "left_anti").select(*allc, *own, F.lit(1).cast("long").alias("_tie"))
+    counted = rows.join(again, ["_r", "_r2"], "left_semi").groupBy(*allc).agg(F.count(F.lit(1)).alias("_copies")).select(*allc, "_copies", *own)
     chunks = counted.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("_copies") - 1) / chunk)))
                             .alias("_chunk"))
     chunks = chunks.repartition("_h", "_chunk")
     ties = chunks.select("*", F.explode(F.sequence(F.col("_chunk") * chunk + 1,
                                                    F.least((F.col("_chunk") + 1) * chunk, F.col("_copies"))))
-                         .alias("_tie"))
+                         .alias("_tie")).select(*allc, "_h", "_h2", "_tie")
+    ties = once.unionByName(ties)
     if wide:
         text = F.concat_ws("-", F.lower(F.lpad(F.hex("_h"), 16, "0")), F.lower(F.lpad(F.hex("_h2"), 16, "0")), F.col("_tie"))
         return ties.select(*allc, text.alias("row_id"))

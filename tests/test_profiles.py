@@ -132,3 +132,20 @@ def test_sparse_one_hot_of_very_many_levels(spark):
     first = rows.first().features
     assert first.size == 120_000 and len(first.indices) == 1
     assert prep.sparse_one_hot(df.limit(0), ["u"])[0].count() == 0
+
+
+def test_row_ids_shuffle_hashes_alone(spark):
+    from scorelab.sources.io import with_row_id
+
+    rows = [(i, None if i % 7 else "x", float(i % 3)) for i in range(200)] + [(500, "same", None)] * 30 + [(501, None, float("nan"))] * 2
+    df = spark.createDataFrame(rows, "a int, b string, c double").repartition(4)
+    for kw in ({}, {"wide": True}, {"chunk": 4}):
+        got = with_row_id(df, **kw)
+        ids = [r.row_id for r in got.collect()]
+        assert len(ids) == len(set(ids)) == 232
+        assert Counter((r.a, r.b, str(r.c)) for r in got.collect()) == Counter((a, b, str(c)) for a, b, c in rows)
+        again = {(r.a, r.row_id) for r in with_row_id(df.repartition(7), **kw).collect()}
+        assert again == {(r.a, r.row_id) for r in got.collect()}
+    plan = with_row_id(df.where("a < 500"))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert with_row_id(df.limit(0)).count() == 0
