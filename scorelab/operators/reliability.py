@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorelab.plans.ranks import exact_quantiles, small_side
-from scorelab.session import cut_lineage, ship_package
+from scorelab.session import cut_lineage, ship_package, written_once
 
 LABELS = ("Reliable", "Moderately Reliable", "Questionable", "Unreliable")
 # Default cut points of the score buckets.
@@ -100,9 +100,10 @@ def bucket_quantile(batch: DataFrame, score: str = "reliability_score", group: S
 
 
 def bucket_bounds(batch: DataFrame, score: str = "reliability_score", group: Sequence[str] = ()) -> DataFrame:
-    """bucket, lower_bound, upper_bound, description: the 4 quantile buckets of the batch."""
+    """bucket, lower_bound, upper_bound, description: the 4 quantile buckets of the batch. Its scores are read
+    several times, so they are written once."""
     g = list(group)
-    q = batch_quartiles(batch, score, g)
+    q = batch_quartiles(written_once(batch.select(*g, score)), score, g)
     rows = F.array(*[
         F.struct(F.lit(lab).alias("bucket"), lo.alias("lower_bound"), hi.alias("upper_bound"),
                  F.lit(BUCKET_DESCRIPTIONS[lab]).alias("description"))
@@ -198,8 +199,9 @@ def batch_reliability(phi: DataFrame, scores: DataFrame, weights: DataFrame, rat
 
 def reliability_summary_stats(batch: DataFrame, score: str = "reliability_score",
                               group: Sequence[str] = ()) -> DataFrame:
-    """count, mean, std (sample), min, 25/50/75 %, max of the scores."""
+    """count, mean, std (sample), min, 25/50/75 %, max of the scores, which are written once."""
     g = list(group)
+    batch = written_once(batch.select(*g, score))
     m = batch.groupBy(*g).agg(F.count(score).cast("double").alias("count"), F.avg(score).alias("mean"),
                               F.stddev_samp(score).alias("std"), F.min(score).alias("min"), F.max(score).alias("max"))
     q = batch_quartiles(batch, score, g).select(*g, F.col("q1").alias("q25"), F.col("q2").alias("q50"),

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from scorelab.operators import explain as X
 from scorelab.operators import reliability as RL
 from scorelab.plans.catalog import query
+from scorelab.session import written_once
 from scorelab.sources.bindings import credit_orders
 
 # Coefficients of the test scorer (log-odds) over the order features.
@@ -78,6 +79,11 @@ def orders(spark, d):
     return credit_orders(spark, d)
 
 
+def kept(spark, d):
+    """The orders, joined and written once: the reliability terms read them many times."""
+    return written_once(orders(spark, d))
+
+
 def scores(spark, d):
     return X.score_linear(orders(spark, d), COEFS, INTERCEPT)
 
@@ -96,30 +102,28 @@ def weights(spark, d):
     return RL.feature_weights(ranks(spark, d))
 
 
-def phi2(spark, d):
+def phi2(o):
     """Shapley values of both models of the reliability queries."""
-    o = orders(spark, d)
     parts = [X.shapley_linear(o, o.drop("dataset"), ws, b, ["dataset"], m) for m, ws, b in MODELS]
     return parts[0].unionByName(parts[1])
 
 
-def scores2(spark, d):
-    o = orders(spark, d)
+def scores2(o):
     parts = [X.score_linear(o, ws, b, m) for m, ws, b in MODELS]
     return parts[0].unionByName(parts[1])
 
 
-def ranks2(spark, d):
-    r = X.rank_stability(phi2(spark, d), trial="dataset", group=["model"])
+def ranks2(o):
+    r = X.rank_stability(phi2(o), trial="dataset", group=["model"])
     return r.where(~((F.col("model") == "linear_other") & (F.col("feature") == UNRANKED_B)))
 
 
-def weights2(spark, d):
-    return RL.feature_weights(ranks2(spark, d))
+def weights2(o):
+    return RL.feature_weights(ranks2(o))
 
 
-def rowrel(spark, d):
-    return RL.row_reliability(phi2(spark, d), scores2(spark, d), weights2(spark, d), RATIO)
+def rowrel(o):
+    return RL.row_reliability(phi2(o), scores2(o), weights2(o), RATIO)
 
 
 @query("score_linear", f"WITH {SC} SELECT *, CAST(p >= 0.5 AS INTEGER) AS pred FROM sc", views=V, rnd=["p"])
@@ -295,14 +299,14 @@ def q_partial_dependence(spark, d):
 @query("pair_interactions")
 def q_pair_interactions(spark, d):
     """Top feature pairs by mean absolute second difference of the scorer's probability."""
-    o = orders(spark, d)
+    o = kept(spark, d)
     return X.pair_interactions(X.linear_scorer(COEFS, INTERCEPT), o, o, FEATS, 5)
 
 
 @query("shapley_rows")
 def q_shapley_rows(spark, d):
     """Model-agnostic permutation Shapley (8 antithetic pairs) of the scorer's log-odds, every order."""
-    o = orders(spark, d)
+    o = kept(spark, d)
     sc = X.linear_scorer(COEFS, INTERCEPT)
     return X.shapley_rows(sc, o, o, FEATS, draws=8, seed=42, model="linear_fixed", output="logit")
 
@@ -310,7 +314,7 @@ def q_shapley_rows(spark, d):
 @query("counterfactuals")
 def q_counterfactuals(spark, d):
     """Beam search (width 20, <= 30 steps) for the nearest class flip of every predicted-default order."""
-    o = orders(spark, d)
+    o = kept(spark, d)
     sc = X.linear_scorer(COEFS, INTERCEPT)
     rows = sc(o).where(F.col("p") >= 0.5).select("dataset", "row_id", *FEATS)
     steps = X.step_sizes(o, FEATS, 0.05)
@@ -371,13 +375,14 @@ def _rr_sql(select: str) -> str:
 @query("row_reliability", _rr_sql("SELECT * FROM rr"), views=V, rnd=RR_DBL)
 def q_row_reliability(spark, d):
     """Per-row reliability R = W_signal * GL * C * D with all its terms, every order."""
-    return rowrel(spark, d)
+    return rowrel(kept(spark, d))
 
 
 @query("batch_reliability", _rr_sql("SELECT * FROM br"), views=V, rnd=RR_DBL)
 def q_batch_reliability(spark, d):
     """Row reliability of the whole batch with actual labels and quantile buckets."""
-    return RL.batch_reliability(phi2(spark, d), scores2(spark, d), weights2(spark, d), RATIO)
+    o = kept(spark, d)
+    return RL.batch_reliability(phi2(o), scores2(o), weights2(o), RATIO)
 
 
 @query("bucket_fixed", _rr_sql("""SELECT dataset, model, row_id, CASE WHEN reliability_score IS NULL THEN 'Unknown'
@@ -385,7 +390,7 @@ def q_batch_reliability(spark, d):
   WHEN reliability_score >= 0.2 THEN 'Questionable' ELSE 'Unreliable' END AS bucket FROM rr"""), views=V)
 def q_bucket_fixed(spark, d):
     """Fixed-cut buckets (.60 / .40 / .20) of the row reliability scores."""
-    return rowrel(spark, d).select("dataset", "model", "row_id", RL.bucket_fixed(F.col("reliability_score")).alias("bucket"))
+    return rowrel(kept(spark, d)).select("dataset", "model", "row_id", RL.bucket_fixed(F.col("reliability_score")).alias("bucket"))
 
 
 @query("bucket_strict", _rr_sql("""SELECT dataset, model, row_id, CASE WHEN global_reliability IS NULL THEN 'Unknown'
@@ -393,13 +398,13 @@ def q_bucket_fixed(spark, d):
   WHEN global_reliability >= 0.3 THEN 'Questionable' ELSE 'Unreliable' END AS bucket FROM rr"""), views=V)
 def q_bucket_strict(spark, d):
     """Strict-cut buckets (.75 / .50 / .30) of the global reliability carried by each row."""
-    return rowrel(spark, d).select("dataset", "model", "row_id", RL.bucket_strict(F.col("global_reliability")).alias("bucket"))
+    return rowrel(kept(spark, d)).select("dataset", "model", "row_id", RL.bucket_strict(F.col("global_reliability")).alias("bucket"))
 
 
 @query("bucket_quantile", _rr_sql("SELECT dataset, model, row_id, reliability_bucket FROM br"), views=V)
 def q_bucket_quantile(spark, d):
     """Buckets by the batch's own quartiles of reliability, per dataset."""
-    return RL.bucket_quantile(rowrel(spark, d), group=["dataset", "model"]).select(
+    return RL.bucket_quantile(rowrel(kept(spark, d)), group=["dataset", "model"]).select(
         "dataset", "model", "row_id", "reliability_bucket")
 
 
@@ -411,14 +416,15 @@ UNION ALL SELECT dataset, model, 'Reliable', q3, smax, 'Top 25% of reliability s
        views=V, rnd=["lower_bound", "upper_bound"])
 def q_bucket_bounds(spark, d):
     """The four quantile buckets with their bounds per dataset."""
-    return RL.bucket_bounds(rowrel(spark, d), group=["dataset", "model"])
+    return RL.bucket_bounds(rowrel(kept(spark, d)), group=["dataset", "model"])
 
 
 @query("row_shares", _rr_sql("SELECT dataset, model, row_id, feature, phi, W, share, W * share AS weighted FROM sh"),
        views=V, rnd=["phi", "W", "share", "weighted"])
 def q_row_shares(spark, d):
     """Local |phi| shares and weighted shares of every feature in every row."""
-    return RL.row_shares(phi2(spark, d), weights2(spark, d))
+    o = kept(spark, d)
+    return RL.row_shares(phi2(o), weights2(o))
 
 
 @query("row_reliability_simple", _rr_sql(f"""SELECT *, CASE WHEN reliability_score >= 0.75 THEN 'Reliable'
@@ -428,7 +434,8 @@ def q_row_shares(spark, d):
        views=V, rnd=["reliability_score"])
 def q_row_reliability_simple(spark, d):
     """R = clip(W_signal * sum W share) with the strict bucket, every order."""
-    return RL.row_reliability_simple(phi2(spark, d), ranks2(spark, d), RATIO)
+    o = kept(spark, d)
+    return RL.row_reliability_simple(phi2(o), ranks2(o), RATIO)
 
 
 @query("reliability_summary_stats", _rr_sql("""SELECT dataset, model, CAST(count(reliability_score) AS DOUBLE) AS count,
@@ -438,13 +445,14 @@ def q_row_reliability_simple(spark, d):
        rnd=["count", "mean", "std", "min", "q25", "q50", "q75", "max"])
 def q_reliability_summary_stats(spark, d):
     """count, mean, std, min, quartiles, max of the row reliability per dataset."""
-    return RL.reliability_summary_stats(rowrel(spark, d), group=["dataset", "model"])
+    return RL.reliability_summary_stats(rowrel(kept(spark, d)), group=["dataset", "model"])
 
 
 @query("bucket_counts", _rr_sql("SELECT dataset, model, reliability_bucket, count(*) AS n FROM br GROUP BY ALL"), views=V)
 def q_bucket_counts(spark, d):
     """Rows per quantile bucket per dataset."""
-    b = RL.batch_reliability(phi2(spark, d), scores2(spark, d), weights2(spark, d), RATIO)
+    o = kept(spark, d)
+    b = RL.batch_reliability(phi2(o), scores2(o), weights2(o), RATIO)
     return RL.bucket_counts(b, group=["dataset", "model"])
 
 
