@@ -94,39 +94,41 @@ def shapley_rows(scorer: Scorer, rows: DataFrame, background: DataFrame, feature
         return tree_shapley(scorer.trees(), rows, features, g, model)
     feats = list(features)
     d = len(feats)
-    bg = hash_rank(background.select(*g, *feats, "row_id"), g, seed + 11).withColumnRenamed("row_id", "_bg_id")
-    sizes = bg.groupBy(*g).agg(F.first("_n").alias("_nbg"))
+    bg = hash_rank(background.select(*g, *feats, "row_id"), g, seed + 11)
+    sizes = small_side(background.groupBy(*g).agg(F.count(F.lit(1)).alias("_nbg")))
     r = rows.select(*g, "row_id", *feats).join(sizes, g)
-    draw_ids = F.explode(F.sequence(F.lit(0), F.lit(2 * draws - 1))).alias("draw")
-    r = r.select("*", draw_ids)
-    r = r.withColumn("_pair", (F.col("draw") / 2).cast("int"))
-    r = r.withColumn("_rank", F.pmod(hash_key(seed, F.col("row_id"), F.col("_pair")), F.col("_nbg")))
+    # both orders of a pair meet the same background row: one row a pair is dealt to it
+    r = r.withColumn("_pair", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    r = r.withColumn("_rank", F.pmod(hash_key(seed, F.col("row_id"), F.col("_pair")), F.col("_nbg"))).drop("_nbg")
     z = bg.select(*g, "_rank", *[F.col(c).alias(f"_z_{c}") for c in feats])
-    r = r.join(z, [*g, "_rank"])
+    r = r.join(z, [*g, "_rank"]).drop("_rank")
     # feature order: rank of hash(seed, row, pair, j); odd draws walk it backwards
     keys = [hash_key(seed + 3, F.col("row_id"), F.col("_pair"), F.lit(j)) for j in range(d)]
     order_arr = F.array_sort(F.array(*[F.struct(keys[j].alias("k"), F.lit(j).alias("j")) for j in range(d)]))
     r = r.withColumn("_ord", F.transform(order_arr, lambda s: s["j"]))
-    r = r.withColumn("_ord", F.when(F.col("draw") % 2 == 1, F.reverse("_ord")).otherwise(F.col("_ord")))
+    r = r.withColumn("_ord", F.explode(F.array(F.col("_ord"), F.reverse("_ord"))))
     # coalition k = first k features of the order taken from x
     r = r.select("*", F.explode(F.sequence(F.lit(0), F.lit(d))).alias("_k"))
     mixed = []
     for j, c in enumerate(feats):
         in_s = F.array_position(F.slice(F.concat(F.col("_ord"), F.array(F.lit(-1))), 1, F.col("_k")), j) > 0
         mixed.append(F.when(in_s, F.col(c)).otherwise(F.col(f"_z_{c}")).alias(c))
-    coal = r.select(*g, "row_id", "draw", "_k", "_ord", *mixed)
-    scored = scorer(coal).select(*g, "row_id", "draw", "_k", "_ord", F.col(output).alias("_f"))
-    w = Window.partitionBy(*g, "row_id", "draw").orderBy("_k")
-    diffs = scored.withColumn("_delta", F.col("_f") - F.lag("_f").over(w)).where(F.col("_k") > 0)
-    diffs = diffs.withColumn("_j", F.element_at("_ord", F.col("_k")))
-    per = diffs.groupBy(*g, "row_id", "_j").agg(F.avg("_delta").alias("phi"))
-    base = scored.where(F.col("_k") == 0).groupBy(*g, "row_id").agg(F.avg("_f").alias("base_value"))
-    names = F.element_at(F.array(*[F.lit(c) for c in feats]), F.col("_j") + 1)
-    vals = rows.select(*g, "row_id", F.inline(F.array(*[F.struct(F.lit(c).alias("feature"),
-                                                                 F.col(c).cast("double").alias("feature_value"))
-                                                        for c in feats])))
-    out = per.withColumn("feature", names).join(base, [*g, "row_id"]).join(vals, [*g, "row_id", "feature"])
-    return out.select(*g, F.lit(model).alias("model"), "row_id", "feature", "feature_value", "phi", "base_value")
+    # a coalition's value counts for the feature that came in last and against the one that comes next, so the
+    # steps of all draws are one sum a feature: coalitions are added up where they are made
+    at = lambda k: F.get(F.col("_ord"), k)
+    coal = r.select(*g, "row_id", "_k", at(F.col("_k") - 1).alias("_in"), at(F.col("_k")).alias("_out"), *mixed)
+    scored = scorer(coal).select(*g, "row_id", "_k", "_in", "_out", F.col(output).alias("_f"))
+    step = lambda j: F.when(F.col("_in") == j, F.col("_f")).when(F.col("_out") == j, -F.col("_f"))
+    start = F.when(F.col("_k") == 0, F.col("_f"))
+    per = scored.groupBy(*g, "row_id").agg(*[F.sum(step(j)).alias(f"_s{j}") for j in range(d)], F.avg(start).alias("base_value"),
+                                           F.count(F.when(F.col("_k") == 0, 1)).alias("_walks"))
+    # rows that share an id share its steps: the id's mean goes over the walks of all of them
+    shared = F.col("_walks") * F.col("_walks") / F.lit(2.0 * draws)
+    each = rows.select(*g, "row_id", *[F.col(c).alias(f"_x{j}") for j, c in enumerate(feats)]).join(per, [*g, "row_id"])
+    parts = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"_x{j}").cast("double").alias("feature_value"), (F.col(f"_s{j}") / shared).alias("phi"))
+                      for j, c in enumerate(feats)])
+    return each.select(*g, F.lit(model).alias("model"), "row_id", "base_value", F.inline(parts)).select(
+        *g, "model", "row_id", "feature", "feature_value", "phi", "base_value")
 
 
 # ---------------------------------------------------------------- summaries of a Shapley table

@@ -29,6 +29,18 @@ def counted(spark, df, column: str):
     return df.withColumn(column, count.asNondeterministic()(F.col(column).cast("double"))), seen
 
 
+def test_shapley_rows_has_no_row_a_coalition_in_a_shuffle(spark):
+    df = small(spark)
+    got = explain.shapley_rows(explain.linear_scorer(COEFS, 0.1), df, df, list(COEFS), draws=3, output="logit")
+    assert "lag(" not in plan(got)  # steps between coalitions are sums, not a window over all of them
+    f = {r["row_id"]: r["logit"] for r in explain.linear_scorer(COEFS, 0.1)(df).collect()}
+    total, base = {}, {}
+    for r in got.collect():
+        total[r["row_id"]] = total.get(r["row_id"], 0.0) + r["phi"]
+        base[r["row_id"]] = r["base_value"]
+    assert len(total) == 300 and all(abs(total[i] + base[i] - f[i]) < 1e-9 for i in f)
+
+
 def test_reliability_scores_are_worked_out_once(spark):
     for of in (reliability.bucket_bounds, reliability.reliability_summary_stats):
         batch, seen = counted(spark, small(spark).select("dataset", F.col("u").alias("reliability_score")), "reliability_score")
