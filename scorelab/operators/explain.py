@@ -360,20 +360,23 @@ def pair_interactions(scorer: Scorer, rows: DataFrame, background: DataFrame, fe
         return tree_interactions(scorer.trees(), rows, features, k, g)
     feats = list(features)
     bg_keys = [c for c in g if c in background.columns]
-    means = background.groupBy(*bg_keys).agg(*[F.avg(c).alias(f"_m_{c}") for c in feats]).withColumn("_k", F.lit(1))
+    means = small_side(background.groupBy(*bg_keys).agg(*[F.avg(c).alias(f"_m_{c}") for c in feats]).withColumn("_k", F.lit(1)))
     pairs = [(a, b) for i, a in enumerate(feats) for b in feats[i + 1:]]
-    variants = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(m).alias("mask"))
-                         for a, b in pairs for m in range(4)])
+    variants = F.array(*[F.struct(F.lit(i).alias("pair"), F.lit(m).alias("mask")) for i in range(len(pairs)) for m in range(4)])
     j = rows.select(*g, "row_id", *feats).withColumn("_k", F.lit(1)).join(means, [*bg_keys, "_k"]).drop("_k").select(
         "*", F.inline(variants))
     cols = []
     for c in feats:
-        put = ((F.col("a") == c) & (F.col("mask").bitwiseAND(1) == 1)) | ((F.col("b") == c) & (F.col("mask").bitwiseAND(2) == 2))
+        first, second = ([i for i, p in enumerate(pairs) if p[side] == c] for side in (0, 1))
+        put = (F.col("pair").isin(first) & (F.col("mask").bitwiseAND(1) == 1)) | (F.col("pair").isin(second) & (F.col("mask").bitwiseAND(2) == 2))
         cols.append(F.when(put, F.col(f"_m_{c}")).otherwise(F.col(c)).alias(c))
-    v = scorer(j.select(*g, "row_id", "a", "b", "mask", *cols))
-    sign = F.when(F.col("mask").isin(0, 3), 1.0).otherwise(-1.0)
-    second = v.groupBy(*g, "row_id", "a", "b").agg(F.sum(sign * F.col("p")).alias("_d"))
-    strength = second.groupBy(*g, "a", "b").agg(F.avg(F.abs("_d")).alias("strength"))
+    v = scorer(j.select(*g, "row_id", "pair", "mask", *cols)).select(*g, "row_id", "pair", "mask", "p")
+    signed = F.when(F.col("mask").isin(0, 3), F.col("p")).otherwise(-F.col("p"))
+    # one row an id is shuffled, whatever the number of pairs
+    second = v.groupBy(*g, "row_id").agg(*[F.sum(F.when(F.col("pair") == i, signed)).alias(f"_d{i}") for i in range(len(pairs))])
+    mean = second.groupBy(*g).agg(*[F.avg(F.abs(f"_d{i}")).alias(f"_d{i}") for i in range(len(pairs))])
+    strength = mean.select(*g, F.inline(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"_d{i}").alias("strength"))
+                                                  for i, (a, b) in enumerate(pairs)])))
     w = Window.partitionBy(*g).orderBy(F.col("strength").desc(), "a", "b")
     return strength.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
 

@@ -41,6 +41,28 @@ def test_shapley_rows_has_no_row_a_coalition_in_a_shuffle(spark):
     assert len(total) == 300 and all(abs(total[i] + base[i] - f[i]) < 1e-9 for i in f)
 
 
+def test_pair_interactions_shuffles_a_row_an_id(spark):
+    df = small(spark)
+    scorer = explain.linear_scorer(COEFS, 0.1)
+    got = explain.pair_interactions(scorer, df, df, list(COEFS), 10)
+    dealt = [s.split(")")[0] for s in plan(got).split("hashpartitioning(")[1:]]
+    assert not any(" b#" in f" {s}" for s in dealt)
+    rows = [r.asDict() for r in df.collect()]
+    mean = {c: sum(r[c] for r in rows if r[c] is not None) / sum(r[c] is not None for r in rows) for c in COEFS}
+    p = lambda r: scorer_value(r)
+    for r in got.collect():
+        a, b = r["a"], r["b"]
+        second = [abs(p({**x, a: mean[a], b: mean[b]}) - p({**x, a: mean[a]}) - p({**x, b: mean[b]}) + p(x)) for x in rows]
+        assert abs(r["strength"] - sum(second) / len(second)) < 1e-12
+    assert got.count() == 3
+
+
+def scorer_value(r) -> float:
+    import math
+
+    return 1 / (1 + math.exp(-(0.1 + sum(w * (r[c] or 0.0) for c, w in COEFS.items()))))
+
+
 def test_reliability_scores_are_worked_out_once(spark):
     for of in (reliability.bucket_bounds, reliability.reliability_summary_stats):
         batch, seen = counted(spark, small(spark).select("dataset", F.col("u").alias("reliability_score")), "reliability_score")
