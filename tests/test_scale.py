@@ -63,6 +63,42 @@ def scorer_value(r) -> float:
     return 1 / (1 + math.exp(-(0.1 + sum(w * (r[c] or 0.0) for c, w in COEFS.items()))))
 
 
+def test_counterfactual_states_are_held_once(spark):
+    """As many moves as in a search that keeps every order of the same moves: the beam's places are counted."""
+    rows = small(spark, 40).where("u > 2")
+    scorer = explain.linear_scorer({"u": 1.0, "v": -1.0}, 0.0)
+    got = {r["row_id"]: r for r in explain.counterfactuals(scorer, rows, {"u": -1, "v": 1}, {"u": 0.5, "v": 0.5}, {"u": 1.0, "v": 1.0}, beam=3, max_steps=9).collect()}
+    for r in rows.collect():
+        default, beam, hit = scorer_p(r["u"], r["v"]) >= 0.5, [(r["u"], r["v"])], None
+        for step in range(1, 10):
+            cand = [s for u, v in beam for s in ((u - 0.5, v), (u, v + 0.5))]
+            cost = lambda s: sum(min(1.0, abs(a - b)) * (1 / (2 + 1e-12)) for a, b in zip(s, (r["u"], r["v"]), strict=True)) + 0.01 * step  # noqa: B023, E731
+            cand.sort(key=lambda s: (cost(s), *s))
+            flips = [s for s in cand if (scorer_p(*s) >= 0.5) != default]
+            if flips:
+                hit = (*flips[0], step)
+                break
+            beam = cand[:3]
+        one = got[r["row_id"]]
+        assert (one["u"], one["v"], one["changes"]) == hit if hit else not one["found"]
+    scored = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def never(u):
+        scored.add(1)
+        return 1.0
+
+    explain.counterfactuals(lambda df: df.withColumn("p", never.asNondeterministic()("u")), rows, {"u": -1, "v": 1}, {"u": 0.5, "v": 0.5},
+                            {"u": 1.0, "v": 1.0}, beam=3, max_steps=4).count()
+    assert scored.value <= rows.count() * (1 + 2 + 3 + 4 + 4)  # with every order of the moves: 1 + 2 + 4 + 6 + 6
+
+
+def scorer_p(u: float, v: float) -> float:
+    import math
+
+    return 1 / (1 + math.exp(-(u - v)))
+
+
 def test_reliability_scores_are_worked_out_once(spark):
     for of in (reliability.bucket_bounds, reliability.reliability_summary_stats):
         batch, seen = counted(spark, small(spark).select("dataset", F.col("u").alias("reliability_score")), "reliability_score")
