@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scorelab.plans.ranks import hash_key, hash_rank
+from scorelab.plans.ranks import hash_key, hash_rank, small_side
 
 
 def _c(names):
@@ -117,13 +117,15 @@ def bootstrap_draws(df: DataFrame, b: int = 50, seed: int = 42, by: Sequence[str
     """(by..., b, row_id, weight): B resamples of size n with replacement per stratum.
 
     Draw i of replicate b picks rank pmod(hash(seed, stratum, b, i), n); the B*n draws are numbered
-    in chunks, counted, and resolved by an equi-join on the exact hash rank."""
+    in chunks, counted, and resolved by an equi-join on the exact hash rank. The draws are dealt once, by
+    what the join needs: the counts of all replicates of a row are made where the row is."""
     by = list(by)
     ranked = hash_rank(df.select(*by, id_col), by, seed, id_col)
-    sizes = ranked.groupBy(*by).agg(F.first("_n").alias("_n"))
+    sizes = small_side(df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")))
     draws = sizes.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(b - 1)))).withColumn("_count", F.col("_n"))
     d = numbered(draws, "_count", "_i")
     d = d.withColumn("_rank", F.pmod(hash_key(seed, *by, "b", "_i"), F.col("_n")))
+    d = d.select(*by, "b", "_rank").repartition(*by, "_rank")
     picks = d.groupBy(*by, "b", "_rank").agg(F.count(F.lit(1)).alias("weight"))
     return picks.join(ranked.select(*by, "_rank", id_col), [*by, "_rank"]).select(*by, "b", id_col, "weight")
 

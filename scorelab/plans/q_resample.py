@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from scorelab.operators import resample as S
 from scorelab.plans.catalog import query
+from scorelab.session import written_once
 from scorelab.sources.bindings import credit_customer, credit_events, credit_orders
 
 
@@ -73,7 +74,7 @@ def q_oversample_random(spark, d):
        views=("credit_orders",))
 def q_bootstrap_rows(spark, d):
     """20 bootstrap resamples per orders dataset: every replicate holds exactly n draws."""
-    bs = S.bootstrap_draws(credit_orders(spark, d), 20, 42, by=["dataset"])
+    bs = S.bootstrap_draws(written_once(credit_orders(spark, d).select("dataset", "row_id")), 20, 42, by=["dataset"])
     return bs.groupBy("dataset", "b").agg(F.sum("weight").alias("n"))
 
 

@@ -63,6 +63,14 @@ def scorer_value(r) -> float:
     return 1 / (1 + math.exp(-(0.1 + sum(w * (r[c] or 0.0) for c, w in COEFS.items()))))
 
 
+def test_bootstrap_draws_are_dealt_once(spark):
+    df = small(spark).select("dataset", "row_id")
+    got = resample.bootstrap_draws(df, 5, 3)
+    dealt = [s.split(")")[0] for s in plan(got).split("hashpartitioning(")[1:]]
+    assert not any(" b#" in f" {s}" and "_chunk#" not in s for s in dealt)
+    assert {r["b"]: r["n"] for r in got.groupBy("b").agg(F.sum("weight").alias("n")).collect()} == {i: 300 for i in range(5)}
+
+
 def test_counterfactual_states_are_held_once(spark):
     """As many moves as in a search that keeps every order of the same moves: the beam's places are counted."""
     rows = small(spark, 40).where("u > 2")
