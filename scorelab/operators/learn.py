@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from scorelab.operators import boosting, networks, newton, passes, tree_shap
 from scorelab.operators.explain import Scorer
 from scorelab.plans.ranks import SMALL
-from scorelab.session import cut_lineage
+from scorelab.session import cut_lineage, written_once
 
 Trainer = Callable[..., Scorer]
 
@@ -380,10 +380,12 @@ def calibrate_sigmoid(trainer: Trainer, train: DataFrame, features: Sequence[str
 
 
 def balanced(train: DataFrame, features: Sequence[str], y: str = "y", seed: int = 42) -> DataFrame:
-    """The train rows topped up by SMOTE (5 neighbours), written once."""
+    """The train rows topped up by SMOTE (5 neighbours), written once; so are the rows it starts from, which the
+    neighbours, the draws and their features are all read from."""
     from scorelab.operators.resample import smote
 
-    return cut_lineage(smote(train.select("row_id", y, *features), features, y, 5, seed).drop("synthetic"))
+    rows = written_once(train.select("row_id", y, *features))
+    return cut_lineage(smote(rows, features, y, 5, seed).drop("synthetic"))
 
 
 def balance_then_train(trainer: Trainer, train: DataFrame, features: Sequence[str], y: str = "y", seed: int = 42,
@@ -408,7 +410,7 @@ def cross_val(trainer: Trainer, train: DataFrame, features: Sequence[str], y: st
     from scorelab.operators.resample import stratified_kfold
 
     spark = train.sparkSession
-    tf = stratified_kfold(train, y, k, seed)
+    tf = written_once(stratified_kfold(train, y, k, seed))  # every fold reads it several times
     rows = []
     for f in range(k):
         sc = trainer(tf.where(F.col("fold") != f).drop("fold"), features, y, seed=seed, **kw)
@@ -637,5 +639,5 @@ def sanity_ratio(train: DataFrame, test: DataFrame, features: Sequence[str], y:
         return float(ph.agg(F.avg(F.abs("phi"))).first()[0] or 0.0)
 
     real = mass(train)
-    shuffled = mass(permute_labels(train, y, seed + 1, by=[g for g in group if g in train.columns]))
+    shuffled = mass(written_once(permute_labels(train, y, seed + 1, by=[g for g in group if g in train.columns])))
     return real / (shuffled + 1e-12)

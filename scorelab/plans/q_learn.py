@@ -17,7 +17,7 @@ from scorelab.operators.metrics import metric_auc
 from scorelab.operators.prep import fit_preprocessor
 from scorelab.operators.resample import smote, stratified_split
 from scorelab.plans.catalog import query
-from scorelab.session import cut_lineage, ensure_checkpoint_dir
+from scorelab.session import cut_lineage, ensure_checkpoint_dir, written_once
 from scorelab.sources.bindings import credit_customer, credit_orders
 
 CUST_FEATS = ["n_orders", "sum_price", "avg_price", "c_nationkey"]
@@ -25,8 +25,8 @@ CUST_FEATS = ["n_orders", "sum_price", "avg_price", "c_nationkey"]
 
 def prepared(spark, d, seed: int = 42):
     """Orders split 80/20 per dataset, preprocessing learned on train: (train, test, features)."""
-    o = credit_orders(spark, d)
-    s = stratified_split(o, "y", 0.2, seed, by=["dataset"])
+    o = written_once(credit_orders(spark, d))  # the split and the fit read them many times
+    s = written_once(stratified_split(o, "y", 0.2, seed, by=["dataset"]))
     tr = s.where(F.col("split") == "train").drop("split")
     te = s.where(F.col("split") == "test").drop("split")
     pre = fit_preprocessor(tr, "y")
@@ -100,7 +100,7 @@ SELECT q_id AS row_id, avg(y) AS p FROM rk WHERE r <= 5 GROUP BY q_id"""
 @query("train_knn", KNN_SQL, views=("credit_customer",), rnd=["p"])
 def q_train_knn(spark, d):
     """5-NN probability of every customer against all customers (exact neighbour search)."""
-    c = credit_customer(spark, d)
+    c = written_once(credit_customer(spark, d))
     sc = L.train_knn(c, CUST_FEATS, k=5)
     return sc(c.select("row_id", *CUST_FEATS)).select("row_id", "p")
 
@@ -114,24 +114,26 @@ def q_tune_knn(spark, d):
 @query("grid_search_ada")
 def q_grid_search_ada(spark, d):
     """5-fold AUC of SAMME over n {50, 100, 200} x rate {0.01, 0.1, 1.0} for customers."""
-    c = fit_preprocessor(credit_customer(spark, d), "y", keep=("row_id",))
-    x = c.transform(credit_customer(spark, d))
+    rows = written_once(credit_customer(spark, d))
+    c = fit_preprocessor(rows, "y", keep=("row_id",))
+    x = c.transform(rows)
     return L.grid_search_ada(x, c.feature_names())
 
 
 @query("cross_val")
 def q_cross_val(spark, d):
     """5-fold accuracy of logistic regression on customers (fold -1 = mean)."""
-    pre = fit_preprocessor(credit_customer(spark, d), "y", keep=("row_id",))
-    x = pre.transform(credit_customer(spark, d))
+    rows = written_once(credit_customer(spark, d))
+    pre = fit_preprocessor(rows, "y", keep=("row_id",))
+    x = pre.transform(rows)
     return L.cross_val(L.train_lr, x, pre.feature_names(), k=5)
 
 
 @query("balance_then_train")
 def q_balance_then_train(spark, d):
     """SMOTE on the customer train split, then logistic regression; test AUC."""
-    c = credit_customer(spark, d)
-    s = stratified_split(c, "y", 0.2, 42)
+    c = written_once(credit_customer(spark, d))
+    s = written_once(stratified_split(c, "y", 0.2, 42))
     tr, te = s.where("split = 'train'").drop("split"), s.where("split = 'test'").drop("split")
     pre = fit_preprocessor(tr, "y", keep=("dataset", "row_id"))
     sc = L.balance_then_train(L.train_lr, pre.transform(tr), pre.feature_names())

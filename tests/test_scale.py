@@ -111,3 +111,9 @@ def test_reliability_scores_are_worked_out_once(spark):
     for of in (reliability.bucket_bounds, reliability.reliability_summary_stats):
         batch, seen = counted(spark, small(spark).select("dataset", F.col("u").alias("reliability_score")), "reliability_score")
         assert of(batch, group=["dataset"]).count() and seen.value == 300
+
+
+def test_cross_val_rows_are_worked_out_once(spark):
+    df, seen = counted(spark, small(spark), "u")
+    assert learn.cross_val(learn.train_lr, df, ["u", "v"], k=2).count() == 3
+    assert seen.value <= 2 * 300  # the fold ranks read the rows twice; the folds read what was written
