@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scorelab.operators.learn import FULL_DEPTH, _assemble, _fit
+from scorelab.operators.learn import FULL_DEPTH, _assemble, _fit, fit_forest
 
 
 def _ranked(spark, selector: str, pairs: Sequence[tuple[str, float]]) -> DataFrame:
@@ -25,7 +25,7 @@ def _ranked(spark, selector: str, pairs: Sequence[tuple[str, float]]) -> DataFra
 def importance_rf(df: DataFrame, features: Sequence[str], y: str = "y", trees: int = 300, seed: int = 42,
                   max_depth: int = FULL_DEPTH) -> DataFrame:
     """Impurity importance of a random forest (features x 1 result); trees grow to ``max_depth``."""
-    m = _fit(RandomForestClassifier(numTrees=trees, maxDepth=max_depth, seed=seed), df, features, y)
+    m = fit_forest(df, features, y, numTrees=trees, maxDepth=max_depth, seed=seed)
     return _ranked(df.sparkSession, "rf", list(zip(features, m.featureImportances.toArray().tolist())))
 
 

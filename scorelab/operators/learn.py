@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from scorelab.operators import boosting, networks, newton, passes, tree_shap
 from scorelab.operators.explain import Scorer
 from scorelab.plans.ranks import SMALL
-from scorelab.session import cut_lineage, written_once
+from scorelab.session import cut_lineage, ensure_checkpoint_dir, written_once
 
 Trainer = Callable[..., Scorer]
 
@@ -107,21 +107,28 @@ def _with_trees(scorer: Scorer, kind: str) -> Scorer:
     return scorer
 
 
+def fit_forest(train: DataFrame, features: Sequence[str], y: str = "y", **params):
+    """A fitted Spark ML forest. Each row keeps the node it is at in every tree, so a pass over the rows need not
+    carry all trees grown so far to every task; these numbers are checkpointed now and then. The trees are the same."""
+    ensure_checkpoint_dir(train.sparkSession)
+    return _fit(RandomForestClassifier(cacheNodeIds=True, **params), train, features, y)
+
+
 def train_rf(train: DataFrame, features: Sequence[str], y: str = "y", trees: int = 100, max_features="sqrt",
              seed: int = 42, max_depth: int = FULL_DEPTH) -> Scorer:
     """Random forest; trees grow to ``max_depth`` (by default the largest Spark allows)."""
     strategy = max_features if isinstance(max_features, str) else ("all" if float(max_features) >= 1 else str(max_features))
-    est = RandomForestClassifier(numTrees=int(trees), featureSubsetStrategy=strategy, maxDepth=max_depth, seed=seed)
-    return _with_trees(ml_scorer(_fit(est, train, features, y), features), "forest")
+    model = fit_forest(train, features, y, numTrees=int(trees), featureSubsetStrategy=strategy, maxDepth=max_depth, seed=seed)
+    return _with_trees(ml_scorer(model, features), "forest")
 
 
 def train_bagged_trees(train: DataFrame, features: Sequence[str], y: str = "y", n: int = 10, seed: int = 42,
                        max_depth: int = FULL_DEPTH) -> Scorer:
     """Bagged CART: a forest that looks at every feature at every split (bootstrap rows only);
     trees grow to ``max_depth`` (by default the largest Spark allows)."""
-    est = RandomForestClassifier(numTrees=int(n), featureSubsetStrategy="all", maxDepth=max_depth, seed=seed,
-                                 bootstrap=True, subsamplingRate=1.0)
-    return _with_trees(ml_scorer(_fit(est, train, features, y), features), "forest")
+    model = fit_forest(train, features, y, numTrees=int(n), featureSubsetStrategy="all", maxDepth=max_depth, seed=seed,
+                       bootstrap=True, subsamplingRate=1.0)
+    return _with_trees(ml_scorer(model, features), "forest")
 
 
 def train_sgb(train: DataFrame, features: Sequence[str], y: str = "y", n: int = 10, subsample: float = 0.7,

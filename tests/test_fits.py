@@ -295,3 +295,18 @@ def test_tune_knn_prepares_inside_the_folds(spark):
         assert abs(got[k, "uniform", 2] - np.mean(want)) < 1e-6
     both = learn.tune_knn(df, ["a", "b"], ks=(3,), ps=(1,), folds=2, prepare=True, balance=True)
     assert both.count() == 2 and both.where("best").count() == 1
+
+
+def test_forests_keep_node_ids_and_grow_the_same_trees(spark):
+    from pyspark.ml.classification import RandomForestClassifier
+
+    rnd = random.Random(8)
+    rows = [(i, rnd.random(), rnd.randint(0, 9) / 3.0, rnd.randint(0, 1)) for i in range(400)]
+    df = spark.createDataFrame(rows, "row_id long, a double, b double, y int").repartition(2, "row_id").checkpoint()
+    for fit, params in ((learn.train_rf, {"trees": 4}), (learn.train_bagged_trees, {"n": 4})):
+        model = fit(df, ["a", "b"], **params).model
+        assert model.getCacheNodeIds()
+        strategy = "sqrt" if fit is learn.train_rf else "all"
+        plain = learn._fit(RandomForestClassifier(numTrees=4, featureSubsetStrategy=strategy, maxDepth=learn.FULL_DEPTH, seed=42), df, ["a", "b"], "y")
+        body = lambda m: m.toDebugString.split("\n", 1)[1]
+        assert body(model) == body(plain)
