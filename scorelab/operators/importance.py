@@ -90,14 +90,15 @@ def importance_many(datasets: DataFrame, y: str = "y", test_size: float = 0.25,
     from scorelab.operators.prep import fit_preprocessor
     from scorelab.operators.project import drop_sparse_columns
     from scorelab.operators.resample import stratified_split
+    from scorelab.session import cut_lineage
 
-    out = None
+    out, datasets = None, cut_lineage(datasets)  # the split, the preparation and every pass of the fits read them
     names = [r["dataset"] for r in datasets.select("dataset").distinct().orderBy("dataset").collect()]
     for ds in names:
         d = drop_sparse_columns(datasets.where(F.col("dataset") == ds), y, max_missing)
-        tr = stratified_split(d, y, test_size, seed).where(F.col("split") == "train").drop("split")
+        tr = cut_lineage(stratified_split(d, y, test_size, seed).where(F.col("split") == "train").drop("split"))
         pre = fit_preprocessor(tr, y, numeric="mean+minmax")
-        x = pre.transform(tr)
+        x = cut_lineage(pre.transform(tr))
         feats = pre.feature_names()
         m = importance_merge(importance_rf(x, feats, y, trees, seed), importance_l1(x, feats, y))
         meta = m.select(F.lit(ds).alias("dataset"), "*", F.lit(len(d.columns)).alias("n_cols_kept"),
