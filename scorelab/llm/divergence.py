@@ -127,7 +127,9 @@ class Audit:
 
 def cell(rows: pa.Table) -> pa.Table:
     """(lang, one, two, part): one cell's sums for every pair of a group of its first and a group of its second
-    block. A term of the block that neither group has counts with the groups' shares of nothing."""
+    block. A term of the block that neither group has counts with the groups' shares of nothing. Rows come in
+    any order, so they are sorted: a pair must go the same way round in every cell that it meets in."""
+    rows = rows.sort_by("source")
     lang, width = rows["lang"][0].as_py(), rows["width"][0].as_py()
     gb, a, b = rows["gb"].to_numpy(), rows["a"][0].as_py(), rows["b"][0].as_py()
     names, p0 = rows["source"].to_pylist(), rows["p0"].to_numpy()

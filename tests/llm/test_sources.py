@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from scorelab.llm import divergence, mixture
@@ -55,6 +56,24 @@ def test_audit_against_brute_force(spark, min_docs, most, group_block, term_bloc
     assert Counter((r.lang, r.source, r.part, r.item, r.value, r["rank"]) for r in got) == slow_audit(rows, min_docs, most)
 
 
+def test_a_pair_is_one_row_however_the_rows_of_its_cells_arrive():
+    rows = [{"lang": "en", "source": s, "gb": 0, "p0": 1, "width": 2, "a": 0, "b": 0, "t": [0], "p": [p]} for s, p in (("x", 5), ("y", 9), ("z", 2))]
+    one, other = (divergence.cell(pa.Table.from_pylist(r)).to_pylist() for r in (rows, rows[::-1]))
+    assert one == other and [(r["one"], r["two"], r["part"]) for r in one] == [("x", "y", 4), ("x", "z", 3), ("y", "z", 7)]
+
+
+def test_audit_where_the_cells_of_a_pair_meet_its_rows_in_other_orders(spark, monkeypatch):
+    rows = [(i, f"term{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}", "en", f"s{i % 7}") for i in range(900)]
+    cell = divergence.cell
+
+    def shuffled(table):  # as a shuffle may leave them: each cell in an order of its own
+        return cell(table.take(np.random.default_rng(len(table) + table["width"][0].as_py()).permutation(len(table))))
+
+    monkeypatch.setattr(divergence, "cell", shuffled)
+    got = divergence.audit(frame(spark, rows), 1, 50, 128, 20).collect()
+    assert Counter((r.lang, r.source, r.part, r.item, r.value, r["rank"]) for r in got) == slow_audit(rows, 1, 50)
+
+
 def test_audit_of_nothing(spark):
     assert divergence.audit(spark.createDataFrame([], DOCS)).count() == 0
 
