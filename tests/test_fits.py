@@ -310,3 +310,35 @@ def test_forests_keep_node_ids_and_grow_the_same_trees(spark):
         plain = learn._fit(RandomForestClassifier(numTrees=4, featureSubsetStrategy=strategy, maxDepth=learn.FULL_DEPTH, seed=42), df, ["a", "b"], "y")
         body = lambda m: m.toDebugString.split("\n", 1)[1]
         assert body(model) == body(plain)
+
+
+def test_routing_by_words_is_the_walk_down():
+    """Trees with one leaf, some, and more than a word of them; cuts at both ends of the codes."""
+    rnd = np.random.default_rng(3)
+    codes = np.concatenate([rnd.integers(0, 256, (2000, 5)), [[0] * 5, [255] * 5]]).astype(np.uint8)
+    for splits in (0, 1, 20, 63, 64, 150):
+        tree, leaves = newton.Tree(), [0]
+        for _ in range(splits):
+            leaves += tree.grow(leaves.pop(int(rnd.integers(len(leaves)))), int(rnd.integers(5)), int(rnd.choice([0, 255, *rnd.integers(0, 256, 6)])))
+
+        def walk(row, tree=tree):
+            n = 0
+            while tree.feature[n] >= 0:
+                n = tree.left[n] if row[tree.feature[n]] <= tree.bin[n] else tree.right[n]
+            return n
+
+        assert newton.Router(tree).ends(newton.columns_of(codes)).tolist() == [walk(r) for r in codes.tolist()]
+
+
+def test_stumps_change_weights_as_one_row_at_a_time():
+    rnd = np.random.default_rng(4)
+    y, codes, w = rnd.integers(0, 2, 300), rnd.integers(0, 6, (300, 3)).astype(np.uint8), rnd.random((300, 2))
+    rounds = [[(boosting.Stump(0.3 * k, k % 3, k, k % 2, k // 2 % 2), 1.0 + k), (None, 1.0)] for k in range(5)]
+    want = w.copy()
+    for (s, scale), _ in rounds:
+        for i in range(300):
+            said = s.left if codes[i, s.feature] <= s.bin else s.right
+            want[i, 0] *= np.exp(s.alpha) * scale if said != y[i] else scale
+    got = np.ascontiguousarray(w.T)
+    boosting._apply(rounds, y, np.ascontiguousarray(codes.T), got)
+    assert np.allclose(got.T, want, rtol=1e-12)
