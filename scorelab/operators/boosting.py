@@ -50,12 +50,15 @@ def best_stump(sums: np.ndarray, layout: passes.Layout) -> tuple[int, int, float
     return int(layout.feature[best]), int(layout.bin[best]), *left[best].tolist(), *right[best].tolist()
 
 
-def _apply(stumps: Sequence[tuple[Stump | None, float]], y: np.ndarray, codes: np.ndarray, w: np.ndarray) -> None:
-    """One round's stumps (and scales) on the weights, in place."""
-    for m, (s, scale) in enumerate(stumps):
-        if s is not None:
-            miss = np.where(codes[:, s.feature] <= s.bin, s.left, s.right) != y
-            w[:, m] *= np.where(miss, math.exp(s.alpha) * scale, scale)
+def _apply(rounds: Sequence[Sequence[tuple[Stump | None, float]]], y: np.ndarray, codes: np.ndarray, w: np.ndarray) -> None:
+    """The rounds' stumps (and scales) on the weights, in place. ``codes``: (feature, row), ``w``: (model, row)."""
+    one = y == 1
+    for stumps in rounds:
+        for m, (s, scale) in enumerate(stumps):
+            if s is not None:
+                side = codes[s.feature] <= s.bin  # what the left side has, the right has not
+                miss = one != s.left if s.left == s.right else side == one if s.right else side != one
+                w[m] *= np.array([scale, math.exp(s.alpha) * scale]).take(miss.view(np.uint8))
 
 
 def fit_stumps(rows: DataFrame, models: Sequence[Model], rewrite: int = 25) -> tuple[dict[str, list[list[Stump]]], dict[str, list[np.ndarray]]]:
@@ -96,8 +99,9 @@ def fit_stumps(rows: DataFrame, models: Sequence[Model], rewrite: int = 25) -> t
 
 def _steps(pending: list):
     def step(block: passes.Block) -> None:
-        for found in pending:
-            _apply(found[block.g], block.y, block.data, block.state)
+        w = np.ascontiguousarray(block.state.T)
+        _apply([found[block.g] for found in pending], block.y, np.ascontiguousarray(block.data.T), w)
+        block.state[:] = w.T
 
     return step
 
@@ -107,19 +111,21 @@ def _finish(layouts: dict[str, passes.Layout]):
 
 
 def _sums(pending: list, open_: frozenset, layouts: dict[str, passes.Layout]):
-    step = _steps(pending)
-
     def job(batches: Iterator[pa.RecordBatch]):
         sums: dict[tuple[str, int, int], np.ndarray] = {}
         for b in batches:
             for block in passes.opened(b):
-                step(block)
-                g, y, codes, w = block.g, block.y, block.data, block.state
-                cell = ((codes + layouts[g].starts) * 2 + y[:, None]).ravel()
-                for m in range(w.shape[1]):
-                    if (g, m) in open_:
-                        got = np.bincount(cell, np.repeat(w[:, m], codes.shape[1]), 2 * layouts[g].width)
-                        sums[g, m, 0] = sums[g, m, 0] + got if (g, m, 0) in sums else got
+                g, y, layout = block.g, block.y, layouts[block.g]
+                codes, w = np.ascontiguousarray(block.data.T), np.ascontiguousarray(block.state.T)
+                _apply([found[g] for found in pending], y, codes, w)
+                mine = [m for m in range(len(w)) if (g, m) in open_]
+                for m in mine:
+                    if (g, m, 0) not in sums:
+                        sums[g, m, 0] = np.zeros(2 * layout.width)
+                for j, (first, bins) in enumerate(zip((2 * layout.starts).tolist(), (2 * layout.bins).tolist(), strict=True)):
+                    cell = codes[j].astype(np.intp) * 2 + y
+                    for m in mine:
+                        sums[g, m, 0][first : first + bins] += np.bincount(cell, w[m], bins)
         if sums:
             yield passes.part_rows(sums, TaskContext.get().partitionId())
 
