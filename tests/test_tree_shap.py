@@ -95,3 +95,34 @@ def test_a_tree_without_splits_and_unknown_covers(spark):
     assert trees.expected() == 1.25 and (tree_shap.values(trees, np.zeros((3, 2))) == 0).all()
     empty = tree_shap.Nodes(*(np.array(c) for c in ([0, -1, -1], [0.5, 0.0, 0.0], [1, 0, 0], [2, 0, 0], [0.0, 1.0, 2.0], [0.0, 0.0, 0.0])))
     assert np.isfinite(tree_shap.values(tree_shap.trees_of([empty]), np.zeros((2, 1)))).all()
+
+
+def deep_tree(rnd, d, splits):
+    tree, leaves = newton.Tree(), [0]
+    for _ in range(splits):
+        leaves += tree.grow(leaves.pop(0 if rnd.random() < 0.3 else -1), int(rnd.integers(d)), int(rnd.integers(0, 9)))
+    cover = np.ones(len(tree.feature))
+    for n in reversed(range(len(cover))):
+        cover[n] = 1 + rnd.random() if tree.feature[n] < 0 else cover[tree.left[n]] + cover[tree.right[n]]
+    return tree_shap.Nodes(np.array(tree.feature), np.array(tree.bin) / 3.0 - 1, np.array(tree.left), np.array(tree.right), rnd.normal(size=len(cover)), cover)
+
+
+@pytest.mark.parametrize(("d", "pairs"), [(4, False), (13, False)])
+def test_looked_up_values_are_those_of_each_block(monkeypatch, d, pairs):
+    check_lookup(monkeypatch, d, pairs)
+
+
+def check_lookup(monkeypatch, d, pairs):
+    """Tables of all flags, in chunks, kept or not, against working out the flags that a block has."""
+    rnd = np.random.default_rng(d)
+    trees = tree_shap.trees_of([deep_tree(rnd, d, 40) for _ in range(3)], 0.5)
+    x = rnd.normal(size=(200, d))
+    x[0], x[1, 0], x[2, 0], x[3, 1] = np.nan, -np.inf, np.inf, trees.leaves[0].hi[0]
+    make = lambda: tree_shap.Lookup(trees, d * (d - 1) // 2, tree_shap._pairs_part(d), 2) if pairs else tree_shap.Lookup(trees, d, tree_shap._values_part)
+    monkeypatch.setattr(tree_shap.Lookup, "MOST", 0)
+    want = make().sums(x)
+    for most, chunk, kept in ((8, 1024, 1 << 26), (8, 7, 0), (3, 50, 1 << 26)):
+        for name, v in (("MOST", most), ("CHUNK", chunk), ("KEPT", kept)):
+            monkeypatch.setattr(tree_shap.Lookup, name, v)
+        found = make()
+        assert np.allclose(found.sums(x), want, atol=1e-12) and np.allclose(found.sums(x), want, atol=1e-12)
