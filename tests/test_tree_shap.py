@@ -107,12 +107,8 @@ def deep_tree(rnd, d, splits):
     return tree_shap.Nodes(np.array(tree.feature), np.array(tree.bin) / 3.0 - 1, np.array(tree.left), np.array(tree.right), rnd.normal(size=len(cover)), cover)
 
 
-@pytest.mark.parametrize(("d", "pairs"), [(4, False), (13, False)])
+@pytest.mark.parametrize(("d", "pairs"), [(4, False), (13, False), (4, True), (13, True)])
 def test_looked_up_values_are_those_of_each_block(monkeypatch, d, pairs):
-    check_lookup(monkeypatch, d, pairs)
-
-
-def check_lookup(monkeypatch, d, pairs):
     """Tables of all flags, in chunks, kept or not, against working out the flags that a block has."""
     rnd = np.random.default_rng(d)
     trees = tree_shap.trees_of([deep_tree(rnd, d, 40) for _ in range(3)], 0.5)
