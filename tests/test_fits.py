@@ -342,3 +342,18 @@ def test_stumps_change_weights_as_one_row_at_a_time():
     got = np.ascontiguousarray(w.T)
     boosting._apply(rounds, y, np.ascontiguousarray(codes.T), got)
     assert np.allclose(got.T, want, rtol=1e-12)
+
+
+def test_network_sums_in_chunks_are_those_of_all_rows(monkeypatch):
+    """Against the chain rule unit by unit, however many rows are worked out at a time."""
+    rnd = np.random.default_rng(6)
+    x, y, weight, theta = rnd.normal(size=(70, 3)), rnd.integers(0, 2, 70), rnd.integers(0, 3, 70).astype(float), rnd.normal(size=3 * 4 + 4 + 4 + 1)
+    w, b, v, c = networks._layers(theta, 3, 4)
+    z = x @ w + b
+    f = np.maximum(z, 0) @ v + c
+    r = weight * (1 / (1 + np.exp(-f)) - y)
+    back = np.where(z > 0, r[:, None] * v, 0.0)
+    want = np.concatenate([[(weight * (np.logaddexp(0, f) - y * f)).sum()], (x.T @ back).ravel(), back.sum(0), np.maximum(z, 0).T @ r, [r.sum()]])
+    for chunk in (1, 32, 70, 512):
+        monkeypatch.setattr(networks, "_CHUNK", chunk)
+        assert np.allclose(networks.loss_and_gradient(x, y, weight, theta, 4), want, atol=1e-10)
