@@ -149,3 +149,19 @@ def test_row_ids_shuffle_hashes_alone(spark):
     plan = with_row_id(df.where("a < 500"))._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
     assert with_row_id(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("p", [1, 2])
+def test_a_distance_written_out_is_the_aggregate(spark, p):
+    rnd = random.Random(p)
+    rows = [([rnd.gauss(0, 1) for _ in range(5)], [rnd.choice([0.0, rnd.gauss(0, 9)]) for _ in range(5)]) for _ in range(50)]
+    df = spark.createDataFrame(rows, "a array<double>, b array<double>")
+    got = df.select(neighbours._dist(F.col("a"), F.col("b"), p).alias("one"), neighbours._dist(F.col("a"), F.col("b"), p, 5).alias("two")).collect()
+    assert all(r.one == r.two for r in got)
+
+
+def test_neighbours_are_searched_on_every_core(spark):
+    df = spark.range(40).coalesce(1)
+    got = neighbours.on_every_core(df)
+    assert got.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert sorted(r.id for r in got.collect()) == list(range(40))
