@@ -357,3 +357,55 @@ def test_network_sums_in_chunks_are_those_of_all_rows(monkeypatch):
     for chunk in (1, 32, 70, 512):
         monkeypatch.setattr(networks, "_CHUNK", chunk)
         assert np.allclose(networks.loss_and_gradient(x, y, weight, theta, 4), want, atol=1e-10)
+
+
+def test_packed_features_give_the_sums_of_each():
+    """Groups of few-bin features (one with a single bin), none of a joint size beyond the limit."""
+    rnd = np.random.default_rng(7)
+    layout = passes.Layout([np.arange(n, dtype=float) for n in (255, 1, 0, 6, 1, 1, 40)])
+    codes = np.stack([rnd.integers(0, b, 500) for b in layout.bins]).astype(np.uint8)
+    y, logs = rnd.integers(0, 2, 500), rnd.normal(size=2 * layout.width)
+    logs[2 * layout.starts[0] : 2 * (layout.starts[0] + 256)] = 0
+    packing = boosting.Packing(layout)
+    assert len(packing.groups) < len(layout.bins) and max(packing.sizes) <= 2 * packing.MOST
+    cells = packing.cells(codes, y)
+    w = boosting._weights(packing.joint(logs), 0.3, cells)
+    at = 2 * (layout.starts[:, None] + codes) + y
+    assert np.allclose(w, np.exp(0.3 + logs[at].sum(0)), rtol=1e-12)
+    got = packing.apart([np.bincount(c, w, n) for c, n in zip(cells, packing.sizes, strict=True)])
+    assert np.allclose(got, np.bincount(at.ravel(), np.tile(w, len(at)), 2 * layout.width), rtol=1e-12)
+
+
+def test_logistic_families_equal_single_fits(spark):
+    """All strengths, folds and datasets in the same passes score as Spark ML's fits of each alone."""
+    a, b = toy(spark, 240, 6, "a"), toy(spark, 150, 7, "b")
+    tfs = [learn.folded(t, "y", 3, 42) for t in (a, b)]
+    rows = [passes.model_rows(t, FEATS, group="dataset", fold=F.col("fold")) for t in tfs]
+    test = passes.model_rows(a, FEATS, group="dataset").unionByName(passes.model_rows(b, FEATS, group="dataset"))
+    for trainer, jobs in ((learn.train_lr, {"plain": {"C": 1e6}}), (learn.train_lr_reg, {"l1": {"C": 0.5, "l1_ratio": 1.0}, "half": {}, "l2": {"l1_ratio": 0.0}})):
+        long = learn.family_scores(learn.FAMILIES[trainer], rows[0].unionByName(rows[1]), test, list(jobs.items()), 3)
+        got = {(r.model, r.row_id): r.p for r in long.where("g = 'a'").collect()}
+        for name in ("plain", "half"):
+            if name in jobs:
+                alone = learn.calibrate_sigmoid(trainer, tfs[0].drop("fold"), FEATS, tf=tfs[0], **jobs[name])
+                assert all(abs(got[name, r.row_id] - r.p) < 2e-3 for r in alone(a).select("row_id", "p").collect())
+        assert len(got) == 240 * len(jobs)
+
+
+def test_logistic_steps_reach_the_optimum(spark):
+    """Where no coefficient can move without loss: the penalty's slope meets that of the rows."""
+    from scorelab.operators import logistic
+
+    rnd = np.random.default_rng(9)
+    x = rnd.normal(size=(300, 3)) * [1, 1, 0.1]
+    y = (x[:, 0] - 0.5 * x[:, 1] + rnd.normal(size=300) > 0).astype(int)
+    rows = spark.createDataFrame([("", i, int(y[i]), i % 3, x[i].tolist()) for i in range(300)], "g string, row_id long, y int, fold int, x array<double>")
+    models = [logistic.Model(1e6), logistic.Model(0.05, 1.0), logistic.Model(0.2, 0.5, 1), logistic.Model(1.0, 0.0, 2)]
+    for m, theta in zip(models, logistic.fit_logits(rows, models)[""], strict=True):
+        use = np.arange(300) % 3 != m.held
+        slope = x[use].T @ (1 / (1 + np.exp(-x[use] @ theta[:-1] - theta[-1])) - y[use]) + (1 - m.l1_ratio) / m.C * theta[:-1]
+        lasso = m.l1_ratio / m.C
+        for w, s in zip(theta[:-1], slope, strict=True):
+            assert abs(s + lasso * np.sign(w)) < 1e-3 if w else abs(s) <= lasso + 1e-3
+    one = logistic.fit_logits(rows.withColumn("y", F.lit(1)), models[:1])[""][0]
+    assert not one[:-1].any() and one[-1] == logistic.MOST
