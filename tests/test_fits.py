@@ -409,3 +409,14 @@ def test_logistic_steps_reach_the_optimum(spark):
             assert abs(s + lasso * np.sign(w)) < 1e-3 if w else abs(s) <= lasso + 1e-3
     one = logistic.fit_logits(rows.withColumn("y", F.lit(1)), models[:1])[""][0]
     assert not one[:-1].any() and one[-1] == logistic.MOST
+
+
+def test_blocks_are_dealt_evenly(spark):
+    """Rows that come in one part are passed over by every core, and none is lost."""
+    cores, n = spark.sparkContext.defaultParallelism, 3 * 8192
+    rows = spark.range(n).coalesce(1).select(F.lit("").alias("g"), (F.col("id") % 2).cast("int").alias("y"), F.lit(-1).alias("fold"), F.array(F.col("id").cast("double")).alias("x"))
+    table = passes.blocks(rows, lambda g, x: x, lambda g, fold: np.zeros((len(fold), 0)), spread=True)
+    assert table.rdd.getNumPartitions() == cores
+    assert sorted(v for r in table.select("data").collect() for v in np.frombuffer(r.data)) == list(range(n))
+    sizes = [len(part) for part in table.select("n").rdd.glom().collect()]
+    assert max(sizes) - min(sizes) <= 1
