@@ -420,3 +420,34 @@ def test_blocks_are_dealt_evenly(spark):
     assert sorted(v for r in table.select("data").collect() for v in np.frombuffer(r.data)) == list(range(n))
     sizes = [len(part) for part in table.select("n").rdd.glom().collect()]
     assert max(sizes) - min(sizes) <= 1
+
+
+def test_gbt_grid_query_asks_for_every_point(monkeypatch):
+    from scorelab.plans import q_learn
+
+    asked = []
+    monkeypatch.setattr(q_learn, "prepared", lambda spark, d: (None, None, FEATS))
+    monkeypatch.setattr(q_learn, "_grid", lambda scores: scores)
+    monkeypatch.setattr(learn, "grid_scores", lambda family, tr, te, feats, jobs: asked.extend(jobs))
+    q_learn.q_train_gbt_grid(None, "")
+    points = {(name.split("_")[0], p["n"], p["lr"], p.get("by_leaf", False)) for name, p in asked}
+    assert points == {(g, n, lr, g == "lgbm") for g in ("xgb", "lgbm") for n in (100, 200, 300) for lr in (0.1, 0.3)}
+    assert len({name for name, _ in asked}) == len(asked) == 12
+
+
+@pytest.mark.parametrize("by_leaf", [False, True])
+def test_trees_of_one_task_are_those_of_the_passes(spark, monkeypatch, by_leaf):
+    df = toy(spark, 300, 4).unionByName(toy(spark, 200, 5, "b"))
+    rows = passes.model_rows(learn.folded(df, "y", 2, 42), FEATS, group="dataset", fold=F.col("fold")).checkpoint()
+    way = newton.BY_LEAF if by_leaf else newton.BY_LEVEL
+    models = [newton.Model(4, 0.3, **way), newton.Model(3, 0.1, 1, **way)]
+    got, _ = newton.fit_trees(rows, models)
+    monkeypatch.setattr(newton, "ONE_TASK", 0)
+    want, _ = newton.fit_trees(rows, models)
+    assert got.keys() == want.keys() == {"a", "b"}
+    for g in got:
+        for one, passed in zip(got[g], want[g], strict=True):
+            assert one.start == passed.start and len(one.trees) == len(passed.trees) > 0
+            for s, t in zip(one.trees, passed.trees, strict=True):
+                assert (s.feature, s.bin, s.left, s.right, s.rows) == (t.feature, t.bin, t.left, t.right, t.rows)
+                assert np.allclose(s.value, t.value, atol=1e-9) and np.allclose(s.cover, t.cover, atol=1e-9)
