@@ -12,6 +12,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scorelab.operators.forest import Forest
 from scorelab.operators.learn import FULL_DEPTH, _assemble, _fit, fit_forest
 
 
@@ -26,7 +27,8 @@ def importance_rf(df: DataFrame, features: Sequence[str], y: str = "y", trees: i
                   max_depth: int = FULL_DEPTH) -> DataFrame:
     """Impurity importance of a random forest (features x 1 result); trees grow to ``max_depth``."""
     m = fit_forest(df, features, y, numTrees=trees, maxDepth=max_depth, seed=seed)
-    return _ranked(df.sparkSession, "rf", list(zip(features, m.featureImportances.toArray().tolist())))
+    gains = m.importances if isinstance(m, Forest) else m.featureImportances.toArray()
+    return _ranked(df.sparkSession, "rf", list(zip(features, gains.tolist())))
 
 
 def importance_l1(df: DataFrame, features: Sequence[str], y: str = "y", C: float = 1.0) -> DataFrame:

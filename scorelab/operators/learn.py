@@ -21,7 +21,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorelab.operators import boosting, logistic, networks, newton, passes, tree_shap
+from scorelab.operators import boosting, forest, logistic, networks, newton, passes, tree_shap
 from scorelab.operators.explain import Scorer
 from scorelab.plans.ranks import SMALL
 from scorelab.session import cut_lineage, ensure_checkpoint_dir, written_once
@@ -107,19 +107,49 @@ def _with_trees(scorer: Scorer, kind: str) -> Scorer:
     return scorer
 
 
+#: Rows beyond which a forest's trees are grown by a task each.
+LARGE = 20_000
+
+
 def fit_forest(train: DataFrame, features: Sequence[str], y: str = "y", **params):
-    """A fitted Spark ML forest. Each row keeps the node it is at in every tree, so a pass over the rows need not
+    """A fitted forest: Spark ML's up to ``LARGE`` rows, else that of ``forest.fit``, the same but for the draws, whose trees
+    grow by a task each and not by passes. (Spark ML's too where the rows' cells are too many for a task, or the
+    classes are not 0 and 1.)
+
+    In Spark ML's each row keeps the node it is at in every tree, so a pass over the rows need not
     carry all trees grown so far to every task; these numbers are checkpointed now and then. The trees are the same."""
     ensure_checkpoint_dir(train.sparkSession)
+    label = F.col(y).cast("double")
+    n, ones, zeros = train.agg(F.count(F.lit(1)), F.count(F.when(label == 1, 1)), F.count(F.when(label == 0, 1))).first()
+    if n > LARGE and min(ones, zeros) > 0 and ones + zeros == n and params.get("numTrees", 20) > 1:
+        grown = forest.fit(train, features, y, params.get("numTrees", 20), params.get("featureSubsetStrategy", "auto"), params["maxDepth"], params["seed"])
+        if grown is not None:
+            return grown
     return _fit(RandomForestClassifier(cacheNodeIds=True, **params), train, features, y)
 
 
+def forest_scorer(model, features: Sequence[str]) -> Scorer:
+    """Scorer of what ``fit_forest`` gives."""
+    if not isinstance(model, forest.Forest):
+        return _with_trees(ml_scorer(model, features), "forest")
+
+    def score(df: DataFrame) -> DataFrame:
+        return forest.scored(model, df)
+
+    def trees():
+        nodes = [tree_shap.forest_nodes(t, model.cuts) for t in model.tables()]
+        return tree_shap.trees_of(nodes, 0.0, [1.0 / len(nodes)] * len(nodes))
+
+    score.model, score.features, score.trees = model, list(features), trees  # type: ignore[attr-defined]
+    return score
+
+
 def train_rf(train: DataFrame, features: Sequence[str], y: str = "y", trees: int = 100, max_features="sqrt",
              seed: int = 42, max_depth: int = FULL_DEPTH) -> Scorer:
     """Random forest; trees grow to ``max_depth`` (by default the largest Spark allows)."""
     strategy = max_features if isinstance(max_features, str) else ("all" if float(max_features) >= 1 else str(max_features))
     model = fit_forest(train, features, y, numTrees=int(trees), featureSubsetStrategy=strategy, maxDepth=max_depth, seed=seed)
-    return _with_trees(ml_scorer(model, features), "forest")
+    return forest_scorer(model, features)
 
 
 def train_bagged_trees(train: DataFrame, features: Sequence[str], y: str = "y", n: int = 10, seed: int = 42,
@@ -128,7 +158,7 @@ def train_bagged_trees(train: DataFrame, features: Sequence[str], y: str = "y",
     trees grow to ``max_depth`` (by default the largest Spark allows)."""
     model = fit_forest(train, features, y, numTrees=int(n), featureSubsetStrategy="all", maxDepth=max_depth, seed=seed,
                        bootstrap=True, subsamplingRate=1.0)
-    return _with_trees(ml_scorer(model, features), "forest")
+    return forest_scorer(model, features)
 
 
 def train_sgb(train: DataFrame, features: Sequence[str], y: str = "y", n: int = 10, subsample: float = 0.7,
@@ -660,11 +690,14 @@ def run_experiment(datasets: DataFrame, registry: dict, y: str = "y", test_size:
 
 
 def save_model(scorer: Scorer, root: str, dataset: str, group: str, name: str) -> str:
-    """Persist the Spark ML model behind a scorer with MLWriter under root/dataset/group/name."""
+    """Persist the model behind a scorer under root/dataset/group/name: a Spark ML one with MLWriter, a large forest as tables."""
     model = getattr(scorer, "model", None)
     if model is None:
         raise ValueError("this scorer has no single Spark ML model to save")
     path = f"{root.rstrip('/')}/models/{dataset}/{group}/{name}"
+    if isinstance(model, forest.Forest):
+        model.save(path)
+        return path
     model.write().overwrite().save(path)
     return path
 

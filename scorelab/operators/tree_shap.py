@@ -84,6 +84,12 @@ def newton_nodes(tree, cuts: Sequence[np.ndarray]) -> Nodes:
     return Nodes(*(np.array(c) for c in (tree.feature, threshold, tree.left, tree.right, tree.value, tree.cover)))
 
 
+def forest_nodes(tree, cuts: Sequence[np.ndarray]) -> Nodes:
+    """A tree of ``forest.fit`` with thresholds in place of bins; the cover is the bag's row count."""
+    threshold = np.array([float(cuts[f][b]) if f >= 0 else 0.0 for f, b in zip(tree.feature.tolist(), tree.bin.tolist(), strict=True)])
+    return Nodes(tree.feature.astype(int), threshold, tree.left, tree.left + 1, tree.share, tree.cover)
+
+
 def saved_nodes(model, kind: str) -> tuple[list[Nodes], list[float]]:
     """The node tables and weights of a fitted Spark ML forest (``kind`` "forest": leaves are worth the share of
     class 1) or boosted trees ("boost": leaves are worth their prediction), from the table its writer saves.
