@@ -15,7 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scorelab.plans.ranks import hash_key, hash_rank, small_side
+from scorelab.plans.ranks import hash_key, hash_rank
+from scorelab.session import cut_lineage
 
 
 def _c(names):
@@ -121,13 +122,15 @@ def bootstrap_draws(df: DataFrame, b: int = 50, seed: int = 42, by: Sequence[str
     what the join needs: the counts of all replicates of a row are made where the row is."""
     by = list(by)
     ranked = hash_rank(df.select(*by, id_col), by, seed, id_col)
-    sizes = small_side(df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")))
+    # not ``small_side``: its hint would pass through to the join, and the driver would hold every drawn row
+    sizes = cut_lineage(df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")))
     draws = sizes.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(b - 1)))).withColumn("_count", F.col("_n"))
     d = numbered(draws, "_count", "_i")
     d = d.withColumn("_rank", F.pmod(hash_key(seed, *by, "b", "_i"), F.col("_n")))
     d = d.select(*by, "b", "_rank").repartition(*by, "_rank")
     picks = d.groupBy(*by, "b", "_rank").agg(F.count(F.lit(1)).alias("weight"))
-    return picks.join(ranked.select(*by, "_rank", id_col), [*by, "_rank"]).select(*by, "b", id_col, "weight")
+    # numbers pack so well that either side may pass for a small table, whose every row the driver would hold
+    return picks.join(ranked.select(*by, "_rank", id_col).hint("merge"), [*by, "_rank"]).select(*by, "b", id_col, "weight")
 
 
 def permute_labels(df: DataFrame, y: str = "y", seed: int = 42, by: Sequence[str] = (), id_col: str = "row_id") -> DataFrame:

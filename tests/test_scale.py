@@ -117,3 +117,11 @@ def test_cross_val_rows_are_worked_out_once(spark):
     df, seen = counted(spark, small(spark), "u")
     assert learn.cross_val(learn.train_lr, df, ["u", "v"], k=2).count() == 3
     assert seen.value <= 2 * 300  # the fold ranks read the rows twice; the folds read what was written
+
+
+def test_bootstrap_draws_send_no_side_through_the_driver(spark):
+    draws = resample.bootstrap_draws(small(spark), 4, 42, by=["dataset"])
+    total = draws.groupBy("dataset", "b").agg(F.sum("weight").alias("n"))
+    assert sorted((r["b"], r["n"]) for r in total.collect()) == [(b, 300) for b in range(4)]
+    join = [line for line in plan(total).splitlines() if "Join [" in line and "_rank" in line]
+    assert join and not any("Broadcast" in line for line in join)
