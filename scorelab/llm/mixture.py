@@ -72,7 +72,7 @@ def targets(rows: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
         if now in ((rest, left), (0, 0)) or not now[1]:
             break
         rest, left = now
-    part = F.col("weight") * F.lit(rest)
+    part = F.col("weight") * F.lit(rest).cast("long")  # a literal below 2^31 is an int, and so would be the product
     return written(
         sources.withColumn("full", full)
         .select("skey", "code", "source_size",

@@ -176,3 +176,12 @@ def test_mixture_of_nothing(spark):
     assert mix.count() == 0 and summary.count() == 0
     only_empty = mixture.mixture(frame(spark, [(1, None, "en", None), (2, " ", "en", "a")]))[1]
     assert sorted(tuple(r) for r in only_empty.collect()) == [(1, 0, 0, 0.0, 0), (2, 0, 0, 0.0, 0)]
+
+
+def test_mixture_targets_of_more_words_than_an_int(spark):
+    sizes = {"0a": 700_000_000, "0b": 600_000_000, "0c": 400_000_000}  # each product by weight is beyond 2^31, their sum is not
+    rows = spark.createDataFrame(list(sizes.items()), "skey string, size long")
+    got = {r.skey: r for r in mixture.targets(rows, (5, 2, 1), 3).collect()}
+    total = sum(sizes.values())
+    assert {k: r.words for k, r in got.items()} == {k: total * w // 8 for k, w in zip(sizes, (5, 2, 1), strict=True)}
+    assert all(abs(got[k].target - total * w / 8) < 1e-3 for k, w in zip(sizes, (5, 2, 1), strict=True))
